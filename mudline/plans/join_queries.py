@@ -1 +1,171 @@
-"""Queries."""
+"""Formations, feedback, plans and nearest lookups: the joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mudline.functions.frames import ordered
+from mudline.operators import joins
+from mudline.operators.metrics import drilling_metrics
+from mudline.plans.physics_queries import MET, TEL, r
+from mudline.plans.window_queries import HOUR_SQL
+from mudline.registry import query
+from mudline.telemetry import telemetry
+
+#: Formations: the first 60 parts as layers of 60 + 2 size feet from 1,000 ft on, with a gap after every seventh.
+FORMATION_SQL = """, fl AS (SELECT p_partkey AS fid, 'F' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') AS formation, CAST(p_size % 10 AS DOUBLE) AS hard, CAST(60 + 2 * p_size AS DOUBLE) AS thick FROM part WHERE p_partkey < 60),
+  fs AS (SELECT *, 1000 + coalesce(sum(thick) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM fl),
+  fm AS (SELECT fid, formation, hard, top, top + thick - CASE WHEN fid % 7 = 6 THEN 20 ELSE 0 END AS base FROM fs)"""
+
+
+def formations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 60")
+    layers = p.selectExpr("p_partkey AS fid", "'F' || lpad(CAST(p_partkey AS STRING), 3, '0') AS formation", "CAST(p_size % 10 AS DOUBLE) AS hard", "CAST(60 + 2 * p_size AS DOUBLE) AS thick")
+    above = F.sum("thick").over(Window.partitionBy(F.lit(0)).orderBy("fid").rowsBetween(Window.unboundedPreceding, -1))
+    placed = layers.withColumn("top", F.lit(1000.0) + F.coalesce(above, F.lit(0.0)))
+    return placed.selectExpr("fid", "formation", "hard", "top", "top + thick - CASE WHEN fid % 7 = 6 THEN 20 ELSE 0 END AS base")
+
+
+@query(TEL + FORMATION_SQL + "SELECT seq, formation, round(top, 3) AS top, round(base, 3) AS base FROM tel LEFT JOIN fm ON bit_depth >= top AND bit_depth < base")
+def formation_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir).select("seq", "bit_depth")
+    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), ["seq"], "bit_depth", "top", "base")
+    return f.select("seq", "formation", r(F.col("top"), "top", 3), r(F.col("base"), "base", 3))
+
+
+@query(TEL + FORMATION_SQL + """SELECT seq, formation AS next_formation, round(top - bit_depth, 4) AS feet, round((top - bit_depth) / rop * 60, 4) AS minutes FROM (
+  SELECT t.seq, t.bit_depth, t.rop, f.formation, f.top, row_number() OVER (PARTITION BY t.seq ORDER BY f.top) AS k FROM tel t JOIN fm f ON f.top > t.bit_depth) a WHERE k = 1 AND (top - bit_depth) / rop * 60 <= 30""")
+def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next formation within half an hour at the present rate: an as-of join forward."""
+    t = telemetry(spark, sf_dir).select("seq", "well_id", "bit_depth", "rop")
+    tops = formations(spark, sf_dir).select("formation", "top").join(t.select("well_id").distinct(), how="cross")
+    a = joins.asof(t.withColumn("below", F.col("bit_depth") + 1e-9), tops, ["well_id"], "below", "top", ["formation", "top"], forward=True)
+    a = a.withColumn("minutes", (F.col("top") - F.col("bit_depth")) / F.col("rop") * 60).filter("minutes <= 30")
+    return a.select("seq", F.col("formation").alias("next_formation"), r(F.col("top") - F.col("bit_depth"), "feet", 4), r(F.col("minutes"), "minutes", 4))
+
+
+@query(TEL + FORMATION_SQL + "SELECT seq, formation AS last_top FROM (SELECT t.seq, f.formation, row_number() OVER (PARTITION BY t.seq ORDER BY f.top DESC) AS k FROM tel t JOIN fm f ON f.top <= t.bit_depth) a WHERE k = 1")
+def last_formation_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir).select("seq", "well_id", "bit_depth")
+    tops = formations(spark, sf_dir).select("formation", "top").join(t.select("well_id").distinct(), how="cross")
+    return joins.asof(t, tops, ["well_id"], "bit_depth", "top", ["formation"]).select("seq", F.col("formation").alias("last_top"))
+
+
+@query(TEL + FORMATION_SQL + "SELECT seq, formation AS boundary, round(d, 4) AS feet FROM (SELECT t.seq, f.formation, abs(f.top - t.bit_depth) AS d, row_number() OVER (PARTITION BY t.seq ORDER BY abs(f.top - t.bit_depth), f.top) AS k FROM tel t JOIN fm f ON true WHERE t.k = 50) a WHERE k = 1")
+def nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary nearest to each transition (packets whose k is 50)."""
+    t = telemetry(spark, sf_dir).filter("k = 50").select("seq", "bit_depth")
+    n = joins.nearest(t, formations(spark, sf_dir).select("top", "formation"), ["seq"], "abs(top - bit_depth)")
+    return n.select("seq", F.col("formation").alias("boundary"), r(F.col("distance"), "feet", 4))
+
+
+@query(TEL + FORMATION_SQL + "SELECT well_id, formation, CAST(k - 1 AS INTEGER) AS place FROM (SELECT w.well_id, f.formation, row_number() OVER (PARTITION BY w.well_id ORDER BY f.top) AS k FROM (SELECT well_id, min(bit_depth) + 700 AS d FROM tel GROUP BY 1) w JOIN fm f ON f.top > w.d) a WHERE k BETWEEN 2 AND 4")
+def upcoming_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = telemetry(spark, sf_dir).groupBy("well_id").agg((F.min("bit_depth") + 700).alias("d"))
+    a = w.join(F.broadcast(formations(spark, sf_dir)), F.col("top") > F.col("d"))
+    k = F.row_number().over(Window.partitionBy("well_id").orderBy("top"))
+    return a.withColumn("k", k).filter("k BETWEEN 2 AND 4").select("well_id", "formation", (F.col("k") - 1).alias("place"))
+
+
+@query(TEL + FORMATION_SQL + """, fd AS (SELECT t.seq, t.well_id, t.ts, f.formation FROM tel t LEFT JOIN fm f ON bit_depth >= top AND bit_depth < base)
+  SELECT seq, well_id, formation FROM (SELECT *, lag(formation) OVER (PARTITION BY well_id ORDER BY ts, seq) AS was FROM fd) a WHERE formation IS NOT NULL AND was IS DISTINCT FROM formation""")
+def formation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir).select("seq", "well_id", "ts", "bit_depth")
+    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), ["seq"], "bit_depth", "top", "base")
+    return f.withColumn("was", F.lag("formation").over(ordered())).filter("formation IS NOT NULL AND NOT (was <=> formation)").select("seq", "well_id", "formation")
+
+
+@query(MET + FORMATION_SQL + """SELECT formation, round(top, 3) AS top, CAST(count(m.seq) AS BIGINT) AS packets, CAST(coalesce(sum((category <> 'None')::INT), 0) AS BIGINT) AS tickets, CAST(coalesce(sum((category = 'WellControl')::INT), 0) AS BIGINT) AS well_control, round(avg(rop), 5) AS rop, round(max(mse), 3) AS top_mse
+  FROM fm f LEFT JOIN met m ON m.bit_depth >= f.top AND m.bit_depth < f.base GROUP BY 1, 2""")
+def formation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formations with what happened in them: a range join, aggregated before it meets the plan."""
+    m = drilling_metrics(telemetry(spark, sf_dir)).select("seq", "bit_depth", "category", "rop", "mse")
+    f = formations(spark, sf_dir)
+    hit = joins.range_join(m, f.select("fid", "top", "base"), "bit_depth", "top", "base", how="inner")
+    agg = hit.groupBy("fid").agg(F.count("*").alias("packets"), F.sum((F.col("category") != "None").cast("int")).alias("tickets"), F.sum((F.col("category") == "WellControl").cast("int")).alias("well_control"), F.avg("rop").alias("rop"), F.max("mse").alias("top_mse"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return f.join(agg, "fid", "left").select("formation", r(F.col("top"), "top", 3), zero("packets"), zero("tickets"), zero("well_control"), r(F.col("rop"), "rop", 5), r(F.col("top_mse"), "top_mse", 3))
+
+
+FEEDBACK_SQL = """fb AS (SELECT o_orderkey % 3000 AS advisory, o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS rated_at, CASE o_orderkey % 5 WHEN 0 THEN 'WellControl' WHEN 1 THEN 'Hydraulics' WHEN 2 THEN 'Mechanical' WHEN 3 THEN 'DrillingEfficiency' ELSE 'Formation' END AS category,
+  CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 = 2 THEN 'Confirmed' WHEN o_orderstatus = 'O' OR o_orderkey % 5 = 0 THEN 'FalsePositive' ELSE 'Unclear' END AS outcome, o_totalprice AS price FROM orders)"""
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of advisories, from orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    names = ["WellControl", "Hydraulics", "Mechanical", "DrillingEfficiency", "Formation"]
+    k = F.col("o_orderkey") % 5
+    outcome = F.when((F.col("o_orderstatus") == "F") | (k == 2), "Confirmed").when((F.col("o_orderstatus") == "O") | (k == 0), "FalsePositive").otherwise("Unclear")
+    return o.select((F.col("o_orderkey") % 3000).alias("advisory"), "o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("rated_at"), F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int")).alias("category"), outcome.alias("outcome"), F.col("o_totalprice").alias("price"))
+
+
+@query(f"WITH {FEEDBACK_SQL}" + """, fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY advisory ORDER BY rated_at, o_orderkey) AS k FROM fb) a WHERE k = 1)
+  SELECT e.event_id AS seq, f.outcome, f.category FROM events e LEFT JOIN fi f ON e.event_id = f.advisory""")
+def advisory_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisories with their first rating."""
+    first = feedback(spark, sf_dir).groupBy("advisory").agg(F.min_by(F.struct("outcome", "category"), F.struct("rated_at", "o_orderkey")).alias("f"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"))
+    return e.join(first.withColumnRenamed("advisory", "seq"), "seq", "left").select("seq", "f.outcome", "f.category")
+
+
+@query(MET + FORMATION_SQL + HOUR_SQL + """, wb AS (SELECT well_id, avg(torque) AS m, stddev_samp(torque) AS s, count(*) AS n FROM tel GROUP BY 1), fo AS (SELECT t.well_id, f.formation, avg(t.torque) AS m, stddev_samp(t.torque) AS s, count(*) AS n FROM tel t JOIN fm f ON bit_depth >= top AND bit_depth < base GROUP BY 1, 2 HAVING count(*) >= 50)
+  SELECT w.well_id, f.formation, round(coalesce(o.m, w.m), 3) AS mean, round(coalesce(o.s, w.s), 3) AS std FROM wb w JOIN fm f ON f.fid < 20 LEFT JOIN fo o ON o.well_id = w.well_id AND o.formation = f.formation""")
+def baseline_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formation's own baseline where it has enough rows, else the well's."""
+    t, f = telemetry(spark, sf_dir), formations(spark, sf_dir)
+    stats = [F.avg("torque").alias("mean"), F.stddev_samp("torque").alias("std"), F.count("*").alias("n")]
+    general = t.groupBy("well_id").agg(*stats)
+    special = joins.range_join(t.select("well_id", "torque", "bit_depth"), f, "bit_depth", "top", "base", how="inner").groupBy("well_id", "formation").agg(*stats).filter("n >= 50")
+    rows = general.select("well_id").join(F.broadcast(f.filter("fid < 20").select("formation")), how="cross")
+    out = joins.fallback(rows, special, general, ["well_id", "formation"], ["well_id"], ["mean", "std"])
+    return out.select("well_id", "formation", r(F.col("mean"), "mean", 3), r(F.col("std"), "std", 3))
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2, CAST(embedding[3] AS DOUBLE) AS x3, CAST(embedding[4] AS DOUBLE) AS x4 FROM embeddings), c AS (SELECT vec_id AS cid, x1 AS c1, x2 AS c2, x3 AS c3, x4 AS c4 FROM p WHERE vec_id < 4)
+  SELECT vec_id, cid AS regime FROM (SELECT vec_id, cid, row_number() OVER (PARTITION BY vec_id ORDER BY (x1-c1)*(x1-c1) + (x2-c2)*(x2-c2) + (x3-c3)*(x3-c3) + (x4-c4)*(x4-c4), cid) AS k FROM p JOIN c ON true) a WHERE k = 1""")
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(4)])
+    c = e.filter("vec_id < 4").selectExpr("vec_id AS cid", "x1 AS c1", "x2 AS c2", "x3 AS c3", "x4 AS c4")
+    return joins.nearest(e, c.select("cid", "c1", "c2", "c3", "c4"), ["vec_id"], "(x1-c1)*(x1-c1) + (x2-c2)*(x2-c2) + (x3-c3)*(x3-c3) + (x4-c4)*(x4-c4)").select("vec_id", F.col("cid").alias("regime"))
+
+
+@query("""SELECT s.s_suppkey AS rig, n.n_name AS field, count(l.l_orderkey) AS events FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R' GROUP BY 1, 2""")
+def rig_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rigs, fields and their returned items: counts combine before the join."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    n = read("lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("rig")).agg(F.count("*").alias("events"))
+    s = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("rig"), F.col("n_name").alias("field"))
+    return s.join(n, "rig", "left").select("rig", "field", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def peers_with_urgent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership: a left-semi join."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    u = read("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return read("customer").join(u, "c_custkey", "left_semi").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def episodes_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal by id list: a left-anti join."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    return read("customer").select("c_custkey").join(read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query(TEL + FORMATION_SQL + """, ho AS (SELECT well_id, ts - ts % 3600 AS hour, t.mse0, f.formation FROM (SELECT *, 480 * torque * 1000 * rpm / (72.25 * rop) AS mse0 FROM tel WHERE rpm > 5 AND wob > 1) t LEFT JOIN fm f ON bit_depth >= top AND bit_depth < base)
+  SELECT well_id, hour, coalesce(formation, 'none') AS formation, count(*) AS n, round(avg(mse0), 3) AS avg_mse, round(min(mse0), 3) AS min_mse, round(max(mse0), 3) AS max_mse FROM ho GROUP BY 1, 2, 3""")
+def hourly_well_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: packets to rotary energy, by well, hour and formation.
+
+    Formations are a small dimension, so their join is broadcast and the only
+    shuffle is that of the aggregate, after partial aggregation.
+    """
+    t = telemetry(spark, sf_dir).filter("rpm > 5 AND wob > 1").withColumn("mse0", 480 * F.col("torque") * 1000 * F.col("rpm") / (72.25 * F.col("rop")))
+    h = joins.range_join(t, formations(spark, sf_dir).select("formation", "top", "base"), "bit_depth", "top", "base")
+    g = h.groupBy("well_id", (F.col("ts") - F.col("ts") % 3600).alias("hour"), F.coalesce("formation", F.lit("none")).alias("formation"))
+    return g.agg(F.count("*").alias("n"), r(F.avg("mse0"), "avg_mse", 3), r(F.min("mse0"), "min_mse", 3), r(F.max("mse0"), "max_mse", 3))
+
+

@@ -1 +1,105 @@
-"""Queries."""
+"""Sequential operators per well; SQL has no form for most, so tests hold them against plain loops."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mudline.functions.frames import last_rows
+from mudline.operators import kernels, windows
+from mudline.operators.metrics import drilling_metrics, with_state
+from mudline.operators.nets import DualNets
+from mudline.plans.join_queries import formations
+from mudline.plans.physics_queries import TEL, r
+from mudline.registry import query
+from mudline.telemetry import telemetry
+
+
+@query()
+def depth_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = with_state(telemetry(spark, sf_dir)).withColumn("bit_depth", F.col("bit_depth") + F.when(F.col("k") == 5, 400.0).when(F.col("k") == 6, -80.0).otherwise(0.0))
+    return kernels.apply(t, kernels.DepthContinuity()).select("seq", "well_id", "verdict")
+
+
+@query(TEL + """, pa AS (SELECT *, count(*) OVER w AS n, avg(wob) OVER w AS mw, avg(rpm) OVER w AS mr, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts RANGE BETWEEN 30 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)),
+  ch AS (SELECT *, CASE WHEN i = 1 OR (n > 0 AND (abs(wob - mw) > 2 OR abs(rpm - mr) > 10)) THEN ts END AS c FROM pa)
+  SELECT seq, ts - last_value(c IGNORE NULLS) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS since_change FROM ch""")
+def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(telemetry(spark, sf_dir), kernels.ParamChange()).select("seq", "since_change")
+
+
+@query()
+def connection_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = with_state(telemetry(spark, sf_dir))
+    return kernels.apply(t, kernels.ConnectionGas()).filter("peak_gas IS NOT NULL").select("seq", "well_id", *[r(F.col(c), c) for c in ("pre_gas", "peak_gas", "post_gas", "above_background", "gas_trend")])
+
+
+@query()
+def bit_wear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(drilling_metrics(telemetry(spark, sf_dir)), kernels.BitWear()).select("seq", "well_id", r(F.col("wear_index"), "wear_index"), "wear_advice")
+
+
+@query()
+def conformal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(telemetry(spark, sf_dir), kernels.Conformal("spp")).select("seq", "well_id", *[r(F.col(c), c) for c in ("lower", "upper", "deviation", "coverage")], "is_outlier")
+
+
+@query(TEL + """, q AS (SELECT seq, well_id, spp, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i, quantile_cont(spp, 0.5) OVER w AS mid, quantile_cont(spp, 0.95) OVER w AS hi, quantile_cont(spp, 0.05) OVER w AS lo FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))
+  SELECT seq, round(mid, 4) AS mid, round(lo, 4) AS lower, round(hi, 4) AS upper, spp < lo OR spp > hi AS is_outlier FROM q WHERE i > 10""")
+def quantile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval without feedback: exact quantiles over a row frame, no Python."""
+    frame = last_rows(1).rowsBetween(-50, -1)
+    q = lambda p: F.percentile("spp", F.lit(p)).over(frame)
+    t = windows.with_index(telemetry(spark, sf_dir)).withColumns({"mid": q(0.5), "lower": q(0.05), "upper": q(0.95)}).filter("idx > 10")
+    return t.select("seq", r(F.col("mid"), "mid", 4), r(F.col("lower"), "lower", 4), r(F.col("upper"), "upper", 4), ((F.col("spp") < F.col("lower")) | (F.col("spp") > F.col("upper"))).alias("is_outlier"))
+
+
+@query()
+def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(telemetry(spark, sf_dir), kernels.Regimes(("wob", "rpm", "torque", "rop"))).select("seq", "well_id", "regime")
+
+
+@query()
+def formation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = last_rows(200)
+    sigma = lambda c: F.coalesce(F.try_divide(F.abs(F.col(c) - F.avg(c).over(frame)), F.stddev_pop(c).over(frame)), F.lit(0.0))
+    t = telemetry(spark, sf_dir).withColumns({f"s_{c}": sigma(c) for c in ("wob", "torque", "rop", "spp")})
+    return kernels.apply(t, kernels.TransitionDetector(("s_wob", "s_torque", "s_rop", "s_spp"), sigma=0.8, least=2, packets=2)).select("seq", "well_id", "transition")
+
+
+@query()
+def ticket_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("corroborated", F.col("k") % 3 > 0)
+    return kernels.apply(m, kernels.TicketGate()).select("seq", "well_id", "category", "gate")
+
+
+@query()
+def recommendation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(telemetry(spark, sf_dir), kernels.RateLimiter("wob")).select("seq", "well_id", "allowed")
+
+
+@query()
+def damping_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir).withColumn("cv", windows.variation(F.col("torque"), last_rows(10), 10))
+    return kernels.apply(t, kernels.DampingMonitor()).filter("damping IS NOT NULL").select("seq", "well_id", "damping")
+
+
+@query()
+def steady_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = with_state(telemetry(spark, sf_dir))
+    return kernels.apply(t, kernels.Debounce("state")).select("seq", "well_id", "steady")
+
+
+@query(TEL + """, fl AS (SELECT p_partkey AS fid, 'F' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') AS formation, CAST(60 + 2 * p_size AS DOUBLE) AS thick FROM part WHERE p_partkey < 60),
+  fm AS (SELECT formation, 1000 + coalesce(sum(thick) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM fl)
+  SELECT well_id, formation, min(seq_at) AS seq FROM (SELECT t.well_id, f.formation, first_value(t.seq) OVER (PARTITION BY t.well_id, f.formation ORDER BY t.ts, t.seq) AS seq_at FROM tel t JOIN fm f ON f.top > t.bit_depth AND f.top <= t.bit_depth + 25) a GROUP BY 1, 2""")
+def look_ahead_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first packet that comes within 25 ft of each boundary."""
+    t = telemetry(spark, sf_dir).select("well_id", "seq", "ts", "bit_depth")
+    near = t.join(F.broadcast(formations(spark, sf_dir).select("formation", "top")), (F.col("top") > F.col("bit_depth")) & (F.col("top") <= F.col("bit_depth") + 25))
+    return near.groupBy("well_id", "formation").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
+
+
+@query()
+def liquid_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.apply(telemetry(spark, sf_dir), DualNets()).select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised")

@@ -1 +1,225 @@
-"""Queries."""
+"""Batch analysis, feedback, rankings, stores and report texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mudline.config import DEFAULT
+from mudline.functions import physics, reports
+from mudline.operators import ml, quality, stores
+from mudline.operators.metrics import drilling_metrics
+from mudline.plans.join_queries import FEEDBACK_SQL, feedback
+from mudline.plans.physics_queries import MET, TEL, r
+from mudline.plans.window_queries import W10
+from mudline.registry import query
+from mudline.telemetry import telemetry
+
+DYS_SQL = f""", ix AS (SELECT *, CAST(row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS DOUBLE) AS i FROM met),
+  cw AS (SELECT *, CASE WHEN count(*) OVER w >= 10 AND avg(torque) OVER w > 0 THEN stddev_pop(torque) OVER w / avg(torque) OVER w ELSE 0 END AS cv,
+    coalesce(count(*) OVER w >= 10 AND avg(wob) OVER w > 0 AND avg(rop) OVER w > 0 AND regr_slope(wob, i) OVER w / nullif(avg(wob) OVER w, 0) > 0.02 AND regr_slope(rop, i) OVER w / nullif(avg(rop) OVER w, 0) < 0.01, false) AS fnd FROM ix WINDOW w AS {W10}),
+  dy AS (SELECT *, CASE WHEN cv > 0.12 THEN 'TorqueInstability' WHEN torque_delta > 0.1 AND spp_delta > 75 THEN 'PackOff' WHEN greatest(torque_delta, 0) * 0.6 + greatest(least(spp_delta / 200, 1), 0) * 0.4 > 0.15 THEN 'PackOff' WHEN fnd THEN 'Founder'
+    WHEN mse_efficiency < 50 THEN 'LowEfficiency' WHEN category = 'Mechanical' AND torque_delta > 0.1 THEN 'PackOff' WHEN category = 'Mechanical' THEN 'StickSlip' WHEN category <> 'None' THEN 'LowEfficiency' END AS dysfunction,
+    greatest(1 - CASE WHEN cv > 0.06 THEN 0.3 * least((cv - 0.06) / 0.06, 1) ELSE 0 END - CASE WHEN torque_delta > 0.05 THEN 0.25 * least((torque_delta - 0.05) / 0.05, 1) ELSE 0 END - CASE WHEN mse_efficiency < 70 THEN 0.2 * least((70 - mse_efficiency) / 20, 1) ELSE 0 END - CASE WHEN spp_delta > 37.5 THEN 0.15 * least((spp_delta - 37.5) / 37.5, 1) ELSE 0 END, 0) AS stab FROM cw),
+  ok AS (SELECT * FROM dy WHERE wob >= 5 AND rpm >= 40 AND mse BETWEEN 1000 AND 500000 AND rop BETWEEN 1 AND 500 AND state IN ('Drilling', 'Reaming')),
+  sp AS (SELECT well_id, min(wob) AS w0, max(wob) AS w1, min(rpm) AS r0, max(rpm) AS r1 FROM ok GROUP BY 1),
+  bi AS (SELECT o.*, greatest(least(floor((wob - w0) / ((w1 - w0) / 8)), 7), 0) * 6 + greatest(least(floor((rpm - r0) / ((r1 - r0) / 6)), 5), 0) AS bin FROM ok o JOIN sp s ON o.well_id = s.well_id AND w1 - w0 >= 1 AND r1 - r0 >= 5),
+  st AS (SELECT well_id, CAST(bin AS BIGINT) AS bin, count(*) AS n, median(wob) AS wob, median(rpm) AS rpm, median(flow_in) AS flow, median(rop) AS rop, median(mse_efficiency) AS efficiency, avg(stab) AS stability FROM bi GROUP BY 1, 2 HAVING count(*) >= 10),
+  sc AS (SELECT *, 0.5 * least(rop / 100, 1) + 0.3 * efficiency / 100 + 0.2 * stability AS score FROM st)"""
+
+
+def usable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = ml.with_dysfunction(drilling_metrics(telemetry(spark, sf_dir)))
+    return m.filter(quality.rejection(F.col("wob"), F.col("rpm"), F.col("mse"), F.col("rop"), F.col("state")).isNull())
+
+
+@query(MET + DYS_SQL + "SELECT well_id, coalesce(dysfunction, 'stable') AS reason, count(*) AS n FROM dy GROUP BY 1, 2")
+def dysfunction_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = ml.with_dysfunction(drilling_metrics(telemetry(spark, sf_dir)))
+    return m.groupBy("well_id", F.coalesce("dysfunction", F.lit("stable")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(MET + DYS_SQL + "SELECT well_id, bin, n, round(wob, 5) AS wob, round(rpm, 5) AS rpm, round(flow, 5) AS flow, round(rop, 5) AS rop, round(efficiency, 5) AS efficiency, round(stability, 4) AS stability, round(score, 4) AS score FROM sc")
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ml.grid(usable_rows(spark, sf_dir))
+    return g.select("well_id", "bin", "n", *[r(F.col(c), c, 5) for c in ("wob", "rpm", "flow", "rop", "efficiency")], r(F.col("stability"), "stability", 4), r(F.col("score"), "score", 4))
+
+
+@query(MET + DYS_SQL + """SELECT well_id, bins, bin, round(wob, 5) AS wob, round(rpm, 5) AS rpm, round(score, 5) AS score, CASE WHEN score > 0.75 THEN 'Excellent' WHEN score > 0.6 THEN 'Good' WHEN score > 0.45 THEN 'Fair' ELSE 'Poor' END AS rating FROM (
+  SELECT *, count(*) OVER (PARTITION BY well_id) AS bins, row_number() OVER (PARTITION BY well_id ORDER BY score DESC, bin DESC) AS k FROM sc) a WHERE k = 1""")
+def optimal_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ml.optimum(ml.grid(usable_rows(spark, sf_dir)))
+    s = F.col("score")
+    rating = F.when(s > 0.75, "Excellent").when(s > 0.6, "Good").when(s > 0.45, "Fair").otherwise("Poor")
+    return o.select("well_id", "bins", "bin", r(F.col("wob"), "wob", 5), r(F.col("rpm"), "rpm", 5), r(s, "score", 5), rating.alias("rating"))
+
+
+@query(MET + DYS_SQL + """SELECT well_id, x, y, n, round(c, 5) AS r FROM (SELECT well_id, 'wob' AS x, 'rop' AS y, count(*) AS n, corr(wob, rop) AS c FROM ok GROUP BY 1 UNION ALL SELECT well_id, 'wob', 'mse', count(*), corr(wob, mse) FROM ok GROUP BY 1 UNION ALL SELECT well_id, 'rpm', 'rop', count(*), corr(rpm, rop) FROM ok GROUP BY 1
+  UNION ALL SELECT well_id, 'rpm', 'mse', count(*), corr(rpm, mse) FROM ok GROUP BY 1 UNION ALL SELECT well_id, 'flow_in', 'rop', count(*), corr(flow_in, rop) FROM ok GROUP BY 1) a WHERE n >= 30""")
+def drilling_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ml.correlations(usable_rows(spark, sf_dir), [("wob", "rop"), ("wob", "mse"), ("rpm", "rop"), ("rpm", "mse"), ("flow_in", "rop")])
+    return c.select("well_id", "x", "y", "n", r(F.col("r"), "r", 5))
+
+
+@query()
+def correlation_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with p-values, which SQL has no function for; tests hold them against integration."""
+    c = ml.correlations(usable_rows(spark, sf_dir), [("wob", "rop"), ("wob", "mse"), ("rpm", "rop"), ("rpm", "mse"), ("flow_in", "rop")])
+    return c.select("well_id", "x", "y", "n", r(F.col("r"), "r", 5), r(F.col("p"), "p", 9), (F.col("p") < 0.05).alias("significant"))
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT category, count(*) AS total, count(*) FILTER (WHERE outcome = 'Confirmed') AS confirmed, count(*) FILTER (WHERE outcome = 'FalsePositive') AS false_positives, count(*) FILTER (WHERE outcome = 'Unclear') AS unclear, round(count(*) FILTER (WHERE outcome = 'Confirmed') * 1.0 / nullif(count(*) FILTER (WHERE outcome <> 'Unclear'), 0), 6) AS rate FROM fb GROUP BY category")
+def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(feedback(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+def _stats(records: DataFrame) -> DataFrame:
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    s = records.groupBy("category").agg(F.count("*").alias("total"), n("Confirmed").alias("confirmed"), n("FalsePositive").alias("false_positives"), n("Unclear").alias("unclear"))
+    return s.withColumn("rate", physics.ratio(F.col("confirmed").cast("double"), (F.col("confirmed") + F.col("false_positives")).cast("double")))
+
+
+#: Threshold of each category, its value, and whether higher values alert more (fixed values).
+TUNED = [
+    ("DrillingEfficiency", "mse.efficiency_warning_percent", DEFAULT.mse.efficiency_warning_percent, True), ("Hydraulics", "hydraulics.ecd_margin_warning_ppg", DEFAULT.hydraulics.ecd_margin_warning_ppg, True),
+    ("WellControl", "well_control.flow_imbalance_warning_gpm", DEFAULT.well_control.flow_imbalance_warning_gpm, False), ("Mechanical", "mechanical.stick_slip_cv_warning", DEFAULT.mechanical.stick_slip_cv_warning, False), ("Formation", "formation.dexp_decrease_warning", -0.15, False),
+]
+
+
+@query(f"WITH {FEEDBACK_SQL}" + """, st AS (SELECT category, count(*) FILTER (WHERE outcome = 'Confirmed') AS c, count(*) FILTER (WHERE outcome = 'FalsePositive') AS f FROM fb GROUP BY 1), mp AS (SELECT * FROM (VALUES ('DrillingEfficiency', 70.0, true), ('Hydraulics', 0.3, true), ('WellControl', 5.0, false), ('Mechanical', 0.15, false), ('Formation', -0.15, false)) v(category, cur, up)),
+  ad AS (SELECT s.*, CAST(m.cur AS DOUBLE) AS cur, m.up, CASE WHEN c * 1.0 / (c + f) < 0.5 THEN -0.1 WHEN c * 1.0 / (c + f) > 0.9 AND c + f >= 20 THEN 0.05 END AS adj FROM st s JOIN mp m ON s.category = m.category WHERE c + f >= 10)
+  SELECT category, round(cur, 4) AS current_value, round(cur * (1 + CASE WHEN up THEN adj ELSE -adj END), 3) AS suggested, round(greatest(least((c + f - 10) / 40.0, 1), 0) * 0.5 + 0.5, 6) AS confidence FROM ad WHERE adj IS NOT NULL""")
+def threshold_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.createDataFrame([(c, float(v), up) for c, _, v, up in TUNED], "category string, cur double, up boolean")
+    s = _stats(feedback(spark, sf_dir)).withColumn("rated", F.col("confirmed") + F.col("false_positives")).filter("rated >= 10").join(F.broadcast(table), "category")
+    step = F.when(F.col("rate") < 0.5, -0.10).when((F.col("rate") > 0.9) & (F.col("rated") >= 20), 0.05)
+    s = s.withColumn("step", step).filter("step IS NOT NULL")
+    new = F.col("cur") * (1 + F.when(F.col("up"), F.col("step")).otherwise(-F.col("step")))
+    low, high = F.least(F.col("cur") * 0.75, F.col("cur") * 1.25), F.greatest(F.col("cur") * 0.75, F.col("cur") * 1.25)
+    return s.select("category", F.round("cur", 4).alias("current_value"), F.round(F.least(F.greatest(new, low), high), 3).alias("suggested"), r(physics.clamp((F.col("rated") - 10) / 40.0, 0, 1) * 0.5 + 0.5, "confidence"))
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT advisory, o_orderkey, category, outcome FROM (SELECT *, row_number() OVER (PARTITION BY advisory ORDER BY rated_at DESC, o_orderkey DESC) AS k FROM fb) a WHERE k = 1")
+def event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-latest by version, ties to the larger key; halves stand for a table and its changes."""
+    f = feedback(spark, sf_dir)
+    return stores.upsert(f.filter("o_orderkey % 2 = 0"), f.filter("o_orderkey % 2 = 1"), ["advisory"], "rated_at", "o_orderkey").select("advisory", "o_orderkey", "category", "outcome")
+
+
+@query(f"WITH {FEEDBACK_SQL}, mx AS (SELECT max(rated_at) AS now FROM fb) SELECT category, tier, count(*) AS n FROM (SELECT category, CASE WHEN rated_at < now - 86400 * 365 THEN 'delete' WHEN row_number() OVER (PARTITION BY category ORDER BY rated_at DESC, o_orderkey DESC) <= 168 THEN 'hot' ELSE 'cold' END AS tier FROM fb, mx) a GROUP BY 1, 2")
+def snapshot_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = feedback(spark, sf_dir)
+    now = f.agg(F.max("rated_at").alias("now"))
+    marked = stores.tiers(f.join(F.broadcast(now), how="cross"), "rated_at", F.col("now"), 168, 86400 * 365, ["category"])
+    return marked.groupBy("category", "tier").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FEEDBACK_SQL}, mx AS (SELECT max(rated_at) AS now FROM fb), kp AS (SELECT * FROM fb, mx WHERE rated_at >= now - 86400 * 365 AND NOT (outcome = 'FalsePositive' AND rated_at < now - 86400 * 90)) SELECT outcome, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (ORDER BY rated_at DESC, o_orderkey DESC) AS k FROM kp) a WHERE k <= 500 GROUP BY outcome")
+def event_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Age limits by outcome, then the newest 500: the cap is the feature, taken by a top-k."""
+    f = feedback(spark, sf_dir)
+    now = f.agg(F.max("rated_at").alias("now"))
+    kept = f.join(F.broadcast(now), how="cross").filter("rated_at >= now - 86400 * 365 AND NOT (outcome = 'FalsePositive' AND rated_at < now - 86400 * 90)")
+    return kept.orderBy(F.desc("rated_at"), F.desc("o_orderkey")).limit(500).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT category, o_orderkey FROM (SELECT category, o_orderkey, row_number() OVER (PARTITION BY category ORDER BY price DESC, o_orderkey) AS k FROM fb) a WHERE k <= 20")
+def recipes_per_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.newest_per_group(feedback(spark, sf_dir), ["category"], [F.desc("price"), F.col("o_orderkey")], 20).select("category", "o_orderkey")
+
+
+@query(f"WITH {FEEDBACK_SQL}, mx AS (SELECT max(rated_at) AS now FROM fb) SELECT o_orderkey, round(0.4 / (1 + (now - rated_at) / 3600.0) + 0.6 * CASE outcome WHEN 'Confirmed' THEN 1 WHEN 'Unclear' THEN 0.3 ELSE 0.1 END, 8) AS score FROM fb, mx WHERE category = 'Mechanical' ORDER BY score DESC, o_orderkey LIMIT 25")
+def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 best episodes by recency and outcome."""
+    f = feedback(spark, sf_dir)
+    now = f.agg(F.max("rated_at").alias("now"))
+    worth = F.when(F.col("outcome") == "Confirmed", 1.0).when(F.col("outcome") == "Unclear", 0.3).otherwise(0.1)
+    e = f.filter("category = 'Mechanical'").join(F.broadcast(now), how="cross").select("o_orderkey", F.round(0.4 / (1 + (F.col("now") - F.col("rated_at")) / 3600.0) + 0.6 * worth, 8).alias("score"))
+    return e.orderBy(F.desc("score"), "o_orderkey").limit(25)
+
+
+@query("""WITH t AS (SELECT unnest(['the', 'ing', 'ion', 'que']) AS term) SELECT doc_id, score FROM (SELECT d.doc_id, CAST(sum(2 * (lang = term)::INT + contains(lower(d.text), t.term)::INT + 2 * contains(d.source, '1')::INT) AS BIGINT) AS score FROM documents d JOIN t ON true GROUP BY d.doc_id) a ORDER BY score DESC, doc_id LIMIT 20""")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for four terms: 2 a keyword, 1 for content; no rows are multiplied."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.lower("text")
+    each = [2 * (F.col("lang") == t).cast("int") + text.contains(t).cast("int") + 2 * F.col("source").contains("1").cast("int") for t in ("the", "ing", "ion", "que")]
+    return d.select("doc_id", sum(each).cast("long").alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(MET + "SELECT seq, round(abs(bit_depth - 2000), 4) AS away FROM met WHERE category <> 'None' AND bit_depth BETWEEN 1500 AND 2500 ORDER BY abs(bit_depth - 2000), seq LIMIT 15")
+def depth_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir)).filter("category <> 'None' AND bit_depth BETWEEN 1500 AND 2500")
+    return m.select("seq", F.round(F.abs(F.col("bit_depth") - 2000), 4).alias("away")).orderBy("away", "seq").limit(15)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 40")
+def job_queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(40).select("o_orderkey")
+
+
+@query(MET + """SELECT well_id, ts - ts % 43200 AS shift, count(*) AS n, round(min(bit_depth), 4) AS depth_start, round(max(bit_depth), 4) AS depth_end, round(max(bit_depth) - min(bit_depth), 1) AS footage, round(avg(rop), 3) AS avg_rop, round(min(wob), 3) AS min_wob, round(max(wob), 3) AS max_wob, count(*) FILTER (WHERE category <> 'None') AS tickets, count(*) FILTER (WHERE category = 'WellControl') AS well_control FROM met GROUP BY 1, 2""")
+def shift_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    return m.groupBy("well_id", (F.col("ts") - F.col("ts") % 43200).alias("shift")).agg(
+        F.count("*").alias("n"), r(F.min("bit_depth"), "depth_start", 4), r(F.max("bit_depth"), "depth_end", 4), r(F.max("bit_depth") - F.min("bit_depth"), "footage", 1), r(F.avg("rop"), "avg_rop", 3), r(F.min("wob"), "min_wob", 3), r(F.max("wob"), "max_wob", 3),
+        F.count_if(F.col("category") != "None").alias("tickets"), F.count_if(F.col("category") == "WellControl").alias("well_control"),
+    )
+
+
+@query(MET + "SELECT seq, concat('MD5-', md5(concat_ws(':', CAST(ts AS VARCHAR), CAST(seq AS VARCHAR), rule))) AS signature FROM met WHERE severity = 'CRITICAL'")
+def critical_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir)).filter("severity = 'CRITICAL'")
+    return m.select("seq", reports.signature(F.col("ts"), F.col("seq"), F.col("rule")).alias("signature"))
+
+
+@query("""WITH t AS (SELECT event_id AS seq, concat('<think>guess', chr(10), 'x</think>Health Score: ', CAST(event_id % 120 AS VARCHAR), '/100', chr(10), 'Severity: ', CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' WHEN 2 THEN 'Critical' ELSE '-' END, chr(10), 'Diagnosis: ', event_type, chr(10), 'Action: reduce ', user_id) AS txt FROM events)
+  SELECT seq, CASE WHEN seq % 120 <= 10 THEN seq % 120 * 10.0 ELSE least(seq % 120, 100) * 1.0 END AS health, CASE seq % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Critical' ELSE 'Unknown' END AS severity, trim(regexp_extract(txt, 'Diagnosis: (.+)', 1)) AS diagnosis, trim(regexp_extract(txt, 'Action: (.+)', 1)) AS action FROM t""")
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("HIGH", "low", "Critical", "-")]), (F.col("event_id") % 4 + 1).cast("int"))
+    raw = F.concat(F.lit("<think>guess\nx</think>Health Score: "), (F.col("event_id") % 120).cast("string"), F.lit("/100\nSeverity: "), word, F.lit("\nDiagnosis: "), F.col("event_type"), F.lit("\nAction: reduce "), F.col("user_id").cast("string"))
+    t = e.select(F.col("event_id").alias("seq"), reports.without_thoughts(raw).alias("txt"))
+    x = F.col("txt")
+    return t.select("seq", reports.health_score(x).alias("health"), reports.severity_word(x).alias("severity"), reports.section(x, "diagnosis").alias("diagnosis"), reports.section(x, "action").alias("action"))
+
+
+@query("SELECT category, n, peak FROM (SELECT event_type AS category, count(*) AS n, CAST(coalesce(max(event_id), 0) AS BIGINT) AS peak FROM events GROUP BY 1) a")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"), F.coalesce(F.max("event_id"), F.lit(0)).alias("peak"))
+
+
+@query("""SELECT n_nationkey AS field, CAST(sum(n) AS BIGINT) AS samples, round(sum(v * n) / sum(n), 4) AS weighted, round(max(v), 4) AS best, min(s_suppkey) FILTER (WHERE v = mx) AS best_rig FROM (SELECT s.s_nationkey AS n_nationkey, s.s_suppkey, x.n, x.v, max(x.v) OVER (PARTITION BY s.s_nationkey) AS mx FROM supplier s JOIN (SELECT l_suppkey, count(*) AS n, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) x ON s.s_suppkey = x.l_suppkey) a GROUP BY 1""")
+def offset_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted means over neighbours, and the best neighbour (the first on ties)."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    x = read("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("v"))
+    j = read("supplier").select("s_suppkey", F.col("s_nationkey").alias("field")).join(x, "s_suppkey")
+    best = F.max_by("s_suppkey", F.struct("v", -F.col("s_suppkey")))
+    return j.groupBy("field").agg(F.sum("n").alias("samples"), r(F.sum(F.col("v") * F.col("n")) / F.sum("n"), "weighted", 4), r(F.max("v"), "best", 4), best.alias("best_rig"))
+
+
+@query(TEL + """, x AS (SELECT well_id, mud_weight_in FROM tel WHERE mud_weight_in > 0) SELECT well_id, round(median(mud_weight_in), 4) AS mud_weight, round(stddev_samp(mud_weight_in) / abs(avg(mud_weight_in)), 6) AS cv, count(*) >= 30 AND stddev_samp(mud_weight_in) / abs(avg(mud_weight_in)) <= 0.15 AND median(mud_weight_in) BETWEEN 5 AND 25 AS detected FROM x GROUP BY 1""")
+def mud_weight_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = telemetry(spark, sf_dir).filter("mud_weight_in > 0").groupBy("well_id").agg(F.median("mud_weight_in").alias("m"), physics.ratio(F.stddev_samp("mud_weight_in"), F.abs(F.avg("mud_weight_in"))).alias("cv"), F.count("*").alias("n"))
+    return g.select("well_id", r(F.col("m"), "mud_weight", 4), r(F.col("cv"), "cv"), ((F.col("n") >= 30) & (F.col("cv") <= 0.15) & F.col("m").between(5, 25)).alias("detected"))
+
+
+@query("""SELECT o_orderkey, round(0.3 * CASE o_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 1 END + 0.25 * least(abs(o_totalprice / 10000 - 25) / 25, 1) + 0.2 * (o_orderkey % 11) / 10.0 + 0.15 * 0.9 + 0.1 * CASE WHEN o_orderkey % 10 < 3 THEN 1 WHEN o_orderkey % 10 < 5 THEN 0.7 WHEN o_orderkey % 10 < 7 THEN 0.3 ELSE 0 END, 9) AS confidence FROM orders""")
+def recommendation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    w, s = F.col("o_custkey") % 4, F.col("o_orderkey") % 10
+    offset = F.when(w == 0, 0.0).when(w == 1, 0.4).when(w == 2, 0.7).otherwise(1.0)
+    gap = physics.clamp(F.abs(F.col("o_totalprice") / 10000 - 25) / 25, 0, 1)
+    nets = F.when(s < 3, 1.0).when(s < 5, 0.7).when(s < 7, 0.3).otherwise(0.0)
+    return o.select("o_orderkey", r(0.3 * offset + 0.25 * gap + 0.2 * (F.col("o_orderkey") % 11) / 10.0 + 0.15 * 0.9 + 0.1 * nets, "confidence", 9))
+
+
+@query("SELECT well, formation, category, n FROM (SELECT CAST(user_id % 8 AS BIGINT) AS well, CAST(event_id % 5 AS BIGINT) AS formation, event_type AS category, count(*) AS n FROM events GROUP BY ROLLUP (user_id % 8, event_id % 5, event_type)) a")
+def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by well, formation and category with all subtotals."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 8).alias("well"), (F.col("event_id") % 5).alias("formation"), F.col("event_type").alias("category"))
+    return e.rollup("well", "formation", "category").agg(F.count("*").alias("n"))
+
+

@@ -1 +1,166 @@
-"""Queries."""
+"""Windows, baselines and time aggregates over the telemetry view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mudline.functions.frames import last_rows, ordered
+from mudline.functions.physics import ratio
+from mudline.operators import baseline, windows
+from mudline.operators.metrics import METRICS_SQL, drilling_metrics
+from mudline.plans.physics_queries import MET, TEL, r
+from mudline.registry import query
+from mudline.telemetry import telemetry
+
+W10 = "(PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+W60 = "(PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+
+
+@query(TEL + f"""SELECT seq, round(cv10, 6) AS cv10, round(cv60, 6) AS cv60, cv60 <= 10 AND cv60 > 0.15 AS slipping, round(CASE WHEN cv60 > 0.25 THEN 1 WHEN cv60 > 0.15 THEN (cv60 - 0.15) / 0.1 ELSE 0 END, 5) AS severity FROM (
+  SELECT seq, CASE WHEN count(*) OVER w10 >= 10 THEN stddev_pop(torque) OVER w10 / avg(torque) OVER w10 ELSE 0 END AS cv10, CASE WHEN count(*) OVER w60 >= 5 THEN stddev_pop(torque) OVER w60 / avg(torque) OVER w60 ELSE 0 END AS cv60 FROM tel WINDOW w10 AS {W10}, w60 AS {W60}) a""")
+def torque_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir)
+    cv10, cv60 = windows.variation(F.col("torque"), last_rows(10), 10), windows.variation(F.col("torque"), last_rows(60), 5)
+    t = t.select("seq", cv10.alias("cv10"), cv60.alias("cv60"))
+    slipping, severity = windows.stick_slip(F.col("cv60"))
+    return t.select("seq", r(F.col("cv10"), "cv10"), r(F.col("cv60"), "cv60"), slipping.alias("slipping"), r(severity, "severity", 5))
+
+
+@query(TEL + f""", ix AS (SELECT *, CAST(row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS DOUBLE) AS i FROM tel)
+  SELECT seq, coalesce(n >= 10 AND mw > 0 AND mr > 0 AND tw / mw > 0.02 AND tr / mr < 0.01, false) AS founder, round(tw, 5) AS wob_trend, round(tr, 5) AS rop_trend FROM (
+  SELECT seq, count(*) OVER w AS n, avg(wob) OVER w AS mw, avg(rop) OVER w AS mr, CASE WHEN count(*) OVER w > 1 THEN regr_slope(wob, i) OVER w ELSE 0 END AS tw, CASE WHEN count(*) OVER w > 1 THEN regr_slope(rop, i) OVER w ELSE 0 END AS tr FROM ix WINDOW w AS {W10}) a""")
+def founder_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = windows.founder_flags(telemetry(spark, sf_dir))
+    return f.select("seq", "founder", r(windows.trend(F.col("wob"), F.col("idx"), last_rows(10)), "wob_trend", 5), r(windows.trend(F.col("rop"), F.col("idx"), last_rows(10)), "rop_trend", 5))
+
+
+@query(TEL + f""", ix AS (SELECT *, CAST(row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS DOUBLE) AS i FROM tel)
+  SELECT seq, round(CASE WHEN n < 3 OR n * vy < 1e-10 THEN 0 ELSE greatest(least(c * c / (vx * vy), 1), 0) END, 5) AS r2 FROM (
+  SELECT seq, count(*) OVER w AS n, var_pop(spp) OVER w AS vy, var_pop(i) OVER w AS vx, covar_pop(i, spp) OVER w AS c FROM ix WINDOW w AS {W60}) a""")
+def pressure_trend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = windows.with_index(telemetry(spark, sf_dir))
+    return t.select("seq", r(windows.r_squared(F.col("spp"), F.col("idx"), last_rows(60)), "r2", 5))
+
+
+@query(TEL + """, ix AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i, count(*) OVER (PARTITION BY well_id) AS n,
+  avg(torque) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 60 PRECEDING AND 31 PRECEDING) AS o, avg(torque) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS nw FROM tel),
+  fi AS (SELECT *, coalesce(i > 60 AND n >= 120 AND o > 0.1 AND abs(nw - o) > 0.15 * o, false) AS fires FROM ix),
+  se AS (SELECT *, coalesce(lead(fires, 30) OVER (PARTITION BY well_id ORDER BY ts, seq), false) AS st FROM fi),
+  sg AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS segment FROM se)
+  SELECT well_id, CAST(segment AS BIGINT) AS segment, count(*) AS n, round(avg(torque), 5) AS mean_torque, CAST(min(i) AS BIGINT) AS first_row FROM sg GROUP BY well_id, segment""")
+def formation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = windows.segments(telemetry(spark, sf_dir), "torque")
+    return s.groupBy("well_id", "segment").agg(F.count("*").alias("n"), r(F.avg("torque"), "mean_torque", 5), F.min("idx").cast("long").alias("first_row"))
+
+
+@query(TEL + """, hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts DESC, seq DESC) AS back FROM tel) a WHERE back <= 60),
+  lo AS (SELECT well_id, back, 'WOB' AS param, wob AS x, spp FROM hi UNION ALL SELECT well_id, back, 'RPM', rpm, spp FROM hi UNION ALL SELECT well_id, back, 'Torque', torque, spp FROM hi UNION ALL SELECT well_id, back, 'ROP', rop, spp FROM hi),
+  pr AS (SELECT a.well_id, a.param, g.lag, corr(a.x, b.spp) AS r, count(*) AS n FROM lo a JOIN (SELECT unnest(range(1, 21)) AS lag) g ON true JOIN hi b ON a.well_id = b.well_id AND b.back = a.back - g.lag GROUP BY 1, 2, 3)
+  SELECT well_id, param, CAST(lag AS INTEGER) AS lag, round(r, 5) AS r FROM (SELECT *, row_number() OVER (PARTITION BY well_id, param ORDER BY round(abs(r), 9) DESC, lag) AS k FROM pr) a WHERE k = 1""")
+def lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = Window.partitionBy("well_id").orderBy(F.desc("ts"), F.desc("seq"))
+    hist = telemetry(spark, sf_dir).withColumn("back", F.row_number().over(newest)).filter("back <= 60")
+    long = hist.select("well_id", "back", F.expr("stack(4, 'WOB', wob, 'RPM', rpm, 'Torque', torque, 'ROP', rop) AS (param, x)")).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    effect = hist.select("well_id", F.col("back").alias("effect_back"), "spp")
+    pairs = long.withColumn("effect_back", F.col("back") - F.col("lag")).join(effect, ["well_id", "effect_back"])
+    best = Window.partitionBy("well_id", "param").orderBy(F.desc(F.round(F.abs("r"), 9)), "lag")
+    return pairs.groupBy("well_id", "param", "lag").agg(windows.pearson(F.col("x"), F.col("spp"), 3).alias("r")).withColumn("k", F.row_number().over(best)).filter("k = 1").select("well_id", "param", "lag", r(F.col("r"), "r", 5))
+
+
+@query(TEL + "SELECT seq, round(lagged, 6) AS lagged_rop FROM (SELECT seq, lead(rop, 60) OVER (PARTITION BY well_id ORDER BY ts, seq) AS lagged FROM tel) a WHERE lagged IS NOT NULL")
+def rop_lag_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir)
+    return t.select("seq", F.lead("rop", 60).over(ordered()).alias("lagged")).filter("lagged IS NOT NULL").select("seq", r(F.col("lagged"), "lagged_rop"))
+
+
+CHANNELS_SQL = " UNION ALL ".join(f"SELECT well_id, ts, seq, '{c}' AS sensor, {c} AS v FROM tel" for c in ("spp", "torque", "rop", "gas_units"))
+BASE_SQL = f""", lg AS ({CHANNELS_SQL}),
+  ru AS (SELECT *, count(*) OVER w AS n, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM lg WINDOW w AS (PARTITION BY well_id, sensor ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+  ou AS (SELECT *, coalesce(n > 10 AND s > 0.001 AND abs(v - m) > 3 * s, false) AS outlier FROM ru),
+  ba AS (SELECT well_id, sensor, count(*) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std, min(v) AS lo, max(v) AS hi, sum(outlier::INT) AS outliers FROM ou GROUP BY 1, 2)"""
+
+
+@query(TEL + BASE_SQL + "SELECT well_id, sensor, n, round(mean, 5) AS mean, round(std, 5) AS std, round(lo, 5) AS low, round(hi, 5) AS high, CAST(outliers AS BIGINT) AS outliers, CASE WHEN n < 100 THEN 'learning' WHEN outliers > 0.05 * n THEN 'contaminated' ELSE 'locked' END AS status FROM ba")
+def sensor_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = baseline.baselines(baseline.long_form(telemetry(spark, sf_dir), ["spp", "torque", "rop", "gas_units"]))
+    return b.select("well_id", "sensor", "n", r(F.col("mean"), "mean", 5), r(F.col("std"), "std", 5), r(F.col("low"), "low", 5), r(F.col("high"), "high", 5), "outliers", "status")
+
+
+@query(TEL + BASE_SQL + """, ef AS (SELECT *, greatest(std, greatest(abs(mean) * 0.001, 0.001)) AS es FROM ba)
+  SELECT sensor, level, count(*) AS n FROM (SELECT l.sensor, CASE WHEN abs(l.v - e.mean) / e.es >= 5 THEN 'Critical' WHEN abs(l.v - e.mean) / e.es >= 1.6 THEN 'Warning' ELSE 'Normal' END AS level FROM lg l JOIN ef e ON l.well_id = e.well_id AND l.sensor = e.sensor) a GROUP BY 1, 2""")
+def baseline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = baseline.long_form(telemetry(spark, sf_dir), ["spp", "torque", "rop", "gas_units"])
+    checked = baseline.check(long, baseline.baselines(long), warning=1.6, critical=5.0, both_sides=True)
+    return checked.groupBy("sensor", "level").agg(F.count("*").alias("n"))
+
+
+@query(TEL + BASE_SQL + """, ov AS (SELECT well_id, max(CASE WHEN sensor = 'spp' THEN std END) AS spp_std, max(CASE WHEN sensor = 'torque' THEN std / mean END) AS cv FROM ba GROUP BY well_id)
+  SELECT well_id, round(greatest(2 * spp_std, 30), 5) AS spp_warning, round(greatest(3 * spp_std, 50), 5) AS spp_critical, round(greatest(2 * cv, 0.1), 6) AS torque_warning, round(greatest(3 * cv, 0.2), 6) AS torque_critical FROM ov""")
+def baseline_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = baseline.overrides(baseline.baselines(baseline.long_form(telemetry(spark, sf_dir), ["spp", "torque"])))
+    return o.select("well_id", r(F.col("spp_warning"), "spp_warning", 5), r(F.col("spp_critical"), "spp_critical", 5), r(F.col("torque_warning"), "torque_warning"), r(F.col("torque_critical"), "torque_critical"))
+
+
+@query(MET + """, ma AS (SELECT *, coalesce(lag(category <> 'None') OVER (PARTITION BY well_id ORDER BY ts, seq), false) AS was FROM met),
+  ru AS (SELECT *, sum((category <> 'None' AND NOT was)::INT) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM ma)
+  SELECT well_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(ts) AS began, max(ts) AS ended, round(min(bit_depth), 4) AS top, round(max(bit_depth), 4) AS base FROM ru WHERE category <> 'None' GROUP BY 1, 2 HAVING count(*) >= 3""")
+def alert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = windows.runs(drilling_metrics(telemetry(spark, sf_dir)), F.col("category") != "None")
+    return z.groupBy("well_id", "run").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"), r(F.min("bit_depth"), "top", 4), r(F.max("bit_depth"), "base", 4)).filter("n >= 3")
+
+
+HOUR_SQL = """, hx AS (SELECT *, ts - ts % 3600 AS hour, CAST(row_number() OVER (PARTITION BY well_id, ts - ts % 3600 ORDER BY ts, seq) AS DOUBLE) AS i FROM met),
+  ho AS (SELECT well_id, hour, count(*) AS n, avg(mse_efficiency) AS eff, min(mse_efficiency) AS eff_lo, max(mse_efficiency) AS eff_hi, avg(torque) AS torque, avg(spp) AS spp, avg(rop) AS rop, CASE WHEN count(*) > 1 THEN regr_slope(torque, i) ELSE 0 END AS torque_slope FROM hx GROUP BY 1, 2)"""
+
+
+@query(MET + HOUR_SQL + "SELECT well_id, hour, n, round(eff, 5) AS eff, round(eff_lo, 5) AS eff_lo, round(eff_hi, 5) AS eff_hi, round(torque, 5) AS torque, round(spp, 4) AS spp, round(rop, 5) AS rop, round(torque_slope, 4) AS torque_slope FROM ho")
+def hourly_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = baseline.hourly(drilling_metrics(telemetry(spark, sf_dir)))
+    return h.select("well_id", "hour", "n", *[r(F.col(c), c, d) for c, d in (("eff", 5), ("eff_lo", 5), ("eff_hi", 5), ("torque", 5), ("spp", 4), ("rop", 5), ("torque_slope", 4))])
+
+
+@query(MET + HOUR_SQL + """SELECT well_id, hour - hour % 86400 AS day, count(*) AS hours, round(avg(eff), 5) AS eff, round(avg(torque), 3) AS torque, round(min(eff_lo), 5) AS eff_lo, round(max(eff_hi), 5) AS eff_hi,
+  round(CASE WHEN count(*) > 1 THEN regr_slope(eff, i) ELSE 0 END, 4) AS eff_trend FROM (SELECT *, CAST(row_number() OVER (PARTITION BY well_id, hour - hour % 86400 ORDER BY hour) AS DOUBLE) AS i FROM ho) a GROUP BY 1, 2""")
+def daily_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = baseline.daily(baseline.hourly(drilling_metrics(telemetry(spark, sf_dir))))
+    return d.select("well_id", "day", "hours", *[r(F.col(c), c, n) for c, n in (("eff", 5), ("torque", 3), ("eff_lo", 5), ("eff_hi", 5), ("eff_trend", 4))])
+
+
+@query(MET + """, bu AS (SELECT well_id, ts - ts % 600 AS slot, count(*) AS n, avg(rop) AS rop, avg(wob) AS wob, avg((category <> 'None')::INT) AS rate, max(CASE category WHEN 'WellControl' THEN 4 WHEN 'Hydraulics' THEN 3 WHEN 'Mechanical' THEN 2 WHEN 'DrillingEfficiency' THEN 1 ELSE 0 END) AS worst FROM met GROUP BY 1, 2)
+  SELECT well_id, slot, n, round(rop, 5) AS rop, round(wob, 5) AS wob, round(rate, 6) AS anomaly_rate, list_element(['None', 'DrillingEfficiency', 'Mechanical', 'Hydraulics', 'WellControl'], worst + 1) AS worst FROM bu""")
+def ten_minute_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    order = ["None", "DrillingEfficiency", "Mechanical", "Hydraulics", "WellControl"]
+    rank = F.coalesce(*[F.when(F.col("category") == c, F.lit(i)) for i, c in enumerate(order)])
+    b = m.groupBy("well_id", (F.col("ts") - F.col("ts") % 600).alias("slot")).agg(F.count("*").alias("n"), r(F.avg("rop"), "rop", 5), r(F.avg("wob"), "wob", 5), r(F.avg((F.col("category") != "None").cast("int")), "anomaly_rate"), F.max(rank).alias("worst"))
+    return b.withColumn("worst", F.element_at(F.array(*[F.lit(c) for c in order]), F.col("worst") + 1))
+
+
+@query(TEL + """, m AS (SELECT well_id, torque, avg(torque) OVER (PARTITION BY well_id) AS mean, lag(torque) OVER (PARTITION BY well_id ORDER BY ts, seq) AS before, lag(torque, 2) OVER (PARTITION BY well_id ORDER BY ts, seq) AS before2 FROM tel)
+  SELECT well_id, count(*) AS n, round(stddev_pop(torque) / avg(torque), 6) AS cv, CAST(sum((before IS NOT NULL AND (torque >= mean) <> (before >= mean))::INT) AS BIGINT) AS crossings, round(sum((before IS NOT NULL AND (torque >= mean) <> (before >= mean))::INT) / (2.0 * (count(*) - 1)), 6) AS hz, round((max(torque) - min(torque)) / avg(torque), 6) AS amplitude,
+  round(kurtosis_pop(torque), 5) AS kurt, round(avg(torque - 2 * before + before2), 6) AS acceleration FROM m GROUP BY well_id""")
+def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir)
+    m = t.select("well_id", "torque", F.avg("torque").over(Window.partitionBy("well_id")).alias("mean"), F.lag("torque").over(ordered()).alias("before"), F.lag("torque", 2).over(ordered()).alias("before2"))
+    cross = F.sum(F.coalesce(((F.col("torque") >= F.col("mean")) != (F.col("before") >= F.col("mean"))).cast("int"), F.lit(0)))
+    return m.groupBy("well_id").agg(
+        F.count("*").alias("n"), r(ratio(F.stddev_pop("torque"), F.avg("torque")), "cv"), cross.alias("crossings"), r(ratio(cross, 2.0 * (F.count("*") - 1)), "hz"), r(ratio(F.max("torque") - F.min("torque"), F.avg("torque")), "amplitude"),
+        r(F.kurtosis("torque"), "kurt", 5), r(F.avg(F.col("torque") - 2 * F.col("before") + F.col("before2")), "acceleration"),
+    )
+
+
+@query(MET + f"""SELECT seq, round(avg(pit_rate) OVER w5, 4) AS pit5, round(avg(flow_balance) OVER w10, 5) AS flow10, round(CASE WHEN count(*) OVER w10 < 5 THEN 0.3 ELSE avg((mse_efficiency < 70)::INT) OVER w10 END, 6) AS consistency, CAST(sum((category <> 'None')::INT) OVER w10 AS BIGINT) AS recent FROM met
+  WINDOW w5 AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w10 AS {W10}""")
+def verification_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, w5, w10 = drilling_metrics(telemetry(spark, sf_dir)), last_rows(5), last_rows(10)
+    steady = F.when(F.count("*").over(w10) < 5, 0.3).otherwise(F.avg((F.col("mse_efficiency") < 70).cast("int")).over(w10))
+    return m.select("seq", r(F.avg("pit_rate").over(w5), "pit5", 4), r(F.avg("flow_balance").over(w10), "flow10", 5), r(steady, "consistency"), F.sum((F.col("category") != "None").cast("int")).over(w10).alias("recent"))
+
+
+@query(f"WITH RECURSIVE {TEL[5:].strip()}, {METRICS_SQL}" + """, ix AS (SELECT well_id, seq, spp, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM met), few AS (SELECT * FROM ix WHERE i <= 200),
+  em AS (SELECT well_id, seq, i, spp, spp AS ema FROM few WHERE i = 1 UNION ALL SELECT f.well_id, f.seq, f.i, f.spp, CASE WHEN f.spp > 0 THEN e.ema + CASE WHEN f.i <= 10 THEN 0.5 ELSE 0.1 END * (f.spp - e.ema) ELSE e.ema END FROM em e JOIN few f ON f.well_id = e.well_id AND f.i = e.i + 1)
+  SELECT seq, round(ema, 4) AS ema, round(CASE WHEN i > 5 THEN spp - ema ELSE 0 END, 4) AS delta FROM em""")
+def pressure_ema_first_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of each well's first 200 packets: the learning phase of the moving baseline."""
+    return baseline.moving_baseline(telemetry(spark, sf_dir), "spp").filter("idx <= 200").select("seq", r(F.col("ema"), "ema", 4), r(F.when(F.col("idx") > 5, F.col("spp") - F.col("ema")).otherwise(0.0), "delta", 4))
