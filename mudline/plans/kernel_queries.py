@@ -21,7 +21,7 @@ def depth_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply(t, kernels.DepthContinuity()).select("seq", "well_id", "verdict")
 
 
-@query(TEL + """, pa AS (SELECT *, count(*) OVER w AS n, avg(wob) OVER w AS mw, avg(rpm) OVER w AS mr, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts RANGE BETWEEN 30 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)),
+@query(TEL + """, pa AS (SELECT a.well_id, a.seq, a.ts, a.wob, a.rpm, row_number() OVER (PARTITION BY a.well_id ORDER BY a.ts, a.seq) AS i, count(b.seq) AS n, avg(b.wob) AS mw, avg(b.rpm) AS mr FROM tel a LEFT JOIN tel b ON a.well_id = b.well_id AND b.ts BETWEEN a.ts - 30 AND a.ts AND (b.ts < a.ts OR b.seq < a.seq) GROUP BY 1, 2, 3, 4, 5),
   ch AS (SELECT *, CASE WHEN i = 1 OR (n > 0 AND (abs(wob - mw) > 2 OR abs(rpm - mr) > 10)) THEN ts END AS c FROM pa)
   SELECT seq, ts - last_value(c IGNORE NULLS) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS since_change FROM ch""")
 def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
