@@ -83,7 +83,7 @@ class Models:
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -108,7 +108,7 @@ class Models:
                 before = hashes(sym, o - 1)[at[todo] - 1]
                 known, place = lookup(self.contexts[o - 2], before)
                 out[todo[known]] += self.backoff[o - 2][place[known]]
-        out[todo] += np.float32(self.floor)
+        out[todo] += self.floor
         sizes = np.diff(bounds) - self.order + 1
         return np.add.reduceat(out, np.cumsum(sizes) - sizes, axis=0, dtype=np.float64) if len(sizes) else np.zeros((0, len(self.languages))), sizes
 
@@ -162,7 +162,9 @@ def fit(words: list[bytes], language: np.ndarray, counts: np.ndarray, languages:
         if o > 1:
             contexts.append(ctx)
             backoff.append(np.log(left).astype(np.float32))
-    return Models(languages, order, grams, logp, contexts, backoff, float(np.log(uniform)))
+        else:
+            floor = np.log(left[0] * uniform).astype(np.float32)
+    return Models(languages, order, grams, logp, contexts, backoff, floor)
 
 
 def text_scores(models: Models, cache: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
