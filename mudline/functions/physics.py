@@ -15,7 +15,8 @@ from mudline.config import DEFAULT, Config
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
+    """``x`` between two limits; NULL stays NULL (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
 
 
 def ratio(a: Column, b: Column) -> Column:

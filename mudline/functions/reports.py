@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mudline.functions.physics import clamp
+
 
 def without_thoughts(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
@@ -13,7 +15,7 @@ def without_thoughts(text: Column) -> Column:
 def health_score(text: Column) -> Column:
     """The number after "health score"; values up to 10 count tenfold, then 0 to 100."""
     x = F.regexp_extract(F.lower(text), r"health score[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    return F.least(F.greatest(F.when(x <= 10, x * 10).otherwise(x), F.lit(0.0)), F.lit(100.0))
+    return clamp(F.when(x <= 10, x * 10).otherwise(x), 0, 100)
 
 
 def severity_word(text: Column) -> Column:

@@ -1,0 +1 @@
+"""Readers that give packets in the schema of ``mudline.sources.packets``."""

@@ -1,0 +1 @@
+"""The same operators over streams."""
