@@ -6,8 +6,10 @@ own repetition cannot hide what a dictionary explains) with each dictionary.
 The difference of the compressed sizes over the text's bytes is calibrated to a
 probability by logistic regression on labelled texts that no dictionary saw.
 
-Labelled texts are a sample of about ``SAMPLE`` rows a class, by a hash of the
-id; half train the dictionaries, half calibrate.  All texts are scored whole.
+Labelled texts are a sample of about ``2 * SAMPLE`` rows a class, by a hash of
+the id, in two halves: each half is measured with dictionaries of the other, so
+the calibration sees honest differences, and the final dictionaries take both.
+All texts are scored whole.
 
 Defined results: null and empty texts get the calibrated score of a difference
 of 0; repeated rows get repeated scores; a document labelled more than once has
@@ -94,18 +96,27 @@ def dictionary(texts: list[bytes]) -> bytes:
 
 
 def fit(texts: list[str], labels: list[int], halves: list[int], counts: dict[int, int]) -> Classifier | None:
-    """From sampled texts: half 0 trains the dictionaries, half 1 calibrates; classes weigh as they do in all rows."""
-    train = {q: [t.encode() for t, y, h in zip(texts, labels, halves, strict=True) if y == q and h == 0 and t] for q in (0, 1)}
-    held = [(t, y) for t, y, h in zip(texts, labels, halves, strict=True) if h == 1 and t]
-    if not train[0] or not train[1] or len({y for _, y in held}) < 2:
+    """From sampled texts: dictionaries of each half give the other half's differences, which calibrate; the final dictionaries take both halves.
+
+    Classes weigh as they do in all labelled rows.
+    """
+    rows = [(t.encode(), y, h) for t, y, h in zip(texts, labels, halves, strict=True) if t]
+    x, y = np.zeros(len(rows)), np.array([float(q) for _, q, _ in rows])
+    seen = np.zeros(len(rows), bool)
+    for half in (0, 1):
+        train = {q: [t for t, c, h in rows if c == q and h == half] for q in (0, 1)}
+        if train[0] and train[1]:
+            good, bad = Classifier(dictionary(train[1]), dictionary(train[0]), 0.0, 0.0).compressors()
+            for i, (t, _, h) in enumerate(rows):
+                if h != half:
+                    x[i], seen[i] = difference(t.decode(), good, bad), True
+    if len(set(y[seen])) < 2:
         return None
-    made = Classifier(dictionary(train[1]), dictionary(train[0]), 0.0, 0.0)
-    good, bad = made.compressors()
-    x, y = np.array([difference(t, good, bad) for t, _ in held]), np.array([float(q) for _, q in held])
+    x, y = x[seen], y[seen]
     share = {q: counts[q] / max(1, int((y == q).sum())) for q in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    made.slope, made.intercept = logistic(x, y, weight * len(y) / weight.sum())
-    return made
+    slope, intercept = logistic(x, y, weight * len(y) / weight.sum())
+    return Classifier(dictionary([t for t, c, _ in rows if c == 1]), dictionary([t for t, c, _ in rows if c == 0]), slope, intercept)
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier | None:
