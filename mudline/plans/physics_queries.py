@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.functions import anomalies, physics, states, voting
-from mudline.functions.frames import ordered
+from mudline.functions import anomalies, physics, states, tickets, voting
+from mudline.functions.frames import last_rows, ordered, so_far
 from mudline.operators import quality
 from mudline.operators.metrics import METRICS_SQL, STATE_SQL, drilling_metrics, with_state
 from mudline.registry import query
@@ -196,3 +196,50 @@ def severity_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.when(F.col("category") == "None", "Low").when(F.col("severity") == "CRITICAL", "Critical").when(F.col("severity") == "HIGH", "High").otherwise("Medium")
     m = m.withColumn("base", base)
     return m.select("seq", "base", anomalies.aci_adjusted(F.col("base"), F.col("category"), F.col("seq") % 8).alias("by_intervals"), anomalies.net_adjusted(F.col("base"), F.col("category"), F.col("k") / 100.0).alias("by_nets"))
+
+
+PARTS = {"category": "category", "flow_balance": "flow_balance", "pit_rate": "pit_rate", "ecd_margin": "ecd_margin", "spp_delta": "spp_delta", "torque_delta": "torque_delta", "efficiency": "mse_efficiency", "gas": "gas_units", "h2s": "h2s", "d_exponent": "d_exponent"}
+
+
+@query(MET + """SELECT seq, CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 10 OR abs(pit_rate) > 15 THEN 'Critical' ELSE 'High' END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.1 OR abs(spp_delta) > 200 THEN 'High' ELSE 'Medium' END
+  WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 THEN 'High' ELSE 'Medium' END WHEN 'DrillingEfficiency' THEN CASE WHEN mse_efficiency < 50 THEN 'Medium' ELSE 'Low' END END AS base,
+  CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 10 OR abs(pit_rate) > 15 THEN 'Intervention' ELSE 'RiskWarning' END WHEN 'Hydraulics' THEN 'RiskWarning' WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 THEN 'Intervention' ELSE 'RiskWarning' END ELSE 'Optimization' END AS kind,
+  CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 5 THEN 'flow_balance' ELSE 'pit_rate' END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.3 THEN 'ecd_margin' ELSE 'spp_delta' END WHEN 'Mechanical' THEN 'torque_delta' ELSE 'mse_efficiency' END AS parameter,
+  round(CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 5 THEN flow_balance ELSE pit_rate END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.3 THEN ecd_margin ELSE spp_delta END WHEN 'Mechanical' THEN torque_delta ELSE mse_efficiency END, 5) AS value,
+  CAST((abs(flow_balance) > 5)::INT + (abs(pit_rate) > 5)::INT + (gas_units > 100)::INT + (h2s > 10)::INT + (ecd_margin < 0.3)::INT + (abs(spp_delta) > 100)::INT + (torque_delta * 100 > 15)::INT + (mse_efficiency < 70)::INT AS BIGINT) AS n_breaches,
+  CASE category WHEN 'WellControl' THEN CASE WHEN flow_balance > 10 THEN 'Kick' WHEN flow_balance > 5 THEN 'Kick Warning' WHEN flow_balance < -10 THEN 'Lost Circulation' WHEN flow_balance < -5 THEN 'Loss Warning' WHEN gas_units > 250 OR h2s > 20 THEN 'Gas Critical' WHEN gas_units > 100 THEN 'Gas Warning' WHEN abs(pit_rate) > 15 THEN 'Pit Rate Critical' ELSE 'Well Control Warning' END
+  WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.1 THEN 'ECD Critical' WHEN ecd_margin < 0.3 THEN 'ECD Warning' WHEN abs(spp_delta) > 200 THEN 'SPP Critical' ELSE 'SPP Warning' END
+  WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 AND spp_delta > 100 THEN 'Pack-off' WHEN torque_delta > 0.15 AND spp_delta > 0 THEN 'Pack-off Warning' WHEN torque_delta > 0.15 THEN 'Stick-slip' ELSE 'Founder' END ELSE CASE WHEN mse_efficiency < 50 THEN 'MSE Inefficiency' ELSE 'MSE Warning' END END AS pattern FROM met WHERE category <> 'None'""")
+def ticket_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir)).filter("category <> 'None'")
+    p = {k: F.col(v) for k, v in PARTS.items()}
+    base, kind = tickets.base_severity(p)
+    m = m.withColumn("t", tickets.trigger(p))
+    return m.select("seq", base.alias("base"), kind.alias("kind"), "t.parameter", r(F.col("t.value"), "value", 5), F.size(tickets.breaches(p)).cast("long").alias("n_breaches"), tickets.pattern(p).alias("pattern"))
+
+
+@query(MET + """, av AS (SELECT *, avg(flow_balance) OVER w5 AS flow5, avg(pit_rate) OVER w5 AS pit5, avg(ecd_margin) OVER w10 AS ecd10, avg(spp_delta) OVER w10 AS spp10, avg(torque_delta) OVER w10 AS torque10, count(*) OVER wa AS n, sum((category <> 'None')::INT) OVER w10 >= 3 AS sustained, CASE WHEN k % 5 < 4 THEN k / 100.0 END AS net, (k % 10) / 10.0 AS cons FROM met
+  WINDOW w5 AS (PARTITION BY well_id ORDER BY ts, seq ROWS 4 PRECEDING), w10 AS (PARTITION BY well_id ORDER BY ts, seq ROWS 9 PRECEDING), wa AS (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+  ca AS (SELECT seq, net, CASE category
+  WHEN 'WellControl' THEN CASE WHEN abs(flow5) > 15 OR abs(pit5) > 10 THEN CASE WHEN abs(flow5) > 20 OR abs(pit5) > 15 THEN 'C:Critical' ELSE 'C:High' END WHEN (sustained OR n >= 3) AND (abs(flow5) > 5 OR abs(pit5) > 3) THEN 'C:High' WHEN NOT (sustained OR n >= 3) AND abs(flow5) < 5 THEN 'R:Healthy' ELSE 'U:Medium' END
+  WHEN 'Hydraulics' THEN CASE WHEN ecd10 < 0.1 THEN 'C:Critical' WHEN abs(spp10) > 150 AND sustained THEN 'C:High' WHEN ecd10 < 0.3 THEN 'C:Medium' WHEN abs(spp10) < 50 AND ecd10 > 0.3 THEN 'R:Healthy' ELSE 'U:Low' END
+  WHEN 'Mechanical' THEN CASE WHEN rule = 'founder' THEN CASE WHEN k >= 70 AND NOT (k % 3 = 0) THEN 'C:High' WHEN k >= 30 THEN 'C:Medium' ELSE 'C:Low' END WHEN k % 4 = 0 AND cons > 0.5 THEN 'C:Medium' WHEN (torque_delta > 0.25 AND spp_delta > 100) OR (torque10 > 0.25 AND sustained) THEN CASE WHEN k % 3 = 0 THEN 'C:Medium' ELSE 'C:High' END WHEN torque10 > 0.15 THEN 'U:Medium' ELSE 'R:Healthy' END
+  ELSE CASE WHEN mse_efficiency < 50 AND cons > 0.5 THEN 'C:Medium' WHEN mse_efficiency < 70 AND sustained THEN 'C:Low' WHEN mse_efficiency >= 70 THEN 'R:Healthy' ELSE 'U:Low' END END AS v FROM av WHERE category <> 'None')
+  SELECT seq, CASE WHEN v LIKE 'C:%' THEN 'Confirmed' WHEN v LIKE 'R:%' THEN 'Rejected' WHEN net >= 0.65 THEN 'Confirmed' WHEN net < 0.35 THEN 'Rejected' ELSE 'Uncertain' END AS status, CASE WHEN v LIKE 'U:%' AND net < 0.35 THEN 'Healthy' ELSE substr(v, 3) END AS severity FROM ca""")
+def ticket_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, w5, w10 = drilling_metrics(telemetry(spark, sf_dir)), last_rows(5), last_rows(10)
+    k = F.col("k")
+    m = m.withColumns({
+        "flow5": F.avg("flow_balance").over(w5), "pit5": F.avg("pit_rate").over(w5), "ecd10": F.avg("ecd_margin").over(w10), "spp10": F.avg("spp_delta").over(w10), "torque10": F.avg("torque_delta").over(w10), "n": F.count("*").over(so_far()),
+        "sustained": F.sum((F.col("category") != "None").cast("int")).over(w10) >= 3, "consistency": (k % 10) / 10.0, "founder": F.col("rule") == "founder", "founder_severity": k / 100.0, "stick_slip": k % 4 == 0, "packoff": (F.col("torque_delta") > 0.25) & (F.col("spp_delta") > 100),
+        "near_boundary": k % 3 == 0, "net_score": F.when(k % 5 < 4, k / 100.0), "efficiency": F.col("mse_efficiency"), "dxc_trend": F.lit(0.0),
+    }).filter("category <> 'None'")
+    names = ("category", "flow5", "pit5", "ecd10", "spp10", "torque10", "n", "sustained", "consistency", "efficiency", "dxc_trend", "founder", "founder_severity", "stick_slip", "packoff", "near_boundary", "net_score")
+    return m.withColumn("v", tickets.verify({c: F.col(c) for c in names})).select("seq", "v.status", "v.severity")
+
+
+@query(MET + """, sp AS (SELECT *, CASE WHEN hardness < 3.5 THEN 5 WHEN hardness < 6 THEN 15 ELSE 20 END AS lo, CASE WHEN hardness < 3.5 THEN 10 WHEN hardness < 6 THEN 25 ELSE 30 END AS best, CASE WHEN hardness < 3.5 THEN 15 WHEN hardness < 6 THEN 35 ELSE 40 END AS hi, k / 3.0 AS offb FROM met),
+  tg AS (SELECT *, CASE WHEN wob < lo THEN lo WHEN wob > hi THEN hi WHEN offb >= lo AND offb <= hi AND offb > 0 THEN offb ELSE best END AS target FROM sp) SELECT seq, round(CASE WHEN abs(target - wob) >= 0.05 * (hi - lo) THEN target END, 5) AS new_wob FROM tg""")
+def weight_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("d", tickets.default_parameters(F.col("hardness")))
+    return m.select("seq", r(tickets.recommend(F.col("wob"), F.col("d")["wob"], F.col("k") / 3.0), "new_wob", 5))
