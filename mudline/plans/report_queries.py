@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mudline.config import DEFAULT
 from mudline.functions import physics, reports
-from mudline.operators import ml, quality, stores
+from mudline.operators import knowledge, ml, quality, stores
 from mudline.operators.metrics import drilling_metrics
 from mudline.plans.join_queries import FEEDBACK_SQL, feedback
 from mudline.plans.physics_queries import MET, TEL, r
@@ -223,3 +223,54 @@ def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.rollup("well", "formation", "category").agg(F.count("*").alias("n"))
 
 
+
+
+SNAP_SQL = """sn AS (SELECT n.n_name AS field, 'W' || CAST(l.l_suppkey AS VARCHAR) AS well, 'Layer ' || CAST(l.l_partkey % 12 AS VARCHAR) AS formation, l_extendedprice / 1000 AS rop, l_quantity * 1000 AS mse, l_quantity AS wob, l_tax * 1000 AS rpm, CAST(l_orderkey AS DOUBLE) + l_partkey / 10000.0 AS depth, CASE l_linenumber % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' ELSE 'Insufficient' END AS confidence, l_linenumber AS samples
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey),
+  pw AS (SELECT field, well, formation, avg(rop) AS avg_rop, max(rop) AS best_rop, avg(mse) AS avg_mse, min(depth) AS d0, max(depth) AS d1, avg(CASE confidence WHEN 'High' THEN 1.0 WHEN 'Medium' THEN 0.7 WHEN 'Low' THEN 0.4 ELSE 0.1 END) AS conf, sum(samples) AS samples, count(*) AS snapshots FROM sn GROUP BY 1, 2, 3)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of wells (suppliers) in formations (parts), from line items."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    rigs = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("field"))
+    return read("lineitem").join(rigs, "l_suppkey").selectExpr(
+        "field", "'W' || CAST(l_suppkey AS STRING) AS well", "'Layer ' || CAST(l_partkey % 12 AS STRING) AS formation", "l_extendedprice / 1000 AS rop", "l_quantity * 1000 AS mse", "l_quantity AS wob", "l_tax * 1000 AS rpm", "CAST(l_orderkey AS DOUBLE) + l_partkey / 10000D AS depth",
+        "CASE l_linenumber % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' ELSE 'Insufficient' END AS confidence", "l_linenumber AS samples",
+    )
+
+
+@query(f"WITH {SNAP_SQL} SELECT field, well, formation, round(avg_rop, 7) AS avg_rop, round(best_rop, 6) AS best_rop, round(avg_mse, 5) AS avg_mse, round(d0, 4) AS depth_from, round(d1, 4) AS depth_to, round(conf, 5) AS confidence, CAST(samples AS BIGINT) AS samples, snapshots FROM pw")
+def post_well_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = knowledge.post_well(snapshots(spark, sf_dir))
+    return p.select("field", "well", "formation", r(F.col("avg_rop"), "avg_rop", 7), r(F.col("best_rop"), "best_rop", 6), r(F.col("avg_mse"), "avg_mse", 5), r(F.col("depth_from"), "depth_from", 4), r(F.col("depth_to"), "depth_to", 4), r(F.col("avg_confidence"), "confidence", 5), "samples", "snapshots")
+
+
+@query(f"WITH {SNAP_SQL}, fo AS (SELECT DISTINCT formation, replace(formation, ' ', '_') AS stem FROM sn), me AS (SELECT f.formation, p.* EXCLUDE (formation) FROM fo f JOIN pw p ON starts_with(replace(p.formation, ' ', '_'), f.stem)) SELECT formation, count(DISTINCT well) AS wells, round(sum(avg_rop * snapshots) / sum(snapshots), 4) AS avg_rop, round(max(best_rop), 6) AS best_rop, round(sum(avg_mse * snapshots) / sum(snapshots), 2) AS avg_mse FROM me GROUP BY 1")
+def offset_by_name_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshots(spark, sf_dir)
+    o = knowledge.offset_performance(s.select("formation"), knowledge.post_well(s))
+    return o.select("formation", F.size("wells").cast("long").alias("wells"), r(F.col("avg_rop"), "avg_rop", 4), r(F.col("best_rop"), "best_rop", 6), r(F.col("avg_mse"), "avg_mse", 2))
+
+
+@query(f"WITH {SNAP_SQL}, ge AS (SELECT formation, CAST(substr(formation, 7) AS DOUBLE) AS hardness FROM sn GROUP BY formation), ofs AS (SELECT f.formation, sum(p.avg_rop * p.snapshots) / sum(p.snapshots) AS rop FROM ge f JOIN pw p ON starts_with(replace(p.formation, ' ', '_'), replace(f.formation, ' ', '_')) GROUP BY 1) SELECT g.formation, CASE WHEN hardness % 3 = 0 THEN 111.0 ELSE hardness * 100 END AS top, CASE WHEN hardness < 3.5 THEN 10.0 WHEN hardness < 6 THEN 25.0 ELSE 30.0 END AS best_wob, round(o.rop, 4) AS offset_rop FROM ge g LEFT JOIN ofs o ON g.formation = o.formation")
+def assembled_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshots(spark, sf_dir)
+    geology = s.select("formation").distinct().selectExpr("formation", "CAST(substr(formation, 7) AS DOUBLE) AS hardness").selectExpr("*", "hardness * 100 AS top", "hardness * 100 + 100 AS base")
+    plan = geology.filter("hardness % 3 = 0").selectExpr("formation", "111.0D AS top", "CAST(NULL AS DOUBLE) AS base").withColumn("parameters", F.lit(None).cast("struct<wob: struct<min: double, optimal: double, max: double>, rpm: struct<min: double, optimal: double, max: double>, flow: struct<min: double, optimal: double, max: double>, mud_weight: double>"))
+    a = knowledge.assemble(geology, plan, knowledge.offset_performance(geology, knowledge.post_well(s)))
+    return a.select("formation", "top", F.col("parameters.wob.optimal").alias("best_wob"), r(F.col("offset_rop"), "offset_rop", 4))
+
+
+@query(f"WITH {FEEDBACK_SQL}, fi AS (SELECT advisory, arg_min(outcome, rated_at * 100000 + o_orderkey) AS outcome FROM fb GROUP BY 1) SELECT CAST(user_id % 8 AS BIGINT) AS well, count(*) AS advisories, count(*) FILTER (WHERE outcome = 'Confirmed') AS confirmed, count(*) FILTER (WHERE outcome = 'FalsePositive') AS false_positives, round(count(*) FILTER (WHERE outcome = 'Confirmed') * 1.0 / nullif(count(*) FILTER (WHERE outcome IN ('Confirmed', 'FalsePositive')), 0), 6) AS rate FROM events e LEFT JOIN fi f ON e.event_id = f.advisory GROUP BY 1")
+def well_debrief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ticket"), (F.col("user_id") % 8).alias("well"))
+    first = feedback(spark, sf_dir).groupBy(F.col("advisory").alias("ticket")).agg(F.min_by("outcome", F.struct("rated_at", "o_orderkey")).alias("outcome"))
+    d = knowledge.debrief(t, first)
+    return d.select("well", "advisories", "confirmed", "false_positives", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT count(*) FILTER (WHERE last_seen >= 1706659000) AS online, count(*) AS total, max(last_seen) AS newest FROM (SELECT user_id, CAST(floor(max(epoch(ts))) AS BIGINT) AS last_seen FROM events GROUP BY 1) a")
+def fleet_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("rig"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return knowledge.fleet_status(e, 1706659300, 300)
