@@ -240,10 +240,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {SNAP_SQL} SELECT field, well, formation, round(avg_rop, 7) AS avg_rop, round(best_rop, 6) AS best_rop, round(avg_mse, 5) AS avg_mse, round(d0, 4) AS depth_from, round(d1, 4) AS depth_to, round(conf, 5) AS confidence, CAST(samples AS BIGINT) AS samples, snapshots FROM pw")
+@query(f"WITH {SNAP_SQL} SELECT field, well, formation, round(avg_rop * snapshots, 5) AS rop_sum, round(best_rop, 6) AS best_rop, round(avg_mse * snapshots, 3) AS mse_sum, round(d0, 4) AS depth_from, round(d1, 4) AS depth_to, round(conf * snapshots, 3) AS confidence_sum, CAST(samples AS BIGINT) AS samples, snapshots FROM pw")
 def post_well_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = knowledge.post_well(snapshots(spark, sf_dir))
-    return p.select("field", "well", "formation", r(F.col("avg_rop"), "avg_rop", 7), r(F.col("best_rop"), "best_rop", 6), r(F.col("avg_mse"), "avg_mse", 5), r(F.col("depth_from"), "depth_from", 4), r(F.col("depth_to"), "depth_to", 4), r(F.col("avg_confidence"), "confidence", 5), "samples", "snapshots")
+    return p.select("field", "well", "formation", r(F.col("avg_rop") * F.col("snapshots"), "rop_sum", 5), r(F.col("best_rop"), "best_rop", 6), r(F.col("avg_mse") * F.col("snapshots"), "mse_sum", 3), r(F.col("depth_from"), "depth_from", 4), r(F.col("depth_to"), "depth_to", 4), r(F.col("avg_confidence") * F.col("snapshots"), "confidence_sum", 3), "samples", "snapshots")
 
 
 @query(f"WITH {SNAP_SQL}, fo AS (SELECT DISTINCT formation, replace(formation, ' ', '_') AS stem FROM sn), me AS (SELECT f.formation, p.* EXCLUDE (formation) FROM fo f JOIN pw p ON starts_with(replace(p.formation, ' ', '_'), f.stem)) SELECT formation, count(DISTINCT well) AS wells, round(sum(avg_rop * snapshots) / sum(snapshots), 4) AS avg_rop, round(max(best_rop), 6) AS best_rop, round(sum(avg_mse * snapshots) / sum(snapshots), 2) AS avg_mse FROM me GROUP BY 1")
