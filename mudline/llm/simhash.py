@@ -13,7 +13,7 @@ distinct ones:
 3. A partition with threshold t is probed with its value under every mask that
    leaves out t bits.  Fingerprints that share mask and value are candidates and
    are verified on all 64 bits.
-4. A bucket over ``BUCKET`` fingerprints is not compared pair by pair: its
+4. A bucket over its limit of fingerprints is not compared pair by pair: its
    members agree under the mask, so the bits left are split again and each
    member probes the finer masks, until buckets are small.  This is exact: with
    9 bits left a bucket holds 512 distinct fingerprints at most.
@@ -47,26 +47,49 @@ DISTANCE = 2
 PARTS = 3
 BUCKET = 512
 SEED = 42
+#: Near copies for deduplication: shingles of five words, similar to 0.8 or more.
+STAGE_SHINGLE = 5
+LONG_WORD = 5
+STAGE_DISTANCE = 8
+STAGE_PARTS = 5
+STAGE_BUCKET = 2048
+STAGE_CHECK = 24
+
+
+def majority(hashes: bytes, width: int) -> bytes:
+    """Bits set in over half of the hashes of ``width`` bytes each."""
+    raw = np.frombuffer(hashes, np.uint8).reshape(-1, width)
+    ones = np.zeros(8 * width, np.int64)
+    for part in range(0, len(raw), 1 << 16):
+        ones += np.unpackbits(raw[part : part + (1 << 16)], axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(raw)).tobytes()
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
-    """Eight bytes, highest bit first."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(8)
+def shingles(words: list[bytes], n: int) -> list[bytes]:
+    """Runs of ``n`` words joined by spaces, repeats included; all words where there are fewer."""
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_digest(joined, SEED)
+    if len(words) <= n:
+        return [joined]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts, stops = (ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    return [joined[a:z] for a, z in zip((ends - sizes)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """Eight bytes, highest bit first, of a text's word shingles; zero without a word."""
+    words = (text or "").encode().lower().split()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:z], SEED) for a, z in zip(starts, stops, strict=True)])
-    ones = np.zeros(64, np.int64)
-    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    for part in range(0, len(raw), 1 << 16):
-        ones += np.unpackbits(raw[part : part + (1 << 16)], axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(raw)).tobytes()
+    return majority(b"".join([digest(s, SEED) for s in shingles(words, shingle)]), 8) if words else bytes(8)
+
+
+def double_fingerprint(text: str | None, shingle: int = STAGE_SHINGLE) -> bytes:
+    """24 bytes: the fingerprint of the distinct longer words, then 16 bytes of the word shingles; zero without a word."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(24)
+    distinct = set(words)
+    longer = [w for w in distinct if len(w) >= LONG_WORD] or list(distinct)
+    return majority(b"".join([xxhash.xxh64_digest(w, SEED) for w in longer]), 8) + majority(b"".join([xxhash.xxh128_digest(s, SEED) for s in shingles(words, shingle)]), 16)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -81,6 +104,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
+def double_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """``id_col``, ``fp`` (of the words), ``c1`` and ``c2`` (of the shingles) of each row; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text"):
+            raw = np.frombuffer(b"".join(double_fingerprint(t, shingle) for t in b.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(raw[:, k])) for k in range(3))], ["id", "fp", "c1", "c2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp long, c1 long, c2 long").withColumnRenamed("id", id_col)
+
+
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints, and how often bits i and j are both set: 64 x 64 sums, added up in tasks first."""
 
@@ -165,21 +200,31 @@ def finer(mask: int, distance: int = DISTANCE) -> list[int]:
     return [m for k in range(distance + 1) if (m := mask | as_long(free[k :: distance + 1])) != mask]
 
 
-def span_links(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group`` (sorted): enough to connect what lies within the distance."""
-    n = len(fp)
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def span_links(rows: np.ndarray, group: np.ndarray, distance: int, check: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``group`` (sorted): enough to connect what lies within the distances.
+
+    Columns of ``rows``: node, fp, c1, c2.
+    """
+    n = len(rows)
+    node, fp, c1, c2 = (np.ascontiguousarray(rows[:, k]) for k in range(4))
     end = np.searchsorted(group, group, side="right")
     found_a, found_b, at, d = [], [], np.arange(n), 1
     while True:
         at = at[at + d < end[at]]
         if not at.size:
             break
-        near = at[np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= distance]
+        near = at[differ(fp[at], fp[at + d]) <= distance]
+        if check is not None and near.size:
+            near = near[differ(c1[near], c1[near + d]).astype(np.int64) + differ(c2[near], c2[near + d]) <= check]
         found_a.append(near)
         found_b.append(near + d)
         d += 1
     if not found_a:
-        return fp[:0], fp[:0]
+        return node[:0], node[:0]
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     label = np.arange(n)
     while True:
@@ -192,18 +237,18 @@ def span_links(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.nda
             break
         label = new
     some = np.flatnonzero(label != np.arange(n))
-    return fp[some], fp[label[some]]
+    return node[some], node[label[some]]
 
 
-def probe(keys: DataFrame, distance: int) -> DataFrame:
-    """Links among fingerprints that share mask and value; no bucket of ``keys`` is over ``BUCKET``."""
+def probe(keys: DataFrame, distance: int, check: int | None) -> DataFrame:
+    """Links among nodes that share mask and value; a bucket is the most that a task holds at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
             change = np.concatenate([[0], np.cumsum((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))]) if len(rows) else np.zeros(0, np.int64)
-            a, b = span_links(rows[:, 2].copy(), change, distance)
+            a, b = span_links(rows[:, 2:], change, distance, check)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -218,47 +263,74 @@ def probe(keys: DataFrame, distance: int) -> DataFrame:
             yield links(np.concatenate(held))
 
     dealt = keys.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.select("mask", "value", "node", "fp", "c1", "c2").mapInArrow(run, "a long, b long")
 
 
 def keys_of(rows: DataFrame, masks: Column) -> DataFrame:
-    return rows.select(F.explode(masks).alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+    return rows.select(F.explode(masks).alias("mask"), "node", "fp", "c1", "c2").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "node", "fp", "c1", "c2")
+
 
+def near_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET, check: int | None = None) -> DataFrame:
+    """Links (``a``, ``b``) that connect all nodes within the distance.
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
-    """Links (``a``, ``b``) that connect all distinct fingerprints of ``fps`` within the distance."""
-    masks = plan_masks(fps, distance, parts)
-    keys = keys_of(fps, F.array(*[F.lit(m).cast("long") for m in masks]))
+    ``nodes``: node and fp, and c1, c2 where ``check`` bounds their distance too.
+    """
+    if check is None:
+        nodes = nodes.select("node", "fp", F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    masks = plan_masks(nodes, distance, parts)
+    keys = keys_of(nodes, F.array(*[F.lit(m).cast("long") for m in masks]))
     found = None
     while True:
-        hot = written(keys.groupBy("mask", "value").count().filter(F.col("count") > bucket).select("mask", "value"), "hot")
+        # a bucket whose mask holds every bit cannot be split further
+        hot = written(keys.groupBy("mask", "value").count().filter((F.col("count") > bucket) & (F.col("mask") != -1)).select("mask", "value"), "hot")
         hot_masks = [r.mask for r in hot.select("mask").distinct().collect()]  # the probing masks at most
-        links = probe(keys.join(hot, ["mask", "value"], "left_anti") if hot_masks else keys, distance)
+        links = probe(keys.join(hot, ["mask", "value"], "left_anti") if hot_masks else keys, distance, check)
         links = written(links.distinct(), "links")
         found = links if found is None else found.unionByName(links)
         if not hot_masks:
             return found
         split = F.create_map(*[x for m in hot_masks for x in (F.lit(m).cast("long"), F.array(*[F.lit(f).cast("long") for f in finer(m, distance)]))])
-        keys = written(keys_of(keys.join(hot, ["mask", "value"], "left_semi").select(split[F.col("mask")].alias("masks"), "fp"), F.col("masks")).distinct(), "keys")
+        keys = written(keys_of(keys.join(hot, ["mask", "value"], "left_semi").select(split[F.col("mask")].alias("masks"), "node", "fp", "c1", "c2"), F.col("masks")).distinct(), "keys")
+
+
+def labelled(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``component_id`` (the smallest ``first_id`` reachable) of each node."""
+    labels = connected_components(links)
+    named = nodes.join(labels, "node", "left").select(*keys, "first_id", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return written(named.join(smallest, "label").select(*keys, "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable) of each row."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
-    labels = connected_components(near_links(distinct.select("fp"), distance))
-    named = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_fp = written(named.join(smallest, "label").select("fp", "component_id"), "components")
-    return prints.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")).withColumn("node", F.col("fp")), "nodes")
+    components = labelled(nodes, near_links(nodes.select("node", "fp"), distance), ["fp"])
+    return prints.join(components, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, check: int = STAGE_CHECK) -> DataFrame:
+    """``id_col``, ``fp``, ``c1``, ``c2`` and ``component_id`` of each row: groups of near copies, similar to 0.8 or more on ``shingle`` words.
+
+    At a shingle similarity of 0.8, 64-bit fingerprints of the shingles differ in
+    about ten bits, too many to probe.  So fingerprints of the distinct longer
+    words are probed (they differ in ``distance`` bits at most there), and pairs
+    are verified on 128-bit fingerprints of the shingles, whose bits differ in 15 %
+    at 0.8 and in half for unlike texts.
+    """
+    prints = written(double_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    keys = ["fp", "c1", "c2"]
+    nodes = written(prints.groupBy(*keys).agg(F.min(id_col).alias("first_id")).withColumn("node", F.xxhash64(*keys)), "nodes")
+    links = near_links(nodes.drop("first_id"), distance, STAGE_PARTS, STAGE_BUCKET, check)
+    return prints.join(labelled(nodes, links, keys), keys)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, check: int = STAGE_CHECK) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest id.
 
-    Of rows that repeat this id one stays.  Components without any id stay whole.
+    Of rows that repeat this id one stays.  Groups without any id stay whole.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
+    groups = similar_documents(docs, id_col, text_col, shingle, distance, check)
     first = written(groups.filter(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("kept id")).agg(F.count("*").alias("kept rows")), "kept")
     kept = docs.join(first, docs[id_col] == first["kept id"], "left_semi")
     twice = first.filter("`kept rows` > 1")
@@ -268,7 +340,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank = docs.filter(F.col(id_col).isNull())
     if blank.isEmpty():
         return kept
-    nameless = groups.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
-    texts = fingerprints(blank.select(text_col).distinct(), text_col, text_col, shingle)
-    alone = texts.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(nameless, "fingerprint", "left_semi").select(F.col(text_col).alias("its text"))
+    nameless = groups.filter(F.col("component_id").isNull()).select("fp", "c1", "c2").distinct()
+    texts = double_fingerprints(blank.select(text_col).distinct(), text_col, text_col, shingle)
+    alone = texts.join(nameless, ["fp", "c1", "c2"], "left_semi").select(F.col(text_col).alias("its text"))
     return kept.unionByName(blank.join(alone, blank[text_col].eqNullSafe(alone["its text"]), "left_semi"))

@@ -162,21 +162,26 @@ def brute_fingerprint(text, shingle):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(prints, distance):
-    ids = sorted(prints)
-    parent = {i: i for i in ids}
+def groups_of(items, linked):
+    """Each item with the smallest one that links reach."""
+    items = sorted(items)
+    parent = {i: i for i in items}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a in ids:
-        for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= distance:
+    for a in items:
+        for b in items:
+            if a < b and linked(a, b):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
+    return {i: find(i) for i in items}
+
+
+def components(prints, distance):
+    return groups_of(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= distance)
 
 
 def test_simhash(docs, none):
@@ -188,10 +193,40 @@ def test_simhash(docs, none):
         if r.doc_id is not None:
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
     assert simhash.near_duplicates(none).count() == 0
+
+
+def similar(a, b):
+    x, y = (np.frombuffer(simhash.double_fingerprint(t), ">u8") for t in (a, b))
+    near = [int(np.bitwise_count(p ^ q)) for p, q in zip(x, y, strict=True)]
+    return near[0] <= simhash.STAGE_DISTANCE and near[1] + near[2] <= simhash.STAGE_CHECK
+
+
+def test_deduplication(docs, none):
+    want = groups_of(range(len(TEXTS)), lambda a, b: similar(TEXTS[a], TEXTS[b]))
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(set(want.values()))
     assert simhash.deduplicate(none).count() == 0
+    assert {r.text for r in kept.filter("doc_id IS NULL").collect()} == {"no id"}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    rows = []
+    for base in range(40):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        rows.append((base * 10, " ".join(text)))
+        for copy in range(1, 4):
+            edited = list(text)
+            for place in rng.sample(range(len(text)), max(1, len(text) // 120)):
+                edited[place] = rng.choice(words)
+            rows.append((base * 10 + copy, " ".join(edited)))
+        half = text[: len(text) // 2] + [rng.choice(words) for _ in range(len(text) // 2)]
+        rows.append((base * 10 + 5, " ".join(half)))  # half alike: no near copy
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([i for i in kept if i % 10 in (0, 5)]) == 80
+    assert len([i for i in kept if i % 10 in (1, 2, 3)]) <= 1
 
 
 def test_hot_buckets_lose_no_link(spark):
@@ -205,7 +240,7 @@ def test_hot_buckets_lose_no_link(spark):
             base ^= np.uint64(1) << np.uint64(bit)
         fps.add(int(base))
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    df = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
     links = simhash.near_links(df, bucket=4)
     labels = {r.node: r.label for r in simhash.connected_components(links).collect()}
     want = components(dict(enumerate(int(np.int64(f).view(np.uint64)) for f in signed)), 2)
