@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from mudline.llm.batches import by_bytes, gather_spans, text_bytes
 
 LEAF = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 TABLE_BITS = 18

@@ -32,10 +32,10 @@ from mudline.llm.batches import by_bytes, distinct_runs, row_sums, spans_of, tex
 from mudline.llm.sampling import per_class_sample
 
 ORDER = 4
-SAMPLE = 1500
+SAMPLE = 600
 MIN_SCORE = 0.5
 SPREADS = 6.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TEMPERATURES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 

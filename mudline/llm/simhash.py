@@ -329,10 +329,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of near copies: that with the smallest id.
 
     Of rows that repeat this id one stays.  Groups without any id stay whole.
+    The kept ids grow with the data, so their join is a shuffle join at every
+    size: the one time that texts move.
     """
     groups = similar_documents(docs, id_col, text_col, shingle, distance, check)
     first = written(groups.filter(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("kept id")).agg(F.count("*").alias("kept rows")), "kept")
-    kept = docs.join(first, docs[id_col] == first["kept id"], "left_semi")
+    kept = docs.join(first.hint("merge"), docs[id_col] == first["kept id"], "left_semi")
     twice = first.filter("`kept rows` > 1")
     if not twice.isEmpty():
         again = docs.join(twice, docs[id_col] == twice["kept id"], "left_semi").dropDuplicates([id_col])
