@@ -7,10 +7,13 @@ holds every language's log-probability, so one search serves all languages.  A
 batch scores each distinct word once.  The language of lowest cross-entropy,
 length-normalised over the text's characters, wins.
 
-``score`` is the winner's posterior under a temperature fitted on the
-calibration texts.  ``rejected`` is true where no language can be told: no
-letter, a score under ``MIN_SCORE``, or a cross-entropy far over what the
-calibration texts of the winner show at this length.
+``score`` is the winner's posterior; log-probabilities are divided by the root of
+the text's length and by a temperature fitted on the calibration texts.
+``rejected`` is true where no language can be told: no letter, a score under
+``MIN_SCORE``, or a cross-entropy over a limit.  The limit is far over what the
+calibration texts of the winner show at this length, and at least halfway to what
+they show under the nearest other language, so that noisy or partly foreign texts
+stay and texts of none of the languages go.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; repeated rows give repeated results; with no row to learn from
@@ -37,7 +40,7 @@ MIN_SCORE = 0.5
 SPREADS = 6.0
 CACHE_WORDS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-TEMPERATURES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)
 
 
 def letter_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -87,6 +90,7 @@ class Models:
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
+    halfway: np.ndarray | None = None
 
     def word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word under each language, and its number of symbols."""
@@ -187,23 +191,29 @@ def text_scores(models: Models, cache: dict, column: pa.Array) -> tuple[np.ndarr
     return out, row_sums(sizes[index], bounds)
 
 
+def evidence(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How far each language is behind the best, over the root of the length."""
+    return np.minimum(scores - scores.max(1, keepdims=True), 0) / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+
 def decide(models: Models, scores: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Winner, its posterior, its cross-entropy in nats, and rejection."""
     best = scores.argmax(1)
     top = scores.max(1)
-    posterior = 1 / np.exp(np.minimum((scores - top[:, None]) * models.temperature, 0)).sum(1)
+    posterior = 1 / np.exp(evidence(scores, sizes) * models.temperature).sum(1)
     entropy = -top / np.maximum(sizes, 1)
-    limit = models.mean[best] + SPREADS * np.sqrt(models.spread[best, 0] ** 2 + models.spread[best, 1] ** 2 / np.maximum(sizes, 1))
+    usual = SPREADS * np.sqrt(models.spread[best, 0] ** 2 + models.spread[best, 1] ** 2 / np.maximum(sizes, 1))
+    limit = models.mean[best] + np.maximum(usual, models.halfway[best])
     return best, np.where(letters, posterior, 0.0), entropy, ~letters | (posterior < MIN_SCORE) | (entropy > limit)
 
 
 def calibrate(models: Models, truth: np.ndarray, scores: np.ndarray, sizes: np.ndarray) -> None:
-    """Temperature by log-loss; mean and spread of the cross-entropy by language, for long and short texts."""
+    """Temperature by log-loss; mean and spread of the cross-entropy by language, for long and short texts; half the way to the nearest other language."""
     n = len(models.languages)
-    gap = scores - scores.max(1, keepdims=True) if len(scores) else scores
+    gap = evidence(scores, sizes) if len(scores) else scores
     losses = [float((np.log(np.exp(gap * t).sum(1)) - gap[np.arange(len(truth)), truth] * t).mean()) if len(truth) else 0.0 for t in TEMPERATURES]
     models.temperature = TEMPERATURES[int(np.argmin(losses))]
-    models.mean, models.spread = np.full(n, np.inf), np.zeros((n, 2))
+    models.mean, models.spread, models.halfway = np.full(n, np.inf), np.zeros((n, 2)), np.zeros(n)
     for k in range(n):
         own = (truth == k) & (sizes > 0)
         if own.sum() < 10:
@@ -211,6 +221,9 @@ def calibrate(models: Models, truth: np.ndarray, scores: np.ndarray, sizes: np.n
         entropy = -scores[own, k] / sizes[own]
         long = sizes[own] >= np.median(sizes[own])
         models.mean[k] = entropy[long].mean()
+        if n > 1:
+            others = -np.delete(scores[own], k, axis=1).max(1) / sizes[own]
+            models.halfway[k] = max(0.0, float(np.median(others - entropy)) / 2)
         models.spread[k] = entropy[long].std(), ((entropy[~long] - models.mean[k]) * np.sqrt(sizes[own][~long])).std() if (~long).any() else 0.0
 
 
