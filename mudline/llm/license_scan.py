@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,11 +57,13 @@ def scan(text: str | None) -> tuple[int, list[dict]]:
     """Number of words, and the matches that stay: label, rule, first_word, last_word, strength."""
     words = (text or "").encode().translate(WORD_BYTES).split()
     padded = " " + b" ".join(words).decode("latin-1") + " "
+    gaps = np.flatnonzero(np.frombuffer(padded.encode("latin-1"), np.uint8) == 32)
+    word_at = lambda place: int(np.searchsorted(gaps, place))  # noqa: E731  spaces before a place
     out = []
     for phrase, label in BASE:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            first = padded.count(" ", 0, at)
+            first = word_at(at)
             out.append({"label": label, "rule": "base", "first_word": first, "last_word": first + phrase.count(" "), "strength": 1.0})
             at = padded.find(f" {phrase} ", at + 1)
     machine, rules = compiled()
@@ -68,7 +71,7 @@ def scan(text: str | None) -> tuple[int, list[dict]]:
     found = []
     for i in wanted:
         for m in rules[i].pattern.finditer(padded):
-            first = padded.count(" ", 0, m.start()) - 1
+            first = word_at(m.start()) - 1
             found.append((first, first + m.group().count(" "), i))
     for first, last, i in suppress(found):
         out.append({"label": rules[i].label, "rule": rules[i].phrasing, "first_word": first, "last_word": last, "strength": rules[i].strength})
