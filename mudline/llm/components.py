@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from mudline.llm.shared import written
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links with the same components: each node keeps its smallest neighbour below it, its other ones are linked to that neighbour.
+
+    Where a node met one group through many buckets, its links to the group's
+    members become one link each between members, mostly the same for all nodes.
+    """
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    others = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return least.withColumnRenamed("least", "b").union(others).distinct()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the smallest node reachable) for each end of ``links`` (``a``, ``b``).
 
@@ -16,7 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     links and labels never reach the driver.  Sums per node combine before the
     shuffle, and joins on a hub's label are plain equi-joins that Spark may split.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    few = written(contracted(links), "contracted")
+    both = written(few.union(few.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -262,7 +262,8 @@ def probe(keys: DataFrame, distance: int, check: int | None) -> DataFrame:
         if held:
             yield links(np.concatenate(held))
 
-    dealt = keys.repartition("mask", "value").sortWithinPartitions("mask", "value")
+    # by node too: a bucket's links lead to its smallest nodes, which are the same in most buckets of a group
+    dealt = keys.repartition("mask", "value").sortWithinPartitions("mask", "value", "node")
     return dealt.select("mask", "value", "node", "fp", "c1", "c2").mapInArrow(run, "a long, b long")
 
 
