@@ -302,6 +302,15 @@ def test_language_id(two_languages):
     assert {r.lang_pred for r in language_id.predict(two_languages, None).collect()} == {"und"}
 
 
+def test_texts_of_no_known_language_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models = language_id.learn(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, "qx7 zzkw jjqx vvkp wqzx " * 20), (2, "привет мир как дела " * 20), (3, "12345")], "doc_id long, text string")
+    assert all(r.rejected for r in language_id.predict(odd, models).collect())
+    long = language_id.predict(docs.filter("size(split(text, ' ')) >= 50"), models).collect()
+    assert len(long) > 100 and sum(r.rejected for r in long) < 0.02 * len(long)
+
+
 def test_kneser_ney_sums_to_one():
     models = language_id.fit([b"abab", b"ba", b"cab"], np.array([0, 0, 0]), np.array([3, 1, 2]), ["k"], order=3)
     alphabet = [ord(c) + 2 for c in "abc"] + [1]
