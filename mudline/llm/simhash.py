@@ -294,9 +294,8 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, b
         keys = written(keys_of(keys.join(hot, ["mask", "value"], "left_semi").select(split[F.col("mask")].alias("masks"), "node", "fp", "c1", "c2"), F.col("masks")).distinct(), "keys")
 
 
-def labelled(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+def labelled(nodes: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``component_id`` (the smallest ``first_id`` reachable) of each node."""
-    labels = connected_components(links)
     named = nodes.join(labels, "node", "left").select(*keys, "first_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return written(named.join(smallest, "label").select(*keys, "component_id"), "components")
@@ -306,44 +305,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable) of each row."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")).withColumn("node", F.col("fp")), "nodes")
-    components = labelled(nodes, near_links(nodes.select("node", "fp"), distance), ["fp"])
+    components = labelled(nodes, connected_components(near_links(nodes.select("node", "fp"), distance)), ["fp"])
     return prints.join(components, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, check: int = STAGE_CHECK) -> DataFrame:
-    """``id_col``, ``fp``, ``c1``, ``c2`` and ``component_id`` of each row: groups of near copies, similar to 0.8 or more on ``shingle`` words.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near copies: see ``near_copies``, which shares this module's shingles."""
+    from mudline.llm import near_copies
 
-    At a shingle similarity of 0.8, 64-bit fingerprints of the shingles differ in
-    about ten bits, too many to probe.  So fingerprints of the distinct longer
-    words are probed (they differ in ``distance`` bits at most there), and pairs
-    are verified on 128-bit fingerprints of the shingles, whose bits differ in 15 %
-    at 0.8 and in half for unlike texts.
-    """
-    prints = written(double_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    keys = ["fp", "c1", "c2"]
-    nodes = written(prints.groupBy(*keys).agg(F.min(id_col).alias("first_id")).withColumn("node", F.xxhash64(*keys)), "nodes")
-    links = near_links(nodes.drop("first_id"), distance, STAGE_PARTS, STAGE_BUCKET, check)
-    return prints.join(labelled(nodes, links, keys), keys)
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, check: int = STAGE_CHECK) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the smallest id.
-
-    Of rows that repeat this id one stays.  Groups without any id stay whole.
-    The kept ids grow with the data, so their join is a shuffle join at every
-    size: the one time that texts move.
-    """
-    groups = similar_documents(docs, id_col, text_col, shingle, distance, check)
-    first = written(groups.filter(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("kept id")).agg(F.count("*").alias("kept rows")), "kept")
-    kept = docs.join(first.hint("merge"), docs[id_col] == first["kept id"], "left_semi")
-    twice = first.filter("`kept rows` > 1")
-    if not twice.isEmpty():
-        again = docs.join(twice, docs[id_col] == twice["kept id"], "left_semi").dropDuplicates([id_col])
-        kept = kept.join(twice, kept[id_col] == twice["kept id"], "left_anti").unionByName(again)
-    blank = docs.filter(F.col(id_col).isNull())
-    if blank.isEmpty():
-        return kept
-    nameless = groups.filter(F.col("component_id").isNull()).select("fp", "c1", "c2").distinct()
-    texts = double_fingerprints(blank.select(text_col).distinct(), text_col, text_col, shingle)
-    alone = texts.join(nameless, ["fp", "c1", "c2"], "left_semi").select(F.col(text_col).alias("its text"))
-    return kept.unionByName(blank.join(alone, blank[text_col].eqNullSafe(alone["its text"]), "left_semi"))
+    return near_copies.deduplicate(docs, id_col, text_col, shingle)
