@@ -12,7 +12,8 @@ neighbours is one that an encoding produces, so agreement at both rims proves
 the join.
 
 Texts with characters outside the two-byte UTF-8 range, with combining marks or
-with the strings of special tokens take the tokenizers library itself, per text.
+with the strings of special tokens are normalised and cut into words by the
+tokenizers library, per text; their words are encoded like all others.
 
 Defined results: null and empty texts have no ids and decode to an empty text;
 repeated rows give repeated results; extra columns are ignored; an empty table
@@ -22,6 +23,7 @@ gives an empty table.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,8 +77,11 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.normalizer, self.pre_tokenizer = self.library.normalizer, self.library.pre_tokenizer
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         symbols = byte_symbols()
+        self._bytes_of = {ord(c): b for b, c in enumerate(symbols)}
         self.inner = np.array([vocab[s] for s in symbols], np.int32)
         self.final = np.array([vocab[s + end] for s in symbols], np.int32)
         size = max(max(vocab.values()), *(t["id"] for t in spec["added_tokens"])) + 1
@@ -287,6 +292,32 @@ class WordBpe:
             self._ids = np.concatenate([self._ids, ids])
         return self._ids, self._first[rows], self._counts[rows]
 
+    def _library_words(self, text: str) -> list[bytes | int]:
+        """The words of a text by the library's normaliser and splitter, and the ids of special tokens between them."""
+        out: list[bytes | int] = []
+        for k, part in enumerate(self._at_special.split(text)):
+            if k % 2:
+                out.append(self.special[part])
+            elif part:
+                out += [w.translate(self._bytes_of).encode("latin-1") for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
+        return out
+
+    def _encode_odd(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text that the NumPy splitter does not handle."""
+        rows = [self._library_words(t) for t in texts]
+        items = [w for row in rows for w in row]
+        special = np.array([isinstance(w, int) for w in items], bool)
+        coded = pa.array([w for w in items if isinstance(w, bytes)], pa.large_binary()).dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        ids, first, counts = self._distinct(coded.dictionary)
+        sizes = np.ones(len(items), np.int64)
+        sizes[~special] = counts[index]
+        flat, marked = np.zeros(int(sizes.sum()), np.int32), np.repeat(special, sizes)
+        flat[marked] = [w for w in items if isinstance(w, int)]
+        flat[~marked] = ids[gather_spans(first[index], counts[index])]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return np.split(flat, ends[np.cumsum([len(row) for row in rows])[:-1]])
+
     def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and each row's number of ids."""
         column = pc.fill_null(column, "").cast(pa.large_string())
@@ -294,6 +325,8 @@ class WordBpe:
         for s in self.special:
             odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
         odd[self._unsafe_rows(*text_bytes(column))] = True
+        others = column.filter(pa.array(odd))
+        column = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), column)
         data, words, per_row = self._words(*text_bytes(pc.utf8_lower(column)))
         taken = pa.Array.from_buffers(pa.large_binary(), len(words) - 1, [None, pa.py_buffer(words.astype(np.int64)), pa.py_buffer(data)])
         coded = taken.dictionary_encode()
@@ -305,10 +338,10 @@ class WordBpe:
         marks = ends[np.concatenate([[0], np.cumsum(per_row)])]
         if not odd.any():
             return flat, np.diff(marks)
-        parts, n = [], np.diff(marks)
+        parts, n, coded_apart = [], np.diff(marks), iter(self._encode_odd(others.to_pylist()))
         for r in range(len(column)):
             if odd[r]:
-                got = np.array(self.library.encode(column[r].as_py(), add_special_tokens=False).ids, np.int32)
+                got = next(coded_apart)
                 n[r] = len(got)
                 parts.append(got)
             else:
