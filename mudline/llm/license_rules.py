@@ -1,8 +1,8 @@
 """Ordered signature rules for license scans: names and phrasings are written by hand, rules are their product.
 
 Names and phrasings are regular expressions over normalised text: lower-case
-words with one space between.  A rule's keyword must occur in a text before the
-rule's expression runs there.
+words with one space between.  One of a rule's keywords must occur in a text
+before the rule's expression runs there.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-#: Labels, a word that every variant holds, SPDX words, and the ways to name the license (fixed values).
+#: Labels, words of which every variant holds one (between |), SPDX words, and the ways to name the license (fixed values).
 LICENSES = [
-    ("mit", "mit", "mit", r"(?:mit|expat) licen[sc]e|mit x11 licen[sc]e"),
-    ("apache-2", "apache", "apache 2 0", r"apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?|apache (?:v)?2(?: 0)? licen[sc]e|asl 2 0"),
+    ("mit", "mit|expat", "mit", r"(?:mit|expat) licen[sc]e|mit x11 licen[sc]e"),
+    ("apache-2", "apache|asl", "apache 2 0", r"apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?|apache (?:v)?2(?: 0)? licen[sc]e|asl 2 0"),
     ("apache-1.1", "apache", "apache 1 1", r"apache (?:software )?licen[sc]e (?:version |v)?1 1"),
     ("bsd-2-clause", "bsd", "bsd 2 clause", r"(?:simplified|freebsd|2 clause) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", "bsd 3 clause", r"(?:new|modified|revised|3 clause) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", r"(?:original|4 clause) bsd licen[sc]e|bsd 4 clause(?: licen[sc]e)?"),
-    ("0bsd", "0bsd", "0bsd", r"0bsd licen[sc]e|zero clause bsd licen[sc]e"),
+    ("0bsd", "0bsd|zero", "0bsd", r"0bsd licen[sc]e|zero clause bsd licen[sc]e"),
     ("isc", "isc", "isc", r"isc licen[sc]e"),
     ("gpl-2", "general", "gpl 2 0", r"(?:gnu )?general public licen[sc]e (?:version |v)2(?: 0)?|gnu general public licen[sc]e 2 0"),
     ("gpl-3", "general", "gpl 3 0", r"(?:gnu )?general public licen[sc]e (?:version |v)3(?: 0)?|gnu general public licen[sc]e 3 0"),
-    ("gpl-2", "gpl", "gpl 2 0 only", r"(?:gnu )?gpl (?:version )?v?2(?: 0)?(?: licen[sc]e)?|gplv2"),
-    ("gpl-3", "gpl", "gpl 3 0 only", r"(?:gnu )?gpl (?:version )?v?3(?: 0)?(?: licen[sc]e)?|gplv3"),
+    ("gpl-2", "gpl|gplv2", "gpl 2 0 only", r"(?:gnu )?gpl (?:version )?v?2(?: 0)?(?: licen[sc]e)?|gplv2"),
+    ("gpl-3", "gpl|gplv3", "gpl 3 0 only", r"(?:gnu )?gpl (?:version )?v?3(?: 0)?(?: licen[sc]e)?|gplv3"),
     ("lgpl-2.1", "lesser", "lgpl 2 1", r"(?:gnu )?lesser general public licen[sc]e (?:version |v)?2 1"),
     ("lgpl-3", "lesser", "lgpl 3 0", r"(?:gnu )?lesser general public licen[sc]e (?:version |v)?3(?: 0)?"),
     ("lgpl-2", "library", "lgpl 2 0", r"gnu library general public licen[sc]e (?:version |v)?2(?: 0)?"),
@@ -55,6 +55,11 @@ LICENSES = [
     ("odbl", "database", "odbl 1 0", r"open database licen[sc]e"),
     ("ms-pl", "microsoft", "ms pl", r"microsoft public licen[sc]e"),
     ("openssl", "openssl", "openssl", r"openssl licen[sc]e"),
+    ("lgpl-2.1", "lgpl|lgplv2", "lgpl 2 1 or later", r"(?:gnu )?lgpl (?:version )?v?2 1(?: licen[sc]e)?|lgplv2 1"),
+    ("lgpl-3", "lgpl|lgplv3", "lgpl 3 0 or later", r"(?:gnu )?lgpl (?:version )?v?3(?: 0)?(?: licen[sc]e)?|lgplv3"),
+    ("agpl-3", "agpl|agplv3", "agpl 3 0 or later", r"(?:gnu )?agpl (?:version )?v?3(?: 0)?(?: licen[sc]e)?|agplv3"),
+    ("mpl-2", "mpl|mplv2", "mpl 2 0 no copyleft exception", r"mpl (?:version )?v?2(?: 0)?(?: licen[sc]e)?|mplv2"),
+    ("cc-by", "cc", "cc by 3 0", r"cc by [1-4] [05]"),
     ("proprietary", "proprietary", "licenseref proprietary", r"proprietary (?:software )?licen[sc]e agreement"),
 ]
 #: Phrasings: name, strength from 0 to 1, expression with {name} or {spdx} (fixed values); stronger ones come first.
@@ -66,6 +71,17 @@ PHRASINGS = [
     ("see", 0.7, r"(?:see|read|view) (?:the )?(?:full )?(?:{name})"),
     ("name", 0.6, r"(?:{name})"),
 ]
+#: Headers and bodies of licenses: label, keywords, expression (fixed values).
+BODIES = [
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("bsd-3-clause", "neither", r"neither the names? of (?:\w+ ){1,12}nor the names of (?:its|their) contributors"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms"),
+    ("gpl-2", "general", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3", "general", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 2 1"),
+    ("agpl-3", "affero", r"gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3"),
+    ("isc", "copy", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+]
 #: The base phrases of the contract and their labels (fixed values).
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -75,15 +91,15 @@ class Rule:
     label: str
     phrasing: str
     strength: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
 def build_rules() -> list[Rule]:
     """All rules in order of priority: by phrasing, then by license."""
-    out = []
+    out = [Rule(label, "body", 0.97, tuple(word.split("|")), re.compile(f"(?<= ){shape}(?= )")) for label, word, shape in BODIES]
     for phrasing, strength, shape in PHRASINGS:
         for label, word, spdx, name in LICENSES:
-            keyword = "spdx" if phrasing == "spdx" else word
-            out.append(Rule(label, phrasing, strength, keyword, re.compile("(?<= )" + shape.replace("{name}", name).replace("{spdx}", spdx) + "(?= )")))
+            keywords = ("spdx",) if phrasing == "spdx" else tuple(word.split("|"))
+            out.append(Rule(label, phrasing, strength, keywords, re.compile("(?<= )" + shape.replace("{name}", name).replace("{spdx}", spdx) + "(?= )")))
     return out

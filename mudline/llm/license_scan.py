@@ -1,7 +1,7 @@
 """License scans with ordered signature rules (operator 10).
 
 A text becomes lower-case words with one space between.  One Aho-Corasick pass
-finds the keywords of the rules; only rules whose keyword occurs run.  Matches
+finds the keywords of the rules; only rules of which a keyword occurs run.  Matches
 are intervals of words.  A match goes if its interval lies inside that of a
 match of higher priority (an equal interval: of an earlier rule); matches of the
 base phrases always stay.
@@ -33,7 +33,8 @@ def compiled() -> tuple[ahocorasick.Automaton, list[Rule]]:
     rules = build_rules()
     by_word: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        by_word.setdefault(r.keyword, []).append(i)
+        for word in r.keywords:
+            by_word.setdefault(word, []).append(i)
     machine = ahocorasick.Automaton()
     for word, places in by_word.items():
         machine.add_word(f" {word} ", tuple(places))
