@@ -57,7 +57,9 @@ class Forest:
         raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
         _, where, inverse = np.unique(raw, return_index=True, return_inverse=True)
         order = np.lexsort((ids, inverse))
-        rank = np.arange(len(ids)) - np.searchsorted(inverse[order], inverse[order], side="left")
+        # repeats of a row count once, so that they take no other id's place
+        order = order[np.append(True, (np.diff(ids[order]) != 0) | (np.diff(inverse[order]) != 0))]
+        rank = np.arange(len(order)) - np.searchsorted(inverse[order], inverse[order], side="left")
         few = order[rank <= k]  # one more than asked for: a query's own id may be among them
         self.owner, self.ids = inverse[few], ids[few]
         self.first = np.searchsorted(self.owner, np.arange(len(where) + 1))
