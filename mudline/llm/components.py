@@ -23,19 +23,19 @@ def contracted(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the smallest node reachable) for each end of ``links`` (``a``, ``b``).
 
-    Each round takes the smallest label among neighbours, then the label of that
-    label, so chains shrink by half.  Rounds are written to the shared folder,
-    links and labels never reach the driver.  Sums per node combine before the
-    shuffle, and joins on a hub's label are plain equi-joins that Spark may split.
+    Each round takes the smallest label among neighbours, then the label that
+    this label had before, so chains shrink by half.  Rounds are written to the
+    shared folder, links and labels never reach the driver.  Sums per node combine
+    before the shuffle, and joins on a hub's label are plain equi-joins that Spark
+    may split.
     """
     few = written(contracted(links), "contracted")
-    both = written(few.union(few.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    both = few.union(few.select("b", "a")).distinct()
+    labels = written(few.select(F.col("a").alias("node"), F.col("b").alias("label")).union(few.select("b", "b")).groupBy("node").agg(F.min("label").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        lower = written(lower, "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = written(lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), "labels")
         labels = after.select("node", "label")
         if after.filter("label <> old").isEmpty():

@@ -47,13 +47,10 @@ DISTANCE = 2
 PARTS = 3
 BUCKET = 512
 SEED = 42
+#: Bits left open from which a hot bucket's masks leave out ``distance`` of them rather than split them again.
+OPEN_BITS = 20
 #: Near copies for deduplication: shingles of five words, similar to 0.8 or more.
 STAGE_SHINGLE = 5
-LONG_WORD = 5
-STAGE_DISTANCE = 8
-STAGE_PARTS = 5
-STAGE_BUCKET = 2048
-STAGE_CHECK = 24
 
 
 def majority(hashes: bytes, width: int) -> bytes:
@@ -82,16 +79,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     return majority(b"".join([digest(s, SEED) for s in shingles(words, shingle)]), 8) if words else bytes(8)
 
 
-def double_fingerprint(text: str | None, shingle: int = STAGE_SHINGLE) -> bytes:
-    """24 bytes: the fingerprint of the distinct longer words, then 16 bytes of the word shingles; zero without a word."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(24)
-    distinct = set(words)
-    longer = [w for w in distinct if len(w) >= LONG_WORD] or list(distinct)
-    return majority(b"".join([xxhash.xxh64_digest(w, SEED) for w in longer]), 8) + majority(b"".join([xxhash.xxh128_digest(s, SEED) for s in shingles(words, shingle)]), 16)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id_col`` and ``fp`` (the fingerprint as a signed long) of each row; no shuffle."""
 
@@ -104,18 +91,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def double_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """``id_col``, ``fp`` (of the words), ``c1`` and ``c2`` (of the shingles) of each row; no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
-            raw = np.frombuffer(b"".join(double_fingerprint(t, shingle) for t in b.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(raw[:, k])) for k in range(3))], ["id", "fp", "c1", "c2"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp long, c1 long, c2 long").withColumnRenamed("id", id_col)
-
-
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints, and how often bits i and j are both set: 64 x 64 sums, added up in tasks first."""
 
@@ -195,8 +170,10 @@ def plan_masks(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS) ->
 
 
 def finer(mask: int, distance: int = DISTANCE) -> list[int]:
-    """Masks that split the bits outside ``mask`` into distance + 1 parts."""
+    """Masks that split the bits outside ``mask`` into distance + 1 parts; few bits: those that leave out ``distance`` of them."""
     free = [b for b in range(64) if not (mask >> (63 - b)) & 1]
+    if len(free) <= OPEN_BITS:
+        return [mask | as_long([b for b in free if b not in out]) for out in itertools.combinations(free, min(distance, len(free)))]
     return [m for k in range(distance + 1) if (m := mask | as_long(free[k :: distance + 1])) != mask]
 
 
@@ -204,13 +181,13 @@ def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def span_links(rows: np.ndarray, group: np.ndarray, distance: int, check: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group`` (sorted): enough to connect what lies within the distances.
+def span_links(rows: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``group`` (sorted): enough to connect what lies within the distance.
 
-    Columns of ``rows``: node, fp, c1, c2.
+    Columns of ``rows``: node, fp.
     """
     n = len(rows)
-    node, fp, c1, c2 = (np.ascontiguousarray(rows[:, k]) for k in range(4))
+    node, fp = (np.ascontiguousarray(rows[:, k]) for k in range(2))
     end = np.searchsorted(group, group, side="right")
     found_a, found_b, at, d = [], [], np.arange(n), 1
     while True:
@@ -218,8 +195,6 @@ def span_links(rows: np.ndarray, group: np.ndarray, distance: int, check: int |
         if not at.size:
             break
         near = at[differ(fp[at], fp[at + d]) <= distance]
-        if check is not None and near.size:
-            near = near[differ(c1[near], c1[near + d]).astype(np.int64) + differ(c2[near], c2[near + d]) <= check]
         found_a.append(near)
         found_b.append(near + d)
         d += 1
@@ -240,7 +215,7 @@ def span_links(rows: np.ndarray, group: np.ndarray, distance: int, check: int |
     return node[some], node[label[some]]
 
 
-def probe(keys: DataFrame, distance: int, check: int | None) -> DataFrame:
+def probe(keys: DataFrame, distance: int) -> DataFrame:
     """Links among nodes that share mask and value; a bucket is the most that a task holds at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +223,7 @@ def probe(keys: DataFrame, distance: int, check: int | None) -> DataFrame:
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
             change = np.concatenate([[0], np.cumsum((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))]) if len(rows) else np.zeros(0, np.int64)
-            a, b = span_links(rows[:, 2:], change, distance, check)
+            a, b = span_links(rows[:, 2:], change, distance)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -264,34 +239,29 @@ def probe(keys: DataFrame, distance: int, check: int | None) -> DataFrame:
 
     # by node too: a bucket's links lead to its smallest nodes, which are the same in most buckets of a group
     dealt = keys.repartition("mask", "value").sortWithinPartitions("mask", "value", "node")
-    return dealt.select("mask", "value", "node", "fp", "c1", "c2").mapInArrow(run, "a long, b long")
+    return dealt.select("mask", "value", "node", "fp").mapInArrow(run, "a long, b long")
 
 
 def keys_of(rows: DataFrame, masks: Column) -> DataFrame:
-    return rows.select(F.explode(masks).alias("mask"), "node", "fp", "c1", "c2").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "node", "fp", "c1", "c2")
-
+    return rows.select(F.explode(masks).alias("mask"), "node", "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "node", "fp")
 
-def near_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET, check: int | None = None) -> DataFrame:
-    """Links (``a``, ``b``) that connect all nodes within the distance.
 
-    ``nodes``: node and fp, and c1, c2 where ``check`` bounds their distance too.
-    """
-    if check is None:
-        nodes = nodes.select("node", "fp", F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"))
+def near_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
+    """Links (``a``, ``b``) that connect all ``nodes`` (node, fp) within the distance."""
     masks = plan_masks(nodes, distance, parts)
     keys = keys_of(nodes, F.array(*[F.lit(m).cast("long") for m in masks]))
     found = None
     while True:
-        # a bucket whose mask holds every bit cannot be split further
-        hot = written(keys.groupBy("mask", "value").count().filter((F.col("count") > bucket) & (F.col("mask") != -1)).select("mask", "value"), "hot")
-        hot_masks = [r.mask for r in hot.select("mask").distinct().collect()]  # the probing masks at most
-        links = probe(keys.join(hot, ["mask", "value"], "left_anti") if hot_masks else keys, distance, check)
+        hot = written(keys.groupBy("mask", "value").count().filter(F.col("count") > bucket).select("mask", "value"), "hot")
+        # masks, not buckets: 3 at first, at most 27 before the last round
+        hot_masks = [r.mask for r in hot.select("mask").distinct().collect()]
+        links = probe(keys.join(hot, ["mask", "value"], "left_anti") if hot_masks else keys, distance)
         links = written(links.distinct(), "links")
         found = links if found is None else found.unionByName(links)
         if not hot_masks:
             return found
         split = F.create_map(*[x for m in hot_masks for x in (F.lit(m).cast("long"), F.array(*[F.lit(f).cast("long") for f in finer(m, distance)]))])
-        keys = written(keys_of(keys.join(hot, ["mask", "value"], "left_semi").select(split[F.col("mask")].alias("masks"), "node", "fp", "c1", "c2"), F.col("masks")).distinct(), "keys")
+        keys = written(keys_of(keys.join(hot, ["mask", "value"], "left_semi").select(split[F.col("mask")].alias("masks"), "node", "fp"), F.col("masks")).distinct(), "keys")
 
 
 def labelled(nodes: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

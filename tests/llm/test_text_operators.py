@@ -195,10 +195,14 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def shingle_sets(text, shingle=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+
+
 def similar(a, b):
-    x, y = (np.frombuffer(simhash.double_fingerprint(t), ">u8") for t in (a, b))
-    near = [int(np.bitwise_count(p ^ q)) for p, q in zip(x, y, strict=True)]
-    return near[0] <= simhash.STAGE_DISTANCE and near[1] + near[2] <= simhash.STAGE_CHECK
+    x, y = shingle_sets(a), shingle_sets(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
 
 
 def test_deduplication(docs, none):
@@ -210,6 +214,19 @@ def test_deduplication(docs, none):
     assert {r.text for r in kept.filter("doc_id IS NULL").collect()} == {"no id"}
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """A repeated id loses no text, and a group that repeated ids span keeps one row."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(3))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(3)).collect()), key=str)
+    same_id = kept([(5, a, 1), (5, b, 2), (5, c, 3)])
+    order = lambda rows: sorted(rows, key=str)
+    assert same_id == order([(5, a), (5, b), (5, c)])
+    assert kept([(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (7, c, 5)]) == order([(3, a), (5, b), (7, c)])
+    assert kept([(3, a, 1), (3, a, 2), (3, a, 1), (None, a, 1)]) == [(3, a)]
+    assert kept([(None, a, 1), (None, a, 2), (None, b, 3)]) == order([(None, a), (None, b)])
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
