@@ -16,8 +16,11 @@ they show under the nearest other language, so that noisy or partly foreign text
 stay and texts of none of the languages go.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
-and rejected; repeated rows give repeated results; with no row to learn from
-every text is ``und``.
+and rejected; repeated rows give repeated results and teach once; of languages
+with equal cross-entropy the first by name wins; very long texts are scored whole
+and teach spans spread over them (see ``lesson``); an empty table gives an empty
+one; with no row to learn from every text is ``und``.  Columns of the input with
+a result's name give way to it, unless ``prefix`` sets the results apart.
 """
 
 from __future__ import annotations
@@ -32,20 +35,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mudline.llm.batches import by_bytes, distinct_runs, row_sums, spans_of, text_bytes
-from mudline.llm.sampling import per_class_sample
+from mudline.llm.sampling import lesson, per_class_sample
 
 ORDER = 4
 SAMPLE = 600
 MIN_SCORE = 0.5
 SPREADS = 6.0
 CACHE_WORDS = 200_000
+#: Signs beyond ASCII that are no letters: Latin-1 signs, punctuation, symbols, wide forms (fixed values).
+SIGNS = r"[\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{2BFF}\x{3000}-\x{303F}\x{FF00}-\x{FF0F}]+"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)
 
 
 def letter_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Lower-cased letter runs as indexes into distinct words, and each text's bounds."""
-    raw, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())))
+    plain = pc.replace_substring_regex(pc.fill_null(column, "").cast(pa.large_string()), SIGNS, " ")
+    raw, offsets = text_bytes(pc.utf8_lower(plain))
     mask = ((raw >= 97) & (raw <= 122)) | (raw >= 0x80)
     starts, ends, bounds = spans_of(mask, offsets)
     index, distinct = distinct_runs(raw, mask, starts, ends)
@@ -135,7 +141,7 @@ def fit(words: list[bytes], language: np.ndarray, counts: np.ndarray, languages:
         predicted[bounds[:-1] + k] = False
     at = np.flatnonzero(predicted)
     hashed = [hashes(sym, o) for o in range(1, order + 1)]
-    grams, tables, suffix, context = [], [], [], []
+    grams, tables, suffix, context, initial = [], [], [], [], []
     for o in range(1, order + 1):
         keys, where, inverse = np.unique(hashed[o - 1][at], return_index=True, return_inverse=True)
         c = np.zeros((len(keys), n_lang))
@@ -144,10 +150,11 @@ def fit(words: list[bytes], language: np.ndarray, counts: np.ndarray, languages:
         tables.append(c)
         suffix.append(np.searchsorted(grams[o - 2], hashed[o - 2][at[where]]) if o > 1 else None)
         context.append(hashed[o - 2][at[where] - 1] if o > 1 else np.zeros(len(keys), np.uint64))
-    for o in range(1, order):  # lower orders count what they continue
+        initial.append(sym[at[where] - o + 1] == 0)
+    for o in range(1, order):  # lower orders count what they continue; only padding stands before the grams of a word's start
         c = np.zeros_like(tables[o - 1])
         np.add.at(c, suffix[o], (tables[o] > 0).astype(np.float64))
-        tables[o - 1] = c
+        tables[o - 1] = np.where(initial[o - 1][:, None], tables[o - 1], c)
     uniform = 1.0 / (len(grams[0]) + 1)
     below, logp, contexts, backoff = None, [], [], []
     for o in range(1, order + 1):
@@ -230,11 +237,11 @@ def calibrate(models: Models, truth: np.ndarray, scores: np.ndarray, sizes: np.n
 def learn(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Models | None:
     """Models from at most about ``sample`` texts a language to count and as many to calibrate; None without any."""
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen, counts = per_class_sample(rows, "lang", "id", 2 * sample)
+    chosen, counts = per_class_sample(rows, "lang", ["id", "text"], 2 * sample)
     if not counts:
         return None
     languages = sorted(counts)
-    halves = chosen.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)))
+    halves = chosen.withColumn("half", F.pmod(F.xxhash64("id", "text", F.lit("half")), F.lit(2)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
@@ -245,7 +252,7 @@ def learn(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str =
                 some = np.flatnonzero(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), distinct.take(pa.array(some)).cast(pa.binary()), pa.array(seen[some])], ["lang", "word", "n"])
 
-    counted = halves.filter("half = 0").select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counted = halves.filter("half = 0").select("lang", lesson(F.col("text")).alias("text")).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     number = {k: i for i, k in enumerate(languages)}
     models = fit(counted["word"].to_pylist(), np.array([number[x] for x in counted["lang"].to_pylist()], np.int64), counted["n"].to_numpy(), languages) if len(counted) else None
     if models is None:
@@ -270,12 +277,14 @@ def scored(rows: DataFrame, models: Models, id_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, scores array<double>, sizes long")
 
 
-def predict(docs: DataFrame, models: Models | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) with ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``; no shuffle."""
+def predict(docs: DataFrame, models: Models | None, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (default: all) with ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``, their names after ``prefix``; no shuffle."""
     made = ["lang_pred", "score", "cross_entropy", "rejected"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    named = {(prefix + c).lower() for c in made}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     if models is None:
-        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"))
+        results = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)}
+        return docs.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(prefix + c) for c, v in results.items()])
     rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text to name"))
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -286,8 +295,8 @@ def predict(docs: DataFrame, models: Models | None, text_col: str = "text", keep
             letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, score, entropy, rejected = decide(shared.value, *text_scores(shared.value, cache, column), letters)
             names = pa.array(shared.value.languages, pa.string()).take(pa.array(best))
-            named = pc.if_else(pa.array(letters), names, "und")
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], named, pa.array(score), pa.array(entropy), pa.array(rejected)], [*(f"in{i}" for i in range(len(keep))), *made])
+            told = pc.if_else(pa.array(letters), names, "und")
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], told, pa.array(score), pa.array(entropy), pa.array(rejected)], [*(f"in{i}" for i in range(len(keep))), *made])
 
     schema = ", ".join([*(f"in{i} {rows.schema[f'in{i}'].dataType.simpleString()}" for i in range(len(keep))), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return rows.mapInArrow(run, schema).select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(keep)], *made)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in made])

@@ -13,7 +13,11 @@ All texts are scored whole.
 
 Defined results: null and empty texts get the calibrated score of a difference
 of 0; repeated rows get repeated scores; a document labelled more than once has
-its largest label; without labels of both classes every score is 0.5.
+its largest label, and of texts that repeat its id it teaches the smallest; very
+long texts are scored whole, block by block, and teach spans spread over them
+(see ``lesson``); other columns never matter;
+an empty table gives an empty one; without labels of both classes every score is
+0.5.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mudline.llm.batches import by_bytes
-from mudline.llm.sampling import per_class_sample
+from mudline.llm.sampling import lesson, per_class_sample
 
 BLOCK = 1000
 DICTIONARY_BYTES = 112 << 10
@@ -87,12 +91,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves as one where they are too few to train."""
+    """A trained dictionary, or all of the texts as a raw one where they are too few to train."""
     parts = [b for t in texts for b in blocks(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(parts)[-DICTIONARY_BYTES:]
+        return b"".join(parts)
 
 
 def fit(texts: list[str], labels: list[int], halves: list[int], counts: dict[int, int]) -> Classifier | None:
@@ -122,13 +126,13 @@ def fit(texts: list[str], labels: list[int], halves: list[int], counts: dict[int
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier | None:
     """A classifier from a bounded sample of the labelled rows that ``usable`` (over the label rows) admits."""
     clean = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & usable).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen, counts = per_class_sample(clean, "y", "id", 2 * sample)
+    chosen, counts = per_class_sample(clean, "y", ["id"], 2 * sample)
     if set(counts) != {0, 1}:
         return None
     # at most about 4 * sample rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     halves = rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int"))
-    got = halves.groupBy("id", "y", "half").agg(F.min("text").alias("text")).orderBy("id").collect()
+    got = halves.groupBy("id", "y", "half").agg(lesson(F.min("text")).alias("text")).orderBy("id").collect()
     return fit([r.text or "" for r in got], [r.y for r in got], [r.half for r in got], counts)
 
 

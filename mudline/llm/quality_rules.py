@@ -13,7 +13,10 @@ Verdict: a text goes if the base rules fail, if the repeated part holds over
 words.
 
 Defined results: null and empty texts have no words and fail the base rules;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; a very long text is one batch of its own and
+is measured whole; of equal repeats all are covered, the first included;
+``longest_repeat`` counts repeats of two words or more; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -167,14 +170,16 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The columns ``keep`` (default: all) and the measures, ``covered_fraction``, ``base_failed`` and ``kept``; no shuffle.
+def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (default: all) and the measures, ``covered_fraction``, ``base_failed`` and ``kept``, their names after ``prefix``; no shuffle.
 
-    Columns of the input with a measure's name give way to the measure.
+    Columns of the input with a result's name give way to it, unless ``prefix``
+    sets the results apart.
     """
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
-    made = {*measures, "covered_fraction", "base_failed", "kept"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    made = [*measures, "covered_fraction", "base_failed", "kept"]
+    named = {(prefix + m).lower() for m in made}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text for rules"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +192,4 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     out = out.withColumn("covered_fraction", F.when(F.col("n_words") > 0, F.col("covered_words") / F.col("n_words")).otherwise(F.lit(0.0)))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("covered_fraction") <= max_covered) & (F.col("longest_repeat") <= max_repeat))
-    return out.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(keep)], *measures, "covered_fraction", "base_failed", "kept")
+    return out.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(keep)], *[F.col(m).alias(prefix + m) for m in made])

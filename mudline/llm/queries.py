@@ -22,7 +22,7 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_classifier.learn(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), fold("doc_id", 4) != 2)
     out = quality_classifier.score(docs, model)
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.learn(docs, fold("doc_id", 3) != 1)
     out = language_id.predict(docs, models, keep=["doc_id"])
-    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op6_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

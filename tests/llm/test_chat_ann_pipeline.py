@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -75,21 +77,79 @@ def test_forest_recall_and_edges(spark):
 
 
 def test_pipeline_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kept", F.lit("mine"))
-    docs = docs.unionByName(docs.limit(1).selectExpr("CAST(9999 AS BIGINT) AS doc_id", "'123 456' AS text", "lang", "source", "n_chars", "kept"))
+    mine = {"kept": F.lit("mine"), "n_words": F.lit(-7), "Score": F.lit("mine"), "rejected": F.col("doc_id"), "id": F.lit("x"), "mark": F.lit(1), "stage_kept": F.lit("own")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns(mine)
+    rest = docs.columns[2:]
+    docs = docs.unionByName(docs.limit(1).selectExpr("CAST(9999 AS BIGINT) AS doc_id", "'123 456' AS text", *rest)).unionByName(docs.limit(1).selectExpr("CAST(9998 AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", *rest))
+    rows = {r.doc_id: r for r in docs.collect()}
+    untouched = lambda got: all(tuple(r) == tuple(rows[r.doc_id]) for r in got)
     named = corpus_pipeline.language(spark, docs, sf_dir)
-    assert named.columns == docs.columns and named.filter("doc_id = 9999").isEmpty()
-    assert named.count() > 0.97 * docs.count()
-    clean = corpus_pipeline.quality(spark, named, sf_dir)
-    want = {r.doc_id for r in quality_rules.annotate(named.drop("kept")).filter("kept").collect()}
-    assert {r.doc_id for r in clean.collect()} == want and clean.columns == docs.columns
-    alone = corpus_pipeline.near_duplicates(spark, clean, sf_dir)
-    assert alone.columns == docs.columns and 0 < alone.count() <= clean.count()
-    packed = corpus_pipeline.pack(spark, alone, sf_dir)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in alone.collect()}
+    assert named.columns == docs.columns and untouched(named.collect())
+    assert named.filter("doc_id IN (9998, 9999)").isEmpty() and named.count() > 0.97 * docs.count()
+    clean = corpus_pipeline.quality(spark, named, sf_dir).collect()
+    want = {r.doc_id for r in named.select("doc_id", "text").collect() if passes(r.text)}
+    assert {r.doc_id for r in clean} == want and untouched(clean)
+    left = spark.createDataFrame(clean, docs.schema)
+    alone = corpus_pipeline.near_duplicates(spark, left, sf_dir).collect()
+    assert untouched(alone) and {r.doc_id for r in alone} == first_of_groups({r.doc_id: r.text for r in clean})
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(alone, docs.schema), sf_dir)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in alone}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def passes(text):
+    """The base rules and the repetition rules by brute force over all pairs of places."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    at = {}
+    for i in range(len(w) - 1):
+        at.setdefault((w[i], w[i + 1]), []).append(i)
+    best = [0] * len(w)
+    for places in at.values():
+        for k, i in enumerate(places):
+            for j in places[k + 1 :]:
+                n = 2
+                while j + n < len(w) and w[i + n] == w[j + n]:
+                    n += 1
+                best[i], best[j] = max(best[i], n), max(best[j], n)
+    covered, three = set(), set()
+    for i, n in enumerate(best):
+        if n >= quality_rules.MIN_REPEAT:
+            covered.update(range(i, i + n))
+        if n >= 3:
+            three.update(range(i, i + n))
+    base = len(w) >= 50 and 100 * len(three) <= 50 * len(w)
+    return base and len(covered) <= quality_rules.MAX_COVERED * len(w) and max(best, default=0) <= quality_rules.MAX_REPEAT
+
+
+def first_of_groups(texts):
+    """The smallest id of each group that links of Jaccard 0.8 make."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, s in sets.items():
+        for shingle in s:
+            holders.setdefault(shingle, []).append(i)
+    tried = set()
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                if (a, b) not in tried:
+                    tried.add((a, b))
+                    if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                        x, y = find(a), find(b)
+                        parent[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0 and len(corpus_pipeline.STAGES) == 4
