@@ -14,8 +14,11 @@ range-partitioned, sorted inside partitions, and each task writes whole files
 under names that depend on the partition only, first under a temporary name and
 then renamed, so a repeated or speculative task leaves the same files.
 
-Defined results: null and empty texts hold the end id only; repeated rows each
-keep their place; an empty table writes no files and reads back empty.
+Defined results: null and empty texts hold the end id only; rows that repeat an id
+stand side by side, in order of their texts' hashes, and each keeps its place; a
+very long text is one row, in one file; ids that are no integers are an error;
+other columns are ignored; an empty table writes no files and reads back empty.
+``folder`` is one that pyarrow opens, as the shared folder of a cluster is.
 """
 
 from __future__ import annotations
@@ -45,13 +48,9 @@ ESCAPE = 15
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs (exact over all 64 bits)."""
-    out = np.zeros(len(values), np.int8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >= (np.uint64(1) << np.uint64(step))
-        out[high] += step
-        rest = np.where(high, rest >> np.uint64(step), rest)
-    return out + (rest > 0).astype(np.int8)
+    high = values >> np.uint64(32)
+    low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return (np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low) if high.any() else low).astype(np.int8)
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,16 +59,23 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
-    need = np.zeros(blocks * BLOCK, np.int8)
-    need[:n] = widths(values)
-    need = need.reshape(blocks, BLOCK)
-    # the densest selector whose next ids all fit; past a block's end everything fits
-    cols = np.arange(BLOCK, dtype=np.int16)
+    # past a block's end everything fits
+    need = np.zeros((blocks, BLOCK + int(COUNTS[0])), np.int8)
+    flat = np.zeros(blocks * BLOCK, np.int8)
+    flat[:n] = widths(values)
+    need[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    # widest id of the 1, 2, 4 ... ids from each place on; two such spans make any other length
+    spans = {1: need}
+    for size in (2, 4, 8, 16, 32, 64):
+        half = spans[size // 2]
+        spans[size] = np.maximum(half[:, : -(size // 2)], half[:, size // 2 :])
+    # the densest selector whose next ids all fit
     choice = np.full((blocks, BLOCK), ESCAPE, np.int8)
     for s in range(ESCAPE - 1, -1, -1):
-        bad = np.where(need > BITS[s], cols, np.int16(2 * BLOCK))
-        after = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        choice[after - cols >= COUNTS[s]] = s
+        size = 1 << (int(COUNTS[s]).bit_length() - 1)
+        shift = int(COUNTS[s]) - size
+        widest = np.maximum(spans[size][:, :BLOCK], spans[size][:, shift : shift + BLOCK])
+        np.putmask(choice, widest <= BITS[s], np.int8(s))
     at, live, picked = np.zeros(blocks, np.int64), np.arange(blocks), []
     sizes = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
     while live.size:
@@ -190,9 +196,12 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             flush()
         yield pa.RecordBatch.from_pydict({"partition": [partition], "files": [files], "n_ids": [before]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("token files hold integer ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("place"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    # by the text's hash too, so that an id that many texts share is dealt to many tasks
+    ordered = rows.repartitionByRange(parts, "id", "place").sortWithinPartitions("id", "place").select("id", "text")
     totals = ordered.mapInArrow(run, "partition long, files long, n_ids long").collect()
     return docs.sparkSession.createDataFrame([tuple(r) for r in totals], "partition long, files long, n_ids long")
 
