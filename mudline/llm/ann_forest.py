@@ -1,39 +1,48 @@
 """Approximate nearest neighbours with a hash-prefix forest (operator 9).
 
-Each task holds shards of index rows.  For every tree a row gets a long hash
-string (``BITS`` signs of random projections); a tree is the sorted array of
-these strings.  A query descends in all trees to its longest-prefix matches,
-then ascends in all trees together, one bit at a time, until the rows under the
-common prefix length number ``SHARE`` of the shard (``LEAST`` at least).  These
-candidates are measured exactly, in double precision.
-
-The query set goes around in blocks of ``BLOCK`` vectors, which bounds what is
-broadcast; a task keeps its best ``k`` per query, so a query meets tasks x k
-rows in the end.  Equal vectors of a shard are one entry with its smallest ids,
-so a large group of copies is measured once.  No bucket has a cap.
+Index rows are dealt into shards.  For every tree a row gets a long hash string
+(``BITS`` signs of random projections); a tree is the sorted array of these
+strings.  A query descends in all trees to its longest-prefix matches, and from
+there ascends in all trees together:
+
+1. Bit by bit, until the rows under the common prefix length number ``FIRST``.
+   They are measured exactly, which gives the angle of the k-th nearest so far.
+2. To the prefix length at which a row within that angle is missed by all trees
+   with a chance of ``MISS`` at most: rows at angle a share a bit with chance
+   1 - a / pi.  The rows under it are measured, and the best k stay.
+
+So clustered vectors take short ascents, and vectors of no structure take long
+ones, up to the whole shard; there is no cap and no switch by size.
+
+Shards and blocks of queries are packed rows, and each task takes pairs of them:
+the query set against all rows, in blocks, without the driver.  A query meets
+its best k of each shard in the end.  Equal vectors of a shard are one entry with
+its smallest ids, so a large group of copies is measured once.
 
 Defined results: vectors that are null, zero, of another length than most or
 with null or non-finite components take no part; a repeated vec_id counts once,
-with its best score; fewer candidates than ``k`` give fewer rows; an empty table
-gives an empty one.
+with its best score, and asks once, with its smallest vector; ties go to the
+smaller vec_id; fewer candidates than ``k`` give fewer rows; other columns are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mudline.llm.shared import written
+
 TREES = 96
 BITS = 24
-SHARE = 0.5
-LEAST = 4096
-SHARD = 8192
-BLOCK = 4096
+FIRST = 512
+MISS = 0.1
+SHARD = 16384
+BLOCK = 1024
 SEED = 20240607
 
 
@@ -43,8 +52,8 @@ def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
 
 def strings(unit: np.ndarray, normals: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
     """Hash strings of rows, one column per tree, as integers (first sign highest)."""
-    out = np.zeros((len(unit), trees), np.int64)
-    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    out = np.zeros((len(unit), trees), np.int32)
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int32)
     for t in range(trees):
         out[:, t] = ((unit @ normals[t * bits : (t + 1) * bits].T) > 0) @ weights
     return out
@@ -65,109 +74,143 @@ class Forest:
         self.first = np.searchsorted(self.owner, np.arange(len(where) + 1))
         self.vectors = vectors[where].astype(np.float64)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
-        self.unit = self.vectors / self.norms[:, None]
-        codes = strings(self.unit.astype(np.float32), normals, trees, bits)
-        self.order = np.argsort(codes, axis=0)
+        self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
+        codes = strings(self.unit, normals, trees, bits)
+        self.order = np.argsort(codes, axis=0).astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, axis=0).T.copy()
         self.order = self.order.T.copy()
-        self.bits, self.k = bits, k
-
-    def ranges(self, codes: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the range under the longest common prefix length that gathers ``wanted`` rows."""
-        low, high = (np.zeros(codes.shape, np.int64) for _ in range(2))
-        todo = np.arange(len(codes))
-        for depth in range(self.bits, -1, -1):
-            shift = self.bits - depth
-            prefix = codes[todo] >> shift
-            for t in range(codes.shape[1]):
-                low[todo, t] = np.searchsorted(self.sorted[t], prefix[:, t] << shift)
-                high[todo, t] = np.searchsorted(self.sorted[t], (prefix[:, t] + 1) << shift)
-            todo = todo[(high[todo] - low[todo]).sum(1) < wanted]
-            if not todo.size:
-                break
+        self.bits, self.k, self.trees = bits, k, trees
+
+    def ranges(self, codes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and tree the range under its prefix of ``depth`` bits."""
+        shift = (self.bits - depth).astype(np.int32)[:, None]
+        prefix = codes >> shift
+        low, high = (np.empty(codes.shape, np.int64) for _ in range(2))
+        for t in range(self.trees):
+            low[:, t] = np.searchsorted(self.sorted[t], (prefix[:, t] << shift[:, 0]).astype(np.int32))
+            high[:, t] = np.searchsorted(self.sorted[t], ((prefix[:, t] + 1) << shift[:, 0]).astype(np.int32))
         return low, high
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The best ids and scores of each query, best first, ties to the smaller id."""
-        norms = np.sqrt((queries * queries).sum(1))
-        low, high = self.ranges(codes, max(LEAST, int(SHARE * len(self.unit))))
-        out = []
-        for i in range(len(queries)):
+    def descend(self, codes: np.ndarray) -> np.ndarray:
+        """The longest prefix length at which a query's trees hold ``FIRST`` rows together."""
+        depth, todo = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        for d in range(self.bits, 0, -1):
+            low, high = self.ranges(codes[todo], np.full(len(todo), d))
+            enough = (high - low).sum(1) >= FIRST
+            depth[todo[enough]] = d
+            todo = todo[~enough]
+            if not todo.size:
+                break
+        return depth
+
+    def enough_bits(self, cosine: np.ndarray) -> np.ndarray:
+        """The longest prefix length that misses a row of this cosine in all trees with a chance of ``MISS`` at most."""
+        share = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+        with np.errstate(divide="ignore"):
+            bits = np.log(1 - MISS ** (1 / self.trees)) / np.minimum(np.log(share), -1e-12)
+        return np.clip(np.floor(bits), 0, self.bits).astype(np.int64)
+
+    def under(self, codes: np.ndarray, depth: np.ndarray) -> Iterator[np.ndarray]:
+        """Each query's entries under its prefixes of ``depth`` bits in any tree."""
+        low, high = self.ranges(codes, depth)
+        for i in range(len(codes)):
+            if depth[i] == 0:
+                yield np.arange(len(self.unit))
+                continue
             hit = np.zeros(len(self.unit), bool)
             for t, (a, z) in enumerate(zip(low[i].tolist(), high[i].tolist(), strict=True)):
-                hit[self.order[t, a:z]] = True
-            near = np.flatnonzero(hit)
-            rough = self.unit[near] @ (queries[i] / norms[i])
+                if a < z:
+                    hit[self.order[t, a:z]] = True
+            yield np.flatnonzero(hit)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """The best ids and scores of each query, best first, ties to the smaller id; and the number of entries measured."""
+        norms = np.sqrt((queries * queries).sum(1))
+        depth = self.descend(codes)
+        kth = np.full(len(queries), -1.0)
+        for i, near in enumerate(self.under(codes, depth)):
+            rough = self.unit[near] @ (queries[i] / norms[i]).astype(np.float32)
+            # the query itself may be the nearest, so one more
+            if len(near) > self.k:
+                kth[i] = np.partition(rough, -self.k - 1)[-self.k - 1]
+        out, measured = [], 0
+        for i, near in enumerate(self.under(codes, np.minimum(depth, self.enough_bits(kth)))):
+            measured += len(near)
+            rough = self.unit[near] @ (queries[i] / norms[i]).astype(np.float32)
             if len(near) > self.k + 1:
-                near = near[rough >= np.partition(rough, -self.k - 1)[-self.k - 1] - 1e-9]
+                near = near[rough >= np.partition(rough, -self.k - 1)[-self.k - 1] - 1e-5]
             exact = (self.vectors[near] * queries[i]).sum(1) / (self.norms[near] * norms[i])
             members = np.concatenate([np.arange(self.first[n], self.first[n + 1]) for n in near]) if len(near) else np.zeros(0, np.int64)
             scores = np.repeat(exact, self.first[near + 1] - self.first[near])
             ids = self.ids[members]
             other = ids != query_ids[i]
             ids, scores = ids[other], scores[other]
-            # copies of a row's id within the shard count once
+            # a row's id counts once within the shard
             best = np.lexsort((ids, -scores))
             _, at = np.unique(ids[best], return_index=True)
             best = best[np.sort(at)][: self.k]
             out.append((ids[best], scores[best]))
-        return out
+        return out, measured
+
+
+def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows (id, vector) as packed rows of ``size`` at most: two columns of little-endian bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([t["id"].to_numpy().astype("<i8").tobytes()]), pa.array([t["vector"].combine_chunks().flatten().to_numpy().astype("<f8").tobytes()])], [f"{name}_ids", f"{name}_vectors"])
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, size - sum(h.num_rows for h in held))
+                held.append(part)
+                at += part.num_rows
+                if sum(h.num_rows for h in held) >= size:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return rows.select("id", "vector").mapInArrow(run, f"{name}_ids binary, {name}_vectors binary")
 
 
 def search(index: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``id_col`` and ``score`` (cosine) for the rows of ``index`` that ``is_query`` picks."""
+    """``query_id``, ``rank`` (from 1), ``id_col``, ``score`` (cosine) and ``measured`` (entries measured for the query) for the rows of ``index`` that ``is_query`` picks."""
     spark = index.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = index.filter(sound).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks"))
+    vector = F.col(f"`{vector_col}`").cast("array<double>")
+    sound = F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
+    rows = index.filter(sound).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks"))
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     if not lengths:
-        return empty
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double, measured long")
     dim = lengths[0].n
     rows = rows.filter(F.size("vector") == dim)
     asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = -(-asked.count() // block)
-    if not blocks:
-        return empty
-    normals = planes(dim)
-
-    def nearest(ids: np.ndarray, queries: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, queries, strings((queries / np.sqrt((queries * queries).sum(1))[:, None]).astype(np.float32), normals)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, asked_for, codes = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def flush() -> None:
-                forest = Forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), normals, k)
-                for i, (new_ids, new_scores) in enumerate(forest.search(query_ids, asked_for, codes)):
-                    both, scores = np.concatenate([best[i][0], new_ids]), np.concatenate([best[i][1], new_scores])
-                    order = np.lexsort((both, -scores))
-                    _, at = np.unique(both[order], return_index=True)
-                    order = order[np.sort(at)][:k]
-                    best[i] = both[order], scores[order]
-                held.clear()
-
-            for b in batches:
-                for at in range(0, b.num_rows, shard):
-                    part = b.slice(at, shard)
-                    held.append((part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)))
-                    if sum(len(h[0]) for h in held) >= shard:
-                        flush()
-            if held:
-                flush()
-            sizes = [len(x) for x, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "id", "score"])
-
-        return rows.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
-
-    found = []
-    for n in range(blocks):
-        got = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id").toArrow()
-        if got.num_rows:
-            found.append(nearest(got["id"].to_numpy(), got["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim)))
-    all_found = reduce(DataFrame.unionByName, found).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    shards = written(packed(rows, shard, "index"), "shards")
+    several = -(-asked.count() // block)
+    blocks = written(packed(asked.repartition(max(several, 1)), block, "query"), "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals, forest, of = planes(dim), None, None
+        for b in batches:
+            for shard_ids, shard_vectors, query_ids, query_vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of != (shard_ids[:64], len(shard_ids), shard_vectors[:512]):
+                    of = (shard_ids[:64], len(shard_ids), shard_vectors[:512])
+                    forest = Forest(np.frombuffer(shard_ids, "<i8"), np.frombuffer(shard_vectors, "<f8").reshape(-1, dim), normals, k)
+                ids, queries = np.frombuffer(query_ids, "<i8"), np.frombuffer(query_vectors, "<f8").reshape(-1, dim)
+                codes = strings((queries / np.sqrt((queries * queries).sum(1))[:, None]).astype(np.float32), normals)
+                found, measured = forest.search(ids, queries, codes)
+                sizes = [len(x) for x, _ in found]
+                columns = [np.repeat(ids, sizes), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found]), np.full(sum(sizes), measured // max(len(ids), 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "score", "measured"])
+
+    # pairs of a shard and a block: the stated query set against all rows
+    pairs = shards.crossJoin(blocks.hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(run, "query_id long, id long, score double, measured long")
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("measured").alias("measured"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return all_found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score", "measured")

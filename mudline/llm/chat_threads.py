@@ -1,23 +1,33 @@
 """Chat formatting by quotation linking (operator 8), in DataFrame functions only.
 
-Lines that begin with ``>`` marks are quoted, one level per mark.  A quoted line
-is normalised (lower case, runs of other characters than letters and digits
-become one space) and hashed; so is each line that a message says itself.  A
-quoted line belongs to the first earlier message of its conversation that said
-it.  A message replies to the message that it quotes at the lowest level, with
-most characters, then latest.  Threads are the trees of these links; every
-message carries its thread's root, its depth, and its text without quotes and
-without the line that introduces a quote, so that sorting by conversation,
-thread root and turn puts each reply after what it answers.
-
-Each (conversation, line) keeps only its first turn before the join, so a line
-that thousands of messages share meets each quote once.  Roots come from pointer
-jumping over the links, in rounds written to the shared folder; no conversation
-is gathered into one task.
+Lines that begin with ``>`` marks are quoted, one level per mark.  Contiguous
+lines of one level are a passage; so are contiguous lines that a message says
+itself.  A passage is normalised across its line ends (lower case, runs of other
+characters than letters and digits become one space), so a quote that a mail
+client wrapped anew stays the same.  Each run of ``WINDOW`` words of a passage is
+hashed; a passage of fewer words is hashed whole, and so is each line of fewer
+words that a message says itself.
+
+A window belongs to the first message of its conversation that said it.  A quoted
+passage belongs to the earlier message that first said most of its windows, half
+of them at least; the latest of equals.  A message replies to the message of its
+quoted passage of the lowest level, with most characters, then latest.  Threads
+are the trees of these links; every message carries its thread's root, its depth,
+its text without quotes and without the line that introduces a quote, and that
+text in chat form, so that sorting by conversation, thread root and turn puts
+each reply after what it answers.
+
+Each (conversation, window) keeps only its first turn before the join, so a line
+that thousands of messages share meets each quote once.  Only conversations with
+a quote are cut into windows.  Roots come from pointer jumping over the links, in
+rounds written to the shared folder; no conversation is gathered into one task.
 
 Defined results: null and empty texts have an empty text and no link; messages
 without conversation or turn are their own roots without links; repeated rows
-stay repeated; a message never replies to a later turn or to itself.
+stay repeated; rows that share conversation and turn have links of their own, and
+replies to that turn go on from the largest of them; a message never replies to a
+later turn or to itself; a very long text costs time in proportion to its length;
+other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,6 +37,7 @@ from pyspark.sql import functions as F
 
 from mudline.llm.shared import written
 
+WINDOW = 5
 MARKS = r"^((?:[ \t]*>)+)"
 INTRODUCES = r"wrote:\s*$"
 
@@ -35,38 +46,64 @@ def level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"[^\p{L}\p{N}]+", " "))
+def normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def own_lines(lines: Column) -> Column:
-    """The lines that a message says itself."""
-    after = lambda i: F.coalesce(F.get(lines, i + 1), F.lit(""))
-    return F.filter(lines, lambda x, i: (level(x) == 0) & ~(x.rlike(INTRODUCES) & (level(after(i)) > 0)))
+def windows(norm: Column) -> Column:
+    """Hashes of each run of ``WINDOW`` words, or of the whole of fewer words."""
+    words = F.split(norm, " ")
+    long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))
+    return F.array_distinct(long)
 
 
 def messages_of(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    rows = chats.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.split("text", "\n", -1)
-    return rows.select("conv_id", "turn", "role", own_lines(lines).alias("own"), F.filter(lines, lambda x: level(x) > 0).alias("quoted"))
+    """Messages with ``mark`` (of the text), ``own`` (their own lines) and ``passages`` (kind: level, 0 for own words, -1 for introductions; place; norm)."""
+    column = lambda c: F.col(f"`{c}`")
+    rows = chats.select(column(conv_col).alias("conv_id"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.split("text", "\n", -1))
+    levels = rows.withColumn("levels", F.transform("lines", level))
+    after = lambda i: F.coalesce(F.get("levels", i + 1), F.lit(0))
+    kind = lambda x, i: F.when(F.get("levels", i) > 0, F.get("levels", i)).when((after(i) > 0) & x.rlike(INTRODUCES), F.lit(-1)).otherwise(F.lit(0))
+    kinds = levels.withColumn("kinds", F.transform("lines", kind))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("kinds", i) != F.get("kinds", i - 1)))
+    cut = kinds.withColumn("begins", begins).withColumn("plain", F.transform("lines", lambda x: F.regexp_replace(x, MARKS, "")))
+    passage = lambda b, k: F.struct(
+        F.get("kinds", b).alias("kind"), k.alias("place"), normal(F.array_join(F.slice("plain", b + 1, F.coalesce(F.get("begins", k + 1), F.size("plain")) - b), " ")).alias("norm")
+    )
+    own = F.filter("lines", lambda _, i: F.get("kinds", i) == 0)
+    return cut.select("conv_id", "turn", "role", "mark", own.alias("own"), F.size(F.filter("kinds", lambda x: x > 0)).cast("long").alias("n_quoted"), F.filter(F.transform("begins", passage), lambda p: p["norm"] != "").alias("passages"))
+
+
+def first_said(messages: DataFrame) -> DataFrame:
+    """``conv_id``, ``window`` and ``origin``: the first turn that says a window itself."""
+    short = F.filter(F.transform("own", normal), lambda x: (x != "") & (F.size(F.split(x, " ")) < WINDOW))
+    parts = F.concat(F.transform(F.filter("passages", lambda p: p["kind"] == 0), lambda p: p["norm"]), short)
+    said = messages.select("conv_id", "turn", F.explode(parts).alias("norm")).select("conv_id", "turn", F.explode(windows(F.col("norm"))).alias("window"))
+    return said.groupBy("conv_id", "window").agg(F.min("turn").alias("origin"))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``reply_to`` and ``n_linked`` (quoted lines with an origin) of messages that quote earlier ones."""
+    """``conv_id``, ``turn``, ``mark``, ``reply_to`` and ``n_linked`` (quoted passages with an origin) of messages that quote earlier ones."""
     placed = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    said = placed.select("conv_id", "turn", F.explode("own").alias("line")).select("conv_id", "turn", normal(F.col("line")).alias("line")).filter("line <> ''")
-    first = said.groupBy("conv_id", F.xxhash64("line").alias("hash"), F.md5("line").alias("check")).agg(F.min("turn").alias("origin"))
-    quotes = placed.select("conv_id", "turn", F.explode("quoted").alias("line")).select("conv_id", "turn", level(F.col("line")).alias("level"), normal(F.col("line")).alias("line")).filter("line <> ''")
-    keyed = quotes.select("conv_id", "turn", "level", F.length("line").alias("chars"), F.xxhash64("line").alias("hash"), F.md5("line").alias("check"))
-    met = keyed.join(first, ["conv_id", "hash", "check"]).filter("origin < turn")
-    per_origin = met.groupBy("conv_id", "turn", "origin").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    quoting = placed.filter(F.exists("passages", lambda p: p["kind"] > 0))
+    first = first_said(placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi"))
+    quotes = quoting.distinct().select("conv_id", "turn", "mark", F.explode(F.filter("passages", lambda p: p["kind"] > 0)).alias("p"))
+    cut = quotes.select("conv_id", "turn", "mark", "p.place", F.col("p.kind").alias("level"), F.length("p.norm").alias("chars"), windows(F.col("p.norm")).alias("all"))
+    keyed = cut.withColumn("n", F.size("all")).withColumn("window", F.explode("all")).drop("all")
+    met = keyed.join(first, ["conv_id", "window"]).filter("origin < turn")
+    passage = ["conv_id", "turn", "mark", "place"]
+    votes = met.groupBy(*passage, "level", "chars", "n", "origin").agg(F.count("*").alias("votes")).filter("2 * votes >= n")
+    owner = votes.groupBy(*passage, "level", "chars").agg(F.max(F.struct("votes", "origin"))["origin"].alias("origin"))
     best = F.max(F.struct((-F.col("level")).alias("level"), "chars", "origin")).alias("best")
-    return per_origin.groupBy("conv_id", "turn").agg(best, F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("reply_to"), "n_linked")
+    per_origin = owner.groupBy("conv_id", "turn", "mark", "origin").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"), F.count("*").alias("passages"))
+    return per_origin.groupBy("conv_id", "turn", "mark").agg(best, F.sum("passages").alias("n_linked")).select("conv_id", "turn", "mark", F.col("best.origin").alias("reply_to"), "n_linked")
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``thread_root`` and ``depth`` for each link's message, by pointer jumping."""
-    at = written(links.select("conv_id", "turn", F.col("reply_to").alias("thread_root"), F.lit(1).cast("long").alias("depth")), "threads")
+    """``conv_id``, ``turn``, ``thread_root`` and ``depth`` of each turn with a link, by pointer jumping."""
+    at = written(links.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("thread_root")).withColumn("depth", F.lit(1).cast("long")), "threads")
     while True:
         up = at.select("conv_id", F.col("turn").alias("thread_root"), F.col("thread_root").alias("above"), F.col("depth").alias("more"))
         step = at.join(up, ["conv_id", "thread_root"], "left")
@@ -78,16 +115,20 @@ def thread_roots(links: DataFrame) -> DataFrame:
 
 
 def link_quotes(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row per message: conv_id, turn, role, reply_to, thread_root, depth, n_quoted, n_linked, clean_text."""
+    """A row per message: conv_id, turn, role, reply_to, thread_root, depth, n_quoted, n_linked, clean_text and formatted."""
     messages = messages_of(chats, conv_col, turn_col, role_col, text_col)
     links = written(reply_links(messages), "replies")
-    rows = messages.select("conv_id", "turn", "role", F.size("quoted").cast("long").alias("n_quoted"), F.trim(F.array_join("own", "\n")).alias("clean_text"))
-    threads = links.join(thread_roots(links), ["conv_id", "turn"])
-    return rows.join(threads, ["conv_id", "turn"], "left").select(
+    rows = messages.select("conv_id", "turn", "mark", "role", "n_quoted", F.trim(F.array_join("own", "\n")).alias("clean_text"))
+    above = thread_roots(links).select("conv_id", F.col("turn").alias("reply_to"), F.col("thread_root").alias("root_above"), F.col("depth").alias("depth_above"))
+    threads = links.join(above, ["conv_id", "reply_to"], "left").select(
+        "conv_id", "turn", "mark", "reply_to", "n_linked", F.coalesce("root_above", "reply_to").alias("thread_root"), (F.coalesce("depth_above", F.lit(0)) + 1).cast("long").alias("depth")
+    )
+    told = rows.join(threads, ["conv_id", "turn", "mark"], "left").select(
         "conv_id", "turn", "role", "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "clean_text"
     )
+    return chat_template(told)
 
 
 def chat_template(threads: DataFrame) -> DataFrame:
-    """``link_quotes`` rows with ``formatted``, the message in chat form; sort by conv_id, thread_root, turn to read."""
+    """``formatted``: the message in chat form; sort by conv_id, thread_root, turn to read a conversation in reply order."""
     return threads.withColumn("formatted", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("clean_text"), F.lit("\n")))

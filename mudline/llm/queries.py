@@ -89,36 +89,53 @@ QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_bpe_tree, op3_si
 #: Quotation linking as SQL: the same rules over list functions, and a recursive walk to each root.
 OP8_SQL = r"""
 WITH RECURSIVE msgs AS (
-  SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations
 ), lined AS (
-  SELECT rid, conv_id, turn, role, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM msgs
+  SELECT rid, conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM msgs
 ), levelled AS (
   SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS lvl FROM lined
-), marked AS (
-  SELECT *, coalesce(lead(lvl) OVER (PARTITION BY rid ORDER BY i), 0) AS next_lvl FROM levelled
-), parts AS (
-  SELECT *, lvl = 0 AND NOT (regexp_matches(line, 'wrote:\s*$') AND next_lvl > 0) AS own,
-    trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM marked
-), origins AS (
-  SELECT conv_id, norm, min(turn) AS origin FROM parts WHERE own AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
-), met AS (
-  SELECT p.conv_id, p.turn, o.origin, min(p.lvl) AS lvl, sum(length(p.norm)) AS chars, count(*) AS n
-  FROM parts p JOIN origins o ON p.conv_id = o.conv_id AND p.norm = o.norm WHERE p.lvl > 0 AND p.norm <> '' AND o.origin < p.turn GROUP BY 1, 2, 3
+), kinds AS (
+  SELECT *, CASE WHEN lvl > 0 THEN lvl WHEN regexp_matches(line, 'wrote:\s*$') AND coalesce(lead(lvl) OVER (PARTITION BY rid ORDER BY i), 0) > 0 THEN -1 ELSE 0 END AS kind FROM levelled
+), starts AS (
+  SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS starts FROM kinds
+), runs AS (
+  SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY i) AS run FROM starts
+), passages AS (
+  SELECT rid, conv_id, turn, run, kind, trim(regexp_replace(lower(string_agg(regexp_replace(line, '^((?:[ \t]*>)+)', ''), ' ' ORDER BY i)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM runs GROUP BY ALL
+), own_parts AS (
+  SELECT conv_id, turn, norm FROM passages WHERE kind = 0 AND norm <> ''
+  UNION ALL
+  SELECT conv_id, turn, n FROM (SELECT conv_id, turn, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM runs WHERE kind = 0) x WHERE n <> '' AND len(string_split(n, ' ')) < 5
+), own_windows AS (
+  SELECT conv_id, turn, unnest(list_transform(range(1, greatest(len(string_split(norm, ' ')) - 3, 2)), lambda k: array_to_string(string_split(norm, ' ')[k:k+4], ' '))) AS w FROM own_parts
+), first_said AS (
+  SELECT conv_id, w, min(turn) AS origin FROM own_windows WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+), quotes AS (
+  SELECT rid, conv_id, turn, run, kind AS lvl, length(norm) AS chars, list_distinct(list_transform(range(1, greatest(len(string_split(norm, ' ')) - 3, 2)), lambda k: array_to_string(string_split(norm, ' ')[k:k+4], ' '))) AS ws
+  FROM passages WHERE kind > 0 AND norm <> ''
+), votes AS (
+  SELECT rid, run, lvl, chars, n, origin, count(*) AS votes FROM (SELECT *, len(ws) AS n, unnest(ws) AS w FROM quotes) q JOIN first_said f ON q.conv_id = f.conv_id AND q.w = f.w AND f.origin < q.turn GROUP BY ALL HAVING 2 * count(*) >= n
+), owners AS (
+  SELECT rid, run, lvl, chars, origin FROM (SELECT *, row_number() OVER (PARTITION BY rid, run ORDER BY votes DESC, origin DESC) AS k FROM votes) x WHERE k = 1
+), per_origin AS (
+  SELECT rid, origin, min(lvl) AS lvl, sum(chars) AS chars, count(*) AS n FROM owners GROUP BY 1, 2
 ), links AS (
-  SELECT conv_id, turn, origin AS reply_to, total AS n_linked FROM (
-    SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS total, row_number() OVER (PARTITION BY conv_id, turn ORDER BY lvl, chars DESC, origin DESC) AS k FROM met) x WHERE k = 1
+  SELECT p.rid, m.conv_id, m.turn, origin AS reply_to, total AS n_linked FROM (
+    SELECT *, sum(n) OVER (PARTITION BY rid) AS total, row_number() OVER (PARTITION BY rid ORDER BY lvl, chars DESC, origin DESC) AS k FROM per_origin) p JOIN msgs m ON p.rid = m.rid WHERE k = 1
+), turns AS (
+  SELECT conv_id, turn, max(reply_to) AS reply_to FROM links GROUP BY 1, 2
 ), walk AS (
-  SELECT conv_id, turn, reply_to AS at_turn, 1 AS depth FROM links
+  SELECT rid, conv_id, reply_to AS at_turn, 1 AS depth FROM links
   UNION ALL
-  SELECT w.conv_id, w.turn, l.reply_to, w.depth + 1 FROM walk w JOIN links l ON w.conv_id = l.conv_id AND w.at_turn = l.turn
+  SELECT w.rid, w.conv_id, t.reply_to, w.depth + 1 FROM walk w JOIN turns t ON w.conv_id = t.conv_id AND w.at_turn = t.turn
 ), roots AS (
-  SELECT conv_id, turn, max(depth) AS depth, min(at_turn) AS thread_root FROM walk GROUP BY 1, 2
+  SELECT rid, max(depth) AS depth, min(at_turn) AS thread_root FROM walk GROUP BY 1
 ), texts AS (
-  SELECT rid, coalesce(trim(string_agg(CASE WHEN own THEN line END, chr(10) ORDER BY i), ' '), '') AS clean_text, count(*) FILTER (WHERE lvl > 0) AS n_quoted FROM parts GROUP BY rid
+  SELECT rid, coalesce(trim(string_agg(CASE WHEN kind = 0 THEN line END, chr(10) ORDER BY i), ' '), '') AS clean_text, count(*) FILTER (WHERE kind > 0) AS n_quoted FROM runs GROUP BY rid
 )
 SELECT m.conv_id, m.turn, m.role, l.reply_to, coalesce(r.thread_root, m.turn) AS thread_root, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth,
-  CAST(t.n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(l.n_linked, 0) AS BIGINT) AS n_linked, t.clean_text
-FROM msgs m JOIN texts t ON m.rid = t.rid LEFT JOIN links l ON m.conv_id = l.conv_id AND m.turn = l.turn LEFT JOIN roots r ON m.conv_id = r.conv_id AND m.turn = r.turn
+  CAST(t.n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(l.n_linked, 0) AS BIGINT) AS n_linked, t.clean_text, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || t.clean_text || chr(10) AS formatted
+FROM msgs m JOIN texts t ON m.rid = t.rid LEFT JOIN links l ON m.rid = l.rid LEFT JOIN roots r ON m.rid = r.rid
 """
 
 ORACLES = {"op8_quotation_linking": OP8_SQL}

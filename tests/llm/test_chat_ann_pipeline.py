@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import duckdb
@@ -15,6 +16,8 @@ from mudline.llm import ann_forest, chat_threads, queries, quality_rules
 CHATS = [
     ("c", 1, "user", "Hello there, world!\nHow are you?"), ("c", 2, "assistant", "On Monday X wrote:\n> hello   THERE world\nFine."), ("c", 3, "user", "> Fine.\n>> Hello there, world\nGood"), ("c", 4, "user", "unrelated"),
     ("c", 5, "user", "> never said\nwhat"), ("d", 1, "user", "> quoted later\nfirst"), ("d", 2, "user", "quoted later"), ("c", 3, "user", "> Fine.\n>> Hello there, world\nGood"), (None, 1, "user", "> Fine."), ("e", None, None, None), ("e", 9, "user", ""),
+    ("w", 1, "user", "A first line that the mail client\nwill wrap anew when it is quoted, and more words after it."), ("w", 2, "user", "> A first line that the mail\n> client will wrap anew\n> when it is quoted,\nYes."), ("w", 3, "user", ">> will wrap anew when it is quoted\n> Yes.\nNo."),
+    ("w", 3, "user", "> A first line that the mail client\nanother text of the same turn"), ("w", 4, "user", "> No.\nwell"), ("w", 5, "user", "ok\n" * 3), ("w", 6, "user", "> ok\nfine"), ("w", 7, "user", "> ok then if you say so\nhm"),
 ]
 
 
@@ -30,20 +33,54 @@ def test_quotes_link_to_their_origin(chats):
     assert [(got["c", t].reply_to, got["c", t].thread_root, got["c", t].depth) for t in range(1, 6)] == [(None, 1, 0), (1, 1, 1), (2, 1, 2), (None, 4, 0), (None, 5, 0)]
     assert got["c", 2].clean_text == "Fine." and got["c", 3].clean_text == "Good"
     assert got["d", 1].reply_to is None and got["e", None].clean_text == ""
+    # wrapped anew, nested, and a turn of two texts
+    assert got["w", 2].reply_to == 1 and got["w", 4].reply_to == 3 and got["w", 4].thread_root == 1 and got["w", 4].depth == 3
+    assert sorted(r.reply_to for r in rows if (r.conv_id, r.turn) == ("w", 3)) == [1, 2]
+    assert got["w", 6].reply_to == 5 and got["w", 7].reply_to is None
     assert chat_threads.link_quotes(chats.limit(0)).count() == 0
-    text = chat_threads.chat_template(chat_threads.link_quotes(chats)).filter("conv_id = 'c' AND turn = 2").first().formatted
-    assert text == "<|assistant|>\nFine.\n"
-
-
-def test_quotes_as_sql(chats):
+    assert got["c", 2].formatted == "<|assistant|>\nFine.\n"
+
+
+def long_chats(n=3000, seed=4):
+    """Conversations of messages that quote earlier ones at several levels, wrapped anew, whole or in part."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    rows, said = [], {}
+    for k in range(n):
+        conv, turn = f"c{rng.randrange(40)}", k
+        lines = []
+        for other in rng.sample(said.get(conv, []), min(len(said.get(conv, [])), rng.choice([0, 1, 1, 2]))):
+            quoted = other.split()
+            part = quoted[rng.randrange(2) :][: rng.randint(3, 40)]
+            mark = rng.choice(["> ", ">> ", ">>> ", ">"])
+            if rng.random() < 0.3:
+                lines.append("On Friday someone wrote:")
+            width = rng.randint(3, 9)
+            lines += [mark + " ".join(part[i : i + width]) for i in range(0, len(part), width)] + ([""] if rng.random() < 0.5 else [])
+        own = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))) if rng.random() > 0.1 else "ok"
+        said.setdefault(conv, []).append(own)
+        rows.append((conv, turn, rng.choice(["user", "assistant", None]), "\n".join([*lines, own])))
+    return rows
+
+
+def as_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id VARCHAR, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(c) for c in CHATS])
-    names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "n_quoted", "n_linked", "clean_text"]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(c) for c in rows])
+    names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "n_quoted", "n_linked", "clean_text", "formatted"]
     cur = con.execute(queries.OP8_SQL)
     at = [[d[0] for d in cur.description].index(n) for n in names]
-    want = sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=str)
+    return names, sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=str)
+
+
+def test_quotes_as_sql(spark, chats):
+    names, want = as_sql(CHATS)
     assert sorted((tuple(r) for r in chat_threads.link_quotes(chats).select(*names).collect()), key=str) == want
+    rows = long_chats()
+    names, want = as_sql(rows)
+    got = chat_threads.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).select(*names).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert sum(r.reply_to is not None for r in got) > 1000 and max(r.depth for r in got) > 3
 
 
 def test_no_python_in_chat_plans(chats):
