@@ -7,7 +7,8 @@ match of higher priority (an equal interval: of an earlier rule); matches of the
 base phrases always stay.
 
 Defined results: null and empty texts have no words and no labels; repeated rows
-give repeated results; extra columns are ignored.
+give repeated results; of equal intervals the earlier rule stays; very long texts
+are scanned whole; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
