@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mudline.config import DEFAULT, Config
 from mudline.functions.frames import so_far
 from mudline.functions.physics import ratio
+from mudline.operators.kernels import in_order, places
 
 
 def long_form(rows: DataFrame, channels: list[str]) -> DataFrame:
@@ -73,17 +74,19 @@ def moving_baseline(rows: DataFrame, channel: str, fast: float = 0.5, slow: floa
     schema = f"well_id long, ts long, seq long, {channel} double, idx long, ema double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        well, n, ema = None, 0, 0.0
+        n, ema = 0, 0.0
         for b in batches:
-            v, wells = b[channel].to_numpy(), b["well_id"].to_numpy()
-            idx, out = np.empty(len(b), np.int64), np.empty(len(b))
+            if b.empty:
+                continue
+            begins = set(places(b["_place"], n))
+            v, out = b[channel].to_numpy(), np.empty(len(b))
             for i in range(len(b)):
-                if wells[i] != well:
-                    well, n, ema = wells[i], 0, 0.0
+                if i in begins:
+                    n, ema = 0, 0.0
                 if v[i] > 0:
                     ema = v[i] if ema == 0 else ema + (fast if n < warm else slow) * (v[i] - ema)
                 n += 1
-                idx[i], out[i] = n, ema
-            yield b.assign(idx=idx, ema=out)
+                out[i] = ema
+            yield b.rename(columns={"_place": "idx"}).assign(ema=out)
 
-    return rows.select("well_id", "ts", "seq", channel).repartition("well_id").sortWithinPartitions("well_id", "ts", "seq").mapInPandas(run, schema)
+    return in_order(rows.select("well_id", "ts", "seq", channel), "well_id", ("ts", "seq")).mapInPandas(run, schema)

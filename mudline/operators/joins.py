@@ -1,4 +1,4 @@
-"""Range, as-of and nearest joins as equi-joins plus residual predicates; no private API, no cross join of large sides."""
+"""Range, as-of and nearest joins as equi-joins plus residual predicates; no private API, no cross join but with one row."""
 
 from __future__ import annotations
 
@@ -6,32 +6,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
+CELL = 100.0
 
 
-def range_join(points: DataFrame, intervals: DataFrame, at: str, top: str, base: str, cell: float = 100.0, how: str = "left") -> DataFrame:
-    """Points with the intervals [top, base) that hold them, left or inner.
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast where they are few (checked); larger ones are left to shuffle joins."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
 
-    A checked-small interval side is broadcast; a larger one is laid out over
-    cells of the axis and joined by cell, so work follows the overlaps.
+
+def in_cells(intervals: DataFrame, top: str, base: str, cell: float = CELL) -> DataFrame:
+    """Intervals [top, base) laid out over cells of the axis, one row per cell that they meet."""
+    whole = intervals.filter(F.col(top) < F.col(base))
+    return whole.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(top) / cell), F.ceil(F.col(base) / cell) - 1)))
+
+
+def range_join(points: DataFrame, intervals: DataFrame, at: str, top: str, base: str, cell: float = CELL, how: str = "left") -> DataFrame:
+    """Points with all the intervals [top, base) that hold them, left or inner.
+
+    An equi-join by cell of the axis, so work follows the overlaps; few cells are
+    broadcast.
     """
-    inside = (F.col(at) >= F.col(top)) & (F.col(at) < F.col(base))
-    if intervals.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return points.join(F.broadcast(intervals), inside, how)
-    cells = intervals.withColumn("cell", F.explode(F.sequence(F.floor(F.col(top) / cell), F.floor(F.col(base) / cell))))
-    placed = points.withColumn("cell", F.floor(F.col(at) / cell))
-    return placed.join(cells, (placed["cell"] == cells["cell"]) & inside, how).drop("cell")
+    cells = small(in_cells(intervals, top, base, cell).withColumnRenamed("_cell", "_their_cell"))
+    placed = points.withColumn("_cell", F.floor(F.col(at) / cell))
+    inside = (F.col("_cell") == F.col("_their_cell")) & (F.col(at) >= F.col(top)) & (F.col(at) < F.col(base))
+    return placed.join(cells, inside, how).drop("_cell", "_their_cell")
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str, top: str, base: str) -> DataFrame:
+def first_interval(points: DataFrame, intervals: DataFrame, at: str, top: str, base: str, cell: float = CELL) -> DataFrame:
     """Each point with the first interval, by top, that holds it (NULLs where none does).
 
-    The first match is an aggregate, so a point's matches combine before the shuffle.
+    Intervals are made disjoint in each cell first (the smaller top wins, then the
+    smaller base), so a point meets one at most and no aggregate follows.
     """
-    rest = [c for c in points.columns if c not in key]
-    found = F.struct(*[F.col(c) for c in [top, *(c for c in intervals.columns if c != top)]])
-    joined = range_join(points, intervals, at, top, base)
-    picked = joined.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.min(F.when(F.col(top).isNotNull(), found)).alias("found"))
-    return picked.select(*key, *rest, *[F.col(f"found.{c}").alias(c) for c in intervals.columns])
+    order = Window.partitionBy("_their_cell").orderBy(top, base)
+    clipped = in_cells(intervals, top, base, cell).withColumnRenamed("_cell", "_their_cell").withColumns({
+        "_from": F.greatest(F.col(top), F.col("_their_cell") * cell), "_to": F.least(F.col(base), (F.col("_their_cell") + 1) * cell),
+    })
+    taken = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cells = small(clipped.withColumn("_from", F.greatest(F.col("_from"), F.coalesce(taken, F.col("_from")))).filter("_from < _to"))
+    placed = points.withColumn("_cell", F.floor(F.col(at) / cell))
+    inside = (F.col("_cell") == F.col("_their_cell")) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))
+    return placed.join(cells, inside, "left").select(*points.columns, *intervals.columns)
+
+
+def neighbours_on_axis(points: DataFrame, marks: DataFrame, at: str, mark: str, name: str, cell: float = CELL) -> DataFrame:
+    """Each point with the last mark at or before it and the next one after it: ``last_mark``, ``last_name``, ``next_mark``, ``next_name``.
+
+    Marks of equal place keep the smallest name.  Neighbouring marks make spans,
+    which are joined by cell; only cells, as many as the axis is long, are ever
+    sorted in one task.
+    """
+    one = marks.groupBy(F.col(mark).alias("m")).agg(F.min(name).alias("n")).filter("m IS NOT NULL").withColumn("c", F.floor(F.col("m") / cell))
+    first = one.groupBy("c").agg(F.min(F.struct("m", "n")).alias("first"))
+    following = first.select("c", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("c")).alias("beyond"))
+    inside = F.lead(F.struct("m", "n")).over(Window.partitionBy("c").orderBy("m"))
+    spans = one.withColumn("inside", inside).join(following, "c").select("m", "n", F.coalesce("inside", "beyond").alias("after"))
+    ends = one.agg(F.min(F.struct("m", "n")).alias("lowest"), F.max(F.struct("m", "n")).alias("highest"))
+    closed = spans.filter("after IS NOT NULL").select(F.col("m").alias("last_mark"), F.col("n").alias("last_name"), F.col("after.m").alias("next_mark"), F.col("after.n").alias("next_name"))
+    met = range_join(points, closed, at, "last_mark", "next_mark", cell).join(F.broadcast(ends), how="cross")
+    below, above = F.col(at) < F.col("lowest.m"), F.col(at) >= F.col("highest.m")
+    return met.withColumns({
+        "last_mark": F.coalesce("last_mark", F.when(above, F.col("highest.m"))), "last_name": F.coalesce("last_name", F.when(above, F.col("highest.n"))),
+        "next_mark": F.coalesce("next_mark", F.when(below, F.col("lowest.m"))), "next_name": F.coalesce("next_name", F.when(below, F.col("lowest.n"))),
+    }).drop("lowest", "highest")
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, carry: list[str], forward: bool = False) -> DataFrame:
@@ -50,18 +87,11 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c if c not in left.columns else f"right_{c}") for c in carry])
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: list[str], distance: str) -> DataFrame:
-    """Each point with its nearest target by the SQL expression ``distance``; the first target on ties.
-
-    ``targets`` is a small dimension (checked), broadcast against the points.
-    """
-    if targets.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError("nearest() takes a small set of targets")
-    names = list(targets.columns)
-    joined = points.join(F.broadcast(targets), how="cross").withColumn("_d", F.expr(distance))
-    rest = [c for c in points.columns if c not in key]
-    best = joined.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.min(F.struct(F.col("_d"), *[F.col(c) for c in names])).alias("_best"))
-    return best.select(*key, *rest, *[F.col(f"_best.{c}").alias(c) for c in names], F.col("_best._d").alias("distance"))
+def nearest_centroid(points: DataFrame, vector: str, centroids: list[list[float]]) -> DataFrame:
+    """``centroid`` (its place, the first on ties) and ``distance`` (squared) of each point; a literal of a few centroids, no join."""
+    gap = lambda c: F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.array(*[F.struct(gap(c).alias("distance"), F.lit(i).alias("centroid")) for i, c in enumerate(centroids)]))
+    return points.withColumn("_best", best).withColumns({"centroid": F.col("_best.centroid"), "distance": F.col("_best.distance")}).drop("_best")
 
 
 def fallback(rows: DataFrame, special: DataFrame, general: DataFrame, special_keys: list[str], general_keys: list[str], values: list[str]) -> DataFrame:

@@ -15,8 +15,25 @@ import math
 from collections.abc import Iterator
 from typing import Any, ClassVar
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def plain(value: Any) -> Any:
+    """State as JSON values; arrays keep their shape."""
+    if isinstance(value, np.ndarray):
+        return {"array": value.ravel().tolist(), "shape": list(value.shape), "kind": value.dtype.str}
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    return [plain(v) for v in value] if isinstance(value, (list, tuple)) else value.item() if isinstance(value, np.generic) else value
+
+
+def restored(value: Any) -> Any:
+    if isinstance(value, dict):
+        return np.array(value["array"], value["kind"]).reshape(value["shape"]) if set(value) == {"array", "shape", "kind"} else {k: restored(v) for k, v in value.items()}
+    return [restored(v) for v in value] if isinstance(value, list) else value
 
 
 class Kernel:
@@ -55,30 +72,10 @@ class DepthContinuity(Kernel):
         return (verdict,)
 
 
-class ParamChange(Kernel):
-    """Seconds since weight (2 klbs) or speed (10 rpm) last left its mean of the 30 seconds before."""
-
-    schema = "since_change long"
-    reads = ("ts", "wob", "rpm")
-
-    def start(self) -> dict[str, Any]:
-        return {"window": [], "changed": 0}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        s["window"] = w = [e for e in s["window"] if e[0] >= x["ts"] - 30]
-        if w:
-            if abs(x["wob"] - sum(e[1] for e in w) / len(w)) > 2 or abs(x["rpm"] - sum(e[2] for e in w) / len(w)) > 10:
-                s["changed"] = x["ts"]
-        elif s["changed"] == 0:
-            s["changed"] = x["ts"]
-        w.append([x["ts"], x["wob"], x["rpm"]])
-        return (max(x["ts"] - s["changed"], 0),)
-
-
 class ConnectionGas(Kernel):
     """Gas before, at the peak of and after each pause in drilling; background by a slow moving mean."""
 
-    schema = "pre_gas double, peak_gas double, post_gas double, above_background double, gas_trend double"
+    schema = "pre_gas double, peak_gas double, post_gas double, above_background double, gas_trend double, trending boolean"
     reads = ("gas_units", "state")
 
     def start(self) -> dict[str, Any]:
@@ -86,7 +83,7 @@ class ConnectionGas(Kernel):
 
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
         gas, drilling = x["gas_units"], x["state"] in ("Drilling", "Reaming")
-        none = (None,) * 5
+        none = (None,) * 6
         if s["paused"] is None:
             if drilling:
                 s["last"] = gas
@@ -100,7 +97,8 @@ class ConnectionGas(Kernel):
         pre, peak = s["paused"]
         s["paused"], s["last"] = None, gas
         s["deltas"] = [*s["deltas"], peak - pre][-10:]
-        return (pre, peak, gas, max(peak - (s["background"] or 0.0), 0.0), slope(s["deltas"]))
+        trend = slope(s["deltas"])
+        return (pre, peak, gas, max(peak - (s["background"] or 0.0), 0.0), trend, len(s["deltas"]) >= 5 and trend > 0.1)
 
 
 def slope(values: list[float]) -> float:
@@ -140,8 +138,8 @@ class Conformal(Kernel):
 
     schema = "lower double, upper double, is_outlier boolean, deviation double, coverage double"
 
-    def __init__(self, channel: str, window: int = 200, target: float = 0.1, gamma: float = 0.005, least: float = 0.0):
-        self.channel, self.window, self.target, self.gamma, self.least = channel, window, target, gamma, least
+    def __init__(self, channel: str, window: int = 200, target: float = 0.1, gamma: float = 0.005, least: float = 0.0, floor: float | None = None):
+        self.channel, self.window, self.target, self.gamma, self.least, self.floor = channel, window, target, gamma, least, floor
         self.reads = (channel,)  # type: ignore[misc]
 
     def start(self) -> dict[str, Any]:
@@ -172,8 +170,10 @@ class Conformal(Kernel):
         self.push(s["values"], s["by_value"], v)
         self.push(s["residuals"], s["by_residual"], residual)
         mid, half = self.median(s["by_value"]), max(self.radius(s["by_residual"], s["alpha"]), self.least)
-        away = abs(v - mid)
-        return (mid - half, mid + half, away > half and len(s["residuals"]) >= 10, away / half if half > 1e-10 else 0.0, s["hits"] / s["n"])
+        away, lower = abs(v - mid), mid - half
+        if self.floor is not None:
+            lower = max(lower, self.floor)
+        return (lower, mid + half, away > half and len(s["residuals"]) >= 10, away / half if half > 1e-10 else 0.0, s["hits"] / s["n"])
 
 
 class Regimes(Kernel):
@@ -201,35 +201,44 @@ class Regimes(Kernel):
 
 
 class TransitionDetector(Kernel):
-    """A formation change: three features beyond two sigmas for five packets on end."""
+    """A formation change: three features beyond two sigmas for five packets on end, and no active advisory (``advised``)."""
 
     schema = "transition boolean"
 
     def __init__(self, features: tuple[str, ...], sigma: float = 2.0, least: int = 3, packets: int = 5):
-        self.reads, self.sigma, self.least, self.packets = features, sigma, least, packets  # type: ignore[misc]
+        self.features, self.sigma, self.least, self.packets = features, sigma, least, packets
+        self.reads = (*features, "advised")  # type: ignore[misc]
 
     def start(self) -> dict[str, Any]:
         return {"run": 0}
 
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        s["run"] = s["run"] + 1 if sum(x[f] > self.sigma for f in self.reads) >= self.least else 0
-        fires = s["run"] >= self.packets
+        s["run"] = s["run"] + 1 if sum(x[f] > self.sigma for f in self.features) >= self.least else 0
+        fires = s["run"] >= self.packets and not x["advised"]
         if fires:
             s["run"] = 0
         return (fires,)
 
 
 class TicketGate(Kernel):
-    """Which anomalies become tickets: state, cooldown in packets, depth and event time, progressive depth throttle, corroboration, debounce.
-
-    Time is event time, so replays give the same tickets.
+    """Which anomalies become tickets: state, cooldown in packets, depth and event time, progressive depth throttle, corroboration by intervals and by the nets, debounce.
+
+    ``severity`` is the ticket's (``tickets.base_severity``, adjusted), not the
+    cascade's word.  ``outlier`` says whether the trigger's own metric lies outside
+    its conformal interval, ``net_ok`` whether the calibrated nets score 0.4 or
+    more; NULL lets a ticket pass the interval rule and fails the net rule.  Well
+    control passes both.  After a restart the first ``bypass`` anomalies pass the
+    interval rule unseen.  Time is event time, so replays give the same tickets.
     """
 
     schema = "gate string"
-    reads = ("ts", "bit_depth", "state", "rule", "category", "severity", "corroborated")
+    reads = ("ts", "bit_depth", "state", "rule", "category", "severity", "outlier", "net_ok")
+
+    def __init__(self, bypass: int = 0):
+        self.bypass = bypass
 
     def start(self) -> dict[str, Any]:
-        return {"n": 0, "cool": {}, "sustained": {}, "run": {}}
+        return {"n": 0, "cool": {}, "sustained": {}, "run": {}, "bypass": self.bypass}
 
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
         s["n"] += 1
@@ -246,23 +255,74 @@ class TicketGate(Kernel):
             return ("state",)
         if category == "None":
             return ("normal",)
-        critical = x["severity"] == "CRITICAL"
-        packets, feet, seconds = (20, 10.0, 0) if critical else (50, 50.0, 60)
+        packets, feet, seconds = (20, 10.0, 0) if x["severity"] == "Critical" else (50, 50.0, 60)
         if last := s["cool"].get(category):
             if s["n"] - last[0] < packets and abs(depth - last[1]) < feet and x["ts"] - last[2] < max(seconds, 1):
                 return ("cooldown",)
-        sustained = s["sustained"].setdefault(category, {"count": 0, "depth": depth, "normal": 0})
-        if category != "WellControl" and sustained["count"] >= 3 and abs(depth - sustained["depth"]) < min(feet * 2.0 ** (sustained["count"] - 3), 500.0):
+        well, sustained = category == "WellControl", s["sustained"].get(category)
+        if not well and sustained and sustained["count"] >= 3 and abs(depth - sustained["depth"]) < min(feet * 2.0 ** (sustained["count"] - 3), 500.0):
             return ("throttled",)
-        if not x["corroborated"]:
-            return ("not_corroborated",)
+        if s["bypass"] > 0:
+            s["bypass"] -= 1
+        elif not well and x["outlier"] is False:
+            return ("no_interval",)
+        if not well and x["net_ok"] is not True:
+            return ("no_net",)
         if s["run"].get(x["rule"], 3) < 3:
             return ("debounce",)
         s["cool"][category] = [s["n"], depth, x["ts"]]
-        sustained.update(count=sustained["count"] + 1, depth=depth, normal=0)
+        s["sustained"][category] = {"count": (sustained["count"] if sustained else 0) + 1, "depth": depth, "normal": 0}
         return ("ticket",)
 
 
+class Bundle(Kernel):
+    """Conformal intervals of eleven metrics at once: which lie outside, how many, and whether the trigger of each category does."""
+
+    METRICS: ClassVar[tuple[str, ...]] = ("mse", "d_exponent", "dxc", "flow_balance", "spp", "torque", "rop", "wob", "rpm", "ecd", "pit_rate")
+    #: Metrics of which one must lie outside its interval for a category's ticket (fixed values).
+    TRIGGERS: ClassVar[dict[str, tuple[str, ...]]] = {"Hydraulics": ("spp", "ecd"), "Mechanical": ("torque", "wob"), "DrillingEfficiency": ("mse",), "Formation": ("d_exponent", "dxc")}
+    schema = "outliers int, outlier boolean"
+    reads = (*METRICS, "category")
+
+    def __init__(self, window: int = 200):
+        self.parts = {m: Conformal(m, window, floor=None if m in ("flow_balance", "pit_rate") else 0.0) for m in self.METRICS}
+
+    def start(self) -> dict[str, Any]:
+        return {m: k.start() for m, k in self.parts.items()}
+
+    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
+        out = {m: bool(k.step(s[m], x)[2]) for m, k in self.parts.items()}
+        triggers = self.TRIGGERS.get(x["category"])
+        # a metric counts as calibrated from ten residuals on
+        known = triggers is not None and any(len(s[m]["residuals"]) >= 10 for m in triggers)
+        return (sum(out.values()), any(out[m] for m in triggers) if known else None)
+
+
+class Chain(Kernel):
+    """Kernels one after the other in one pass; later ones read what earlier ones add."""
+
+    def __init__(self, *kernels: Kernel):
+        self.kernels = kernels
+        self.schema = ", ".join(k.schema for k in kernels)  # type: ignore[misc]
+        made: list[str] = []
+        wanted: list[str] = []
+        for k in kernels:
+            wanted += [r for r in k.reads if r not in made]
+            made += names_of(k.schema)
+        self.reads = tuple(dict.fromkeys(wanted))  # type: ignore[misc]
+
+    def start(self) -> dict[str, Any]:
+        return {"parts": [k.start() for k in self.kernels]}
+
+    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
+        out: tuple = ()
+        for k, state in zip(self.kernels, s["parts"], strict=True):
+            got = k.step(state, x)
+            x = x | dict(zip(names_of(k.schema), got, strict=True))
+            out += got
+        return out
+
+
 class RateLimiter(Kernel):
     """Recommendations pass after 300 s, or at once where the value moved by over 10 %."""
 
@@ -329,25 +389,6 @@ class Debounce(Kernel):
         return (s["now"],)
 
 
-class OncePerKey(Kernel):
-    """True the first time that a label appears."""
-
-    schema = "first_time boolean"
-
-    def __init__(self, channel: str):
-        self.reads, self.channel = (channel,), channel  # type: ignore[misc]
-
-    def start(self) -> dict[str, Any]:
-        return {"seen": []}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        v = x[self.channel]
-        fresh = v is not None and v not in s["seen"]
-        if fresh:
-            s["seen"].append(v)
-        return (fresh,)
-
-
 def names_of(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(",")]
 
@@ -357,24 +398,47 @@ def over(state: dict[str, Any], kernel: Kernel, frame: pd.DataFrame) -> list[tup
     return [kernel.step(state, dict(zip(kernel.reads, values, strict=True))) for values in zip(*columns, strict=True)]
 
 
+def in_order(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``_place`` (from 1) in their key's order, so that each key's rows stand side by side and sorted.
+
+    The row number's own shuffle and sort are those of earlier windows on the key,
+    so a kernel adds none.  Kernels check the places that they read.
+    """
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def places(column: pd.Series, before: int) -> list[int]:
+    """Row places that begin a key; fails where a row does not follow the one before."""
+    at = column.to_numpy()
+    follows = np.append(before, at[:-1]) + 1 == at
+    if not (follows | (at == 1)).all():
+        raise RuntimeError("rows of a key are not in order")
+    return np.flatnonzero(at == 1).tolist()
+
+
 def apply(rows: DataFrame, kernel: Kernel, key: str = "well_id", order: tuple[str, ...] = ("ts", "seq"), keep: tuple[str, ...] = ()) -> DataFrame:
-    """``kernel`` over each key's rows in order: one shuffle by key and one sort, rows streamed."""
+    """``kernel`` over each key's rows in order, rows streamed: the memory of one key's state."""
     columns = list(dict.fromkeys([key, *order, *keep, *kernel.reads]))
     added = names_of(kernel.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, kernel.start()
+        place, state = 0, kernel.start()
         for b in batches:
+            if b.empty:
+                continue
+            begins = places(b["_place"], place)
+            place = int(b["_place"].iloc[-1])
             out: list[tuple] = []
-            for k, part in b.groupby((b[key] != b[key].shift()).cumsum(), sort=False):
-                if part[key].iloc[0] != at:
-                    at, state = part[key].iloc[0], kernel.start()
-                out += over(state, kernel, part)
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(out, columns=added)], axis=1)
+            for a, z in zip([0, *begins], [*begins, len(b)], strict=True):
+                if a in begins:
+                    state = kernel.start()
+                if a < z:
+                    out += over(state, kernel, b.iloc[a:z])
+            yield pd.concat([b.drop(columns="_place").reset_index(drop=True), pd.DataFrame(out, columns=added)], axis=1)
 
     picked = rows.select(*columns)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema), kernel.schema])
-    return picked.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return in_order(picked, key, order).mapInPandas(run, schema)
 
 
 def apply_stream(rows: DataFrame, kernel: Kernel, key: str = "well_id", order: tuple[str, ...] = ("ts", "seq"), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -383,10 +447,10 @@ def apply_stream(rows: DataFrame, kernel: Kernel, key: str = "well_id", order: t
     added = names_of(kernel.schema)
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else kernel.start()
+        state = restored(json.loads(held.get[0])) if held.exists else kernel.start()
         rows_ = pd.concat(list(frames)).sort_values(list(order), ignore_index=True)
         out = over(state, kernel, rows_)
-        held.update((json.dumps(state),))
+        held.update((json.dumps(plain(state)),))
         yield pd.concat([rows_, pd.DataFrame(out, columns=added)], axis=1)
 
     picked = rows.select(*columns)

@@ -17,9 +17,12 @@ def with_state(packets: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def with_previous(packets: DataFrame) -> DataFrame:
     """Columns of the last active packet before, and the change of pit volume against the last positive one."""
     active = F.col("state").isin(*states.ACTIVE)
-    last = lambda cond, x: F.last(F.when(cond, F.col(x)), ignorenulls=True).over(before())
-    out = packets.withColumns({f"prev_{x}": last(active, x) for x in ("torque", "spp", "ts", "pit_volume", "wob", "rop")})
-    return out.withColumn("pit_change", F.coalesce(F.when(F.col("pit_volume") > 0, F.col("pit_volume") - last(F.col("pit_volume") > 0, "pit_volume")), F.lit(0.0)))
+    kept = F.struct(*(F.col(x) for x in ("torque", "spp", "ts", "pit_volume", "wob", "rop")))
+    last = lambda cond, x: F.last(F.when(cond, x), ignorenulls=True).over(before())
+    out = packets.withColumns({"last_active": last(active, kept), "last_pit": last(F.col("pit_volume") > 0, F.col("pit_volume"))})
+    out = out.withColumns({f"prev_{x}": F.col(f"last_active.{x}") for x in ("torque", "spp", "ts", "pit_volume", "wob", "rop")})
+    out = out.withColumn("pit_change", F.coalesce(F.when(F.col("pit_volume") > 0, F.col("pit_volume") - F.col("last_pit")), F.lit(0.0)))
+    return out.drop("last_active", "last_pit")
 
 
 def drilling_metrics(packets: DataFrame, c: Config = DEFAULT) -> DataFrame:

@@ -1,102 +1,248 @@
-"""Small liquid networks trained online per well: predict the next normalised features, score surprise.
-
-A closed-form continuous-time cell of two gates (h' = f g + (1 - f) h) over a
-sparse random wiring, one gradient step per packet with clipping and Adam.  Two
-nets of different pace run side by side; the higher surprise counts.  Seeds are
-this engine's own, so values are held by properties, not by other engines' ones.
+"""Liquid networks trained online per well: predict the next normalised features, score surprise.
+
+A net has sensory, inter, command and motor neurons over a sparse random wiring.
+A neuron past the sensory ones is a closed-form continuous-time cell: from its
+sources s it takes tau = softplus(a), f = sigmoid(-dt tau b), g = tanh(c), each of
+a, b, c a weighted sum of s, and becomes f g + (1 - f) h.  Command neurons also
+see their own last values.  Every packet trains the net on what it should have
+predicted, by gradients through the last ``depth`` steps (each further step
+counts ``decay`` times less), clipped and applied by Adam with a falling rate.
+
+A fast and a slow net run side by side and the higher surprise counts; a third
+one works on depth-ahead features and forgets its state at formation boundaries.
+Seeds are this engine's own, so values are held by properties (gradients against
+differences, learning), not by other engines' values.
 """
 
 from __future__ import annotations
 
-from typing import Any
+from typing import Any, ClassVar
 
 import numpy as np
 
 from mudline.operators.kernels import Kernel
 
-FEATURES = ("wob", "rop", "rpm", "torque", "spp", "flow_in", "flow_out", "gas_units")
+#: Features of the nets, in order; the first eight feed two sensory neurons each and weigh double in the loss (fixed values).
+FEATURES = ("wob", "rop", "rpm", "torque", "mse", "spp", "d_exponent", "hook_load", "ecd", "flow_balance", "pit_rate", "dxc", "pump_spm", "mud_weight_in", "gas_units", "pit_volume")
+#: Features of the depth-ahead net; the other eight are zero (fixed values).
+AHEAD = ("wob", "rop", "rpm", "torque", "mse", "d_exponent", "depth_into", "formation_hardness")
+#: Neurons by group: sensory, inter, command, motor.
+GROUPS = (24, 20, 12, 8)
+WEIGHT = np.array([2.0] * 8 + [1.0] * 8)
+CALIBRATED = 300
+
+
+def softplus(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 20, x, np.log1p(np.exp(np.minimum(x, 20))))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
 class Net:
-    """Weights, state and statistics of one network."""
-
-    def __init__(self, n_in: int, hidden: int, rate: float, seed: int):
-        r = np.random.default_rng(seed)
-        wired = lambda rows, cols, share: (r.random((rows, cols)) < share) * r.normal(0, 1 / np.sqrt(max(cols * share, 1)), (rows, cols))
-        self.w = {"fi": wired(hidden, n_in, 0.3), "gi": wired(hidden, n_in, 0.3), "fh": wired(hidden, hidden, 0.15), "gh": wired(hidden, hidden, 0.15), "o": r.normal(0, 1 / np.sqrt(hidden), (n_in, hidden)), "fb": np.zeros(hidden), "gb": np.zeros(hidden), "ob": np.zeros(n_in)}
-        self.masks = {k: (v != 0) if k in ("fi", "gi", "fh", "gh") else np.ones_like(v, bool) for k, v in self.w.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        self.h, self.rate, self.t = np.zeros(hidden), rate, 0
-        self.predicted: np.ndarray | None = None
-        self.cache: tuple | None = None
-        self.error_mean, self.error_square = 0.0, 0.0
-        self.feature_error = np.zeros(n_in)
-
-    def forward(self, x: np.ndarray) -> np.ndarray:
-        w, h = self.w, self.h
-        f = 1 / (1 + np.exp(-np.clip(w["fi"] @ x + w["fh"] @ h + w["fb"], -30, 30)))
-        g = np.tanh(w["gi"] @ x + w["gh"] @ h + w["gb"])
-        new = f * g + (1 - f) * h
-        self.cache, self.h = (x, h, f, g, new), new
-        return w["o"] @ new + w["ob"]
-
-    def gradients(self, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients of the last prediction, one step deep."""
-        x, h, f, g, new = self.cache  # type: ignore[misc]
-        e = self.w["o"] @ new + self.w["ob"] - target
-        dh = self.w["o"].T @ e
-        df, dg = dh * (g - h) * f * (1 - f), dh * f * (1 - g * g)
-        grads = {"fi": np.outer(df, x), "gi": np.outer(dg, x), "fh": np.outer(df, h), "gh": np.outer(dg, h), "o": np.outer(e, new), "fb": df, "gb": dg, "ob": e}
-        return float(0.5 * e @ e), {k: v * self.masks[k] for k, v in grads.items()}
-
-    def train(self, target: np.ndarray) -> float:
-        loss, grads = self.gradients(target)
+    """One network; its state is a dictionary of arrays and numbers."""
+
+    #: Depth, decay of further steps, first rate, its factor and floor, weight of new errors, packets until calibrated (fixed values).
+    KINDS: ClassVar[dict[str, tuple]] = {
+        "fast": (4, 0.7, 1e-3, 0.9999, 1e-4, 0.01, CALIBRATED),
+        "slow": (8, 0.85, 1e-4, 0.9999, 1e-5, 0.005, CALIBRATED),
+        "ahead": (6, 0.75, 5e-4, 0.9999, 5e-5, 0.008, 500),
+    }
+
+    def __init__(self, kind: str, seed: int, n_in: int = 16, groups: tuple[int, int, int, int] = GROUPS):
+        self.depth, self.decay, self.rate, self.fall, self.floor, self.mix, self.calibrated = self.KINDS[kind]
+        self.seed, self.n_in, self.groups = seed, n_in, groups
+        self.taps = np.concatenate([np.repeat(np.arange(n_in // 2), 2), np.arange(n_in // 2, n_in)])
+
+    def wiring(self) -> list[np.ndarray]:
+        """Which sources each group sees: 30 % of the group before, and 15 % of itself for command neurons; one at least."""
+        r = np.random.default_rng(self.seed)
+        out = []
+        for g in (1, 2, 3):
+            mask = r.random((self.groups[g], self.groups[g - 1])) < 0.3
+            mask[np.arange(len(mask)), r.integers(0, mask.shape[1], len(mask))] = True
+            if g == 2:
+                mask = np.concatenate([mask, r.random((self.groups[2], self.groups[2])) < 0.15], axis=1)
+            out.append(mask)
+        return out
+
+    def start(self) -> dict[str, Any]:
+        r = np.random.default_rng(self.seed + 1)
+        w: dict[str, np.ndarray] = {"in": r.normal(0, 1, len(self.taps))}
+        for g, mask in enumerate(self.wiring(), 1):
+            scale = 1 / np.sqrt(np.maximum(mask.sum(1, keepdims=True), 1))
+            for gate in "abc":
+                w[f"{gate}{g}"] = mask * r.normal(0, 1, mask.shape) * scale
+                w[f"{gate}{g}_bias"] = np.zeros(self.groups[g])
+        w["out"] = r.normal(0, 1 / np.sqrt(self.groups[3]), (self.n_in, self.groups[3]))
+        w["out_bias"] = np.zeros(self.n_in)
+        zero = {k: np.zeros_like(v) for k, v in w.items()}
+        hidden = [np.zeros(n) for n in self.groups[1:]]
+        return {"w": w, "m": zero, "v": {k: x.copy() for k, x in zero.items()}, "h": hidden, "steps": [], "t": 0, "rate": self.rate, "n": 0, "mean": 0.0, "square": 0.0, "rmse": 0.0, "errors": np.zeros(self.n_in), "last": np.zeros(self.n_in)}
+
+    def forward(self, s: dict[str, Any], x: np.ndarray, dt: float) -> np.ndarray:
+        """The prediction after ``x``; the step is kept for training."""
+        w, source = s["w"], x[self.taps] * s["w"]["in"]
+        step: dict[str, Any] = {"x": x, "dt": dt, "groups": []}
+        hidden = []
+        for g in (1, 2, 3):
+            seen = np.concatenate([source, s["h"][1]]) if g == 2 else source
+            a, b, c = (w[f"{k}{g}"] @ seen + w[f"{k}{g}_bias"] for k in "abc")
+            tau = softplus(a)
+            f, top = sigmoid(-dt * tau * b), np.tanh(c)
+            old = s["h"][g - 1]
+            source = f * top + (1 - f) * old
+            hidden.append(source)
+            step["groups"].append((seen, a, b, tau, f, top, old))
+        step["motor"] = source
+        step["y"] = w["out"] @ source + w["out_bias"]
+        s["h"] = hidden
+        s["steps"] = [step, *s["steps"]][: self.depth]
+        return step["y"]
+
+    def gradients(self, s: dict[str, Any], target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Weighted mean squared error of the last prediction, and its gradients through the steps kept."""
+        w, first = s["w"], s["steps"][0]
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        e = first["y"] - target
+        weight = WEIGHT[: self.n_in] / WEIGHT[: self.n_in].sum()
+        dy = 2 * weight * e
+        grads["out"], grads["out_bias"] = np.outer(dy, first["motor"]), dy
+        later = [np.zeros(n) for n in self.groups[1:]]  # what each group's values owe to the steps after
+        later[2] = w["out"].T @ dy
+        for back, step in enumerate(s["steps"]):
+            scale = self.decay**back
+            down = np.zeros(self.groups[3])
+            before = [np.zeros(n) for n in self.groups[1:]]
+            for g in (3, 2, 1):
+                seen, a, b, tau, f, top, old = step["groups"][g - 1]
+                dh = later[g - 1] + (down if g < 3 else 0)
+                df, dc = dh * (top - old), dh * f * (1 - top * top)
+                dz = df * f * (1 - f)
+                db, dtau = dz * (-step["dt"] * tau), dz * (-step["dt"] * b)
+                da = dtau * sigmoid(a)
+                before[g - 1] += dh * (1 - f)
+                for k, d in zip("abc", (da, db, dc), strict=True):
+                    grads[f"{k}{g}"] += scale * np.outer(d, seen) * (w[f"{k}{g}"] != 0)
+                    grads[f"{k}{g}_bias"] += scale * d
+                owed = sum(w[f"{k}{g}"].T @ d for k, d in zip("abc", (da, db, dc), strict=True))
+                down = owed[: self.groups[g - 1]]
+                if g == 2:
+                    before[1] += owed[self.groups[1] :]
+            grads["in"] += scale * down * step["x"][self.taps]
+            later = before
+        return float((weight * e * e).sum()), grads
+
+    def train(self, s: dict[str, Any], target: np.ndarray) -> float:
+        loss, grads = self.gradients(s, target)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, 5.0 / norm) if norm > 0 else 1.0
-        self.t += 1
-        rate = self.rate / (1 + 1e-4 * self.t)
+        s["t"] += 1
+        rate = s["rate"] * np.sqrt(1 - 0.999 ** s["t"]) / (1 - 0.9 ** s["t"])
         for k, g in grads.items():
-            g = g * scale
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            self.w[k] = self.w[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+            s["m"][k] = 0.9 * s["m"][k] + 0.1 * scale * g
+            s["v"][k] = 0.999 * s["v"][k] + 0.001 * (scale * g) ** 2
+            s["w"][k] = s["w"][k] - rate * s["m"][k] / (np.sqrt(s["v"][k]) + 1e-8)
+        s["rate"] = max(s["rate"] * self.fall, self.floor)
         return loss
 
-    def observe(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        """Surprise in (0, 1) at ``x`` and each feature's error over its usual one, then learn and predict."""
-        score, sigmas = 0.0, np.zeros(len(x))
-        if self.predicted is not None:
-            error = np.abs(x - self.predicted)
-            sigmas = error / np.maximum(self.feature_error, 1e-6)
-            total = float(error.mean())
-            spread = np.sqrt(max(self.error_square - self.error_mean**2, 1e-12))
-            score = float(1 / (1 + np.exp(-np.clip((total - self.error_mean) / spread - 2, -30, 30))))
-            self.feature_error += 0.05 * (error - self.feature_error)
-            self.error_mean += 0.05 * (total - self.error_mean)
-            self.error_square += 0.05 * (total * total - self.error_square)
-            self.train(x)
-        self.predicted = self.forward(x)
-        return score, sigmas
+    def observe(self, s: dict[str, Any], x: np.ndarray, dt: float = 1.0) -> None:
+        """Learn from ``x``, then predict what follows it."""
+        s["n"] += 1
+        if s["steps"]:
+            s["last"] = s["steps"][0]["y"] - x
+            s["errors"] = (1 - self.mix) * s["errors"] + self.mix * np.abs(s["last"])
+            s["rmse"] = float(np.sqrt(self.train(s, x)))
+            s["mean"] = (1 - self.mix) * s["mean"] + self.mix * s["rmse"]
+            s["square"] = (1 - self.mix) * s["square"] + self.mix * s["rmse"] ** 2
+        self.forward(s, x, dt)
+
+    def score(self, s: dict[str, Any]) -> float:
+        """Surprise in (0, 1); 0 until calibrated."""
+        if s["n"] < self.calibrated or s["t"] < 2:
+            return 0.0
+        spread = np.sqrt(max(s["square"] - s["mean"] ** 2, 1e-12))
+        return float(sigmoid(np.array((s["rmse"] - s["mean"]) / spread - 2)))
+
+    def sigmas(self, s: dict[str, Any]) -> np.ndarray:
+        """Each feature's last error over its usual one."""
+        return np.abs(s["last"]) / np.maximum(s["errors"], 1e-6)
+
+    def surprises(self, s: dict[str, Any], names: tuple[str, ...] = FEATURES) -> list[tuple[str, float, float]]:
+        """(feature, error, error over the usual one) where it is over 1.5, the largest first; none in the first ten steps."""
+        if s["t"] < 10:
+            return []
+        ratio = self.sigmas(s)
+        found = [(names[i], float(s["last"][i]), float(ratio[i])) for i in np.flatnonzero(ratio > 1.5) if i < len(names)]
+        return sorted(found, key=lambda f: -f[2])
+
+    def forget(self, s: dict[str, Any]) -> None:
+        """Clears what is remembered in time; what is learnt stays."""
+        s["h"], s["steps"] = [np.zeros(n) for n in self.groups[1:]], []
+
+
+def normalised(s: dict[str, Any], raw: np.ndarray) -> np.ndarray:
+    """Running z-scores, ``raw`` included; the spread never counts as under 0.01 % of the mean."""
+    s["n"] += 1
+    delta = raw - s["mean"]
+    s["mean"] = s["mean"] + delta / s["n"]
+    s["m2"] = s["m2"] + delta * (raw - s["mean"])
+    std = np.sqrt(s["m2"] / max(s["n"] - 1, 1))
+    return np.clip((raw - s["mean"]) / np.maximum(std, np.abs(s["mean"]) * 1e-4 + 1e-8), -10, 10)
+
+
+def moments(n: int) -> dict[str, Any]:
+    return {"n": 0, "mean": np.zeros(n), "m2": np.zeros(n)}
 
 
 class DualNets(Kernel):
-    """Anomaly score of a fast and a slow net; 0 until either has seen its share of packets."""
+    """Anomaly score of a fast and a slow net, features that surprise, and the slow net's motor values; 0 until calibrated.
+
+    ``net_ok`` says whether calibrated nets corroborate an anomaly (0.4 or more).
+    """
+
+    schema = "net_score double, net_calibrated boolean, net_surprised int, net_surprises string, net_ok boolean"
+    reads = (*(f for f in FEATURES if f != "pump_spm"), "ts")
 
-    schema = "net_score double, net_calibrated boolean, net_surprised int"
-    reads = FEATURES
+    def __init__(self) -> None:
+        self.fast, self.slow = Net("fast", 42), Net("slow", 142)
 
     def start(self) -> dict[str, Any]:
-        n = len(FEATURES)
-        return {"n": 0, "mean": np.zeros(n), "m2": np.zeros(n), "fast": Net(n, 24, 5e-3, 1), "slow": Net(n, 24, 1e-3, 2)}
+        return {"z": moments(16), "fast": self.fast.start(), "slow": self.slow.start(), "ts": None}
 
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        raw = np.nan_to_num(np.array([x[f] for f in FEATURES], np.float64))
-        s["n"] += 1
-        delta = raw - s["mean"]
-        s["mean"] += delta / s["n"]
-        s["m2"] += delta * (raw - s["mean"])
-        std = np.sqrt(s["m2"] / max(s["n"] - 1, 1))
-        z = np.clip((raw - s["mean"]) / np.maximum(std, np.abs(s["mean"]) * 1e-4 + 1e-8), -10, 10)
-        (a, sa), (b, sb) = s["fast"].observe(z), s["slow"].observe(z)
-        ready = s["n"] >= 300
-        return (max(a, b) if ready else 0.0, ready, int((np.maximum(sa, sb) > 2).sum()))
+        raw = np.nan_to_num(np.array([x.get(f) or 0.0 for f in FEATURES], np.float64))
+        z = normalised(s["z"], raw)
+        dt = min(max(x["ts"] - s["ts"], 1), 60) / 60 if s["ts"] is not None else 1.0
+        s["ts"] = x["ts"]
+        self.fast.observe(s["fast"], z, dt)
+        self.slow.observe(s["slow"], z, dt)
+        a, b = self.fast.score(s["fast"]), self.slow.score(s["slow"])
+        ready = s["z"]["n"] >= CALIBRATED
+        higher = (self.fast, s["fast"]) if a >= b else (self.slow, s["slow"])
+        names = ",".join(n for n, _, _ in higher[0].surprises(higher[1]))
+        score = max(a, b)
+        return (score, ready, int((self.slow.sigmas(s["slow"]) > 2).sum()), names, ready and score >= 0.4)
+
+
+class DepthAhead(Kernel):
+    """Confidence of the depth-ahead net, which forgets its state where the formation changes."""
+
+    schema = "ahead_confidence double, ahead_calibrated boolean"
+    reads = (*AHEAD, "formation")
+
+    def __init__(self) -> None:
+        self.net = Net("ahead", 242)
+
+    def start(self) -> dict[str, Any]:
+        return {"z": moments(16), "net": self.net.start(), "formation": None}
+
+    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
+        raw = np.zeros(16)
+        raw[:8] = np.nan_to_num(np.array([x[f] or 0.0 for f in AHEAD], np.float64))
+        if x["formation"] != s["formation"]:
+            self.net.forget(s["net"])
+            s["formation"] = x["formation"]
+        self.net.observe(s["net"], normalised(s["z"], raw))
+        return (1 - self.net.score(s["net"]), s["net"]["n"] >= self.net.calibrated)

@@ -21,7 +21,8 @@ def issue(fires: Column, field: str, severity: str, text: str) -> Column:
 
 def with_issues(packets: DataFrame) -> DataFrame:
     """``issues`` (array of field, severity, message) and ``usable``: no critical issue."""
-    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("bit_depth", "hole_depth", "rop", "wob", "rpm", "torque", "spp", "flow_in", "flow_out", "hook_load", "ecd", "mud_weight_in", "h2s")}
+    # a value that is no number passes every limit; sanitising makes it 0 later
+    x = {c: F.when(~F.isnan(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in ("bit_depth", "hole_depth", "rop", "wob", "rpm", "torque", "spp", "flow_in", "flow_out", "hook_load", "ecd", "mud_weight_in", "h2s")}
     dead = sum(F.abs(x[c]) for c in ("bit_depth", "rop", "wob", "rpm", "torque", "spp", "flow_in")) < TINY
     found = [issue(F.abs(x[c]) < TINY, c, "Warning", f"{c} is zero") for c in ("bit_depth", "flow_in")]
     for field, low, high, severity in RANGES:

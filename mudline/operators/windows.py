@@ -70,3 +70,36 @@ def pearson(x: Column, y: Column, least: int = 30) -> Column:
     top = n * F.sum(x * y) - sx * sy
     below = F.sqrt(F.greatest(n * F.sum(x * x) - sx * sx, F.lit(0.0)) * F.greatest(n * F.sum(y * y) - sy * sy, F.lit(0.0)))
     return F.when(F.count("*") >= least, F.coalesce(ratio(top, below), F.lit(0.0)))
+
+
+def parameter_changes(rows: DataFrame, seconds: int = 30, wob_step: float = 2.0, rpm_step: float = 10.0) -> DataFrame:
+    """``since_change``: seconds since weight or speed last left its mean of the packets of the ``seconds`` before.
+
+    Packets of the same second count as before where they come first, so the mean
+    is a difference of running sums: those before this packet less those before
+    the first packet in range.
+    """
+    order = ordered()
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    early = Window.partitionBy("well_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -seconds - 1)
+    mean = lambda c: ratio(F.coalesce(F.sum(c).over(upto), F.lit(0.0)) - F.coalesce(F.sum(c).over(early), F.lit(0.0)), F.col("_n"))
+    counted = rows.withColumn("_n", (F.count("*").over(upto) - F.count("*").over(early)).cast("double"))
+    moved = (F.abs(F.col("wob") - mean("wob")) > wob_step) | (F.abs(F.col("rpm") - mean("rpm")) > rpm_step)
+    marked = counted.withColumn("_moved", F.when((F.row_number().over(order) == 1) | ((F.col("_n") > 0) & moved), F.col("ts")))
+    since = F.col("ts") - F.last("_moved", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("since_change", since).drop("_n", "_moved")
+
+
+def debounced(rows: DataFrame, label: str, packets: int = 3) -> DataFrame:
+    """``steady``: a label that changes only after ``packets`` packets on end agree; the first packet counts at once.
+
+    A run of equal labels that lasts long enough changes it, from its packet
+    number ``packets`` on, so the last such packet at or before a row decides.
+    """
+    order = ordered()
+    began = rows.withColumn("_began", ~F.coalesce(F.lag(label).over(order).eqNullSafe(F.col(label)), F.lit(False)))
+    run = began.withColumn("_run", F.sum(F.col("_began").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = run.withColumn("_place", F.row_number().over(Window.partitionBy("well_id", "_run").orderBy("ts", "seq")))
+    sure = F.when((F.col("_place") >= packets) | (F.col("_run") == 1), F.struct(F.col(label).alias("label")))
+    steady = F.last(sure, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return place.withColumn("steady", steady["label"]).drop("_began", "_run", "_place")

@@ -2,77 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mudline.functions.frames import ordered
 from mudline.operators import joins
 from mudline.operators.metrics import drilling_metrics
 from mudline.plans.physics_queries import MET, TEL, r
-from mudline.plans.window_queries import HOUR_SQL
 from mudline.registry import query
 from mudline.telemetry import telemetry
 
-#: Formations: the first 60 parts as layers of 60 + 2 size feet from 1,000 ft on, with a gap after every seventh.
-FORMATION_SQL = """, fl AS (SELECT p_partkey AS fid, 'F' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') AS formation, CAST(p_size % 10 AS DOUBLE) AS hard, CAST(60 + 2 * p_size AS DOUBLE) AS thick FROM part WHERE p_partkey < 60),
-  fs AS (SELECT *, 1000 + coalesce(sum(thick) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM fl),
-  fm AS (SELECT fid, formation, hard, top, top + thick - CASE WHEN fid % 7 = 6 THEN 20 ELSE 0 END AS base FROM fs)"""
+#: Formations: every part is a layer of 30 to 34 feet, 40 feet apart, from 1,000 ft on; layers are disjoint.
+FORMATION_SQL = """, fm AS (SELECT p_partkey AS fid, 'F' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS formation, CAST(p_size % 10 AS DOUBLE) AS hard, CAST(1000 + 40 * p_partkey + p_size % 5 AS DOUBLE) AS top, CAST(1030 + 40 * p_partkey + 2 * (p_size % 5) AS DOUBLE) AS base FROM part)"""
+
+
+def minutes_to(top: Column, depth: Column, rop: Column) -> Column:
+    """Minutes until a depth is reached at the present rate; NULL without one."""
+    return F.try_divide(top - depth, rop) * 60
 
 
 def formations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 60")
-    layers = p.selectExpr("p_partkey AS fid", "'F' || lpad(CAST(p_partkey AS STRING), 3, '0') AS formation", "CAST(p_size % 10 AS DOUBLE) AS hard", "CAST(60 + 2 * p_size AS DOUBLE) AS thick")
-    above = F.sum("thick").over(Window.partitionBy(F.lit(0)).orderBy("fid").rowsBetween(Window.unboundedPreceding, -1))
-    placed = layers.withColumn("top", F.lit(1000.0) + F.coalesce(above, F.lit(0.0)))
-    return placed.selectExpr("fid", "formation", "hard", "top", "top + thick - CASE WHEN fid % 7 = 6 THEN 20 ELSE 0 END AS base")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.selectExpr(
+        "p_partkey AS fid", "'F' || lpad(CAST(p_partkey AS STRING), 9, '0') AS formation", "CAST(p_size % 10 AS DOUBLE) AS hard",
+        "CAST(1000 + 40 * p_partkey + p_size % 5 AS DOUBLE) AS top", "CAST(1030 + 40 * p_partkey + 2 * (p_size % 5) AS DOUBLE) AS base",
+    )
 
 
 @query(TEL + FORMATION_SQL + "SELECT seq, formation, round(top, 3) AS top, round(base, 3) AS base FROM tel LEFT JOIN fm ON bit_depth >= top AND bit_depth < base")
 def formation_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("seq", "bit_depth")
-    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), ["seq"], "bit_depth", "top", "base")
+    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), "bit_depth", "top", "base")
     return f.select("seq", "formation", r(F.col("top"), "top", 3), r(F.col("base"), "base", 3))
 
 
-@query(TEL + FORMATION_SQL + """SELECT seq, formation AS next_formation, round(top - bit_depth, 4) AS feet, round((top - bit_depth) / rop * 60, 4) AS minutes FROM (
-  SELECT t.seq, t.bit_depth, t.rop, f.formation, f.top, row_number() OVER (PARTITION BY t.seq ORDER BY f.top) AS k FROM tel t JOIN fm f ON f.top > t.bit_depth) a WHERE k = 1 AND (top - bit_depth) / rop * 60 <= 30""")
+def with_neighbours(spark: SparkSession, sf_dir: str, points: DataFrame, at: str = "bit_depth") -> DataFrame:
+    return joins.neighbours_on_axis(points, formations(spark, sf_dir).select("formation", "top"), at, "top", "formation")
+
+
+@query(TEL + FORMATION_SQL + """SELECT seq, formation AS next_formation, round(top - bit_depth, 4) AS feet, round((top - bit_depth) / rop * 60, 4) AS minutes FROM tel t ASOF JOIN fm f ON t.bit_depth < f.top WHERE (top - bit_depth) / rop * 60 <= 30""")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next formation within half an hour at the present rate: an as-of join forward."""
-    t = telemetry(spark, sf_dir).select("seq", "well_id", "bit_depth", "rop")
-    tops = formations(spark, sf_dir).select("formation", "top").join(t.select("well_id").distinct(), how="cross")
-    a = joins.asof(t.withColumn("below", F.col("bit_depth") + 1e-9), tops, ["well_id"], "below", "top", ["formation", "top"], forward=True)
-    a = a.withColumn("minutes", (F.col("top") - F.col("bit_depth")) / F.col("rop") * 60).filter("minutes <= 30")
-    return a.select("seq", F.col("formation").alias("next_formation"), r(F.col("top") - F.col("bit_depth"), "feet", 4), r(F.col("minutes"), "minutes", 4))
+    t = telemetry(spark, sf_dir).select("seq", "bit_depth", "rop")
+    a = with_neighbours(spark, sf_dir, t).withColumn("minutes", minutes_to(F.col("next_mark"), F.col("bit_depth"), F.col("rop"))).filter("minutes <= 30")
+    return a.select("seq", F.col("next_name").alias("next_formation"), r(F.col("next_mark") - F.col("bit_depth"), "feet", 4), r(F.col("minutes"), "minutes", 4))
 
 
-@query(TEL + FORMATION_SQL + "SELECT seq, formation AS last_top FROM (SELECT t.seq, f.formation, row_number() OVER (PARTITION BY t.seq ORDER BY f.top DESC) AS k FROM tel t JOIN fm f ON f.top <= t.bit_depth) a WHERE k = 1")
+@query(TEL + FORMATION_SQL + "SELECT seq, formation AS last_top FROM tel t ASOF LEFT JOIN fm f ON t.bit_depth >= f.top")
 def last_formation_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = telemetry(spark, sf_dir).select("seq", "well_id", "bit_depth")
-    tops = formations(spark, sf_dir).select("formation", "top").join(t.select("well_id").distinct(), how="cross")
-    return joins.asof(t, tops, ["well_id"], "bit_depth", "top", ["formation"]).select("seq", F.col("formation").alias("last_top"))
+    t = telemetry(spark, sf_dir).select("seq", "bit_depth")
+    return with_neighbours(spark, sf_dir, t).select("seq", F.col("last_name").alias("last_top"))
 
 
-@query(TEL + FORMATION_SQL + "SELECT seq, formation AS boundary, round(d, 4) AS feet FROM (SELECT t.seq, f.formation, abs(f.top - t.bit_depth) AS d, row_number() OVER (PARTITION BY t.seq ORDER BY abs(f.top - t.bit_depth), f.top) AS k FROM tel t JOIN fm f ON true WHERE t.k = 50) a WHERE k = 1")
+@query(TEL + FORMATION_SQL + """SELECT seq, CASE WHEN n.top IS NULL OR t.bit_depth - l.top <= n.top - t.bit_depth THEN l.formation ELSE n.formation END AS boundary, round(least(coalesce(t.bit_depth - l.top, 1e18), coalesce(n.top - t.bit_depth, 1e18)), 4) AS feet
+  FROM tel t ASOF LEFT JOIN fm l ON t.bit_depth >= l.top ASOF LEFT JOIN fm n ON t.bit_depth < n.top""")
 def nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boundary nearest to each transition (packets whose k is 50)."""
-    t = telemetry(spark, sf_dir).filter("k = 50").select("seq", "bit_depth")
-    n = joins.nearest(t, formations(spark, sf_dir).select("top", "formation"), ["seq"], "abs(top - bit_depth)")
-    return n.select("seq", F.col("formation").alias("boundary"), r(F.col("distance"), "feet", 4))
+    """The boundary nearest to each packet, the upper one on ties."""
+    t = with_neighbours(spark, sf_dir, telemetry(spark, sf_dir).select("seq", "bit_depth"))
+    up, down = F.col("bit_depth") - F.col("last_mark"), F.col("next_mark") - F.col("bit_depth")
+    nearer = F.when(down.isNull() | (up <= down), F.col("last_name")).otherwise(F.col("next_name"))
+    return t.select("seq", nearer.alias("boundary"), r(F.least(up, down), "feet", 4))
 
 
 @query(TEL + FORMATION_SQL + "SELECT well_id, formation, CAST(k - 1 AS INTEGER) AS place FROM (SELECT w.well_id, f.formation, row_number() OVER (PARTITION BY w.well_id ORDER BY f.top) AS k FROM (SELECT well_id, min(bit_depth) + 700 AS d FROM tel GROUP BY 1) w JOIN fm f ON f.top > w.d) a WHERE k BETWEEN 2 AND 4")
 def upcoming_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = telemetry(spark, sf_dir).groupBy("well_id").agg((F.min("bit_depth") + 700).alias("d"))
-    a = w.join(F.broadcast(formations(spark, sf_dir)), F.col("top") > F.col("d"))
-    k = F.row_number().over(Window.partitionBy("well_id").orderBy("top"))
-    return a.withColumn("k", k).filter("k BETWEEN 2 AND 4").select("well_id", "formation", (F.col("k") - 1).alias("place"))
+    """The three formations after the next one: four steps along the axis, each an as-of join."""
+    at = telemetry(spark, sf_dir).groupBy("well_id").agg((F.min("bit_depth") + 700).alias("d"))
+    steps = None
+    for k in range(4):
+        at = with_neighbours(spark, sf_dir, at.select("well_id", "d"), "d").select("well_id", F.col("next_mark").alias("d"), "next_name").filter("d IS NOT NULL")
+        if k:
+            step = at.select("well_id", F.col("next_name").alias("formation"), F.lit(k).alias("place"))
+            steps = step if steps is None else steps.unionByName(step)
+    return steps
 
 
 @query(TEL + FORMATION_SQL + """, fd AS (SELECT t.seq, t.well_id, t.ts, f.formation FROM tel t LEFT JOIN fm f ON bit_depth >= top AND bit_depth < base)
   SELECT seq, well_id, formation FROM (SELECT *, lag(formation) OVER (PARTITION BY well_id ORDER BY ts, seq) AS was FROM fd) a WHERE formation IS NOT NULL AND was IS DISTINCT FROM formation""")
 def formation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("seq", "well_id", "ts", "bit_depth")
-    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), ["seq"], "bit_depth", "top", "base")
+    f = joins.first_interval(t, formations(spark, sf_dir).select("formation", "top", "base"), "bit_depth", "top", "base")
     return f.withColumn("was", F.lag("formation").over(ordered())).filter("formation IS NOT NULL AND NOT (was <=> formation)").select("seq", "well_id", "formation")
 
 
@@ -110,25 +119,26 @@ def advisory_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(first.withColumnRenamed("advisory", "seq"), "seq", "left").select("seq", "f.outcome", "f.category")
 
 
-@query(MET + FORMATION_SQL + HOUR_SQL + """, wb AS (SELECT well_id, avg(torque) AS m, stddev_samp(torque) AS s, count(*) AS n FROM tel GROUP BY 1), fo AS (SELECT t.well_id, f.formation, avg(t.torque) AS m, stddev_samp(t.torque) AS s, count(*) AS n FROM tel t JOIN fm f ON bit_depth >= top AND bit_depth < base GROUP BY 1, 2 HAVING count(*) >= 50)
-  SELECT w.well_id, f.formation, round(coalesce(o.m, w.m), 3) AS mean, round(coalesce(o.s, w.s), 3) AS std FROM wb w JOIN fm f ON f.fid < 20 LEFT JOIN fo o ON o.well_id = w.well_id AND o.formation = f.formation""")
+@query(TEL + FORMATION_SQL + """, wb AS (SELECT well_id, avg(torque) AS m, stddev_samp(torque) AS s, count(*) AS n FROM tel GROUP BY 1), th AS (SELECT t.*, f.hard FROM tel t JOIN fm f ON bit_depth >= top AND bit_depth < base),
+  fo AS (SELECT well_id, hard, avg(torque) AS m, stddev_samp(torque) AS s FROM th GROUP BY 1, 2 HAVING count(*) >= 50)
+  SELECT a.well_id, a.hard, round(coalesce(o.m, w.m), 3) AS mean, round(coalesce(o.s, w.s), 3) AS std, o.m IS NOT NULL AS own FROM (SELECT DISTINCT well_id, hard FROM th) a JOIN wb w ON w.well_id = a.well_id LEFT JOIN fo o ON o.well_id = a.well_id AND o.hard = a.hard""")
 def baseline_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A formation's own baseline where it has enough rows, else the well's."""
-    t, f = telemetry(spark, sf_dir), formations(spark, sf_dir)
+    """The baseline of a well in each kind of formation that it meets where it has enough rows, else the well's."""
+    t = telemetry(spark, sf_dir).select("well_id", "torque", "bit_depth")
     stats = [F.avg("torque").alias("mean"), F.stddev_samp("torque").alias("std"), F.count("*").alias("n")]
-    general = t.groupBy("well_id").agg(*stats)
-    special = joins.range_join(t.select("well_id", "torque", "bit_depth"), f, "bit_depth", "top", "base", how="inner").groupBy("well_id", "formation").agg(*stats).filter("n >= 50")
-    rows = general.select("well_id").join(F.broadcast(f.filter("fid < 20").select("formation")), how="cross")
-    out = joins.fallback(rows, special, general, ["well_id", "formation"], ["well_id"], ["mean", "std"])
-    return out.select("well_id", "formation", r(F.col("mean"), "mean", 3), r(F.col("std"), "std", 3))
+    met = joins.range_join(t, formations(spark, sf_dir).select("hard", "top", "base"), "bit_depth", "top", "base", how="inner").groupBy("well_id", "hard").agg(*stats)
+    out = joins.fallback(met.select("well_id", "hard"), met.filter("n >= 50"), t.groupBy("well_id").agg(*stats), ["well_id", "hard"], ["well_id"], ["mean", "std", "n"])
+    own = met.filter("n >= 50").select("well_id", "hard", F.lit(True).alias("own"))
+    return out.join(own, ["well_id", "hard"], "left").select("well_id", "hard", r(F.col("mean"), "mean", 3), r(F.col("std"), "std", 3), F.coalesce("own", F.lit(False)).alias("own"))
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2, CAST(embedding[3] AS DOUBLE) AS x3, CAST(embedding[4] AS DOUBLE) AS x4 FROM embeddings), c AS (SELECT vec_id AS cid, x1 AS c1, x2 AS c2, x3 AS c3, x4 AS c4 FROM p WHERE vec_id < 4)
-  SELECT vec_id, cid AS regime FROM (SELECT vec_id, cid, row_number() OVER (PARTITION BY vec_id ORDER BY (x1-c1)*(x1-c1) + (x2-c2)*(x2-c2) + (x3-c3)*(x3-c3) + (x4-c4)*(x4-c4), cid) AS k FROM p JOIN c ON true) a WHERE k = 1""")
+@query("""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS cid, v AS c FROM p WHERE vec_id < 4)
+  SELECT vec_id, CAST(cid AS INTEGER) AS regime, round(d, 6) AS distance FROM (SELECT vec_id, cid, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) AS k FROM (SELECT vec_id, cid, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM p JOIN c ON true) b) a WHERE k = 1""")
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(4)])
-    c = e.filter("vec_id < 4").selectExpr("vec_id AS cid", "x1 AS c1", "x2 AS c2", "x3 AS c3", "x4 AS c4")
-    return joins.nearest(e, c.select("cid", "c1", "c2", "c3", "c4"), ["vec_id"], "(x1-c1)*(x1-c1) + (x2-c2)*(x2-c2) + (x3-c3)*(x3-c3) + (x4-c4)*(x4-c4)").select("vec_id", F.col("cid").alias("regime"))
+    """Each vector's nearest of four centroids (the first four vectors) over all its dimensions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    centroids = [x.v for x in e.filter("vec_id < 4").orderBy("vec_id").collect()]  # four rows
+    return joins.nearest_centroid(e, "v", centroids).select("vec_id", F.col("centroid").alias("regime"), r(F.col("distance"), "distance"))
 
 
 @query("""SELECT s.s_suppkey AS rig, n.n_name AS field, count(l.l_orderkey) AS events FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R' GROUP BY 1, 2""")

@@ -1,21 +1,31 @@
-"""Sequential operators per well; SQL has no form for most, so tests hold them against plain loops."""
+"""Sequential operators per well; recursive SQL walks the same packets one by one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.functions.frames import last_rows
+from mudline.functions import states, tickets
+from mudline.functions.frames import last_rows, ordered
 from mudline.operators import kernels, windows
-from mudline.operators.metrics import drilling_metrics, with_state
+from mudline.operators.metrics import STATE_SQL, drilling_metrics, with_state
 from mudline.operators.nets import DualNets
-from mudline.plans.join_queries import formations
-from mudline.plans.physics_queries import TEL, r
+from mudline.plans.join_queries import FORMATION_SQL, minutes_to, with_neighbours
+from mudline.plans.physics_queries import MET, PARTS, REC, REC_MET, TEL, r
 from mudline.registry import query
 from mudline.telemetry import telemetry
 
+#: Packets of ``tel`` or ``met`` numbered in order, to walk along.
+WALK = ", ix AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM {0})"
+NEXT = "JOIN ix x ON x.well_id = s.well_id AND x.i = s.i + 1"
 
-@query()
+JUMPY = f""", jm AS (SELECT seq, well_id, ts, {STATE_SQL} AS state, bit_depth + CASE k WHEN 5 THEN 400 WHEN 6 THEN -80 ELSE 0 END AS d FROM tel)""" + WALK.format("jm")
+
+
+@query(REC + JUMPY + f""", st AS (SELECT well_id, i, seq, 'ok' AS verdict, CASE WHEN d > 0 THEN d END AS depth, CASE WHEN d > 0 THEN ts END AS since FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, verdict, CASE WHEN verdict = 'ok' AND d > 0 THEN d ELSE depth END, CASE WHEN verdict = 'ok' AND d > 0 THEN ts ELSE since END FROM (
+    SELECT x.well_id, x.i, x.seq, x.d, x.ts, s.depth, s.since, CASE WHEN x.d <= 0 OR s.depth IS NULL THEN 'ok' WHEN abs(x.d - s.depth) > 500 * greatest(x.ts - s.since, 1) / 3600.0 AND 500 * greatest(x.ts - s.since, 1) / 3600.0 > 1 THEN 'jump' WHEN x.d - s.depth < -50 AND x.state = 'Drilling' THEN 'reversal' ELSE 'ok' END AS verdict FROM st s {NEXT}) a)
+  SELECT seq, well_id, verdict FROM st""")
 def depth_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = with_state(telemetry(spark, sf_dir)).withColumn("bit_depth", F.col("bit_depth") + F.when(F.col("k") == 5, 400.0).when(F.col("k") == 6, -80.0).otherwise(0.0))
     return kernels.apply(t, kernels.DepthContinuity()).select("seq", "well_id", "verdict")
@@ -25,23 +35,43 @@ def depth_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
   ch AS (SELECT *, CASE WHEN i = 1 OR (n > 0 AND (abs(wob - mw) > 2 OR abs(rpm - mr) > 10)) THEN ts END AS c FROM pa)
   SELECT seq, ts - last_value(c IGNORE NULLS) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS since_change FROM ch""")
 def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.apply(telemetry(spark, sf_dir), kernels.ParamChange()).select("seq", "since_change")
+    return windows.parameter_changes(telemetry(spark, sf_dir)).select("seq", "since_change")
 
 
-@query()
+GAS_SQL = """, gs AS (SELECT *, state IN ('Drilling', 'Reaming') AS cutting FROM sta), gp AS (SELECT *, coalesce(lag(cutting) OVER w, true) AS was, row_number() OVER w AS i FROM gs WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq)),
+  gr AS (SELECT *, sum((NOT cutting AND was)::INT) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS pause FROM gp)"""
+
+
+@query(REC + f", sta AS (SELECT *, {STATE_SQL} AS state FROM tel)" + GAS_SQL + """, pk AS (SELECT well_id, pause, max(gas_units) AS peak FROM gr WHERE NOT cutting GROUP BY 1, 2),
+  ba AS (SELECT well_id, i, CASE WHEN cutting THEN gas_units END AS b FROM gr WHERE i = 1 UNION ALL SELECT x.well_id, x.i, CASE WHEN NOT x.cutting OR NOT x.was THEN s.b WHEN s.b IS NULL THEN x.gas_units ELSE 0.95 * s.b + 0.05 * x.gas_units END FROM ba s JOIN gr x ON x.well_id = s.well_id AND x.i = s.i + 1),
+  en AS (SELECT g.*, p.peak, b.b, coalesce(l.gas_units, 0) AS pre FROM gr g JOIN pk p ON p.well_id = g.well_id AND p.pause = g.pause JOIN ba b ON b.well_id = g.well_id AND b.i = g.i LEFT JOIN (SELECT well_id, pause + 1 AS pause, arg_max(gas_units, i) AS gas_units FROM gr WHERE cutting GROUP BY 1, 2) l ON l.well_id = g.well_id AND l.pause = g.pause WHERE g.cutting AND NOT g.was),
+  de AS (SELECT *, CAST(row_number() OVER (PARTITION BY well_id ORDER BY i) AS DOUBLE) AS e FROM en)
+  SELECT seq, well_id, round(pre, 6) AS pre_gas, round(peak, 6) AS peak_gas, round(gas_units, 6) AS post_gas, round(greatest(peak - coalesce(b, 0), 0), 6) AS above_background, round(CASE WHEN count(*) OVER w < 2 THEN 0 ELSE regr_slope(peak - pre, e) OVER w END, 6) AS gas_trend,
+    count(*) OVER w >= 5 AND regr_slope(peak - pre, e) OVER w > 0.1 AS trending FROM de WINDOW w AS (PARTITION BY well_id ORDER BY i ROWS 9 PRECEDING)""")
 def connection_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = with_state(telemetry(spark, sf_dir))
-    return kernels.apply(t, kernels.ConnectionGas()).filter("peak_gas IS NOT NULL").select("seq", "well_id", *[r(F.col(c), c) for c in ("pre_gas", "peak_gas", "post_gas", "above_background", "gas_trend")])
+    gas = kernels.apply(t, kernels.ConnectionGas()).filter("peak_gas IS NOT NULL")
+    return gas.select("seq", "well_id", *[r(F.col(c), c) for c in ("pre_gas", "peak_gas", "post_gas", "above_background", "gas_trend")], "trending")
 
 
-@query()
+@query(REC_MET + WALK.format("met") + f""", st AS (SELECT well_id, i, seq, CASE WHEN mse > 0 AND bit_depth > 0 THEN bit_depth END AS top, hardness AS hard, CASE WHEN mse > 0 AND bit_depth > 0 THEN mse ELSE 0 END AS total, CASE WHEN mse > 0 AND bit_depth > 0 THEN 1 ELSE 0 END AS n, CAST(NULL AS DOUBLE) AS reference, CAST(0 AS DOUBLE) AS wear FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN closes THEN NULL ELSE top END, hard, total, n, CASE WHEN closes THEN coalesce(reference, level) ELSE reference END, CASE WHEN closes THEN greatest((level - coalesce(reference, level)) / coalesce(reference, level), 0) ELSE wear END FROM (
+    SELECT *, sees AND bit_depth - top >= 100 AS closes, total / greatest(n, 1) / (5000 + hard * 8000) AS level FROM (
+      SELECT x.well_id, x.i, x.seq, x.bit_depth, s.reference, s.wear, x.mse > 0 AND x.bit_depth > 0 AS sees, CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN coalesce(s.top, x.bit_depth) ELSE s.top END AS top, CASE WHEN s.top IS NULL THEN x.hardness ELSE s.hard END AS hard,
+        CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN x.mse + CASE WHEN s.top IS NULL THEN 0 ELSE s.total END ELSE s.total END AS total, CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN 1 + CASE WHEN s.top IS NULL THEN 0 ELSE s.n END ELSE s.n END AS n FROM st s {NEXT}) a) b)
+  SELECT seq, well_id, round(wear, 6) AS wear_index, CASE WHEN wear > 0.8 THEN 'pull' WHEN wear > 0.5 THEN 'inspect' WHEN wear > 0.3 THEN 'watch' END AS wear_advice FROM st""")
 def bit_wear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply(drilling_metrics(telemetry(spark, sf_dir)), kernels.BitWear()).select("seq", "well_id", r(F.col("wear_index"), "wear_index"), "wear_advice")
 
 
-@query()
+@query(REC + WALK.format("tel") + f""", st AS (SELECT well_id, i, seq, spp, [spp] AS vs, [spp] AS rs, least(greatest(0.1 + 0.005 * (0.1 - (spp > 0)::INT), 0.001), 0.5) AS alpha, 1 - (spp > 0)::INT AS hits FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, spp, list_append(vs[greatest(len(vs) - 198, 1):], spp), list_append(rs[greatest(len(rs) - 198, 1):], res), least(greatest(alpha + 0.005 * (0.1 - (res > rad)::INT), 0.001), 0.5), hits + 1 - (res > rad)::INT FROM (
+    SELECT x.well_id, x.i, x.seq, x.spp, s.vs, s.rs, s.alpha, s.hits, abs(x.spp - list_median(s.vs)) AS res, list_sort(s.rs)[least(CAST(ceil(len(s.rs) * least(greatest(1 - s.alpha, 0.01), 0.999)) AS BIGINT), len(s.rs) - 1) + 1] AS rad FROM st s {NEXT}) a)
+  SELECT seq, well_id, round(mid - half, 5) AS lower, round(mid + half, 5) AS upper, round(CASE WHEN half > 1e-10 THEN abs(spp - mid) / half ELSE 0 END, 5) AS deviation, round(hits * 1.0 / i, 6) AS coverage, abs(spp - mid) > half AND i >= 10 AS is_outlier FROM (
+    SELECT *, list_median(vs) AS mid, list_sort(rs)[least(CAST(ceil(len(rs) * least(greatest(1 - alpha, 0.01), 0.999)) AS BIGINT), len(rs) - 1) + 1] AS half FROM st) b""")
 def conformal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.apply(telemetry(spark, sf_dir), kernels.Conformal("spp")).select("seq", "well_id", *[r(F.col(c), c) for c in ("lower", "upper", "deviation", "coverage")], "is_outlier")
+    c = kernels.apply(telemetry(spark, sf_dir), kernels.Conformal("spp"))
+    return c.select("seq", "well_id", r(F.col("lower"), "lower", 5), r(F.col("upper"), "upper", 5), r(F.col("deviation"), "deviation", 5), r(F.col("coverage"), "coverage"), "is_outlier")
 
 
 @query(TEL + """, q AS (SELECT seq, well_id, spp, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i, quantile_cont(spp, 0.5) OVER w AS mid, quantile_cont(spp, 0.95) OVER w AS hi, quantile_cont(spp, 0.05) OVER w AS lo FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))
@@ -54,52 +84,110 @@ def quantile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", r(F.col("mid"), "mid", 4), r(F.col("lower"), "lower", 4), r(F.col("upper"), "upper", 4), ((F.col("spp") < F.col("lower")) | (F.col("spp") > F.col("upper"))).alias("is_outlier"))
 
 
-@query()
+@query(REC + WALK.format("(SELECT *, [wob, rpm, torque, rop] AS p FROM tel)") + f""", st AS (SELECT well_id, i, seq, [p] AS c, 0 AS regime FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN grows THEN list_append(c, p) WHEN len(c) < 4 THEN c ELSE list_transform(range(1, 5), lambda j: CASE WHEN j = best THEN list_transform(range(1, 5), lambda q: c[j][q] + 0.01 * (p[q] - c[j][q])) ELSE c[j] END) END, CASE WHEN len(c) + grows::INT < 4 THEN 0 WHEN grows THEN 3 ELSE best - 1 END FROM (
+    SELECT *, len(c) < 4 AND list_min(g) > 1e-12 AS grows, list_position(g, list_min(g)) AS best FROM (
+      SELECT x.well_id, x.i, x.seq, x.p, s.c, list_transform(s.c, lambda e: (e[1] - x.p[1]) * (e[1] - x.p[1]) + (e[2] - x.p[2]) * (e[2] - x.p[2]) + (e[3] - x.p[3]) * (e[3] - x.p[3]) + (e[4] - x.p[4]) * (e[4] - x.p[4])) AS g FROM st s {NEXT}) a) b)
+  SELECT seq, well_id, CAST(regime AS INTEGER) AS regime FROM st""")
 def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply(telemetry(spark, sf_dir), kernels.Regimes(("wob", "rpm", "torque", "rop"))).select("seq", "well_id", "regime")
 
 
-@query()
+SIGMA_SQL = ", ".join(f"coalesce(abs({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0) AS s_{c}" for c in ("wob", "torque", "rop", "spp"))
+
+
+@query(REC + f", sg AS (SELECT seq, well_id, ts, k % 7 = 0 AS advised, {SIGMA_SQL} FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS 199 PRECEDING)), su AS (SELECT seq, well_id, ts, advised, (s_wob > 0.8)::INT + (s_torque > 0.8)::INT + (s_rop > 0.8)::INT + (s_spp > 0.8)::INT >= 2 AS hit FROM sg)" + WALK.format("su") + f""", st AS (SELECT well_id, i, seq, hit::INT AS run, false AS fires FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN run >= 2 AND NOT advised THEN 0 ELSE run END, run >= 2 AND NOT advised FROM (SELECT x.well_id, x.i, x.seq, x.advised, CASE WHEN x.hit THEN s.run + 1 ELSE 0 END AS run FROM st s {NEXT}) a) SELECT seq, well_id, fires AS transition FROM st""")
 def formation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions with limits low enough for these data; an active advisory (each seventh k) holds them back."""
     frame = last_rows(200)
     sigma = lambda c: F.coalesce(F.try_divide(F.abs(F.col(c) - F.avg(c).over(frame)), F.stddev_pop(c).over(frame)), F.lit(0.0))
-    t = telemetry(spark, sf_dir).withColumns({f"s_{c}": sigma(c) for c in ("wob", "torque", "rop", "spp")})
+    t = telemetry(spark, sf_dir).withColumns({f"s_{c}": sigma(c) for c in ("wob", "torque", "rop", "spp")} | {"advised": F.col("k") % 7 == 0})
     return kernels.apply(t, kernels.TransitionDetector(("s_wob", "s_torque", "s_rop", "s_spp"), sigma=0.8, least=2, packets=2)).select("seq", "well_id", "transition")
 
 
-@query()
+def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies with the ticket's severity; intervals are exact quantiles of the 50 packets before, nets are the packet's k."""
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    p = {k: F.col(v) for k, v in PARTS.items()}
+    frame = ordered().rowsBetween(-50, -1)
+    band = lambda c, q: F.percentile(c, F.lit(q)).over(frame)
+    out_of: dict[str, Column] = {c: (F.col(c) < band(c, 0.1)) | (F.col(c) > band(c, 0.9)) for c in ("spp", "torque", "mse")}
+    seen = F.count("*").over(frame) >= 10
+    own = F.when(F.col("category") == "Hydraulics", out_of["spp"]).when(F.col("category") == "Mechanical", out_of["torque"]).when(F.col("category") == "DrillingEfficiency", out_of["mse"])
+    return m.withColumns({"severity": tickets.base_severity(p)[0], "outlier": F.when(seen, own), "net_ok": F.col("k") >= 40})
+
+
+GATE_CATEGORIES = "['Hydraulics', 'Mechanical', 'DrillingEfficiency', 'WellControl']"
+GATE_SQL = """, gq AS (SELECT *, count(*) OVER w AS seen, spp < quantile_cont(spp, 0.1) OVER w OR spp > quantile_cont(spp, 0.9) OVER w AS o_spp, torque < quantile_cont(torque, 0.1) OVER w OR torque > quantile_cont(torque, 0.9) OVER w AS o_torque, mse < quantile_cont(mse, 0.1) OVER w OR mse > quantile_cont(mse, 0.9) OVER w AS o_mse
+    FROM met WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
+  gt AS (SELECT seq, well_id, ts, bit_depth, state, rule, category, k >= 40 AS net_ok, CASE WHEN seen >= 10 THEN CASE category WHEN 'Hydraulics' THEN o_spp WHEN 'Mechanical' THEN o_torque WHEN 'DrillingEfficiency' THEN o_mse END END AS outlier,
+    coalesce(category = 'WellControl' AND (abs(flow_balance) > 10 OR abs(pit_rate) > 15), false) AS critical FROM gq)""" + WALK.format("gt") + f""", st AS (
+  SELECT well_id, 0 AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS gate, [NULL, NULL, NULL, NULL]::BIGINT[] AS cn, [0, 0, 0, 0]::DOUBLE[] AS cd, [0, 0, 0, 0]::BIGINT[] AS ct, [0, 0, 0, 0] AS sc, [0, 0, 0, 0] AS sn, 0 AS fr, 0 AS pr FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, gate, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN i ELSE cn[j] END) ELSE cn END, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN bit_depth ELSE cd[j] END) ELSE cd END,
+    CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN ts ELSE ct[j] END) ELSE ct END, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN sc[j] + 1 ELSE sc[j] END) ELSE sc END, sn, fr, pr FROM (
+    SELECT *, CASE WHEN bit_depth <= 0 THEN 'no_depth' WHEN state NOT IN ('Drilling', 'Reaming') THEN 'state' WHEN category = 'None' THEN 'normal'
+      WHEN cn[c] IS NOT NULL AND i - cn[c] < packets AND abs(bit_depth - cd[c]) < feet AND ts - ct[c] < secs THEN 'cooldown' WHEN c < 4 AND sc[c] >= 3 AND abs(bit_depth - cd[c]) < least(feet * pow(2.0, sc[c] - 3), 500) THEN 'throttled'
+      WHEN c < 4 AND outlier = false THEN 'no_interval' WHEN c < 4 AND NOT net_ok THEN 'no_net' WHEN rule = 'founder' AND fr < 3 THEN 'debounce' WHEN rule = 'pit_rate' AND pr < 3 THEN 'debounce' ELSE 'ticket' END AS gate FROM (
+      SELECT *, list_transform(range(1, 5), lambda j: CASE WHEN cn[j] IS NULL THEN 0 WHEN sn[j] >= 500 THEN 0 ELSE sc0[j] END) AS sc FROM (
+        SELECT x.well_id, x.i, x.seq, x.ts, x.bit_depth, x.state, x.rule, x.category, x.net_ok, x.outlier, s.cn, s.cd, s.ct, s.sc AS sc0, CAST(list_position({GATE_CATEGORIES}, x.category) AS INTEGER) AS c, CASE WHEN x.critical THEN 20 ELSE 50 END AS packets, CASE WHEN x.critical THEN 10.0 ELSE 50.0 END AS feet, CASE WHEN x.critical THEN 1 ELSE 60 END AS secs,
+          list_transform(range(1, 5), lambda j: CASE WHEN s.cn[j] IS NULL OR list_position({GATE_CATEGORIES}, x.category) = j THEN 0 ELSE CASE WHEN s.gate = 'ticket' AND s.cn[j] = s.i THEN 0 ELSE s.sn[j] END + 1 END) AS sn, CASE WHEN x.rule = 'founder' THEN s.fr + 1 ELSE 0 END AS fr, CASE WHEN x.rule = 'pit_rate' THEN s.pr + 1 ELSE 0 END AS pr FROM st s {NEXT}) a) b) d)"""
+
+
+@query(REC_MET + GATE_SQL + " SELECT g.seq, g.well_id, x.category, g.gate FROM st g JOIN ix x ON x.well_id = g.well_id AND x.i = g.i")
 def ticket_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("corroborated", F.col("k") % 3 > 0)
-    return kernels.apply(m, kernels.TicketGate()).select("seq", "well_id", "category", "gate")
+    return kernels.apply(gate_rows(spark, sf_dir), kernels.TicketGate()).select("seq", "well_id", "category", "gate")
 
 
 @query()
+def corroborated_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate behind adaptive intervals of eleven metrics and the nets, in one pass; tests hold it against the parts alone."""
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("severity", tickets.base_severity({k: F.col(v) for k, v in PARTS.items()})[0])
+    c = kernels.apply(m, kernels.Chain(kernels.Bundle(), DualNets(), kernels.TicketGate()))
+    return c.select("seq", "well_id", "category", "outliers", r(F.col("net_score"), "net_score"), "gate")
+
+
+@query(REC + WALK.format("tel") + f""", st AS (SELECT well_id, i, seq, ts AS since, wob AS value, true AS allowed FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN free THEN ts ELSE since END, CASE WHEN free THEN wob ELSE value END, free FROM (SELECT x.well_id, x.i, x.seq, x.ts, x.wob, s.since, s.value, x.ts - s.since >= 300 OR abs(x.wob - s.value) > 0.1 * greatest(abs(s.value), 1e-6) AS free FROM st s {NEXT}) a)
+  SELECT seq, well_id, allowed FROM st""")
 def recommendation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply(telemetry(spark, sf_dir), kernels.RateLimiter("wob")).select("seq", "well_id", "allowed")
 
 
-@query()
+CV_SQL = ", cv AS (SELECT *, CASE WHEN count(*) OVER w >= 5 AND avg(torque) OVER w > 0 THEN stddev_pop(torque) OVER w / avg(torque) OVER w ELSE 0 END AS cv FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS 59 PRECEDING))"
+
+
+@query(REC + CV_SQL + WALK.format("cv") + f""", st AS (SELECT well_id, i, seq, CASE WHEN cv > 0.15 THEN ts END AS began, CASE WHEN cv > 0.15 THEN cv END AS base, CASE WHEN cv > 0.15 THEN 'advise' END AS damping FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN damping = 'advise' THEN ts WHEN damping = 'watch' THEN began END, CASE WHEN damping = 'advise' THEN cv WHEN damping = 'watch' THEN base END, damping FROM (
+    SELECT x.well_id, x.i, x.seq, x.ts, x.cv, s.began, s.base, CASE WHEN s.began IS NULL THEN CASE WHEN x.cv > 0.15 THEN 'advise' END WHEN (x.cv - s.base) / s.base <= -0.2 THEN 'success' WHEN (x.cv - s.base) / s.base >= 0.15 THEN 'retract' WHEN x.ts - s.began >= 120 THEN 'escalate' ELSE 'watch' END AS damping FROM st s {NEXT}) a)
+  SELECT seq, well_id, damping FROM st WHERE damping IS NOT NULL""")
 def damping_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = telemetry(spark, sf_dir).withColumn("cv", windows.variation(F.col("torque"), last_rows(10), 10))
+    """Follows the variation of torque over the last 60 packets."""
+    t = telemetry(spark, sf_dir).withColumn("cv", windows.variation(F.col("torque"), last_rows(60), 5))
     return kernels.apply(t, kernels.DampingMonitor()).filter("damping IS NOT NULL").select("seq", "well_id", "damping")
 
 
-@query()
+OPERATION_SQL = """CASE WHEN flow_in < 50 AND rpm < 10 THEN 'Static' WHEN flow_in >= 50 AND rpm < 10 AND wob < 5 THEN 'Circulating' WHEN rpm >= 10 OR wob >= 5 THEN 'ProductionDrilling' ELSE 'Static' END"""
+
+
+@query(REC + f", op AS (SELECT *, {OPERATION_SQL} AS o FROM tel)" + WALK.format("op") + f""", st AS (SELECT well_id, i, seq, o AS now, CAST(NULL AS VARCHAR) AS nxt, 0 AS run FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, CASE WHEN o <> now AND r >= 3 THEN o ELSE now END, CASE WHEN o = now OR r >= 3 THEN NULL ELSE o END, CASE WHEN o = now OR r >= 3 THEN 0 ELSE r END FROM (SELECT x.well_id, x.i, x.seq, x.o, s.now, CASE WHEN x.o = s.nxt THEN s.run + 1 ELSE 1 END AS r FROM st s {NEXT}) a)
+  SELECT seq, well_id, now AS steady FROM st""")
 def steady_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = with_state(telemetry(spark, sf_dir))
-    return kernels.apply(t, kernels.Debounce("state")).select("seq", "well_id", "steady")
+    t = telemetry(spark, sf_dir).withColumn("operation", states.operation(*[F.col(c) for c in ("flow_in", "rpm", "wob", "torque", "rop")], F.lit(False)))
+    return windows.debounced(t, "operation").select("seq", "well_id", "steady")
 
 
-@query(TEL + """, fl AS (SELECT p_partkey AS fid, 'F' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') AS formation, CAST(60 + 2 * p_size AS DOUBLE) AS thick FROM part WHERE p_partkey < 60),
-  fm AS (SELECT formation, 1000 + coalesce(sum(thick) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM fl)
-  SELECT well_id, formation, min(seq_at) AS seq FROM (SELECT t.well_id, f.formation, first_value(t.seq) OVER (PARTITION BY t.well_id, f.formation ORDER BY t.ts, t.seq) AS seq_at FROM tel t JOIN fm f ON f.top > t.bit_depth AND f.top <= t.bit_depth + 25) a GROUP BY 1, 2""")
+@query(TEL + FORMATION_SQL + """, ah AS (SELECT t.well_id, t.seq, t.ts, f.formation FROM tel t ASOF JOIN fm f ON t.bit_depth < f.top WHERE (f.top - t.bit_depth) / t.rop * 60 <= 30)
+  SELECT well_id, formation, arg_min(seq, ts * 10000000 + seq) AS seq FROM ah GROUP BY 1, 2""")
 def look_ahead_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first packet that comes within 25 ft of each boundary."""
-    t = telemetry(spark, sf_dir).select("well_id", "seq", "ts", "bit_depth")
-    near = t.join(F.broadcast(formations(spark, sf_dir).select("formation", "top")), (F.col("top") > F.col("bit_depth")) & (F.col("top") <= F.col("bit_depth") + 25))
-    return near.groupBy("well_id", "formation").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
+    """The first packet that comes within 30 minutes of each boundary at its present rate."""
+    t = with_neighbours(spark, sf_dir, telemetry(spark, sf_dir).select("well_id", "seq", "ts", "bit_depth", "rop"))
+    near = t.filter(minutes_to(F.col("next_mark"), F.col("bit_depth"), F.col("rop")) <= 30)
+    return near.groupBy("well_id", F.col("next_name").alias("formation")).agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
 
 
 @query()
 def liquid_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.apply(telemetry(spark, sf_dir), DualNets()).select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised")
+    """Scores of the online nets, which no SQL expresses; tests check gradients, learning and scores."""
+    return kernels.apply(drilling_metrics(telemetry(spark, sf_dir)), DualNets()).select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised")

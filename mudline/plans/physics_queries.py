@@ -13,6 +13,7 @@ from mudline.registry import query
 from mudline.telemetry import NAMES, TELEMETRY_SQL, telemetry
 
 TEL, MET = f"WITH {TELEMETRY_SQL} ", f"WITH {TELEMETRY_SQL}, {METRICS_SQL} "
+REC, REC_MET = f"WITH RECURSIVE {TELEMETRY_SQL} ", f"WITH RECURSIVE {TELEMETRY_SQL}, {METRICS_SQL} "
 
 
 def r(x: Column, name: str, digits: int = 6) -> Column:

@@ -35,16 +35,16 @@ NAMES = [c for c, _ in CHANNELS]
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of eight wells."""
+    """Packets of wells; ten users make a well, so wells grow with the data."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "value", "unix_seconds(CAST(ts AS TIMESTAMP)) AS ts", "CAST(get_json_object(props, '$.k') AS INT) AS k")
-    rows = events.selectExpr("event_id AS seq", "user_id % 8 AS well_id", "ts", "k", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in CHANNELS])
+    rows = events.selectExpr("event_id AS seq", "user_id DIV 10 AS well_id", "ts", "k", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in CHANNELS])
     depth = rows.withColumn("bit_depth", (F.lit(1000.0) + 2.0 * F.row_number().over(ordered())).cast("double"))
     return depth.withColumn("hole_depth", F.col("bit_depth") + F.when(F.col("k") % 10 == 4, 10.0).otherwise(0.0))
 
 
 TELEMETRY_SQL = f"""
 ev AS (SELECT event_id, user_id, value, CAST(floor(epoch(ts)) AS BIGINT) AS ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
-raw AS (SELECT event_id AS seq, user_id % 8 AS well_id, ts, k, {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in CHANNELS)} FROM ev),
+raw AS (SELECT event_id AS seq, user_id // 10 AS well_id, ts, k, {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in CHANNELS)} FROM ev),
 dep AS (SELECT *, CAST(1000 + 2 * row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS DOUBLE) AS bit_depth FROM raw),
 tel AS (SELECT *, bit_depth + CASE WHEN k % 10 = 4 THEN 10 ELSE 0 END AS hole_depth FROM dep)
 """
