@@ -22,9 +22,12 @@ def named(level: Column) -> Column:
     return F.coalesce(*[F.when(bounded == v, F.lit(k)) for k, v in LEVELS.items()])
 
 
-def cascade(state: Column, p: dict[str, Column], c: Config = DEFAULT) -> Column:
+def cascade(state: Column, p: dict[str, Column], c: Config = DEFAULT, overrides: dict[str, Column] | None = None) -> Column:
     """Struct (rule, category, severity word) of the first rule that fires, or rule ``none``.
 
+    ``overrides`` may hold flow_warning, spp_warning, spp_critical, torque_warning
+    and torque_critical of a well's own baselines; NULL falls back to ``c``.
+
     ``p`` holds the packet's columns, the derived ones and those of the packet
     before: flow_in, flow_out, pit_change, gas, background, h2s, pit_rate,
     ecd_margin, spp_delta, torque_delta, prev_wob, prev_rop, wob, rop, efficiency.
@@ -32,9 +35,12 @@ def cascade(state: Column, p: dict[str, Column], c: Config = DEFAULT) -> Column:
     w, h, m = c.well_control, c.hydraulics, c.mechanical
     word = lambda high, a, b: F.when(high, a).otherwise(b)
     three = lambda s: F.when(s > 0.7, "CRITICAL").when(s > 0.4, "HIGH").otherwise("WARNING")
+    limit = lambda name, default: F.coalesce((overrides or {}).get(name, F.lit(None).cast("double")), F.lit(float(default)))
+    flow_limit, spp_limit, spp_grave = limit("flow_warning", w.flow_imbalance_warning_gpm), limit("spp_warning", h.spp_deviation_warning_psi), limit("spp_critical", h.spp_deviation_critical_psi)
+    torque_limit, torque_grave = limit("torque_warning", m.torque_increase_warning), limit("torque_critical", m.torque_increase_critical)
     trusted = physics.flow_available(p["flow_in"], p["flow_out"])
-    kicks, kick_s = physics.kick(p["flow_in"], p["flow_out"], p["pit_change"], p["gas"], p["background"], c)
-    loses, loss_s = physics.lost_circulation(p["flow_in"], p["flow_out"], p["pit_change"], F.greatest(p["spp_delta"], F.lit(0.0)), c)
+    kicks, kick_s = physics.kick(p["flow_in"], p["flow_out"], p["pit_change"], p["gas"], p["background"], c, flow_limit)
+    loses, loss_s = physics.lost_circulation(p["flow_in"], p["flow_out"], p["pit_change"], F.greatest(p["spp_delta"], F.lit(0.0)), c, flow_limit, spp_limit)
     founders, _, rop_change = physics.founder_quick(p["prev_wob"], p["prev_rop"], p["wob"], p["rop"], c)
     pit, spp = F.abs(p["pit_rate"]), F.abs(p["spp_delta"])
     rules = [
@@ -44,8 +50,8 @@ def cascade(state: Column, p: dict[str, Column], c: Config = DEFAULT) -> Column:
         ("h2s", p["h2s"] > w.h2s_warning_ppm, "WellControl", word(p["h2s"] > w.h2s_critical_ppm, "CRITICAL", "WARNING")),
         ("pit_rate", pit > w.pit_rate_warning_bbl_hr, "WellControl", word(pit > w.pit_rate_critical_bbl_hr, "CRITICAL", "WARNING")),
         ("ecd", p["ecd_margin"] < h.ecd_margin_warning_ppg, "Hydraulics", word(p["ecd_margin"] < h.ecd_margin_critical_ppg, "CRITICAL", "WARNING")),
-        ("spp", spp > h.spp_deviation_warning_psi, "Hydraulics", word(spp > h.spp_deviation_critical_psi, "HIGH", "WARNING")),
-        ("torque", p["torque_delta"] > m.torque_increase_warning, "Mechanical", word(p["torque_delta"] > m.torque_increase_critical, "HIGH", "WARNING")),
+        ("spp", spp > spp_limit, "Hydraulics", word(spp > spp_grave, "HIGH", "WARNING")),
+        ("torque", p["torque_delta"] > torque_limit, "Mechanical", word(p["torque_delta"] > torque_grave, "HIGH", "WARNING")),
         ("founder", founders & (state == "Drilling"), "Mechanical", word(rop_change < -0.05, "HIGH", "WARNING")),
         ("mse", (state == "Drilling") & (p["efficiency"] < c.mse.efficiency_warning_percent), "DrillingEfficiency", word(p["efficiency"] < c.mse.efficiency_poor_percent, "HIGH", "LOW")),
     ]

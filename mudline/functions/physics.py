@@ -94,23 +94,23 @@ def scored(parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
     return n, F.when(n > 0, F.least(total / F.greatest(n, F.lit(1)), F.lit(1.0))).otherwise(0.0)
 
 
-def kick(flow_in: Column, flow_out: Column, pit_change: Column, gas: Column, background: Column, c: Config = DEFAULT) -> tuple[Column, Column]:
+def kick(flow_in: Column, flow_out: Column, pit_change: Column, gas: Column, background: Column, c: Config = DEFAULT, flow_limit: Column | None = None) -> tuple[Column, Column]:
     """Whether two of flow, pit and gas point to an influx, and how strongly."""
     flow, rise = flow_out - flow_in, gas - background
     n, severity = scored([
-        (flow > c.well_control.flow_imbalance_warning_gpm, flow / c.physics.kick_flow_severity_divisor),
+        (flow > (F.lit(c.well_control.flow_imbalance_warning_gpm) if flow_limit is None else flow_limit), flow / c.physics.kick_flow_severity_divisor),
         (pit_change > c.well_control.pit_gain_warning_bbl, pit_change / c.physics.kick_pit_severity_divisor),
         (rise > c.physics.kick_gas_increase_threshold, rise / c.physics.kick_gas_severity_divisor),
     ])
     return n >= c.physics.kick_min_indicators, severity
 
 
-def lost_circulation(flow_in: Column, flow_out: Column, pit_change: Column, spp_drop: Column, c: Config = DEFAULT) -> tuple[Column, Column]:
+def lost_circulation(flow_in: Column, flow_out: Column, pit_change: Column, spp_drop: Column, c: Config = DEFAULT, flow_limit: Column | None = None, spp_limit: Column | None = None) -> tuple[Column, Column]:
     flow = flow_in - flow_out
     n, severity = scored([
-        (flow > c.well_control.flow_imbalance_warning_gpm, flow / c.physics.kick_flow_severity_divisor),
+        (flow > (F.lit(c.well_control.flow_imbalance_warning_gpm) if flow_limit is None else flow_limit), flow / c.physics.kick_flow_severity_divisor),
         (pit_change < -c.well_control.pit_gain_warning_bbl, F.abs(pit_change) / c.physics.kick_pit_severity_divisor),
-        (spp_drop > c.hydraulics.spp_deviation_warning_psi, spp_drop / c.physics.kick_gas_severity_divisor),
+        (spp_drop > (F.lit(c.hydraulics.spp_deviation_warning_psi) if spp_limit is None else spp_limit), spp_drop / c.physics.kick_gas_severity_divisor),
     ])
     return n >= c.physics.loss_min_indicators, severity
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mudline.config import DEFAULT, Config
 from mudline.functions.frames import so_far
+from mudline.functions import physics
 from mudline.functions.physics import ratio
 from mudline.operators.kernels import in_order, places
 
@@ -42,10 +43,58 @@ def check(long: DataFrame, base: DataFrame, warning: float = 3.0, critical: floa
 
 
 def overrides(base: DataFrame) -> DataFrame:
-    """Thresholds that follow a well's own spread, with floors."""
-    p = base.groupBy("well_id").agg(F.max(F.when(F.col("sensor") == "spp", F.col("std"))).alias("s"), F.max(F.when(F.col("sensor") == "torque", ratio(F.col("std"), F.col("mean")))).alias("cv"))
-    floor = lambda x, low: F.greatest(x, F.lit(low))
-    return p.select("well_id", floor(2 * F.col("s"), 30.0).alias("spp_warning"), floor(3 * F.col("s"), 50.0).alias("spp_critical"), floor(2 * F.col("cv"), 0.10).alias("torque_warning"), floor(3 * F.col("cv"), 0.20).alias("torque_critical"))
+    """Thresholds that follow a well's own spread, with floors; ``base`` has mean and std per well and sensor."""
+    spread = F.greatest("std", F.greatest(F.abs("mean") * 0.001, F.lit(0.001)))
+    of = lambda sensor, x: F.max(F.when(F.col("sensor") == sensor, x))
+    variation = F.when(F.col("mean") > 0, physics.clamp(ratio(spread, F.col("mean")), 0, 10))
+    p = base.groupBy("well_id").agg(of("flow_balance", spread).alias("f"), of("spp", spread).alias("s"), of("torque", variation).alias("cv"))
+    floor = lambda x, low: F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
+    return p.select(
+        "well_id", (3 * F.col("f")).alias("flow_warning"), floor(2 * F.col("s"), 30.0).alias("spp_warning"), floor(3 * F.col("s"), 50.0).alias("spp_critical"), floor(2 * F.col("cv"), 0.10).alias("torque_warning"), floor(3 * F.col("cv"), 0.20).alias("torque_critical")
+    )
+
+
+def locks(base: DataFrame, sensors: int = 12) -> DataFrame:
+    """Per well how many baselines are locked, and whether all of ``sensors`` are."""
+    return base.groupBy("well_id").agg(F.count_if(F.col("status") == "locked").alias("locked")).withColumn("all_locked", F.col("locked") == sensors)
+
+
+def formation_locks(long: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Baselines per well, sensor and formation as they stand at the first packet that makes them long and clean enough.
+
+    Formation names of no or over 256 characters have none.
+    """
+    by = ("well_id", "sensor", "formation")
+    frame = so_far(*by)
+    named = long.filter(F.length("formation").between(1, 256))
+    running = named.withColumns({"n": F.count("v").over(frame), "m": F.avg("v").over(frame), "s": F.stddev_samp("v").over(frame)})
+    outlier = (F.col("n") > 10) & (F.col("s") > c.baseline.min_std_floor) & (F.abs(F.col("v") - F.col("m")) > c.baseline.outlier_sigma * F.col("s"))
+    counted = running.withColumn("outliers", F.sum(F.coalesce(outlier, F.lit(False)).cast("int")).over(frame))
+    clean = counted.filter((F.col("n") >= c.baseline.min_samples) & (F.col("outliers") <= c.baseline.max_outlier_percentage * F.col("n")))
+    at = F.min_by(F.struct(F.col("seq").alias("locked_at"), "n", F.col("m").alias("mean"), F.col("s").alias("std")), "n").alias("at")
+    return clean.groupBy(*by).agg(at).select(*by, "at.*")
+
+
+def forced(base: DataFrame, least: int = 2) -> DataFrame:
+    """Baselines locked whatever their outliers, from ``least`` samples on."""
+    return base.withColumn("status", F.when(F.col("n") >= least, "locked").otherwise(F.col("status")))
+
+
+#: Version of stored baselines; the version before reads alike but for outliers, which it lacks.
+STATE_VERSION = 3
+
+
+def save(base: DataFrame, path: str) -> None:
+    """Baselines with their version, one table a save."""
+    base.withColumn("version", F.lit(STATE_VERSION)).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored baselines; versions 2 and 3 are read, others are an error."""
+    rows = spark.read.parquet(path)
+    if rows.filter(~F.col("version").isin(2, STATE_VERSION)).limit(1).count():
+        raise ValueError("baselines of an unknown version")
+    return (rows if "outliers" in rows.columns else rows.withColumn("outliers", F.lit(0).cast("long"))).drop("version")
 
 
 def hourly(metrics: DataFrame) -> DataFrame:

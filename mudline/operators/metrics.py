@@ -42,9 +42,23 @@ def drilling_metrics(packets: DataFrame, c: Config = DEFAULT) -> DataFrame:
         "spp_delta": F.coalesce(x["spp"] - x["prev_spp"], F.lit(0.0)),
     })
     p = p.withColumns({"dxc": physics.dxc(F.col("d_exponent"), F.col("mud_weight_in"), c), "mse_efficiency": physics.mse_efficiency(F.col("mse"), physics.optimal_mse(F.col("hardness"), c))})
-    names = {"flow_in": "flow_in", "flow_out": "flow_out", "pit_change": "pit_change", "gas": "gas_units", "background": "background_gas", "h2s": "h2s", "pit_rate": "pit_rate", "ecd_margin": "ecd_margin", "spp_delta": "spp_delta", "torque_delta": "torque_delta", "prev_wob": "prev_wob", "prev_rop": "prev_rop", "wob": "wob", "rop": "rop", "efficiency": "mse_efficiency"}
-    hit = anomalies.cascade(F.col("state"), {k: F.col(v) for k, v in names.items()}, c)
-    return p.withColumn("hit", hit).withColumns({"rule": F.col("hit.rule"), "category": F.col("hit.category"), "severity": F.col("hit.severity")}).drop("hit")
+    return judged(p, c)
+
+
+#: Names of the cascade's inputs and the columns that hold them.
+INPUTS = {"flow_in": "flow_in", "flow_out": "flow_out", "pit_change": "pit_change", "gas": "gas_units", "background": "background_gas", "h2s": "h2s", "pit_rate": "pit_rate", "ecd_margin": "ecd_margin", "spp_delta": "spp_delta", "torque_delta": "torque_delta", "prev_wob": "prev_wob", "prev_rop": "prev_rop", "wob": "wob", "rop": "rop", "efficiency": "mse_efficiency"}
+OVERRIDES = ("flow_warning", "spp_warning", "spp_critical", "torque_warning", "torque_critical")
+
+
+def judged(metrics: DataFrame, c: Config = DEFAULT, overrides: tuple[str, ...] = ()) -> DataFrame:
+    """``metrics`` with the cascade's rule, category and severity, under thresholds of their own in the columns ``overrides``."""
+    hit = anomalies.cascade(F.col("state"), {k: F.col(v) for k, v in INPUTS.items()}, c, {x: F.col(x) for x in overrides})
+    return metrics.withColumn("hit", hit).withColumns({"rule": F.col("hit.rule"), "category": F.col("hit.category"), "severity": F.col("hit.severity")}).drop("hit")
+
+
+def with_overrides(metrics: DataFrame, overrides: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """The cascade once more under each well's own thresholds (``baseline.overrides``); wells without any keep the defaults."""
+    return judged(metrics.drop("rule", "category", "severity").join(overrides, "well_id", "left"), c, OVERRIDES)
 
 
 STATE_SQL = """CASE WHEN rpm < 5 AND flow_in < 50 THEN 'Idle' WHEN rpm < 5 AND flow_in > 50 THEN 'Connection'

@@ -65,11 +65,9 @@ def runs(rows: DataFrame, flag: Column) -> DataFrame:
 
 
 def pearson(x: Column, y: Column, least: int = 30) -> Column:
-    """Correlation by explicit sums; 0 where a side is constant (corr() would raise), NULL for too few rows."""
-    n, sx, sy = F.count("*").cast("double"), F.sum(x), F.sum(y)
-    top = n * F.sum(x * y) - sx * sy
-    below = F.sqrt(F.greatest(n * F.sum(x * x) - sx * sx, F.lit(0.0)) * F.greatest(n * F.sum(y * y) - sy * sy, F.lit(0.0)))
-    return F.when(F.count("*") >= least, F.coalesce(ratio(top, below), F.lit(0.0)))
+    """Correlation from centred moments, which large values do not cancel; 0 where a side is constant, NULL for too few rows."""
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when(F.count("*") >= least, F.coalesce(ratio(F.covar_pop(x, y), spread), F.lit(0.0)))
 
 
 def parameter_changes(rows: DataFrame, seconds: int = 30, wob_step: float = 2.0, rpm_step: float = 10.0) -> DataFrame:
@@ -103,3 +101,21 @@ def debounced(rows: DataFrame, label: str, packets: int = 3) -> DataFrame:
     sure = F.when((F.col("_place") >= packets) | (F.col("_run") == 1), F.struct(F.col(label).alias("label")))
     steady = F.last(sure, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return place.withColumn("steady", steady["label"]).drop("_began", "_run", "_place")
+
+
+def leads(rows: DataFrame, parameters: dict[str, str], effect: str, n: int = 60, max_lag: int = 20, least: int = 20, least_r: float = 0.45, top: int = 3) -> DataFrame:
+    """Per well the parameters whose earlier values go with the effect: best lag by correlation, ``least_r`` or more, ``top`` at most."""
+    newest = Window.partitionBy("well_id").orderBy(F.desc("ts"), F.desc("seq"))
+    recent = rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
+    held = recent.withColumn("held", F.count("*").over(Window.partitionBy("well_id"))).filter(F.col("held") >= least)
+    pairs = ", ".join(f"'{name}', {column}" for name, column in parameters.items())
+    lags = F.sequence(F.lit(1), F.least(F.lit(max_lag), F.floor(F.col("held") / 3).cast("int")))
+    causes = held.select("well_id", "back", "held", F.expr(f"stack({len(parameters)}, {pairs}) AS (parameter, x)")).withColumn("lag", F.explode(lags))
+    effects = held.select("well_id", F.col("back").alias("at"), F.col(effect).alias("y"))
+    met = causes.withColumn("at", F.col("back") - F.col("lag")).join(effects, ["well_id", "at"])
+    scored = met.groupBy("well_id", "parameter", "lag").agg(F.coalesce(pearson(F.col("x"), F.col("y"), 3), F.lit(0.0)).alias("r"))
+    strength = F.round(F.abs("r"), 9)
+    one = Window.partitionBy("well_id", "parameter").orderBy(strength.desc(), "lag")
+    best = scored.withColumn("_k", F.row_number().over(one)).filter((F.col("_k") == 1) & (F.abs("r") >= least_r))
+    ranked = Window.partitionBy("well_id").orderBy(strength.desc(), "parameter")
+    return best.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= top).drop("_k")

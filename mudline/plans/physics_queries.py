@@ -109,15 +109,23 @@ su AS (SELECT *, (v_mse * w_mse + v_hyd * w_hyd + v_wc * w_wc + v_for * w_for +
 """
 
 
+VOTE_INPUTS = {k: k for k in ("ecd_margin", "spp_delta", "flow_balance", "pit_rate", "dxc_trend", "wob_trend", "rop_trend", "torque_delta", "hardness", "rop", "wob", "drag")} | {"efficiency": "mse_efficiency"}
+
+
+def voted(m: DataFrame) -> DataFrame:
+    """``vote_`` of each specialist, with trends against the packet before and a regime by packet."""
+    change = lambda x, by: F.coalesce((F.col(x) - F.lag(x).over(ordered())) / by, F.lit(0.0))
+    m = m.withColumns({"dxc_trend": change("dxc", 1.0), "wob_trend": change("wob", 30.0), "rop_trend": change("rop", 80.0), "regime": F.col("seq") % 6, "drag": F.col("rule") == "torque"})
+    p = {k: F.col(v) for k, v in VOTE_INPUTS.items()}
+    return m.withColumns({f"vote_{k}": f(p, voting.DEFAULT) for k, f in voting.SPECIALISTS.items()})
+
+
 @query(MET + f", {VOTES_SQL}" + """SELECT seq, round(stuck, 6) AS stuck, round(total, 6) AS total, CASE WHEN v_wc = 4 OR round(total, 9) > 3.5 THEN 'Critical' WHEN round(total, 9) > 2.5 THEN 'High' WHEN round(total, 9) > 1.5 THEN 'Medium' WHEN total > 0.5 THEN 'Low' ELSE 'Healthy' END AS final,
   CASE WHEN n4 > 0 THEN 'Critical' WHEN category = 'WellControl' OR n3 >= 2 THEN 'High' WHEN n3 >= 1 THEN 'Elevated' ELSE 'Low' END AS risk,
   CAST(floor(greatest(least(mse_efficiency - CASE category WHEN 'WellControl' THEN 30 WHEN 'Hydraulics' THEN 20 WHEN 'Mechanical' THEN 15 WHEN 'DrillingEfficiency' THEN 10 ELSE 0 END + CASE WHEN dxc_trend < 0 AND mse_efficiency > 70 THEN 5 ELSE 0 END, 100), 0)) AS INTEGER) AS efficiency_score FROM su""")
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = drilling_metrics(telemetry(spark, sf_dir))
-    change = lambda x, by: F.coalesce((F.col(x) - F.lag(x).over(ordered())) / by, F.lit(0.0))
-    m = m.withColumns({"dxc_trend": change("dxc", 1.0), "wob_trend": change("wob", 30.0), "rop_trend": change("rop", 80.0), "regime": F.col("seq") % 6, "drag": F.col("rule") == "torque"})
-    p = {k: F.col(k) for k in ("ecd_margin", "spp_delta", "flow_balance", "pit_rate", "dxc_trend", "wob_trend", "rop_trend", "torque_delta", "hardness", "rop", "wob", "drag")} | {"efficiency": F.col("mse_efficiency")}
-    m = m.withColumns({f"vote_{k}": f(p, voting.DEFAULT) for k, f in voting.SPECIALISTS.items()})
+    m = voted(drilling_metrics(telemetry(spark, sf_dir)))
+    p = {k: F.col(v) for k, v in VOTE_INPUTS.items()}
     votes = {k: F.col(f"vote_{k}") for k in voting.SPECIALISTS}
     total = voting.weighted_sum(votes, F.col("regime"))
     final = F.when(votes["well_control"] == "Critical", "Critical").otherwise(voting.final_severity(F.round(total, 9)))

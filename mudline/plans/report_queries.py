@@ -138,15 +138,6 @@ def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy(F.desc("score"), "o_orderkey").limit(25)
 
 
-@query("""WITH t AS (SELECT unnest(['the', 'ing', 'ion', 'que']) AS term) SELECT doc_id, score FROM (SELECT d.doc_id, CAST(sum(2 * (lang = term)::INT + contains(lower(d.text), t.term)::INT + 2 * contains(d.source, '1')::INT) AS BIGINT) AS score FROM documents d JOIN t ON true GROUP BY d.doc_id) a ORDER BY score DESC, doc_id LIMIT 20""")
-def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best documents for four terms: 2 a keyword, 1 for content; no rows are multiplied."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.lower("text")
-    each = [2 * (F.col("lang") == t).cast("int") + text.contains(t).cast("int") + 2 * F.col("source").contains("1").cast("int") for t in ("the", "ing", "ion", "que")]
-    return d.select("doc_id", sum(each).cast("long").alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
-
-
 @query(MET + "SELECT seq, round(abs(bit_depth - 2000), 4) AS away FROM met WHERE category <> 'None' AND bit_depth BETWEEN 1500 AND 2500 ORDER BY abs(bit_depth - 2000), seq LIMIT 15")
 def depth_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = drilling_metrics(telemetry(spark, sf_dir)).filter("category <> 'None' AND bit_depth BETWEEN 1500 AND 2500")

@@ -95,7 +95,7 @@ def baseline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("sensor", "level").agg(F.count("*").alias("n"))
 
 
-@query(TEL + BASE_SQL + """, ov AS (SELECT well_id, max(CASE WHEN sensor = 'spp' THEN std END) AS spp_std, max(CASE WHEN sensor = 'torque' THEN std / mean END) AS cv FROM ba GROUP BY well_id)
+@query(TEL + BASE_SQL + """, ov AS (SELECT well_id, max(CASE WHEN sensor = 'spp' THEN std END) AS spp_std, max(CASE WHEN sensor = 'torque' THEN greatest(std, greatest(abs(mean) * 0.001, 0.001)) / mean END) AS cv FROM ba GROUP BY well_id)
   SELECT well_id, round(greatest(2 * spp_std, 30), 5) AS spp_warning, round(greatest(3 * spp_std, 50), 5) AS spp_critical, round(greatest(2 * cv, 0.1), 6) AS torque_warning, round(greatest(3 * cv, 0.2), 6) AS torque_critical FROM ov""")
 def baseline_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = baseline.overrides(baseline.baselines(baseline.long_form(telemetry(spark, sf_dir), ["spp", "torque"])))
