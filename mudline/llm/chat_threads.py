@@ -18,8 +18,9 @@ text in chat form, so that sorting by conversation, thread root and turn puts
 each reply after what it answers.
 
 Each (conversation, window) keeps only its first turn before the join, so a line
-that thousands of messages share meets each quote once.  Only conversations with
-a quote are cut into windows.  Roots come from pointer jumping over the links, in
+that thousands of messages share meets each quote once.  Messages without a mark
+are their own clean text; only conversations with a mark are cut into passages,
+which are written once.  Roots come from pointer jumping over the links, in
 rounds written to the shared folder; no conversation is gathered into one task.
 
 Defined results: null and empty texts have an empty text and no link; messages
@@ -57,11 +58,16 @@ def windows(norm: Column) -> Column:
     return F.array_distinct(long)
 
 
-def messages_of(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Messages with ``mark`` (of the text), ``own`` (their own lines) and ``passages`` (kind: level, 0 for own words, -1 for introductions; place; norm)."""
+def rows_of(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Messages with ``mark`` (of the text) and ``quotes``: whether a line may begin with a quote mark."""
     column = lambda c: F.col(f"`{c}`")
     rows = chats.select(column(conv_col).alias("conv_id"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.split("text", "\n", -1))
+    return rows.withColumns({"mark": F.xxhash64("text"), "quotes": F.col("text").rlike(r"(?m)^[ \t]*>")})
+
+
+def messages_of(rows: DataFrame) -> DataFrame:
+    """Messages with ``own`` (their own lines), ``n_quoted`` and ``passages`` (kind: level, 0 for own words, -1 for introductions; place; norm)."""
+    rows = rows.withColumn("lines", F.split("text", "\n", -1))
     levels = rows.withColumn("levels", F.transform("lines", level))
     after = lambda i: F.coalesce(F.get("levels", i + 1), F.lit(0))
     kind = lambda x, i: F.when(F.get("levels", i) > 0, F.get("levels", i)).when((after(i) > 0) & x.rlike(INTRODUCES), F.lit(-1)).otherwise(F.lit(0))
@@ -87,9 +93,8 @@ def first_said(messages: DataFrame) -> DataFrame:
 def reply_links(messages: DataFrame) -> DataFrame:
     """``conv_id``, ``turn``, ``mark``, ``reply_to`` and ``n_linked`` (quoted passages with an origin) of messages that quote earlier ones."""
     placed = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quoting = placed.filter(F.exists("passages", lambda p: p["kind"] > 0))
-    first = first_said(placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi"))
-    quotes = quoting.distinct().select("conv_id", "turn", "mark", F.explode(F.filter("passages", lambda p: p["kind"] > 0)).alias("p"))
+    first = first_said(placed)
+    quotes = placed.filter("n_quoted > 0").distinct().select("conv_id", "turn", "mark", F.explode(F.filter("passages", lambda p: p["kind"] > 0)).alias("p"))
     cut = quotes.select("conv_id", "turn", "mark", "p.place", F.col("p.kind").alias("level"), F.length("p.norm").alias("chars"), windows(F.col("p.norm")).alias("all"))
     keyed = cut.withColumn("n", F.size("all")).withColumn("window", F.explode("all")).drop("all")
     met = keyed.join(first, ["conv_id", "window"]).filter("origin < turn")
@@ -116,9 +121,14 @@ def thread_roots(links: DataFrame) -> DataFrame:
 
 def link_quotes(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row per message: conv_id, turn, role, reply_to, thread_root, depth, n_quoted, n_linked, clean_text and formatted."""
-    messages = messages_of(chats, conv_col, turn_col, role_col, text_col)
-    links = written(reply_links(messages), "replies")
-    rows = messages.select("conv_id", "turn", "mark", "role", "n_quoted", F.trim(F.array_join("own", "\n")).alias("clean_text"))
+    all_rows = rows_of(chats, conv_col, turn_col, role_col, text_col)
+    quoting, others = all_rows.filter("quotes"), all_rows.filter("NOT quotes")
+    marked = written(messages_of(quoting), "messages")
+    told_to = marked.filter("n_quoted > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id").distinct()
+    around = written(messages_of(others.join(told_to, "conv_id", "left_semi")), "messages")
+    links = written(reply_links(marked.unionByName(around)), "replies")
+    said = marked.select("conv_id", "turn", "mark", "role", "n_quoted", F.trim(F.array_join("own", "\n")).alias("clean_text"))
+    rows = said.unionByName(others.select("conv_id", "turn", "mark", "role", F.lit(0).cast("long").alias("n_quoted"), F.trim("text").alias("clean_text")))
     above = thread_roots(links).select("conv_id", F.col("turn").alias("reply_to"), F.col("thread_root").alias("root_above"), F.col("depth").alias("depth_above"))
     threads = links.join(above, ["conv_id", "reply_to"], "left").select(
         "conv_id", "turn", "mark", "reply_to", "n_linked", F.coalesce("root_above", "reply_to").alias("thread_root"), (F.coalesce("depth_above", F.lit(0)) + 1).cast("long").alias("depth")
