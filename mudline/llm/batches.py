@@ -7,13 +7,13 @@ longest single text, never on how many rows Spark puts into a batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,18 +39,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw, off - off[0]
 
 
-def mapper(step: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text") -> Callable:
-    """A function for ``mapInArrow`` that runs ``step`` over byte-bounded batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in by_bytes(batches, column):
-            out = step(piece)
-            if out is not None:
-                yield out
-
-    return run
-
-
 def gather_spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of many spans laid end to end: starts[0]..starts[0]+lengths[0]-1, starts[1].. and so on."""
     ends = np.cumsum(lengths)
