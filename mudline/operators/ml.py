@@ -54,19 +54,33 @@ def confidence(n: Column) -> Column:
 def grid(rows: DataFrame, campaign: str = "Production") -> DataFrame:
     """Bins of weight and speed per well with medians and scores; ``rows`` carry cv, deltas and efficiency.
 
-    The range per well is a small aggregate joined back; bins of under ``BIN_ROWS`` rows go.
+    The range per well is a window over the partition that the medians shuffle by
+    anyway; wells of under 1 klb or 5 rpm range and bins of under ``BIN_ROWS`` rows
+    have none (see ``best_parameters``).
     """
-    span = rows.groupBy("well_id").agg(F.min("wob").alias("w0"), F.max("wob").alias("w1"), F.min("rpm").alias("r0"), F.max("rpm").alias("r1")).filter("w1 - w0 >= 1 AND r1 - r0 >= 5")
+    whole = Window.partitionBy("well_id")
+    ranged = rows.withColumns({"w0": F.min("wob").over(whole), "w1": F.max("wob").over(whole), "r0": F.min("rpm").over(whole), "r1": F.max("rpm").over(whole)}).filter("w1 - w0 >= 1 AND r1 - r0 >= 5")
     at = lambda x, lo, hi, n: F.least(F.greatest(F.floor((F.col(x) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / n)), F.lit(0)), F.lit(n - 1))
-    binned = rows.join(span, "well_id").withColumn("bin", at("wob", "w0", "w1", WOB_BINS) * RPM_BINS + at("rpm", "r0", "r1", RPM_BINS))
+    binned = ranged.withColumn("bin", at("wob", "w0", "w1", WOB_BINS) * RPM_BINS + at("rpm", "r0", "r1", RPM_BINS))
     score = stability(*[F.col(c) for c in ("cv", "torque_delta", "mse_efficiency", "spp_delta")])
     wr, we, ws = CAMPAIGNS[campaign]
-    stats = binned.groupBy("well_id", "bin").agg(
-        F.count("*").alias("n"), F.median("wob").alias("wob"), F.median("rpm").alias("rpm"), F.median("flow_in").alias("flow"), F.median("rop").alias("rop"), F.median("mse_efficiency").alias("efficiency"), F.avg(score).alias("stability")
-    ).filter(F.col("n") >= BIN_ROWS)
+    stats = binned.groupBy("well_id", "bin").agg(F.count("*").alias("n"), *medians(), F.avg(score).alias("stability")).filter(F.col("n") >= BIN_ROWS)
     return stats.withColumn("score", wr * F.least(F.col("rop") / 100.0, F.lit(1.0)) + we * F.col("efficiency") / 100.0 + ws * F.col("stability"))
 
 
+def medians() -> list[Column]:
+    return [F.median("wob").alias("wob"), F.median("rpm").alias("rpm"), F.median("flow_in").alias("flow"), F.median("rop").alias("rop"), F.median("mse_efficiency").alias("efficiency")]
+
+
+def best_parameters(rows: DataFrame, campaign: str = "Production", least: int = 360) -> DataFrame:
+    """Each well's best bin; medians of all rows, score 0.5 and stability 1, where no bin is good; wells of under ``least`` rows have none."""
+    best = optimum(grid(rows, campaign)).select("well_id", F.struct("bins", "bin", "wob", "rpm", "flow", "rop", "efficiency", "stability", "score").alias("b"))
+    whole = rows.groupBy("well_id").agg(F.count("*").alias("n"), *medians()).filter(F.col("n") >= least)
+    met = whole.join(best, "well_id", "left")
+    pick = lambda c: F.coalesce(f"b.{c}", c).alias(c)
+    return met.select("well_id", "n", F.coalesce("b.bins", F.lit(0)).alias("bins"), "b.bin", *[pick(c) for c in ("wob", "rpm", "flow", "rop", "efficiency")], F.coalesce("b.stability", F.lit(1.0)).alias("stability"), F.coalesce("b.score", F.lit(0.5)).alias("score"))
+
+
 def optimum(bins: DataFrame) -> DataFrame:
     """Each well's best bin; the highest bin on ties."""
     best = F.max_by(F.struct(*[c for c in bins.columns if c != "well_id"]), F.struct("score", "bin")).alias("b")
