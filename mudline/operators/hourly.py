@@ -97,7 +97,7 @@ def analysis(metrics: DataFrame, transitions: DataFrame, centroids: list[list[fl
     level = ml.confidence(F.col("n"))
     out = counts.join(why, "well_id", "left").join(best, "well_id", "left").withColumns({
         "result": F.when(F.col("valid") == 0, "AllDataRejected").when(F.col("valid") < least, "InsufficientData").when(F.col("stable") < least, "AllDataRejected").when(F.col("part").isNull(), "InsufficientData").otherwise("Success"),
-        "confidence": F.when(F.col("related").isNull() & (level == "High"), "Medium").otherwise(level), "rating": composite_rating(F.col("score")), "formation": lithology(F.col("avg_d")), "stability_share": F.try_divide("stable", "valid"),
+        "confidence": F.when(F.col("related").isNull() & (level == "High"), "Medium").otherwise(level), "rating": F.when(F.col("score").isNotNull(), composite_rating(F.col("score"))), "formation": F.when(F.col("avg_d").isNotNull(), lithology(F.col("avg_d"))), "stability_share": F.try_divide("stable", "valid"),
     })
     return out.withColumn("primary_reason", F.when(F.col("result") == "AllDataRejected", F.col("primary_reason")))
 

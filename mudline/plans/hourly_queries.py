@@ -14,7 +14,7 @@ from mudline.telemetry import TELEMETRY_SQL, telemetry
 
 #: Channels of steady drilling, over the telemetry view; both engines read them alike.
 CALM = {
-    "wob": "CASE WHEN k % 10 = 0 THEN 0 ELSE 15 + 5 * (seq % 3) END", "rpm": "CASE WHEN k % 10 = 0 THEN 0 ELSE 100 + 10 * (seq % 2) END", "rop": "150 + (seq * 7) % 5 + (k % 4)", "torque": "15 + (seq % 7) * 0.1", "spp": "2500 + seq % 20", "flow_in": "500 + seq % 3", "flow_out": "500 + seq % 3", "pit_volume": "400 + 0 * k",
+    "wob": "CASE WHEN k % 10 = 0 THEN 0 ELSE 15 + 5 * (seq % 3) END", "rpm": "CASE WHEN k % 10 = 0 THEN 0 ELSE 100 + 10 * (seq % 2) END", "rop": "150 + (seq * 7) % 5 + (k % 4)", "torque": "1.5 + (seq % 7) * 0.01", "spp": "2500 + seq % 20", "flow_in": "500 + seq % 3", "flow_out": "500 + seq % 3", "pit_volume": "400 + 0 * k",
     "gas_units": "40 + 0 * k", "background_gas": "40 + 0 * k", "h2s": "0 * k", "fracture_gradient": "ecd + 1.5",
 }
 LEAST = 40
@@ -67,7 +67,7 @@ def hourly_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   be AS (SELECT w.well_id, w.part, w.n, coalesce(b.bins, 0) AS bins, coalesce(b.wob, w.wob) AS wob, coalesce(b.rpm, w.rpm) AS rpm, coalesce(b.score, 0.5) AS score, ad FROM wh w LEFT JOIN bb b ON b.well_id = w.well_id AND b.part = w.part QUALIFY row_number() OVER (PARTITION BY w.well_id ORDER BY coalesce(b.score, 0.5) DESC, w.part DESC) = 1),
   co AS (SELECT m.well_id, count(*) FILTER (WHERE {VALID.replace("state", "m.state")}) AS valid, count(d.seq) AS stable FROM met m LEFT JOIN (SELECT well_id, seq FROM dy WHERE dysfunction IS NULL) d ON d.seq = m.seq GROUP BY 1)
   SELECT c.well_id, valid, stable, CASE WHEN valid = 0 THEN 'AllDataRejected' WHEN valid < {LEAST} THEN 'InsufficientData' WHEN stable < {LEAST} THEN 'AllDataRejected' WHEN part IS NULL THEN 'InsufficientData' ELSE 'Success' END AS result, CAST(part AS INTEGER) AS part, n, CAST(bins AS BIGINT) AS bins, round(wob, 4) AS wob, round(rpm, 4) AS rpm, round(score, 5) AS score,
-    CASE WHEN score > 0.75 THEN 'EXCELLENT (fast and stable)' WHEN score > 0.6 THEN 'GOOD efficiency' WHEN score > 0.45 THEN 'ACCEPTABLE' ELSE 'POOR - optimization needed' END AS rating, CASE WHEN ad < 1.2 THEN 'Soft Shale' WHEN ad < 1.6 THEN 'Medium Shale/Siltstone' WHEN ad < 2.0 THEN 'Hard Sandstone' ELSE 'Very Hard Formation' END AS formation FROM co c LEFT JOIN be ON be.well_id = c.well_id""")
+    CASE WHEN score IS NULL THEN NULL WHEN score > 0.75 THEN 'EXCELLENT (fast and stable)' WHEN score > 0.6 THEN 'GOOD efficiency' WHEN score > 0.45 THEN 'ACCEPTABLE' ELSE 'POOR - optimization needed' END AS rating, CASE WHEN ad IS NULL THEN NULL WHEN ad < 1.2 THEN 'Soft Shale' WHEN ad < 1.6 THEN 'Medium Shale/Siltstone' WHEN ad < 2.0 THEN 'Hard Sandstone' ELSE 'Very Hard Formation' END AS formation FROM co c LEFT JOIN be ON be.well_id = c.well_id""")
 def hourly_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = hourly.analysis(calm_metrics(spark, sf_dir), transitions(spark, sf_dir), CENTROIDS, least=LEAST)
     return a.select("well_id", "valid", "stable", "result", "part", "n", "bins", r(F.col("wob"), "wob", 4), r(F.col("rpm"), "rpm", 4), r(F.col("score"), "score", 5), "rating", "formation")
