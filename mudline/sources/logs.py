@@ -6,6 +6,8 @@ expressions, converted to oilfield units and, where all channels are zero, left
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +70,35 @@ def mode_state(text: Column, rpm: Column, wob: Column, rop: Column) -> Column:
     return out.when((rpm > 20) & (wob > 2) & (rop > 0), "Drilling").when(rpm > 20, "Circulating").otherwise("Idle")
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header line: one short row a file reaches the driver."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    first = lines.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.collect():
+        out.setdefault(r.header, []).append(r.file)
+    return out
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Packets from a CSV log of either dialect (a file, a folder or a pattern); ``file`` names the source."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", True).csv(path)
+    """Packets from CSV logs of either dialect (a file, a folder or a pattern); ``file`` names the source.
+
+    Each header is mapped on its own, so a folder may mix dialects; files whose
+    header has neither time nor depth are left out, and an error where all are.
+    """
+    parts, wrong = [], None
+    for _, files in sorted(headers(spark, path).items()):
+        try:
+            parts.append(_read_alike(spark, files))
+        except ValueError as e:
+            wrong = e
+    if not parts:
+        raise wrong or ValueError("no log")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_alike(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", True).csv(files)
     found = mapping(raw.columns)
     channels = [F.col(f"`{c}`") for c, _ in found.values()]
     at = dict(zip(found, channels, strict=True))

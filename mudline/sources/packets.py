@@ -16,8 +16,8 @@ CSV_COLUMNS = ("bit_depth", "hole_depth", "rop", "hook_load", "wob", "rpm", "tor
 CSV_OPTIONAL = {"mud_temp_in": 100.0, "mud_temp_out": 120.0, "casing_pressure": 0.0, "h2s": 0.0, "co2": 0.0}
 #: Record codes of the level-0 feed (fixed values).
 CODES = {
-    "0108": "bit_depth", "0110": "hole_depth", "0113": "rop", "0114": "hook_load", "0116": "wob", "0120": "rpm", "0118": "torque", "0121": "spp", "0123": "pump_spm", "0130": "flow_in", "0128": "flow_out", "0126": "pit_volume",
-    "0131": "mud_weight_out", "0132": "mud_weight_in", "0133": "mud_temp_out", "0134": "mud_temp_in", "0140": "gas_units",
+    "0108": "bit_depth", "0110": "hole_depth", "0113": "rop", "0114": "hook_load", "0116": "wob", "0117": "rpm", "0118": "torque", "0119": "spp", "0120": "pump_spm", "0121": "flow_in", "0122": "flow_out", "0123": "pit_volume",
+    "0124": "mud_weight_in", "0125": "mud_weight_out", "0126": "mud_temp_in", "0127": "mud_temp_out", "0130": "casing_pressure", "0140": "gas_units", "0141": "total_gas", "0142": "h2s", "0143": "co2", "0150": "ecd", "0105": "block_position",
 }
 #: Date patterns that timestamps may take, in order of trial (fixed values).
 DATE_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm:ss")
@@ -69,12 +69,13 @@ def from_json_text(rows: DataFrame, column: str) -> DataFrame:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Record frames: ``&&`` opens, ``!!`` closes, each line a four-digit code and a value.
 
-    A file is read as one row, cut into frames by the reader's own split, and
-    exploded; no window runs over all lines.
+    The reader itself cuts a file at ``&&``, so one row holds one frame, large files
+    are split among tasks, and no window runs over all lines.  ``frame`` numbers
+    the frames of a task, in order.
     """
-    texts = spark.read.text(path, wholetext=True, lineSep=None).select(F.input_file_name().alias("file"), "value")
-    frames = texts.select("file", F.posexplode(F.split("value", "&&"))).filter("pos > 0 AND col LIKE '%!!%'")
-    body = frames.select("file", F.col("pos").alias("frame"), F.split(F.element_at(F.split("col", "!!"), 1), r"\r?\n").alias("lines"))
+    cut = spark.read.option("lineSep", "&&").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("frame"), "value")
+    frames = cut.filter(F.col("value").contains("!!"))
+    body = frames.select("file", "frame", F.split(F.element_at(F.split("value", "!!"), 1), r"\r?\n").alias("lines"))
     items = body.withColumn("items", F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: F.length(x) >= 5))
     last = lambda code: F.try_element_at(F.transform(F.filter("items", lambda x: F.substring(x, 1, 4) == code), lambda x: F.substring(x, 5, 40)), F.lit(-1))
     found = items.filter(F.size("items") > 0).select("file", "frame", *[number(F.coalesce(last(code), F.lit(""))).alias(name) for code, name in CODES.items()])
@@ -87,38 +88,30 @@ def build_frame(rows: DataFrame) -> DataFrame:
     return rows.withColumn("frame", F.concat_ws("\r\n", F.lit("&&"), *lines, F.lit("!!")))
 
 
-def fault_series(spark: SparkSession) -> DataFrame:
-    """85 packets: 40 normal, 20 inefficient, 15 of a kick, 10 of recovery."""
-    i = F.col("id").cast("double")
-    gain = 5 + 2 * (i - 60)
-    by = lambda normal, slow, kick, after: F.when(i < 40, normal).when(i < 60, slow).when(i < 75, kick).otherwise(after)
-    lit = lambda x: F.lit(float(x))
-    rows = spark.range(85).select(
-        (1705564800 + 60 * F.col("id")).alias("timestamp"), by(10000 + 0.8 * i, 10032 + 0.3 * (i - 40), lit(10038), 10038 + 0.5 * (i - 75)).alias("bit_depth"), by(50 + 5 * F.sin(0.1 * i), 25 + 3 * F.sin(0.1 * i), lit(25), lit(48)).alias("rop"),
-        by(25 + 2 * F.sin(0.05 * i), lit(30), lit(25), lit(25)).alias("wob"), by(lit(120), lit(100), lit(100), lit(118)).alias("rpm"), by(lit(15), lit(18), lit(16), lit(15)).alias("torque"), by(lit(2800), lit(2900), lit(2750), lit(2850)).alias("spp"),
-        lit(500).alias("flow_in"), by(lit(502), lit(502), 500 + 5 * gain, lit(502)).alias("flow_out"), by(lit(500), lit(500), 500 + gain, lit(505)).alias("pit_volume"), by(lit(50), lit(60), 100 + 50 * (i - 60), lit(80)).alias("gas_units"), by(lit(45), lit(50), 80 + 40 * (i - 60), lit(60)).alias("background_gas"),
-        by(lit(35000), lit(55000), lit(40000), lit(36000)).alias("mse"), by(lit(12.4), lit(12.4), lit(12.4), lit(12.8)).alias("ecd"), by(lit(14), lit(14), lit(14), lit(14.5)).alias("fracture_gradient"), by(lit(12), lit(12), lit(12), lit(12.5)).alias("mud_weight_in"),
-    ).withColumn("hole_depth", F.col("bit_depth"))
-    return complete(rows)
-
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Packets from a CSV path: a log of either dialect where the headers allow it, else the fixed layout."""
+    from mudline.sources import logs
 
-def simulate(spark: SparkSession, packets: int, wells: int = 1, seed: int = 7) -> DataFrame:
-    """Seeded noise around six phases: baseline, normal, inefficient, kick, pack-off, recovery."""
-    share = F.col("id") % packets / float(packets)
-    phase = F.when(share < 0.4, "baseline").when(share < 0.55, "normal").when(share < 0.7, "inefficient").when(share < 0.8, "kick").when(share < 0.9, "packoff").otherwise("recovery")
-    noise = lambda mean, sd, k: F.lit(float(mean)) + sd * F.randn(seed + k)
-    at = lambda normal, **odd: F.coalesce(*[F.when(F.col("phase") == p, v) for p, v in odd.items()], normal)
-    rows = spark.range(packets * wells).withColumn("phase", phase).select(
-        F.floor(F.col("id") / packets).alias("well_id"), (F.lit(1705564800) + F.col("id") % packets).alias("timestamp"), "phase", (10000 + (F.col("id") % packets) * 0.015).alias("bit_depth"), at(noise(60, 4, 1), inefficient=noise(25, 3, 2), packoff=noise(15, 3, 3)).alias("rop"),
-        noise(25, 1, 4).alias("wob"), noise(120, 3, 5).alias("rpm"), at(noise(15, 1, 6), packoff=noise(24, 4, 7)).alias("torque"), at(noise(2800, 20, 8), packoff=noise(3100, 40, 9)).alias("spp"), noise(500, 3, 10).alias("flow_in"), at(noise(500, 3, 11), kick=noise(540, 8, 12)).alias("flow_out"), at(noise(40, 5, 13), kick=noise(260, 40, 14)).alias("gas_units"),
-    )
-    return complete(rows.withColumn("hole_depth", F.col("bit_depth")))
+    try:
+        return logs.read_log(spark, path)
+    except ValueError:
+        return read_csv(spark, path)
 
 
 def in_depth_range(rows: DataFrame, low: float, high: float) -> DataFrame:
     return rows.filter(F.col("bit_depth").between(low, high))
 
 
+def circulating_only(rows: DataFrame) -> DataFrame:
+    """Rows with over 50 gpm that do not drill."""
+    return rows.filter((F.col("flow_in") > 50) & ~((F.col("rpm") > 5) & (F.col("wob") > 1)))
+
+
+def mud_changes(rows: DataFrame) -> DataFrame:
+    """``mud_weight_change`` and ``mud_temp_change``: what comes out less what goes in."""
+    return rows.withColumns({"mud_weight_change": F.col("mud_weight_out") - F.col("mud_weight_in"), "mud_temp_change": F.col("mud_temp_out") - F.col("mud_temp_in")})
+
+
 def drilling_only(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("rpm") > 5) & (F.col("wob") > 1))
 

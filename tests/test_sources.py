@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import socket
+import threading
+import time
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from mudline.operators.metrics import drilling_metrics
-from mudline.sources import logs, packets
+from mudline.operators import baseline
+from mudline.sources import feed, logs, packets, plans
 from mudline.streaming import live
 
 
@@ -62,14 +67,64 @@ def test_xml_log(spark, tmp_path):
     assert [(r.TIME, r.WOB) for r in got] == [("1", "20"), ("2", "")]
 
 
-def test_fault_series_raises_the_right_alarms(spark):
-    t = packets.fault_series(spark).withColumns({"ts": F.col("timestamp"), "seq": F.col("timestamp"), "well_id": F.lit(1), "k": F.lit(0)})
-    m = {r.timestamp: r for r in drilling_metrics(t).collect()}
-    assert len(m) == 85
-    rules = [m[1705564800 + 60 * i].rule for i in range(85)]
-    assert set(rules[62:75]) <= {"kick", "gas"} and "kick" in rules[60:75] and rules[10] not in ("kick", "gas")
-    assert packets.drilling_only(packets.fault_series(spark)).count() == 85
-    assert packets.simulate(spark, 100, 2).groupBy("well_id").count().count() == 2
+def test_live_feed_connects_again(spark, tmp_path):
+    """Frames of two connections, cut across packets, with broken lines and an empty frame between."""
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        for parts in ([b"noise&&\r\n01081000\r\n0113", b"50.5\r\n0117nan\r\n!!\r\n&&\r\n!!\r\n"], [b"&&\r\n01081001\r\nxxxx\r\n0119x\r\n!!\r\n&&\r\n0108"]):
+            link, _ = server.accept()
+            with link:
+                for p in parts:
+                    link.sendall(p)
+                    time.sleep(0.3)
+        server.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    feed.register(spark)
+    stream = spark.readStream.format("level0").options(host="127.0.0.1", port=server.getsockname()[1], delay=0.2, attempts=3, timeout=5).load()
+    q = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("feed").count() < 2:
+        time.sleep(0.3)
+    q.stop()
+    got = [(r.bit_depth, r.rop, r.rpm, r.spp) for r in spark.table("feed").orderBy("bit_depth").collect()]
+    assert got == [(1000.0, 50.5, 0.0, 0.0), (1001.0, 0.0, 0.0, 0.0)]
+
+
+def test_mixed_folder_and_dispatch(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "m.csv").write_text("DateTime parsed,Bit Depth (MD) m,Weight on Bit kkgf\n2024-01-18 08:00:00,100,10\n")
+    (folder / "s.csv").write_text("TIME,DEPTH,WOB(N)\n1705564800,200,44482.2\n")
+    (folder / "x.csv").write_text("a,b\n1,2\n")
+    got = sorted((round(r.bit_depth, 2), round(r.wob, 2)) for r in packets.load(spark, str(folder)).collect())
+    assert got == [(328.08, 22.05), (656.17, 10.0)]
+    head = "when," + ",".join(packets.CSV_COLUMNS)
+    (tmp_path / "f.csv").write_text(f"{head}\n1705564800,1000,1001,50,100,20,120,15,2800,60,500,502,400,12,12,12.4,7\n")
+    fixed = packets.load(spark, str(tmp_path / "f.csv"))
+    assert fixed.first().gas_units == 7 and packets.mud_changes(fixed).first().mud_temp_change == 20.0 and packets.circulating_only(fixed).count() == 0
+
+
+def test_plans_and_knowledge_files(spark, tmp_path):
+    body = '[[formations]]\nname = "B"\ndepth_top_ft = 2000\ndepth_base_ft = 2500\nhardness = 4.0\n[[formations]]\nname = "A"\ndepth_top_ft = 1000\ndepth_base_ft = 2000\n[formations.parameters.wob]\nmin = 5.0\noptimal = 10.0\nmax = 15.0\n'
+    (tmp_path / "p.toml").write_text(body)
+    got = plans.load_plan(spark, str(tmp_path / "p.toml")).collect()
+    assert [r.name for r in got] == ["A", "B"] and got[0].hardness == 5.0 and got[1].hardness == 4.0
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "a.toml").write_text('x = 1')
+    (tmp_path / "kb" / "b.toml.zst").write_bytes(zstandard.ZstdCompressor().compress(b'x = 2'))
+    (tmp_path / "kb" / "c.toml").write_text('x = ')
+    bodies = {os.path.basename(r.file): r.body for r in plans.read_toml_files(spark, str(tmp_path / "kb")).collect()}
+    assert bodies == {"a.toml": '{"x": 1}', "b.toml.zst": '{"x": 2}', "c.toml": None}
+    base = spark.createDataFrame([(1, "spp", 10, 2.0, 0.1, 0)], "well_id long, sensor string, n long, mean double, std double, outliers long")
+    baseline.save(base, str(tmp_path / "base"))
+    assert [tuple(r) for r in baseline.load(spark, str(tmp_path / "base")).collect()] == [(1, "spp", 10, 2.0, 0.1, 0)]
+    base.drop("outliers").withColumn("version", F.lit(2)).write.parquet(str(tmp_path / "old"))
+    assert baseline.load(spark, str(tmp_path / "old")).first().outliers == 0
+    base.withColumn("version", F.lit(1)).write.parquet(str(tmp_path / "ancient"))
+    with pytest.raises(ValueError, match="version"):
+        baseline.load(spark, str(tmp_path / "ancient"))
 
 
 def test_stream_summaries(spark, tmp_path):
