@@ -26,10 +26,16 @@ def retain(rows: DataFrame, at: str, now: Column, max_age: int) -> DataFrame:
     return rows.filter(F.col(at) >= now - max_age)
 
 
-def tiers(rows: DataFrame, at: str, now: Column, hot: int, max_age: int, group: list[str]) -> DataFrame:
-    """``tier``: delete over ``max_age``, hot for the newest ``hot`` of a group, else cold."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(at)))
-    return rows.withColumn("tier", F.when(F.col(at) < now - max_age, "delete").when(place <= hot, "hot").otherwise("cold"))
+def tiers(rows: DataFrame, at: str, tie: str, now: Column, hot: int, max_age: int, group: list[str]) -> DataFrame:
+    """``tier``: delete over ``max_age``, hot for the newest ``hot`` of a group (ties to the larger ``tie``), else cold.
+
+    Only each group's newest rows are sorted; the last of them is the group's
+    cut-off, joined back.
+    """
+    edge = newest_per_group(rows.select(*group, at, tie), group, [F.desc(at), F.desc(tie)], hot).groupBy(*group).agg(F.min(F.struct(at, tie)).alias("_edge"))
+    newer = F.struct(at, tie) >= F.col("_edge")
+    tier = F.when(F.col(at) < now - max_age, "delete").when(newer, "hot").otherwise("cold")
+    return rows.join(edge, group).withColumn("tier", tier).drop("_edge")
 
 
 def write_table(rows: DataFrame, path: str, partition_by: list[str], mode: str = "append") -> None:

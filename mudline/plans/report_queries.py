@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mudline.config import DEFAULT
-from mudline.functions import physics, reports
-from mudline.operators import knowledge, ml, quality, stores
+from mudline.functions import physics, reports, texts
+from mudline.operators import advisories, knowledge, ml, quality, stores
 from mudline.operators.metrics import drilling_metrics
 from mudline.plans.join_queries import FEEDBACK_SQL, feedback
 from mudline.plans.physics_queries import MET, TEL, r
@@ -45,13 +45,12 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("well_id", "bin", "n", *[r(F.col(c), c, 5) for c in ("wob", "rpm", "flow", "rop", "efficiency")], r(F.col("stability"), "stability", 4), r(F.col("score"), "score", 4))
 
 
-@query(MET + DYS_SQL + """SELECT well_id, bins, bin, round(wob, 5) AS wob, round(rpm, 5) AS rpm, round(score, 5) AS score, CASE WHEN score > 0.75 THEN 'Excellent' WHEN score > 0.6 THEN 'Good' WHEN score > 0.45 THEN 'Fair' ELSE 'Poor' END AS rating FROM (
+@query(MET + DYS_SQL + """SELECT well_id, bins, bin, round(wob, 5) AS wob, round(rpm, 5) AS rpm, round(score, 5) AS score, CASE WHEN score > 0.75 THEN 'EXCELLENT (fast and stable)' WHEN score > 0.6 THEN 'GOOD efficiency' WHEN score > 0.45 THEN 'ACCEPTABLE' ELSE 'POOR - optimization needed' END AS rating FROM (
   SELECT *, count(*) OVER (PARTITION BY well_id) AS bins, row_number() OVER (PARTITION BY well_id ORDER BY score DESC, bin DESC) AS k FROM sc) a WHERE k = 1""")
 def optimal_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = ml.optimum(ml.grid(usable_rows(spark, sf_dir)))
     s = F.col("score")
-    rating = F.when(s > 0.75, "Excellent").when(s > 0.6, "Good").when(s > 0.45, "Fair").otherwise("Poor")
-    return o.select("well_id", "bins", "bin", r(F.col("wob"), "wob", 5), r(F.col("rpm"), "rpm", 5), r(s, "score", 5), rating.alias("rating"))
+    return o.select("well_id", "bins", "bin", r(F.col("wob"), "wob", 5), r(F.col("rpm"), "rpm", 5), r(s, "score", 5), texts.composite_rating(s).alias("rating"))
 
 
 @query(MET + DYS_SQL + """SELECT well_id, x, y, n, round(c, 5) AS r FROM (SELECT well_id, 'wob' AS x, 'rop' AS y, count(*) AS n, corr(wob, rop) AS c FROM ok GROUP BY 1 UNION ALL SELECT well_id, 'wob', 'mse', count(*), corr(wob, mse) FROM ok GROUP BY 1 UNION ALL SELECT well_id, 'rpm', 'rop', count(*), corr(rpm, rop) FROM ok GROUP BY 1
@@ -110,7 +109,7 @@ def event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = feedback(spark, sf_dir)
     now = f.agg(F.max("rated_at").alias("now"))
-    marked = stores.tiers(f.join(F.broadcast(now), how="cross"), "rated_at", F.col("now"), 168, 86400 * 365, ["category"])
+    marked = stores.tiers(f.join(F.broadcast(now), how="cross"), "rated_at", "o_orderkey", F.col("now"), 168, 86400 * 365, ["category"])
     return marked.groupBy("category", "tier").agg(F.count("*").alias("n"))
 
 
@@ -200,11 +199,10 @@ def mud_weight_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, round(0.3 * CASE o_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 1 END + 0.25 * least(abs(o_totalprice / 10000 - 25) / 25, 1) + 0.2 * (o_orderkey % 11) / 10.0 + 0.15 * 0.9 + 0.1 * CASE WHEN o_orderkey % 10 < 3 THEN 1 WHEN o_orderkey % 10 < 5 THEN 0.7 WHEN o_orderkey % 10 < 7 THEN 0.3 ELSE 0 END, 9) AS confidence FROM orders""")
 def recommendation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    w, s = F.col("o_custkey") % 4, F.col("o_orderkey") % 10
-    offset = F.when(w == 0, 0.0).when(w == 1, 0.4).when(w == 2, 0.7).otherwise(1.0)
-    gap = physics.clamp(F.abs(F.col("o_totalprice") / 10000 - 25) / 25, 0, 1)
-    nets = F.when(s < 3, 1.0).when(s < 5, 0.7).when(s < 7, 0.3).otherwise(0.0)
-    return o.select("o_orderkey", r(0.3 * offset + 0.25 * gap + 0.2 * (F.col("o_orderkey") % 11) / 10.0 + 0.15 * 0.9 + 0.1 * nets, "confidence", 9))
+    score = (F.col("o_orderkey") % 10) / 10.0
+    gap = advisories.gap_score([(F.col("o_totalprice") / 10000, F.lit(25.0), F.lit(25.0))])
+    c = advisories.recommendation_confidence(advisories.offset_score(F.col("o_custkey") % 4), gap, (F.col("o_orderkey") % 11) / 10.0, F.lit(0.9), advisories.net_agreement(F.round(score, 3)))
+    return o.select("o_orderkey", r(c, "confidence", 9))
 
 
 @query("SELECT well, formation, category, n FROM (SELECT CAST(user_id % 8 AS BIGINT) AS well, CAST(event_id % 5 AS BIGINT) AS formation, event_type AS category, count(*) AS n FROM events GROUP BY ROLLUP (user_id % 8, event_id % 5, event_type)) a")
