@@ -6,6 +6,7 @@ side by side; one dataset's boundaries (not its rows) meet in one row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +28,15 @@ def nearest_regimes(centroids: list[list[float]]) -> list[list[int]]:
 
 def partitions(stable: DataFrame, centroids: list[list[float]], least: int = LEAST) -> DataFrame:
     """``stable`` rows with ``part``: regimes under 50 rows join the nearest larger one; where no partition is large enough, all rows are one; small partitions go."""
-    sizes = stable.groupBy("well_id", "regime").count()
-    large = sizes.filter(F.col("count") >= SMALL_REGIME).groupBy("well_id").agg(F.collect_set("regime").alias("large"))  # regimes are few
+    whole, own = Window.partitionBy("well_id"), lambda *c: Window.partitionBy("well_id", *c)
+    sized = stable.withColumn("_n", F.count("*").over(own("regime"))).withColumn("_large", F.collect_set(F.when(F.col("_n") >= SMALL_REGIME, F.col("regime"))).over(whole))  # regimes are few
     order = F.get(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in nearest_regimes(centroids)]), F.col("regime"))
-    target = F.get(F.filter(order, lambda x: F.array_contains("large", x)), 0)
-    named = sizes.join(large, "well_id", "left").withColumn("part", F.when((F.col("count") < SMALL_REGIME) & F.col("large").isNotNull(), F.coalesce(target, F.col("regime"))).otherwise(F.col("regime")))
-    merged = named.withColumn("size", F.sum("count").over(Window.partitionBy("well_id", "part")))
-    whole = Window.partitionBy("well_id")
-    viable = F.max("size").over(whole) >= least
-    final = merged.select("well_id", "regime", F.when(viable, F.col("part")).otherwise(COMBINED).alias("part"), F.when(viable, F.col("size")).otherwise(F.sum("count").over(whole)).alias("size")).filter(F.col("size") >= least)
-    return stable.join(final.select("well_id", "regime", "part"), ["well_id", "regime"])
+    target = F.get(F.filter(order, lambda x: F.array_contains("_large", x)), 0)
+    named = sized.withColumn("part", F.when((F.col("_n") < SMALL_REGIME) & (F.size("_large") > 0), F.coalesce(target, F.col("regime"))).otherwise(F.col("regime")))
+    merged = named.withColumn("_size", F.count("*").over(own("part")))
+    viable = merged.withColumns({"_viable": F.max("_size").over(whole) >= least, "_all": F.count("*").over(whole)})
+    final = viable.withColumns({"part": F.when(F.col("_viable"), F.col("part")).otherwise(COMBINED), "_size": F.when(F.col("_viable"), F.col("_size")).otherwise(F.col("_all"))})
+    return final.filter(F.col("_size") >= least).drop("_n", "_large", "_size", "_viable", "_all")
 
 
 def spaced(boundaries: Column, gap: int = 30) -> Column:
@@ -79,10 +79,13 @@ def analysis(metrics: DataFrame, transitions: DataFrame, centroids: list[list[fl
 
     ``metrics`` carry ``regime``; ``transitions``: well_id and at (seconds).
     """
-    judged = stable_rows(metrics)
-    counts = judged.groupBy("well_id").agg(F.count_if(F.col("rejected").isNull()).alias("valid"), F.count_if(F.col("reason").isNull()).alias("stable"), F.avg("bit_depth").alias("avg_depth"))
-    why = judged.filter("reason IS NOT NULL").groupBy("well_id", "reason").count().groupBy("well_id").agg(F.max_by("reason", F.struct("count", "reason")).alias("primary_reason"))
-    rows = partitions(judged.filter("reason IS NULL"), centroids, least)
+    # six branches read the judged rows, so they are kept once: on disk, and made anew where an executor is lost
+    columns = ["well_id", "ts", "seq", "regime", "bit_depth", "wob", "rpm", "rop", "flow_in", "mse", "mse_efficiency", "torque_delta", "spp_delta", "d_exponent", "cv", "rejected", "reason"]
+    judged = stable_rows(metrics).select(*columns).persist(StorageLevel.DISK_ONLY)
+    per_reason = judged.groupBy("well_id", "reason").agg(F.count("*").alias("count"), F.count_if(F.col("rejected").isNull()).alias("valid"))
+    bad = F.when(F.col("reason").isNotNull(), F.struct("count", "reason"))
+    counts = per_reason.groupBy("well_id").agg(F.sum("valid").alias("valid"), F.sum(F.when(F.col("reason").isNull(), F.col("count")).otherwise(0)).alias("stable"), F.max(bad)["reason"].alias("primary_reason"))
+    rows = partitions(judged.filter("reason IS NULL").drop("rejected", "reason"), centroids, least)
     best_segment = segments(rows, transitions).withColumn("size", F.col("ended") - F.col("began")).groupBy("well_id", "part").agg(F.max_by(F.struct("began", "ended"), F.struct("size", "began")).alias("s"), F.count("*").alias("segments"), F.max("size").alias("largest"))
     steady = best_segment.filter(~((F.col("segments") > 1) & (F.col("largest") < least)))
     numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("well_id", "part").orderBy("ts", "seq")) - 1)
@@ -95,7 +98,7 @@ def analysis(metrics: DataFrame, transitions: DataFrame, centroids: list[list[fl
     units = found.join(kind, "well_id").join(strongest, "well_id", "left").select(F.col("well_id.well_id").alias("dataset"), F.col("well_id.part").alias("part"), "*").drop("well_id")
     best = units.groupBy("dataset").agg(F.max_by(F.struct(*[c for c in units.columns if c != "dataset"]), F.struct("score", "part")).alias("b")).select(F.col("dataset").alias("well_id"), "b.*")
     level = ml.confidence(F.col("n"))
-    out = counts.join(why, "well_id", "left").join(best, "well_id", "left").withColumns({
+    out = counts.join(best, "well_id", "left").withColumns({
         "result": F.when(F.col("valid") == 0, "AllDataRejected").when(F.col("valid") < least, "InsufficientData").when(F.col("stable") < least, "AllDataRejected").when(F.col("part").isNull(), "InsufficientData").otherwise("Success"),
         "confidence": F.when(F.col("related").isNull() & (level == "High"), "Medium").otherwise(level), "rating": F.when(F.col("score").isNotNull(), composite_rating(F.col("score"))), "formation": F.when(F.col("avg_d").isNotNull(), lithology(F.col("avg_d"))), "stability_share": F.try_divide("stable", "valid"),
     })

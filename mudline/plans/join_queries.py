@@ -85,7 +85,7 @@ def formation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("was", F.lag("formation").over(ordered())).filter("formation IS NOT NULL AND NOT (was <=> formation)").select("seq", "well_id", "formation")
 
 
-@query(MET + FORMATION_SQL + """SELECT formation, round(top, 3) AS top, CAST(count(m.seq) AS BIGINT) AS packets, CAST(coalesce(sum((category <> 'None')::INT), 0) AS BIGINT) AS tickets, CAST(coalesce(sum((category = 'WellControl')::INT), 0) AS BIGINT) AS well_control, round(avg(rop), 5) AS rop, round(max(mse), 3) AS top_mse
+@query(MET + FORMATION_SQL + """SELECT formation, round(top, 3) AS top, CAST(count(m.seq) AS BIGINT) AS packets, CAST(coalesce(sum((category <> 'None')::INT), 0) AS BIGINT) AS tickets, CAST(coalesce(sum((category = 'WellControl')::INT), 0) AS BIGINT) AS well_control, round(avg(rop), 8) AS rop, round(max(mse), 3) AS top_mse
   FROM fm f LEFT JOIN met m ON m.bit_depth >= f.top AND m.bit_depth < f.base GROUP BY 1, 2""")
 def formation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formations with what happened in them: a range join, aggregated before it meets the plan."""
@@ -94,7 +94,7 @@ def formation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = joins.range_join(m, f.select("fid", "top", "base"), "bit_depth", "top", "base", how="inner")
     agg = hit.groupBy("fid").agg(F.count("*").alias("packets"), F.sum((F.col("category") != "None").cast("int")).alias("tickets"), F.sum((F.col("category") == "WellControl").cast("int")).alias("well_control"), F.avg("rop").alias("rop"), F.max("mse").alias("top_mse"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return f.join(agg, "fid", "left").select("formation", r(F.col("top"), "top", 3), zero("packets"), zero("tickets"), zero("well_control"), r(F.col("rop"), "rop", 5), r(F.col("top_mse"), "top_mse", 3))
+    return f.join(agg, "fid", "left").select("formation", r(F.col("top"), "top", 3), zero("packets"), zero("tickets"), zero("well_control"), r(F.col("rop"), "rop", 8), r(F.col("top_mse"), "top_mse", 3))
 
 
 FEEDBACK_SQL = """fb AS (SELECT o_orderkey % 3000 AS advisory, o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS rated_at, CASE o_orderkey % 5 WHEN 0 THEN 'WellControl' WHEN 1 THEN 'Hydraulics' WHEN 2 THEN 'Mechanical' WHEN 3 THEN 'DrillingEfficiency' ELSE 'Formation' END AS category,

@@ -158,10 +158,10 @@ def verification_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("seq", r(F.avg("pit_rate").over(w5), "pit5", 4), r(F.avg("flow_balance").over(w10), "flow10", 5), r(steady, "consistency"), F.sum((F.col("category") != "None").cast("int")).over(w10).alias("recent"))
 
 
-@query(REC + """, ix AS (SELECT well_id, seq, spp, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM tel),
+@query(REC + """, ix AS (SELECT well_id, seq, spp * 6.894757 AS spp, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM tel),
   em AS (SELECT well_id, seq, i, spp, spp AS ema FROM ix WHERE i = 1 UNION ALL SELECT f.well_id, f.seq, f.i, f.spp, CASE WHEN f.spp > 0 THEN e.ema + CASE WHEN f.i <= 10 THEN 0.5 ELSE 0.1 END * (f.spp - e.ema) ELSE e.ema END FROM em e JOIN ix f ON f.well_id = e.well_id AND f.i = e.i + 1)
   SELECT seq, round(ema, 4) AS ema, round(CASE WHEN i > 5 THEN spp - ema ELSE 0 END, 4) AS delta FROM em""")
 def pressure_moving_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The moving baseline of pressure at every packet, and how far the packet is from it once five are seen."""
-    e = baseline.moving_baseline(telemetry(spark, sf_dir), "spp")
+    """The moving baseline of pressure (in kPa) at every packet, and how far the packet is from it once five are seen."""
+    e = baseline.moving_baseline(telemetry(spark, sf_dir).withColumn("spp", F.col("spp") * 6.894757), "spp")
     return e.select("seq", r(F.col("ema"), "ema", 4), r(F.when(F.col("idx") > 5, F.col("spp") - F.col("ema")).otherwise(0.0), "delta", 4))

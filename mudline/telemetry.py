@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from mudline.functions.frames import ordered
 
-#: Channel and expression over event_id, value and k; both engines read them alike.
+#: Channel and expression over event_id, value and k; both engines read them alike.  Constants are doubles: decimals of mixed precision would be computed as big numbers.
 CHANNELS = [
-    ("wob", "CASE WHEN k % 10 = 0 THEN 0 WHEN k % 10 = 1 THEN 0.5 ELSE 5 + (value * 3) % 30 END"),
+    ("wob", "CASE WHEN k % 10 = 0 THEN 0 WHEN k % 10 = 1 THEN CAST(0.5 AS DOUBLE) ELSE 5 + (value * 3) % 30 END"),
     ("rpm", "CASE WHEN k % 10 IN (0, 2) THEN 0 ELSE 60 + event_id % 90 END"),
     ("rop", "CASE WHEN k % 10 = 3 THEN 1 ELSE 5 + (value * 7) % 80 END"),
     ("torque", "5 + (value * 3) % 20"),
@@ -27,9 +27,9 @@ CHANNELS = [
     ("hook_load", "100 + event_id % 160"),
     ("bit_diameter", "8.5"),
     ("mud_weight_in", "9 + event_id % 4"),
-    ("ecd", "9.5 + event_id % 4"),
-    ("fracture_gradient", "9.55 + event_id % 4 + (k % 10) * 0.1"),
-    ("pore_pressure", "8.2 + event_id % 4 + (k % 7) * 0.1"),
+    ("ecd", "CAST(9.5 AS DOUBLE) + event_id % 4"),
+    ("fracture_gradient", "CAST(9.55 AS DOUBLE) + event_id % 4 + (k % 10) * CAST(0.1 AS DOUBLE)"),
+    ("pore_pressure", "CAST(8.2 AS DOUBLE) + event_id % 4 + (k % 7) * CAST(0.1 AS DOUBLE)"),
 ]
 NAMES = [c for c, _ in CHANNELS]
 
