@@ -98,10 +98,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hourly(metrics: DataFrame) -> DataFrame:
+    """Hours of a well: means of seven measures, the range of efficiency, and four slopes against the packet's place."""
     hour = F.col("ts") - F.col("ts") % 3600
     i = F.row_number().over(Window.partitionBy("well_id", "hour").orderBy("ts", "seq")).cast("double")
+    slope = lambda x: F.coalesce(F.regr_slope(x, "i"), F.lit(0.0))
+    means = {"eff": "mse_efficiency", "torque": "torque", "spp": "spp", "rop": "rop", "wob": "wob", "mse": "mse", "flow_balance": "flow_balance"}
+    slopes = {"torque_slope": "torque", "spp_slope": "spp", "rop_slope": "rop", "eff_slope": "mse_efficiency"}
     return metrics.withColumn("hour", hour).withColumn("i", i).groupBy("well_id", "hour").agg(
-        F.count("*").alias("n"), F.avg("mse_efficiency").alias("eff"), F.min("mse_efficiency").alias("eff_lo"), F.max("mse_efficiency").alias("eff_hi"), F.avg("torque").alias("torque"), F.avg("spp").alias("spp"), F.avg("rop").alias("rop"), F.coalesce(F.regr_slope("torque", "i"), F.lit(0.0)).alias("torque_slope")
+        F.count("*").alias("n"), *[F.avg(x).alias(n) for n, x in means.items()], F.min("mse_efficiency").alias("eff_lo"), F.max("mse_efficiency").alias("eff_hi"), *[slope(x).alias(n) for n, x in slopes.items()]
     )
 
 

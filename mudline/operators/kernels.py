@@ -110,15 +110,17 @@ def slope(values: list[float]) -> float:
 
 
 class BitWear(Kernel):
-    """Energy per 100 drilled feet over the optimum at the bucket's hardness, against the first bucket."""
+    """Energy per 100 drilled feet over the optimum at the bucket's hardness, against the first bucket; a bucket starts anew where the formation changes."""
 
     schema = "wear_index double, wear_advice string"
-    reads = ("bit_depth", "mse", "hardness")
+    reads = ("bit_depth", "mse", "hardness", "formation")
 
     def start(self) -> dict[str, Any]:
-        return {"top": None, "hardness": 0.0, "sum": 0.0, "n": 0, "reference": None, "wear": 0.0}
+        return {"top": None, "hardness": 0.0, "sum": 0.0, "n": 0, "reference": None, "wear": 0.0, "formation": None}
 
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
+        if x["formation"] != s["formation"]:
+            s["top"], s["formation"] = None, x["formation"]
         if x["mse"] > 0 and x["bit_depth"] > 0:
             if s["top"] is None:
                 s.update(top=x["bit_depth"], hardness=x["hardness"], sum=0.0, n=0)

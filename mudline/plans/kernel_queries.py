@@ -54,14 +54,16 @@ def connection_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gas.select("seq", "well_id", *[r(F.col(c), c) for c in ("pre_gas", "peak_gas", "post_gas", "above_background", "gas_trend")], "trending")
 
 
-@query(REC_MET + WALK.format("met") + f""", st AS (SELECT well_id, i, seq, CASE WHEN mse > 0 AND bit_depth > 0 THEN bit_depth END AS top, hardness AS hard, CASE WHEN mse > 0 AND bit_depth > 0 THEN mse ELSE 0 END AS total, CASE WHEN mse > 0 AND bit_depth > 0 THEN 1 ELSE 0 END AS n, CAST(NULL AS DOUBLE) AS reference, CAST(0 AS DOUBLE) AS wear FROM ix WHERE i = 1
-  UNION ALL SELECT well_id, i, seq, CASE WHEN closes THEN NULL ELSE top END, hard, total, n, CASE WHEN closes THEN coalesce(reference, level) ELSE reference END, CASE WHEN closes THEN greatest((level - coalesce(reference, level)) / coalesce(reference, level), 0) ELSE wear END FROM (
+@query(REC_MET + WALK.format("(SELECT *, floor(bit_depth / 270) AS fm FROM met)") + f""", st AS (SELECT well_id, i, seq, fm, CASE WHEN mse > 0 AND bit_depth > 0 THEN bit_depth END AS top, hardness AS hard, CASE WHEN mse > 0 AND bit_depth > 0 THEN mse ELSE 0 END AS total, CASE WHEN mse > 0 AND bit_depth > 0 THEN 1 ELSE 0 END AS n, CAST(NULL AS DOUBLE) AS reference, CAST(0 AS DOUBLE) AS wear FROM ix WHERE i = 1
+  UNION ALL SELECT well_id, i, seq, fm, CASE WHEN closes THEN NULL ELSE top END, hard, total, n, CASE WHEN closes THEN coalesce(reference, level) ELSE reference END, CASE WHEN closes THEN greatest((level - coalesce(reference, level)) / coalesce(reference, level), 0) ELSE wear END FROM (
     SELECT *, sees AND bit_depth - top >= 100 AS closes, total / greatest(n, 1) / (5000 + hard * 8000) AS level FROM (
-      SELECT x.well_id, x.i, x.seq, x.bit_depth, s.reference, s.wear, x.mse > 0 AND x.bit_depth > 0 AS sees, CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN coalesce(s.top, x.bit_depth) ELSE s.top END AS top, CASE WHEN s.top IS NULL THEN x.hardness ELSE s.hard END AS hard,
-        CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN x.mse + CASE WHEN s.top IS NULL THEN 0 ELSE s.total END ELSE s.total END AS total, CASE WHEN x.mse > 0 AND x.bit_depth > 0 THEN 1 + CASE WHEN s.top IS NULL THEN 0 ELSE s.n END ELSE s.n END AS n FROM st s {NEXT}) a) b)
+      SELECT well_id, i, seq, fm, bit_depth, reference, wear, sees, CASE WHEN sees THEN coalesce(t0, bit_depth) ELSE t0 END AS top, CASE WHEN t0 IS NULL THEN hardness ELSE hard END AS hard, CASE WHEN sees THEN mse + CASE WHEN t0 IS NULL THEN 0 ELSE total END ELSE total END AS total, CASE WHEN sees THEN 1 + CASE WHEN t0 IS NULL THEN 0 ELSE n END ELSE n END AS n FROM (
+        SELECT x.well_id, x.i, x.seq, x.fm, x.bit_depth, x.mse, x.hardness, s.reference, s.wear, s.hard, s.total, s.n, x.mse > 0 AND x.bit_depth > 0 AS sees, CASE WHEN x.fm = s.fm THEN s.top END AS t0 FROM st s {NEXT}) c) a) b)
   SELECT seq, well_id, round(wear, 6) AS wear_index, CASE WHEN wear > 0.8 THEN 'pull' WHEN wear > 0.5 THEN 'inspect' WHEN wear > 0.3 THEN 'watch' END AS wear_advice FROM st""")
 def bit_wear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.apply(drilling_metrics(telemetry(spark, sf_dir)), kernels.BitWear()).select("seq", "well_id", r(F.col("wear_index"), "wear_index"), "wear_advice")
+    """Wear with a formation each 270 ft."""
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("formation", F.floor(F.col("bit_depth") / 270))
+    return kernels.apply(m, kernels.BitWear()).select("seq", "well_id", r(F.col("wear_index"), "wear_index"), "wear_advice")
 
 
 @query(REC + WALK.format("tel") + f""", st AS (SELECT well_id, i, seq, spp, [spp] AS vs, [spp] AS rs, least(greatest(0.1 + 0.005 * (0.1 - (spp > 0)::INT), 0.001), 0.5) AS alpha, 1 - (spp > 0)::INT AS hits FROM ix WHERE i = 1

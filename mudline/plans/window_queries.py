@@ -111,13 +111,13 @@ def alert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOUR_SQL = """, hx AS (SELECT *, ts - ts % 3600 AS hour, CAST(row_number() OVER (PARTITION BY well_id, ts - ts % 3600 ORDER BY ts, seq) AS DOUBLE) AS i FROM met),
-  ho AS (SELECT well_id, hour, count(*) AS n, avg(mse_efficiency) AS eff, min(mse_efficiency) AS eff_lo, max(mse_efficiency) AS eff_hi, avg(torque) AS torque, avg(spp) AS spp, avg(rop) AS rop, CASE WHEN count(*) > 1 THEN regr_slope(torque, i) ELSE 0 END AS torque_slope FROM hx GROUP BY 1, 2)"""
+  ho AS (SELECT well_id, hour, count(*) AS n, avg(mse_efficiency) AS eff, min(mse_efficiency) AS eff_lo, max(mse_efficiency) AS eff_hi, avg(torque) AS torque, avg(spp) AS spp, avg(rop) AS rop, avg(wob) AS wob, avg(mse) AS mse, avg(flow_balance) AS flow_balance, CASE WHEN count(*) > 1 THEN regr_slope(torque, i) ELSE 0 END AS torque_slope, CASE WHEN count(*) > 1 THEN regr_slope(spp, i) ELSE 0 END AS spp_slope, CASE WHEN count(*) > 1 THEN regr_slope(rop, i) ELSE 0 END AS rop_slope, CASE WHEN count(*) > 1 THEN regr_slope(mse_efficiency, i) ELSE 0 END AS eff_slope FROM hx GROUP BY 1, 2)"""
 
 
-@query(MET + HOUR_SQL + "SELECT well_id, hour, n, round(eff, 5) AS eff, round(eff_lo, 5) AS eff_lo, round(eff_hi, 5) AS eff_hi, round(torque, 5) AS torque, round(spp, 4) AS spp, round(rop, 5) AS rop, round(torque_slope, 4) AS torque_slope FROM ho")
+@query(MET + HOUR_SQL + "SELECT well_id, hour, n, round(eff, 5) AS eff, round(eff_lo, 5) AS eff_lo, round(eff_hi, 5) AS eff_hi, round(torque, 5) AS torque, round(spp, 4) AS spp, round(rop, 5) AS rop, round(wob, 5) AS wob, round(mse, 3) AS mse, round(flow_balance, 5) AS flow_balance, round(torque_slope, 4) AS torque_slope, round(spp_slope, 4) AS spp_slope, round(rop_slope, 4) AS rop_slope, round(eff_slope, 4) AS eff_slope FROM ho")
 def hourly_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = baseline.hourly(drilling_metrics(telemetry(spark, sf_dir)))
-    return h.select("well_id", "hour", "n", *[r(F.col(c), c, d) for c, d in (("eff", 5), ("eff_lo", 5), ("eff_hi", 5), ("torque", 5), ("spp", 4), ("rop", 5), ("torque_slope", 4))])
+    return h.select("well_id", "hour", "n", *[r(F.col(c), c, d) for c, d in (("eff", 5), ("eff_lo", 5), ("eff_hi", 5), ("torque", 5), ("spp", 4), ("rop", 5), ("wob", 5), ("mse", 3), ("flow_balance", 5), ("torque_slope", 4), ("spp_slope", 4), ("rop_slope", 4), ("eff_slope", 4))])
 
 
 @query(MET + HOUR_SQL + """SELECT well_id, hour - hour % 86400 AS day, count(*) AS hours, round(avg(eff), 5) AS eff, round(avg(torque), 3) AS torque, round(min(eff_lo), 5) AS eff_lo, round(max(eff_hi), 5) AS eff_hi,

@@ -5,6 +5,8 @@ Sequential rules run through ``mudline.operators.kernels.apply_stream``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,3 +41,19 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[
     """Parquet with zstd, exactly once by the checkpoint."""
     w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd").outputMode(mode)
     return (w.partitionBy(*partition_by) if partition_by else w).trigger(availableNow=True).start()
+
+
+def fan_out(stream: DataFrame, tables: dict[str, tuple[Callable[[DataFrame], DataFrame], str]], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch through several transformations, each into a table of its own, partitioned by batch.
+
+    A batch that runs again after a failure overwrites what it wrote, so each row
+    is there once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for transform, path in tables.values():
+            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

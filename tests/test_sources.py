@@ -137,3 +137,14 @@ def test_stream_summaries(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.n, r.rop) for r in got] == [(10, 4.5)]  # the second window is still open
+
+
+def test_fan_out_writes_each_batch_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({"timestamp": 10 * part + i, "rop": float(i)}) for i in range(5)))
+    tables = {"all": (lambda b: b.select("timestamp", "rop"), str(tmp_path / "all")), "fast": (lambda b: b.filter("rop > 2").select("timestamp"), str(tmp_path / "fast"))}
+    live.fan_out(live.replay(spark, str(tmp_path / "in")), tables, str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 10 and spark.read.parquet(str(tmp_path / "fast")).count() == 4
+    live.fan_out(live.replay(spark, str(tmp_path / "in")), tables, str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 10
