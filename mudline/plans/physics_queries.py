@@ -70,15 +70,16 @@ def exponents_and_hydraulics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MET + """SELECT seq, kick_n >= 2 AS kick, round(CASE WHEN kick_n > 0 THEN least(kick_sum / kick_n, 1) ELSE 0 END, 6) AS kick_severity, loss_n >= 2 AS loss, round(CASE WHEN loss_n > 0 THEN least(loss_sum / loss_n, 1) ELSE 0 END, 6) AS loss_severity,
-  torque_delta > 0.15 AND (spp_delta / 2500 > 0.1 OR -(rop - prev_rop) / nullif(prev_rop, 0) > 0.2) AS packed, founders AS founder FROM met WHERE prev_ts IS NOT NULL""")
+  torque_delta > 0.15 AND (spp_delta / 2500 > 0.1 OR -(rop - prev_rop) / nullif(prev_rop, 0) > 0.2) AS packed, round(CASE WHEN pn > 0 THEN least(ps / pn, 1) ELSE 0 END, 6) AS packed_severity, founders AS founder FROM (
+    SELECT *, (torque_delta > 0.15)::INT + (spp_delta / 2500 > 0.1)::INT + (rd > 0.2)::INT AS pn, CASE WHEN torque_delta > 0.15 THEN least(torque_delta / 0.3, 1) ELSE 0 END + CASE WHEN spp_delta / 2500 > 0.1 THEN least(spp_delta / 2500 / 0.25, 1) ELSE 0 END + CASE WHEN rd > 0.2 THEN least(rd / 0.5, 1) ELSE 0 END AS ps FROM (SELECT *, coalesce(-(rop - prev_rop) / nullif(prev_rop, 0), 0) AS rd FROM met WHERE prev_ts IS NOT NULL) a) b""")
 def kick_loss_packoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = drilling_metrics(telemetry(spark, sf_dir)).filter("prev_ts IS NOT NULL")
     kick, ks = physics.kick(*cols("flow_in", "flow_out", "pit_change", "gas_units", "background_gas"))
     loss, ls = physics.lost_circulation(*cols("flow_in", "flow_out", "pit_change"), F.greatest(F.col("spp_delta"), F.lit(0.0)))
     drop = F.coalesce(-physics.ratio(F.col("rop") - F.col("prev_rop"), F.col("prev_rop")), F.lit(0.0))
-    packed, _ = physics.packoff(F.col("torque_delta"), F.col("spp_delta") / 2500, drop)
+    packed, ps = physics.packoff(F.col("torque_delta"), F.col("spp_delta") / 2500, drop)
     founder, _, _ = physics.founder_quick(*cols("prev_wob", "prev_rop", "wob", "rop"))
-    return m.select("seq", kick.alias("kick"), r(ks, "kick_severity"), loss.alias("loss"), r(ls, "loss_severity"), packed.alias("packed"), founder.alias("founder"))
+    return m.select("seq", kick.alias("kick"), r(ks, "kick_severity"), loss.alias("loss"), r(ls, "loss_severity"), packed.alias("packed"), r(ps, "packed_severity"), founder.alias("founder"))
 
 
 @query(MET + "SELECT seq, well_id, state, rule, category, severity, round(pit_rate, 5) AS pit_rate, round(torque_delta, 6) AS torque_delta, round(spp_delta, 5) AS spp_delta, round(pit_change, 6) AS pit_change FROM met")
@@ -216,6 +217,8 @@ PARTS = {"category": "category", "flow_balance": "flow_balance", "pit_rate": "pi
   CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 5 THEN 'flow_balance' ELSE 'pit_rate' END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.3 THEN 'ecd_margin' ELSE 'spp_delta' END WHEN 'Mechanical' THEN 'torque_delta' ELSE 'mse_efficiency' END AS parameter,
   round(CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 5 THEN flow_balance ELSE pit_rate END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.3 THEN ecd_margin ELSE spp_delta END WHEN 'Mechanical' THEN torque_delta ELSE mse_efficiency END, 5) AS value,
   CAST((abs(flow_balance) > 5)::INT + (abs(pit_rate) > 5)::INT + (gas_units > 100)::INT + (h2s > 10)::INT + (ecd_margin < 0.3)::INT + (abs(spp_delta) > 100)::INT + (torque_delta * 100 > 15)::INT + (mse_efficiency < 70)::INT AS BIGINT) AS n_breaches,
+  concat_ws(',', CASE WHEN abs(flow_balance) > 5 THEN 'flow_balance' END, CASE WHEN abs(pit_rate) > 5 THEN 'pit_rate' END, CASE WHEN gas_units > 100 THEN 'gas_units' END, CASE WHEN h2s > 10 THEN 'h2s' END, CASE WHEN ecd_margin < 0.3 THEN 'ecd_margin' END, CASE WHEN abs(spp_delta) > 100 THEN 'spp_delta' END, CASE WHEN torque_delta * 100 > 15 THEN 'torque_increase' END, CASE WHEN mse_efficiency < 70 THEN 'mse_efficiency' END) AS breaches,
+  CAST((abs(flow_balance) > 10)::INT + (abs(pit_rate) > 15)::INT + (gas_units > 250)::INT + (h2s > 20)::INT + (ecd_margin < 0.1)::INT + (abs(spp_delta) > 200)::INT + (torque_delta * 100 > 25)::INT + (mse_efficiency < 50)::INT AS BIGINT) AS n_critical,
   CASE category WHEN 'WellControl' THEN CASE WHEN flow_balance > 10 THEN 'Kick' WHEN flow_balance > 5 THEN 'Kick Warning' WHEN flow_balance < -10 THEN 'Lost Circulation' WHEN flow_balance < -5 THEN 'Loss Warning' WHEN gas_units > 250 OR h2s > 20 THEN 'Gas Critical' WHEN gas_units > 100 THEN 'Gas Warning' WHEN abs(pit_rate) > 15 THEN 'Pit Rate Critical' ELSE 'Well Control Warning' END
   WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.1 THEN 'ECD Critical' WHEN ecd_margin < 0.3 THEN 'ECD Warning' WHEN abs(spp_delta) > 200 THEN 'SPP Critical' ELSE 'SPP Warning' END
   WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 AND spp_delta > 100 THEN 'Pack-off' WHEN torque_delta > 0.15 AND spp_delta > 0 THEN 'Pack-off Warning' WHEN torque_delta > 0.15 THEN 'Stick-slip' ELSE 'Founder' END ELSE CASE WHEN mse_efficiency < 50 THEN 'MSE Inefficiency' ELSE 'MSE Warning' END END AS pattern FROM met WHERE category <> 'None'""")
@@ -223,8 +226,8 @@ def ticket_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = drilling_metrics(telemetry(spark, sf_dir)).filter("category <> 'None'")
     p = {k: F.col(v) for k, v in PARTS.items()}
     base, kind = tickets.base_severity(p)
-    m = m.withColumn("t", tickets.trigger(p))
-    return m.select("seq", base.alias("base"), kind.alias("kind"), "t.parameter", r(F.col("t.value"), "value", 5), F.size(tickets.breaches(p)).cast("long").alias("n_breaches"), tickets.pattern(p).alias("pattern"))
+    m = m.withColumns({"t": tickets.trigger(p), "b": tickets.breaches(p)})
+    return m.select("seq", base.alias("base"), kind.alias("kind"), "t.parameter", r(F.col("t.value"), "value", 5), F.size("b").cast("long").alias("n_breaches"), F.array_join(F.transform("b", lambda x: x["parameter"]), ",").alias("breaches"), F.size(F.filter("b", lambda x: x["level"] == "CRITICAL")).cast("long").alias("n_critical"), tickets.pattern(p).alias("pattern"))
 
 
 @query(MET + """, av AS (SELECT *, avg(flow_balance) OVER w5 AS flow5, avg(pit_rate) OVER w5 AS pit5, avg(ecd_margin) OVER w10 AS ecd10, avg(spp_delta) OVER w10 AS spp10, avg(torque_delta) OVER w10 AS torque10, count(*) OVER wa AS n, sum((category <> 'None')::INT) OVER w10 >= 3 AS sustained, CASE WHEN k % 5 < 4 THEN k / 100.0 END AS net, (k % 10) / 10.0 AS cons FROM met

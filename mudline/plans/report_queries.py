@@ -180,6 +180,11 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"), F.coalesce(F.max("event_id"), F.lit(0)).alias("peak"))
 
 
+@query(f"WITH {FEEDBACK_SQL} SELECT category, count(*) AS n FROM fb WHERE outcome = 'Confirmed' GROUP BY 1")
+def confirmed_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback(spark, sf_dir).filter("outcome = 'Confirmed'").groupBy("category").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT n_nationkey AS field, CAST(sum(n) AS BIGINT) AS samples, round(sum(v * n) / sum(n), 4) AS weighted, round(max(v), 4) AS best, min(s_suppkey) FILTER (WHERE v = mx) AS best_rig FROM (SELECT s.s_nationkey AS n_nationkey, s.s_suppkey, x.n, x.v, max(x.v) OVER (PARTITION BY s.s_nationkey) AS mx FROM supplier s JOIN (SELECT l_suppkey, count(*) AS n, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) x ON s.s_suppkey = x.l_suppkey) a GROUP BY 1""")
 def offset_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted means over neighbours, and the best neighbour (the first on ties)."""

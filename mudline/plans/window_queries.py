@@ -102,12 +102,21 @@ def baseline_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("well_id", r(F.col("spp_warning"), "spp_warning", 5), r(F.col("spp_critical"), "spp_critical", 5), r(F.col("torque_warning"), "torque_warning"), r(F.col("torque_critical"), "torque_critical"))
 
 
-@query(MET + """, ma AS (SELECT *, coalesce(lag(category <> 'None') OVER (PARTITION BY well_id ORDER BY ts, seq), false) AS was FROM met),
-  ru AS (SELECT *, sum((category <> 'None' AND NOT was)::INT) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM ma)
-  SELECT well_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(ts) AS began, max(ts) AS ended, round(min(bit_depth), 4) AS top, round(max(bit_depth), 4) AS base FROM ru WHERE category <> 'None' GROUP BY 1, 2 HAVING count(*) >= 3""")
+ZONE_CHANNELS = ("spp", "torque", "rop", "wob", "gas_units")
+ZONE_SQL = " + ".join(f"coalesce({c} < quantile_cont({c}, 0.1) OVER w OR {c} > quantile_cont({c}, 0.9) OVER w, false)::INT" for c in ZONE_CHANNELS)
+
+
+@query(TEL + f""", ou AS (SELECT *, {ZONE_SQL} AS outliers FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
+  ma AS (SELECT *, coalesce(lag(outliers >= 3) OVER (PARTITION BY well_id ORDER BY ts, seq), false) AS was FROM ou),
+  ru AS (SELECT *, sum((outliers >= 3 AND NOT was)::INT) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM ma)
+  SELECT well_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(ts) AS began, max(ts) AS ended, CAST(max(outliers) AS INTEGER) AS peak, round(min(bit_depth), 4) AS top, round(max(bit_depth), 4) AS base FROM ru WHERE outliers >= 3 GROUP BY 1, 2""")
 def alert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = windows.runs(drilling_metrics(telemetry(spark, sf_dir)), F.col("category") != "None")
-    return z.groupBy("well_id", "run").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"), r(F.min("bit_depth"), "top", 4), r(F.max("bit_depth"), "base", 4)).filter("n >= 3")
+    """Runs of packets with three or more of five channels outside their interval over the 50 packets before."""
+    frame = ordered().rowsBetween(-50, -1)
+    out = lambda c: F.coalesce((F.col(c) < F.percentile(c, F.lit(0.1)).over(frame)) | (F.col(c) > F.percentile(c, F.lit(0.9)).over(frame)), F.lit(False)).cast("int")
+    t = telemetry(spark, sf_dir).withColumns({f"out_{c}": out(c) for c in ZONE_CHANNELS})
+    z = windows.runs(t.withColumn("outliers", sum((F.col(f"out_{c}") for c in ZONE_CHANNELS), F.lit(0))), F.col("outliers") >= 3)
+    return z.groupBy("well_id", "run").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.max("outliers").alias("peak"), r(F.min("bit_depth"), "top", 4), r(F.max("bit_depth"), "base", 4))
 
 
 HOUR_SQL = """, hx AS (SELECT *, ts - ts % 3600 AS hour, CAST(row_number() OVER (PARTITION BY well_id, ts - ts % 3600 ORDER BY ts, seq) AS DOUBLE) AS i FROM met),
