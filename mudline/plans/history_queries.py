@@ -24,7 +24,7 @@ def slope_sql(column: str, window: str = "w60") -> str:
     CASE WHEN count(*) OVER w60 >= 5 AND avg(torque) OVER w60 > 0 THEN stddev_pop(torque) OVER w60 / avg(torque) OVER w60 ELSE 0 END AS cv, first_value(torque) OVER w60 AS t0, first_value(spp) OVER w60 AS s0, first_value(ts) OVER w60 AS ts0, var_pop(mse) OVER w60 AS vy, var_pop(i) OVER w60 AS vx, covar_pop(i, mse) OVER w60 AS cxy,
     avg((state IN ('Drilling', 'Reaming'))::INT) OVER w60 AS ope, sum((category <> 'None')::INT) OVER w10 AS recent FROM ix WINDOW w60 AS {W60}, w10 AS {W10}),
   sr AS (SELECT *, greatest(least((am - 5000) / 8000, 10), 0) AS hd, n >= 5 AND mw > 0 AND mr > 0 AND wt / mw > 0.02 AND rt / mr < 0.01 AS fnd, (torque - t0) / t0 > 0.15 AND (spp - s0) / s0 > 0.1 AS pck, CASE WHEN n < 3 OR n * vy < 1e-10 THEN 0 ELSE greatest(least(cxy * cxy / (vx * vy), 1), 0) END AS r2 FROM st)
-  SELECT seq, round(am, 3) AS avg_mse, round(mt, 3) AS mse_trend, round(dt, 6) AS dxc_trend, round(hd, 6) AS hardness, round(CASE WHEN am <= 0 THEN 0 ELSE least((5000 + hd * 8000) / am * 100, 100) END, 5) AS efficiency, fnd AS founder, CASE WHEN NOT fnd THEN 0 WHEN rt / mr < -0.05 THEN 1 WHEN rt / mr < -0.02 THEN 0.7 WHEN rt / mr < 0 THEN 0.5 ELSE 0.3 END AS founder_severity,
+  SELECT seq, round(am, 3) AS avg_mse, round(mt, 3) AS mse_trend, round(dt, 6) AS dxc_trend, round(hd, 6) AS hardness, round(CASE WHEN am <= 0 THEN 0 ELSE least((5000 + hd * 8000) / am * 100, 100) END, 5) AS efficiency, fnd AS founder, CAST(CASE WHEN NOT fnd THEN 0 WHEN rt / mr < -0.05 THEN 1 WHEN rt / mr < -0.02 THEN 0.7 WHEN rt / mr < 0 THEN 0.5 ELSE 0.3 END AS DOUBLE) AS founder_severity,
     CAST((cv <= 10 AND cv > 0.15)::INT + pck::INT + fnd::INT AS INTEGER) AS n_dysfunctions, round(least(n / 60.0, 1), 6) AS confidence, round(least(least(n / 60.0, 1) * 0.4 + r2 * 0.3 + ope * 0.3, 1), 5) AS confidence_factor, round((ts - ts0) / 3600.0, 5) AS hours, recent >= 3 AS sustained, round(ap, 4) AS avg_pit_rate FROM sr""")
 def strategic_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the last 60 packets at every packet."""
@@ -92,11 +92,11 @@ def voting_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TEL + """, t AS (SELECT well_id, seq, ts, bit_depth, lag(bit_depth) OVER w AS d, lag(ts) OVER w AS p, k FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq))
-  SELECT seq, round(least(abs(bit_depth - d) / greatest(ts - p, 1) * 60, 150), 5) AS speed, CASE WHEN k % 2 = 0 THEN 1.2 ELSE 1.0 END AS shock FROM t WHERE least(abs(bit_depth - d) / greatest(ts - p, 1) * 60, 150) > 0.5""")
+  SELECT seq, round(least(abs(bit_depth - d) / greatest(ts - p, 1) * 60, 150), 5) AS speed, CAST(CASE WHEN k % 2 = 0 THEN 1.2 ELSE 1.0 END AS DOUBLE) AS shock FROM t WHERE least(abs(bit_depth - d) / greatest(ts - p, 1) * 60, 150) > 0.5""")
 def trip_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
     state = F.when(F.col("k") % 2 == 0, "Reaming").otherwise("Idle")
-    return t.select("seq", r(history.trip_speed(t), "speed", 5), history.shock_factor(state).cast("decimal(2,1)").alias("shock")).filter("speed IS NOT NULL")
+    return t.select("seq", r(history.trip_speed(t), "speed", 5), history.shock_factor(state).alias("shock")).filter("speed IS NOT NULL")
 
 
 @query(MET + """, pa AS (SELECT a.well_id, a.seq, a.ts, a.wob, a.rpm, a.rop, a.mse, row_number() OVER (PARTITION BY a.well_id ORDER BY a.ts, a.seq) AS i, count(b.seq) AS n, avg(b.wob) AS mw, avg(b.rpm) AS mr FROM met a LEFT JOIN met b ON a.well_id = b.well_id AND b.ts BETWEEN a.ts - 30 AND a.ts AND (b.ts < a.ts OR b.seq < a.seq) GROUP BY 1, 2, 3, 4, 5, 6, 7),

@@ -164,7 +164,7 @@ def critical_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT event_id AS seq, concat('<think>guess', chr(10), 'x</think>Health Score: ', CAST(event_id % 120 AS VARCHAR), '/100', chr(10), 'Severity: ', CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' WHEN 2 THEN 'Critical' ELSE '-' END, chr(10), 'Diagnosis: ', event_type, chr(10), 'Action: reduce ', user_id) AS txt FROM events)
-  SELECT seq, CASE WHEN seq % 120 <= 10 THEN seq % 120 * 10.0 ELSE least(seq % 120, 100) * 1.0 END AS health, CASE seq % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Critical' ELSE 'Unknown' END AS severity, trim(regexp_extract(txt, 'Diagnosis: (.+)', 1)) AS diagnosis, trim(regexp_extract(txt, 'Action: (.+)', 1)) AS action FROM t""")
+  SELECT seq, CAST(CASE WHEN seq % 120 <= 10 THEN seq % 120 * 10.0 ELSE least(seq % 120, 100) * 1.0 END AS DOUBLE) AS health, CASE seq % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Critical' ELSE 'Unknown' END AS severity, trim(regexp_extract(txt, 'Diagnosis: (.+)', 1)) AS diagnosis, trim(regexp_extract(txt, 'Action: (.+)', 1)) AS action FROM t""")
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     word = F.element_at(F.array(*[F.lit(x) for x in ("HIGH", "low", "Critical", "-")]), (F.col("event_id") % 4 + 1).cast("int"))
@@ -247,7 +247,7 @@ def offset_by_name_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("formation", F.size("wells").cast("long").alias("wells"), r(F.col("avg_rop"), "avg_rop", 4), r(F.col("best_rop"), "best_rop", 6), r(F.col("avg_mse"), "avg_mse", 2))
 
 
-@query(f"WITH {SNAP_SQL}, ge AS (SELECT formation, CAST(substr(formation, 7) AS DOUBLE) AS hardness FROM sn GROUP BY formation), ofs AS (SELECT f.formation, sum(p.avg_rop * p.snapshots) / sum(p.snapshots) AS rop FROM ge f JOIN pw p ON starts_with(replace(p.formation, ' ', '_'), replace(f.formation, ' ', '_')) GROUP BY 1) SELECT g.formation, CASE WHEN hardness % 3 = 0 THEN 111.0 ELSE hardness * 100 END AS top, CASE WHEN hardness < 3.5 THEN 10.0 WHEN hardness < 6 THEN 25.0 ELSE 30.0 END AS best_wob, round(o.rop, 4) AS offset_rop FROM ge g LEFT JOIN ofs o ON g.formation = o.formation")
+@query(f"WITH {SNAP_SQL}, ge AS (SELECT formation, CAST(substr(formation, 7) AS DOUBLE) AS hardness FROM sn GROUP BY formation), ofs AS (SELECT f.formation, sum(p.avg_rop * p.snapshots) / sum(p.snapshots) AS rop FROM ge f JOIN pw p ON starts_with(replace(p.formation, ' ', '_'), replace(f.formation, ' ', '_')) GROUP BY 1) SELECT g.formation, CASE WHEN hardness % 3 = 0 THEN 111.0 ELSE hardness * 100 END AS top, CAST(CASE WHEN hardness < 3.5 THEN 10.0 WHEN hardness < 6 THEN 25.0 ELSE 30.0 END AS DOUBLE) AS best_wob, round(o.rop, 4) AS offset_rop FROM ge g LEFT JOIN ofs o ON g.formation = o.formation")
 def assembled_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = snapshots(spark, sf_dir)
     geology = s.select("formation").distinct().selectExpr("formation", "CAST(substr(formation, 7) AS DOUBLE) AS hardness").selectExpr("*", "hardness * 100 AS top", "hardness * 100 + 100 AS base")
