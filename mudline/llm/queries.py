@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.llm import ann_forest, bpe, chat_threads, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, token_files
+from mudline.llm import ann_forest, bpe, chat_threads, elkan_codes, exponion, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, token_files, warc_archive
 from mudline.llm.sampling import fold
-from mudline.llm.shared import new_dir
+from mudline.llm.lloyd_sql import OP11_SQL, OP12_SQL
+from mudline.llm.shared import attach, new_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,13 +79,35 @@ def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = exponion.cluster(table(spark, sf_dir, "embeddings"))
+    inertia, digests = exponion.by_cluster(found, centroids)
+    of = lambda values, none: F.element_at(F.lit(values or [none]), F.col("cluster") + 1)
+    return found.select(
+        "row.vec_id", "cluster", "distance", of(inertia, 0).cast("long").alias("cluster_inertia"), F.lit(sum(inertia)).cast("long").alias("inertia"), of(digests, "").alias("centroid_sha256"), "measured"
+    )
+
+
+def op12_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = elkan_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    coded = written(found.withColumn("named", F.coalesce(F.concat(F.lit("="), F.col("row.label").cast("string")), F.lit(""))), "codes")
+    labels = written(coded.groupBy("named").agg(F.count("*").alias("n"), F.sum("error").alias("label_error")), "labels")
+    return attach(coded, labels, "named").select("row.vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(elkan_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_archive.write_archives(table(spark, sf_dir, "pages"), new_dir(spark, "warc"))
+    records = warc_archive.read_archives(packages, payload=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_bpe_tree, op3_simple8b_files, op4_suffix_array_rules, op5_kneser_ney_language, op6_simhash_pigeonhole, op7_karmarkar_karp_packing, op8_quotation_linking, op9_hash_prefix_forest, op10_license_signatures, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_bpe_tree, op3_simple8b_files, op4_suffix_array_rules, op5_kneser_ney_language, op6_simhash_pigeonhole, op7_karmarkar_karp_packing, op8_quotation_linking, op9_hash_prefix_forest, op10_license_signatures, op11_exponion_clusters, op12_elkan_codes, op13_warc_packages, pipeline)}
 
 #: Quotation linking as SQL: the same rules over list functions, and a recursive walk to each root.
 OP8_SQL = r"""
@@ -138,5 +161,14 @@ SELECT m.conv_id, m.turn, m.role, l.reply_to, coalesce(r.thread_root, m.turn) AS
 FROM msgs m JOIN texts t ON m.rid = t.rid LEFT JOIN links l ON m.rid = l.rid LEFT JOIN roots r ON m.rid = r.rid
 """
 
-ORACLES = {"op8_quotation_linking": OP8_SQL}
+#: Archives as SQL: what each record says of its page.
+OP13_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+  g AS (SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest, CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest AND p.n >= 1000
+"""
+
+ORACLES = {"op8_quotation_linking": OP8_SQL, "op11_exponion_clusters": OP11_SQL, "op12_elkan_codes": OP12_SQL, "op13_warc_packages": OP13_SQL}
 

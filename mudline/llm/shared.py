@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a grouped table is sent to every task.
+FEW = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +32,37 @@ def new_dir(spark: SparkSession, kind: str) -> str:
 
 def written(df: DataFrame, kind: str = "step") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lost executors cost no recomputation."""
-    path = new_dir(df.sparkSession, kind)
+    return written_at(df, new_dir(df.sparkSession, kind))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ours that a later one has replaced; no DataFrame may still read it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, few: int = FEW) -> DataFrame:
+    """``rows`` left-joined to ``groups`` on the string ``key``; a null key gets nothing.
+
+    ``groups`` is a written table with one row a key and ``n``, the rows of it; a
+    key of ``rows`` that it lacks is one of few rows.  Up to ``few`` groups, counted
+    here, are broadcast.  Beyond that only groups of at least 1 / ``few`` of all rows
+    are, of which there cannot be more; rows of the others meet by a shuffle in which
+    no key is hot, and rows that need no partner are spread over it evenly.
+    """
+    if groups.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(groups), key, "left")
+    heavy = F.col("n") * few >= groups.agg(F.sum("n")).first()[0]
+    made = [c for c in groups.columns if c != key]
+    first = groups.filter(heavy).select(key, *[F.col(c).alias(f"_heavy_{c}") for c in made])
+    others = groups.filter(~heavy).select(F.col(key).alias("_key"), *made)
+    known = rows.join(F.broadcast(first), key, "left")
+    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    dealt = known.withColumn("_key", F.when(F.col(key).isNull() | F.col("_heavy_n").isNotNull(), alone).otherwise(F.col(key)))
+    joined = dealt.join(others.hint("merge"), "_key", "left")
+    return joined.select(key, *[c for c in rows.columns if c != key], *[F.coalesce(f"_heavy_{c}", c).alias(c) for c in made])
