@@ -14,12 +14,12 @@ LEVELS = {"Low": 1, "Medium": 2, "High": 3, "Critical": 4}
 
 
 def ordinal(severity: Column) -> Column:
-    return F.coalesce(*[F.when(severity == k, F.lit(v)) for k, v in LEVELS.items()])
+    """The place of a severity among ``LEVELS``, which are in ascending order; its argument stands in the expression once, so that steps do not multiply."""
+    return F.nullif(F.array_position(F.array(*[F.lit(k) for k in LEVELS]), severity), F.lit(0)).cast("int")
 
 
 def named(level: Column) -> Column:
-    bounded = F.least(F.greatest(level, F.lit(1)), F.lit(4))
-    return F.coalesce(*[F.when(bounded == v, F.lit(k)) for k, v in LEVELS.items()])
+    return F.element_at(F.array(*[F.lit(k) for k in LEVELS]), F.least(F.greatest(level, F.lit(1)), F.lit(len(LEVELS))))
 
 
 def cascade(state: Column, p: dict[str, Column], c: Config = DEFAULT, overrides: dict[str, Column] | None = None) -> Column:
@@ -75,10 +75,12 @@ def aci_adjusted(base: Column, category: Column, outliers: Column) -> Column:
     """Severity after counting conformal outliers: fewer than 2 step it down, 5 or more step it up."""
     level = ordinal(base)
     guarded = (category == "WellControl") & (level < 4)
-    return named(F.when((outliers < 2) & ~guarded, level - 1).when(outliers >= 5, level + 1).otherwise(level))
+    return named(level + F.when((outliers < 2) & ~guarded, -1).when(outliers >= 5, 1).otherwise(0))
 
 
 def net_adjusted(base: Column, category: Column, score: Column) -> Column:
-    """Severity after the networks' anomaly score: two levels down under 0.2, up to two up from 0.8; well control never falls."""
+    """Severity after the networks' anomaly score: two levels down under 0.2, up to two up from 0.8; well control never falls under High."""
     step = F.when(score < 0.2, -2).when(score < 0.4, -1).when(score >= 0.8, 2).when(score >= 0.6, 1).otherwise(0)
-    return named(ordinal(base) + F.when(category == "WellControl", F.greatest(step, F.lit(0))).otherwise(step))
+    level = ordinal(base)
+    guarded = F.greatest(step, F.when(level < 4, F.lit(0)).otherwise(-1))
+    return named(level + F.when(category == "WellControl", guarded).otherwise(step))

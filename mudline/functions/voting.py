@@ -7,6 +7,7 @@ to which further ones may be added.
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -78,15 +79,14 @@ SPECIALISTS: dict[str, Callable[[dict[str, Column], Config], Column]] = {
 
 
 def weights(regime: Column, c: Config = DEFAULT) -> dict[str, Column]:
-    """Weights of the specialists under a regime, summing to 1."""
-    base = dataclasses.asdict(c.weights)
-    raw = {}
-    for name in SPECIALISTS:
-        m = REGIMES[name]
-        factor = F.when(regime == 0, m[0]).when(regime == 1, m[1]).when(regime == 2, m[2]).otherwise(m[3])
-        raw[name] = factor * base[name]
-    total = sum(raw.values())
-    return {k: F.when(total > 1e-10, ratio(v, total)).otherwise(1.0 / len(raw)) for k, v in raw.items()}
+    """Weights of the specialists under a regime, summing to 1; all of them known beforehand."""
+    base, regimes = dataclasses.asdict(c.weights), range(len(REGIME_LABELS))
+    raw = {name: [REGIMES[name][k] * base[name] for k in regimes] for name in SPECIALISTS}
+    totals = [sum(raw[name][k] for name in SPECIALISTS) for k in regimes]
+    shares = {name: [raw[name][k] / totals[k] if totals[k] > 1e-10 else 1.0 / len(raw) for k in regimes] for name in SPECIALISTS}
+    *first, last = regimes
+    pick = lambda w: functools.reduce(lambda chain, k: chain.when(regime == k, w[k]), first[1:], F.when(regime == first[0], w[first[0]])).otherwise(w[last])
+    return {name: pick(w) for name, w in shares.items()}
 
 
 def weighted_sum(votes: dict[str, Column], regime: Column, c: Config = DEFAULT) -> Column:

@@ -223,18 +223,20 @@ class TransitionDetector(Kernel):
 
 
 class TicketGate(Kernel):
-    """Which anomalies become tickets: state, cooldown in packets, depth and event time, progressive depth throttle, corroboration by intervals and by the nets, debounce.
+    """Which anomalies become tickets: mode, state, cooldown in packets, depth and event time, progressive depth throttle, corroboration by intervals and by the nets, debounce.
 
     ``severity`` is the ticket's (``tickets.base_severity``, adjusted), not the
     cascade's word.  ``outlier`` says whether the trigger's own metric lies outside
     its conformal interval, ``net_ok`` whether the calibrated nets score 0.4 or
     more; NULL lets a ticket pass the interval rule and fails the net rule.  Well
-    control passes both.  After a restart the first ``bypass`` anomalies pass the
-    interval rule unseen.  Time is event time, so replays give the same tickets.
+    control passes both.  While a well is ``learning`` its counters run and no ticket
+    is made; the throttle forgets over drilling packets alone.  After a restart the
+    first ``bypass`` anomalies pass the interval rule unseen.  Time is event time, so
+    replays give the same tickets.
     """
 
     schema = "gate string"
-    reads = ("ts", "bit_depth", "state", "rule", "category", "severity", "outlier", "net_ok")
+    reads = ("ts", "bit_depth", "state", "rule", "category", "severity", "outlier", "net_ok", "learning")
 
     def __init__(self, bypass: int = 0):
         self.bypass = bypass
@@ -247,13 +249,16 @@ class TicketGate(Kernel):
         category, depth = x["category"], x["bit_depth"]
         for rule in ("founder", "pit_rate"):
             s["run"][rule] = s["run"].get(rule, 0) + 1 if x["rule"] == rule else 0
-        for name, t in s["sustained"].items():
+        cutting = x["state"] in ("Drilling", "Reaming")
+        for name, t in s["sustained"].items() if cutting else ():
             t["normal"] = 0 if name == category else t["normal"] + 1
             if t["normal"] >= 500:
                 t["count"] = 0
+        if x["learning"]:
+            return ("learning",)
         if depth <= 0:
             return ("no_depth",)
-        if x["state"] not in ("Drilling", "Reaming"):
+        if not cutting:
             return ("state",)
         if category == "None":
             return ("normal",)
@@ -277,54 +282,6 @@ class TicketGate(Kernel):
         return ("ticket",)
 
 
-class Bundle(Kernel):
-    """Conformal intervals of eleven metrics at once: which lie outside, how many, and whether the trigger of each category does."""
-
-    METRICS: ClassVar[tuple[str, ...]] = ("mse", "d_exponent", "dxc", "flow_balance", "spp", "torque", "rop", "wob", "rpm", "ecd", "pit_rate")
-    #: Metrics of which one must lie outside its interval for a category's ticket (fixed values).
-    TRIGGERS: ClassVar[dict[str, tuple[str, ...]]] = {"Hydraulics": ("spp", "ecd"), "Mechanical": ("torque", "wob"), "DrillingEfficiency": ("mse",), "Formation": ("d_exponent", "dxc")}
-    schema = "outliers int, outlier boolean"
-    reads = (*METRICS, "category")
-
-    def __init__(self, window: int = 200):
-        self.parts = {m: Conformal(m, window, floor=None if m in ("flow_balance", "pit_rate") else 0.0) for m in self.METRICS}
-
-    def start(self) -> dict[str, Any]:
-        return {m: k.start() for m, k in self.parts.items()}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        out = {m: bool(k.step(s[m], x)[2]) for m, k in self.parts.items()}
-        triggers = self.TRIGGERS.get(x["category"])
-        # a metric counts as calibrated from ten residuals on
-        known = triggers is not None and any(len(s[m]["residuals"]) >= 10 for m in triggers)
-        return (sum(out.values()), any(out[m] for m in triggers) if known else None)
-
-
-class Chain(Kernel):
-    """Kernels one after the other in one pass; later ones read what earlier ones add."""
-
-    def __init__(self, *kernels: Kernel):
-        self.kernels = kernels
-        self.schema = ", ".join(k.schema for k in kernels)  # type: ignore[misc]
-        made: list[str] = []
-        wanted: list[str] = []
-        for k in kernels:
-            wanted += [r for r in k.reads if r not in made]
-            made += names_of(k.schema)
-        self.reads = tuple(dict.fromkeys(wanted))  # type: ignore[misc]
-
-    def start(self) -> dict[str, Any]:
-        return {"parts": [k.start() for k in self.kernels]}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        out: tuple = ()
-        for k, state in zip(self.kernels, s["parts"], strict=True):
-            got = k.step(state, x)
-            x = x | dict(zip(names_of(k.schema), got, strict=True))
-            out += got
-        return out
-
-
 class RateLimiter(Kernel):
     """Recommendations pass after 300 s, or at once where the value moved by over 10 %."""
 

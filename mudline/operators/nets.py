@@ -1,4 +1,4 @@
-"""Liquid networks trained online per well: predict the next normalised features, score surprise.
+"""Liquid networks trained online per well, the wells of a task in lock step: one tensor a parameter, one step a packet of each.
 
 A net has sensory, inter, command and motor neurons over a sparse random wiring.
 A neuron past the sensory ones is a closed-form continuous-time cell: from its
@@ -8,10 +8,17 @@ see their own last values.  Every packet trains the net on what it should have
 predicted, by gradients through the last ``depth`` steps (each further step
 counts ``decay`` times less), clipped and applied by Adam with a falling rate.
 
+All parameters of a well are one row of a matrix, those of all wells are one
+matrix, and the parts that a product needs are views of it; so forward, backward
+and Adam are batched products over all wells that have a packet at this step.
+Wells are stacked longest first, so those still running are always the first rows.
+
 A fast and a slow net run side by side and the higher surprise counts; a third
-one works on depth-ahead features and forgets its state at formation boundaries.
-Seeds are this engine's own, so values are held by properties (gradients against
-differences, learning), not by other engines' values.
+one works on depth-ahead features.  What they say goes on through the same task:
+motor values to regimes, surprises to formation transitions, and transitions back
+to the third net, which then forgets its state.  Seeds are this engine's own, so
+values are held by properties (gradients against differences, learning, one well
+alone against many in step), not by other engines' values.
 """
 
 from __future__ import annotations
@@ -20,16 +27,15 @@ from typing import Any, ClassVar
 
 import numpy as np
 
-from mudline.operators.kernels import Kernel
-
 #: Features of the nets, in order; the first eight feed two sensory neurons each and weigh double in the loss (fixed values).
 FEATURES = ("wob", "rop", "rpm", "torque", "mse", "spp", "d_exponent", "hook_load", "ecd", "flow_balance", "pit_rate", "dxc", "pump_spm", "mud_weight_in", "gas_units", "pit_volume")
 #: Features of the depth-ahead net; the other eight are zero (fixed values).
 AHEAD = ("wob", "rop", "rpm", "torque", "mse", "d_exponent", "depth_into", "formation_hardness")
-#: Neurons by group: sensory, inter, command, motor.
+#: Neurons by group: sensory, inter, command, motor (fixed values).
 GROUPS = (24, 20, 12, 8)
 WEIGHT = np.array([2.0] * 8 + [1.0] * 8)
-CALIBRATED = 300
+#: Regimes, their pull towards a point, and the squared distance from which points count as two (fixed values).
+REGIMES, PULL, DISTINCT = 4, 0.01, 1e-12
 
 
 def softplus(x: np.ndarray) -> np.ndarray:
@@ -40,20 +46,40 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-class Net:
-    """One network; its state is a dictionary of arrays and numbers."""
+class Nets:
+    """Networks of one kind, a slot a well; their state is a dictionary of arrays whose first axis is the slot.
+
+    All slots begin alike.  A call names the slots that have a packet by their
+    number n: slots 0 to n - 1.
+    """
 
     #: Depth, decay of further steps, first rate, its factor and floor, weight of new errors, packets until calibrated (fixed values).
     KINDS: ClassVar[dict[str, tuple]] = {
-        "fast": (4, 0.7, 1e-3, 0.9999, 1e-4, 0.01, CALIBRATED),
-        "slow": (8, 0.85, 1e-4, 0.9999, 1e-5, 0.005, CALIBRATED),
+        "fast": (4, 0.7, 1e-3, 0.9999, 1e-4, 0.01, 300),
+        "slow": (8, 0.85, 1e-4, 0.9999, 1e-5, 0.005, 500),
         "ahead": (6, 0.75, 5e-4, 0.9999, 5e-5, 0.008, 500),
     }
+    PER_FEATURE: ClassVar[tuple[str, ...]] = ("errors", "squares", "last")
+    PER_NET: ClassVar[tuple[str, ...]] = ("mean", "square", "rmse")
 
     def __init__(self, kind: str, seed: int, n_in: int = 16, groups: tuple[int, int, int, int] = GROUPS):
         self.depth, self.decay, self.rate, self.fall, self.floor, self.mix, self.calibrated = self.KINDS[kind]
         self.seed, self.n_in, self.groups = seed, n_in, groups
         self.taps = np.concatenate([np.repeat(np.arange(n_in // 2), 2), np.arange(n_in // 2, n_in)])
+        self.weight = WEIGHT[:n_in] / WEIGHT[:n_in].sum()
+        # where each part lies among a well's parameters; a group's three gates and their biases are one matrix
+        shapes = [("in", (1, len(self.taps)))] + [(g, (3 * groups[g], groups[g - 1] + (groups[g] if g == 2 else 0) + 1)) for g in (1, 2, 3)] + [("out", (n_in, groups[3] + 1))]
+        self.places, at = {}, 0
+        for name, (rows, columns) in shapes:
+            self.places[name] = (at, at + rows * columns, rows, columns)
+            at += rows * columns
+        self.n_params = at
+        self.first, self.mask = self.drawn()
+
+    def part(self, flat: np.ndarray, name: Any) -> np.ndarray:
+        """A part of all parameters as a matrix a slot; a view."""
+        a, z, rows, columns = self.places[name]
+        return flat[:, a:z].reshape(len(flat), rows, columns)
 
     def wiring(self) -> list[np.ndarray]:
         """Which sources each group sees: 30 % of the group before, and 15 % of itself for command neurons; one at least."""
@@ -67,182 +93,267 @@ class Net:
             out.append(mask)
         return out
 
-    def start(self) -> dict[str, Any]:
+    def drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        """First parameters, and which of them there are (the wiring; biases and outputs always)."""
         r = np.random.default_rng(self.seed + 1)
-        w: dict[str, np.ndarray] = {"in": r.normal(0, 1, len(self.taps))}
-        for g, mask in enumerate(self.wiring(), 1):
-            scale = 1 / np.sqrt(np.maximum(mask.sum(1, keepdims=True), 1))
-            for gate in "abc":
-                w[f"{gate}{g}"] = mask * r.normal(0, 1, mask.shape) * scale
-                w[f"{gate}{g}_bias"] = np.zeros(self.groups[g])
-        w["out"] = r.normal(0, 1 / np.sqrt(self.groups[3]), (self.n_in, self.groups[3]))
-        w["out_bias"] = np.zeros(self.n_in)
-        zero = {k: np.zeros_like(v) for k, v in w.items()}
-        hidden = [np.zeros(n) for n in self.groups[1:]]
-        return {"w": w, "m": zero, "v": {k: x.copy() for k, x in zero.items()}, "h": hidden, "steps": [], "t": 0, "rate": self.rate, "n": 0, "mean": 0.0, "square": 0.0, "rmse": 0.0, "errors": np.zeros(self.n_in), "last": np.zeros(self.n_in)}
-
-    def forward(self, s: dict[str, Any], x: np.ndarray, dt: float) -> np.ndarray:
-        """The prediction after ``x``; the step is kept for training."""
-        w, source = s["w"], x[self.taps] * s["w"]["in"]
-        step: dict[str, Any] = {"x": x, "dt": dt, "groups": []}
+        first, mask = np.zeros((1, self.n_params)), np.ones((1, self.n_params))
+        self.part(first, "in")[:] = r.normal(0, 1, len(self.taps))
+        for g, wired in enumerate(self.wiring(), 1):
+            scale = 1 / np.sqrt(np.maximum(wired.sum(1, keepdims=True), 1))
+            n = self.groups[g]
+            for gate in range(3):
+                self.part(first, g)[0, gate * n : (gate + 1) * n, :-1] = wired * r.normal(0, 1, wired.shape) * scale
+                self.part(mask, g)[0, gate * n : (gate + 1) * n, :-1] = wired
+        self.part(first, "out")[0, :, :-1] = r.normal(0, 1 / np.sqrt(self.groups[3]), (self.n_in, self.groups[3]))
+        return first, mask
+
+    def start(self, slots: int = 1) -> dict[str, Any]:
+        s: dict[str, Any] = {"w": np.repeat(self.first, slots, axis=0), "m": np.zeros((slots, self.n_params)), "v": np.zeros((slots, self.n_params)), "rate": np.full(slots, self.rate)}
+        s |= {k: np.zeros((slots, self.n_in)) for k in self.PER_FEATURE} | {k: np.zeros(slots) for k in self.PER_NET} | {k: np.zeros(slots, np.int64) for k in ("n", "t", "kept")}
+        return s | {f"h{g}": np.zeros((slots, self.groups[g])) for g in (1, 2, 3)} | {"steps": []}
+
+    def forward(self, s: dict[str, Any], x: np.ndarray, dt: float = 1.0) -> np.ndarray:
+        """Predictions after ``x`` (a row a slot); the step is kept for training."""
+        n = len(x)
+        w, one = s["w"][:n], np.ones((n, 1))
+        source = x[:, self.taps] * self.part(w, "in")[:, 0]
+        step: dict[str, Any] = {"x": x, "dt": dt}
         hidden = []
         for g in (1, 2, 3):
-            seen = np.concatenate([source, s["h"][1]]) if g == 2 else source
-            a, b, c = (w[f"{k}{g}"] @ seen + w[f"{k}{g}_bias"] for k in "abc")
+            seen = np.concatenate([source, s["h2"][:n], one] if g == 2 else [source, one], axis=1)
+            a, b, c = np.split(np.matmul(self.part(w, g), seen[:, :, None])[:, :, 0], 3, axis=1)
             tau = softplus(a)
-            f, top = sigmoid(-dt * tau * b), np.tanh(c)
-            old = s["h"][g - 1]
+            f, top, old = sigmoid(-dt * tau * b), np.tanh(c), s[f"h{g}"][:n]
             source = f * top + (1 - f) * old
+            step[f"g{g}"] = (seen, a, b, tau, f, top, old)
             hidden.append(source)
-            step["groups"].append((seen, a, b, tau, f, top, old))
-        step["motor"] = source
-        step["y"] = w["out"] @ source + w["out_bias"]
-        s["h"] = hidden
+        for g, h in enumerate(hidden, 1):
+            s[f"h{g}"] = np.concatenate([h, s[f"h{g}"][n:]])
+        step["motor"] = np.concatenate([source, one], axis=1)
+        step["y"] = np.matmul(self.part(w, "out"), step["motor"][:, :, None])[:, :, 0]
         s["steps"] = [step, *s["steps"]][: self.depth]
+        s["kept"][:n] = np.minimum(s["kept"][:n] + 1, self.depth)
         return step["y"]
 
-    def gradients(self, s: dict[str, Any], target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted mean squared error of the last prediction, and its gradients through the steps kept."""
-        w, first = s["w"], s["steps"][0]
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        e = first["y"] - target
-        weight = WEIGHT[: self.n_in] / WEIGHT[: self.n_in].sum()
-        dy = 2 * weight * e
-        grads["out"], grads["out_bias"] = np.outer(dy, first["motor"]), dy
-        later = [np.zeros(n) for n in self.groups[1:]]  # what each group's values owe to the steps after
-        later[2] = w["out"].T @ dy
+    def gradients(self, s: dict[str, Any], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each slot's weighted mean squared error of its last prediction, and its gradients through the steps kept."""
+        n = len(target)
+        w, first = s["w"][:n], s["steps"][0]
+        grads = np.zeros((n, self.n_params))
+        e = first["y"][:n] - target
+        dy = 2 * self.weight * e
+        self.part(grads, "out")[:] = dy[:, :, None] * first["motor"][:n, None, :]
+        owed_later = [np.zeros((n, k)) for k in self.groups[1:]]  # what each group's values owe to the steps after
+        owed_later[2] = np.matmul(dy[:, None, :], self.part(w, "out"))[:, 0, :-1]
+        sources: dict[int, list] = {1: [], 2: [], 3: []}
+        into: dict[int, list] = {1: [], 2: [], 3: []}
+        tapped = np.zeros((n, len(self.taps)))
         for back, step in enumerate(s["steps"]):
-            scale = self.decay**back
-            down = np.zeros(self.groups[3])
-            before = [np.zeros(n) for n in self.groups[1:]]
+            # a slot that forgot has fewer steps
+            scale = self.decay**back * (s["kept"][:n, None] > back)
+            down: Any = 0.0
+            before = []
             for g in (3, 2, 1):
-                seen, a, b, tau, f, top, old = step["groups"][g - 1]
-                dh = later[g - 1] + (down if g < 3 else 0)
-                df, dc = dh * (top - old), dh * f * (1 - top * top)
-                dz = df * f * (1 - f)
-                db, dtau = dz * (-step["dt"] * tau), dz * (-step["dt"] * b)
-                da = dtau * sigmoid(a)
-                before[g - 1] += dh * (1 - f)
-                for k, d in zip("abc", (da, db, dc), strict=True):
-                    grads[f"{k}{g}"] += scale * np.outer(d, seen) * (w[f"{k}{g}"] != 0)
-                    grads[f"{k}{g}_bias"] += scale * d
-                owed = sum(w[f"{k}{g}"].T @ d for k, d in zip("abc", (da, db, dc), strict=True))
-                down = owed[: self.groups[g - 1]]
-                if g == 2:
-                    before[1] += owed[self.groups[1] :]
-            grads["in"] += scale * down * step["x"][self.taps]
-            later = before
-        return float((weight * e * e).sum()), grads
-
-    def train(self, s: dict[str, Any], target: np.ndarray) -> float:
+                seen, a, b, tau, f, top, old = (part[:n] for part in step[f"g{g}"])
+                dh = owed_later[g - 1] + (down if g < 3 else 0)
+                dz = dh * (top - old) * f * (1 - f)
+                gates = np.concatenate([dz * (-step["dt"] * b) * sigmoid(a), dz * (-step["dt"] * tau), dh * f * (1 - top * top)], axis=1)
+                sources[g].append(seen)
+                into[g].append(gates * scale)
+                owed = np.matmul(gates[:, None, :], self.part(w, g))[:, 0]
+                down = owed[:, : self.groups[g - 1]]
+                before.append(dh * (1 - f) + (owed[:, self.groups[1] : -1] if g == 2 else 0))
+            tapped += scale * down * step["x"][:n, self.taps]
+            owed_later = before[::-1]
+        for g in (1, 2, 3):
+            self.part(grads, g)[:] = np.matmul(np.stack(into[g], axis=2), np.stack(sources[g], axis=1))
+        self.part(grads, "in")[:, 0] = tapped
+        grads *= self.mask
+        return (self.weight * e * e).sum(1), grads
+
+    def train(self, s: dict[str, Any], target: np.ndarray) -> np.ndarray:
+        """One step of Adam for the slots that predicted something; returns the losses."""
+        n = len(target)
         loss, grads = self.gradients(s, target)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, 5.0 / norm) if norm > 0 else 1.0
-        s["t"] += 1
-        rate = s["rate"] * np.sqrt(1 - 0.999 ** s["t"]) / (1 - 0.9 ** s["t"])
-        for k, g in grads.items():
-            s["m"][k] = 0.9 * s["m"][k] + 0.1 * scale * g
-            s["v"][k] = 0.999 * s["v"][k] + 0.001 * (scale * g) ** 2
-            s["w"][k] = s["w"][k] - rate * s["m"][k] / (np.sqrt(s["v"][k]) + 1e-8)
-        s["rate"] = max(s["rate"] * self.fall, self.floor)
+        norm = np.sqrt(np.einsum("ij,ij->i", grads, grads))
+        grads *= np.where(norm > 5.0, 5.0 / np.maximum(norm, 1e-300), 1.0)[:, None]
+        live = s["kept"][:n] > 0
+        which: Any = slice(0, n) if live.all() else np.flatnonzero(live)
+        grads = grads[which]
+        s["t"][which] += 1
+        t = s["t"][which]
+        rate = s["rate"][which] * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        m, v = s["m"][which], s["v"][which]
+        m *= 0.9
+        m += 0.1 * grads
+        v *= 0.999
+        grads *= grads
+        grads *= 0.001
+        v += grads
+        np.sqrt(v, out=grads)
+        grads += 1e-8
+        np.divide(m, grads, out=grads)
+        grads *= rate[:, None]
+        s["w"][which] -= grads
+        if not isinstance(which, slice):
+            s["m"][which], s["v"][which] = m, v
+        s["rate"][which] = np.maximum(s["rate"][which] * self.fall, self.floor)
         return loss
 
     def observe(self, s: dict[str, Any], x: np.ndarray, dt: float = 1.0) -> None:
         """Learn from ``x``, then predict what follows it."""
-        s["n"] += 1
+        n = len(x)
+        s["n"][:n] += 1
         if s["steps"]:
-            s["last"] = s["steps"][0]["y"] - x
-            s["errors"] = (1 - self.mix) * s["errors"] + self.mix * np.abs(s["last"])
-            s["rmse"] = float(np.sqrt(self.train(s, x)))
-            s["mean"] = (1 - self.mix) * s["mean"] + self.mix * s["rmse"]
-            s["square"] = (1 - self.mix) * s["square"] + self.mix * s["rmse"] ** 2
+            live = s["kept"][:n] > 0
+            error = s["steps"][0]["y"][:n] - x
+            mixed = lambda old, new: np.where(live if old.ndim == 1 else live[:, None], (1 - self.mix) * old + self.mix * new, old)
+            s["last"][:n] = np.where(live[:, None], error, s["last"][:n])
+            s["errors"][:n] = mixed(s["errors"][:n], np.abs(error))
+            s["squares"][:n] = mixed(s["squares"][:n], error * error)
+            rmse = np.sqrt(self.train(s, x))
+            s["rmse"][:n] = np.where(live, rmse, s["rmse"][:n])
+            s["mean"][:n] = mixed(s["mean"][:n], rmse)
+            s["square"][:n] = mixed(s["square"][:n], rmse * rmse)
         self.forward(s, x, dt)
 
-    def score(self, s: dict[str, Any]) -> float:
+    def score(self, s: dict[str, Any], n: int) -> np.ndarray:
         """Surprise in (0, 1); 0 until calibrated."""
-        if s["n"] < self.calibrated or s["t"] < 2:
-            return 0.0
-        spread = np.sqrt(max(s["square"] - s["mean"] ** 2, 1e-12))
-        return float(sigmoid(np.array((s["rmse"] - s["mean"]) / spread - 2)))
-
-    def sigmas(self, s: dict[str, Any]) -> np.ndarray:
-        """Each feature's last error over its usual one."""
-        return np.abs(s["last"]) / np.maximum(s["errors"], 1e-6)
-
-    def surprises(self, s: dict[str, Any], names: tuple[str, ...] = FEATURES) -> list[tuple[str, float, float]]:
-        """(feature, error, error over the usual one) where it is over 1.5, the largest first; none in the first ten steps."""
-        if s["t"] < 10:
+        spread = np.sqrt(np.maximum(s["square"][:n] - s["mean"][:n] ** 2, 1e-12))
+        return np.where((s["n"][:n] < self.calibrated) | (s["t"][:n] < 2), 0.0, sigmoid((s["rmse"][:n] - s["mean"][:n]) / spread - 2))
+
+    def sigmas(self, s: dict[str, Any], n: int) -> np.ndarray:
+        """By how many deviations each feature's last error is over its usual one; 0 in the first ten steps."""
+        usual = s["errors"][:n]
+        spread = np.sqrt(np.maximum(s["squares"][:n] - usual * usual, 1e-12))
+        return np.where((s["t"][:n, None] < 10) | (usual <= 1e-10), 0.0, (np.abs(s["last"][:n]) - usual) / spread)
+
+    def surprises(self, s: dict[str, Any], slot: int, names: tuple[str, ...] = FEATURES) -> list[dict[str, Any]]:
+        """Features whose last error is over 1.5 times the usual one, the largest first; none in the first ten steps."""
+        if s["t"][slot] < 10:
             return []
-        ratio = self.sigmas(s)
-        found = [(names[i], float(s["last"][i]), float(ratio[i])) for i in np.flatnonzero(ratio > 1.5) if i < len(names)]
-        return sorted(found, key=lambda f: -f[2])
-
-    def forget(self, s: dict[str, Any]) -> None:
-        """Clears what is remembered in time; what is learnt stays."""
-        s["h"], s["steps"] = [np.zeros(n) for n in self.groups[1:]], []
-
-
-def normalised(s: dict[str, Any], raw: np.ndarray) -> np.ndarray:
-    """Running z-scores, ``raw`` included; the spread never counts as under 0.01 % of the mean."""
-    s["n"] += 1
-    delta = raw - s["mean"]
-    s["mean"] = s["mean"] + delta / s["n"]
-    s["m2"] = s["m2"] + delta * (raw - s["mean"])
-    std = np.sqrt(s["m2"] / max(s["n"] - 1, 1))
-    return np.clip((raw - s["mean"]) / np.maximum(std, np.abs(s["mean"]) * 1e-4 + 1e-8), -10, 10)
-
-
-def moments(n: int) -> dict[str, Any]:
-    return {"n": 0, "mean": np.zeros(n), "m2": np.zeros(n)}
-
-
-class DualNets(Kernel):
-    """Anomaly score of a fast and a slow net, features that surprise, and the slow net's motor values; 0 until calibrated.
-
+        last, usual, sigma = s["last"][slot], s["errors"][slot], self.sigmas(s, slot + 1)[slot]
+        found = [(abs(float(last[i])), i) for i in range(len(names)) if usual[i] > 1e-10 and abs(last[i]) > 1.5 * usual[i]]
+        return [{"name": names[i], "error": float(last[i]), "magnitude": size, "sigma": float(sigma[i])} for size, i in sorted(found, key=lambda f: (-f[0], f[1]))]
+
+    def forget(self, s: dict[str, Any], slots: np.ndarray) -> None:
+        """Clears what these slots remember in time; what is learnt stays."""
+        s["kept"][slots] = 0
+        for k in (*self.PER_FEATURE, *self.PER_NET, "h1", "h2", "h3"):
+            s[k][slots] = 0
+
+
+class Normaliser:
+    """Running z-scores a slot, the value itself included; the spread never counts as under 0.01 % of the mean."""
+
+    def __init__(self, n: int):
+        self.width = n
+
+    def start(self, slots: int = 1) -> dict[str, Any]:
+        return {"n": np.zeros(slots, np.int64), "mean": np.zeros((slots, self.width)), "m2": np.zeros((slots, self.width))}
+
+    def observe(self, s: dict[str, Any], raw: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        s["n"][:n] += 1
+        count = s["n"][:n, None]
+        delta = raw - s["mean"][:n]
+        s["mean"][:n] += delta / count
+        mean = s["mean"][:n]
+        s["m2"][:n] += delta * (raw - mean)
+        spread = np.sqrt(s["m2"][:n] / np.maximum(count - 1, 1))
+        return np.clip((raw - mean) / np.maximum(spread, np.abs(mean) * 1e-4 + 1e-8), -10, 10)
+
+
+class Clusters:
+    """Online k-means a slot: centres from the first distinct points, then a slow pull of the nearest one towards each point."""
+
+    def __init__(self, width: int = GROUPS[3], k: int = REGIMES, rate: float = PULL):
+        self.width, self.k, self.rate = width, k, rate
+
+    def start(self, slots: int = 1) -> dict[str, Any]:
+        return {"centres": np.zeros((slots, self.k, self.width)), "filled": np.zeros(slots, np.int64)}
+
+    def assign(self, s: dict[str, Any], p: np.ndarray) -> np.ndarray:
+        """Each slot's regime; 0 until all its centres are there."""
+        n = len(p)
+        centres, filled = s["centres"][:n], s["filled"][:n]
+        gap = ((centres - p[:, None, :]) ** 2).sum(2)
+        gap[np.arange(self.k) >= filled[:, None]] = np.inf
+        full = filled == self.k
+        adds = np.flatnonzero(~full & (gap.min(1) > DISTINCT))
+        place = filled[adds]
+        centres[adds, place] = p[adds]
+        gap[adds, place] = 0.0
+        filled[adds] += 1
+        best = gap.argmin(1)
+        pulled = np.flatnonzero(full)
+        at = best[pulled]
+        centres[pulled, at] += self.rate * (p[pulled] - centres[pulled, at])
+        return np.where(filled == self.k, best, 0)
+
+
+class Transitions:
+    """A formation change a slot: three features beyond two deviations for five packets on end, and no active advisory (fixed values)."""
+
+    sigma, least, packets = 2.0, 3, 5
+
+    def start(self, slots: int = 1) -> dict[str, Any]:
+        return {"run": np.zeros(slots, np.int64)}
+
+    def check(self, s: dict[str, Any], sigmas: np.ndarray, advised: np.ndarray, calibrated: np.ndarray) -> np.ndarray:
+        n = len(sigmas)
+        run = np.where((sigmas > self.sigma).sum(1) >= self.least, s["run"][:n] + 1, 0)
+        run = np.where(calibrated, run, s["run"][:n])
+        fires = calibrated & (run >= self.packets) & ~advised
+        s["run"][:n] = np.where(fires, 0, run)
+        return fires
+
+
+class TacticalNets:
+    """Both nets, regimes of the fast one's motor values, transitions of the slow one's surprises, and the depth-ahead net that they reset.
+
+    Runs in lock step (``lockstep.apply``) or for one well (``step`` with one row).
     ``net_ok`` says whether calibrated nets corroborate an anomaly (0.4 or more).
     """
 
-    schema = "net_score double, net_calibrated boolean, net_surprised int, net_surprises string, net_ok boolean"
-    reads = (*(f for f in FEATURES if f != "pump_spm"), "ts")
-
-    def __init__(self) -> None:
-        self.fast, self.slow = Net("fast", 42), Net("slow", 142)
-
-    def start(self) -> dict[str, Any]:
-        return {"z": moments(16), "fast": self.fast.start(), "slow": self.slow.start(), "ts": None}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        raw = np.nan_to_num(np.array([x.get(f) or 0.0 for f in FEATURES], np.float64))
-        z = normalised(s["z"], raw)
-        dt = min(max(x["ts"] - s["ts"], 1), 60) / 60 if s["ts"] is not None else 1.0
-        s["ts"] = x["ts"]
-        self.fast.observe(s["fast"], z, dt)
-        self.slow.observe(s["slow"], z, dt)
-        a, b = self.fast.score(s["fast"]), self.slow.score(s["slow"])
-        ready = s["z"]["n"] >= CALIBRATED
-        higher = (self.fast, s["fast"]) if a >= b else (self.slow, s["slow"])
-        names = ",".join(n for n, _, _ in higher[0].surprises(higher[1]))
-        score = max(a, b)
-        return (score, ready, int((self.slow.sigmas(s["slow"]) > 2).sum()), names, ready and score >= 0.4)
-
-
-class DepthAhead(Kernel):
-    """Confidence of the depth-ahead net, which forgets its state where the formation changes."""
-
-    schema = "ahead_confidence double, ahead_calibrated boolean"
-    reads = (*AHEAD, "formation")
+    schema = (
+        "net_score double, net_calibrated boolean, net_ok boolean, net_surprised int, net_surprises array<struct<name:string,error:double,magnitude:double,sigma:double>>, "
+        "regime int, motor array<double>, transition boolean, ahead_confidence double, ahead_calibrated boolean"
+    )
+    #: What is missing counts as 0 (``pump_spm`` has no channel here).
+    reads = (*(f for f in FEATURES if f != "pump_spm"), "depth_into", "formation_hardness", "advised")
 
     def __init__(self) -> None:
-        self.net = Net("ahead", 242)
-
-    def start(self) -> dict[str, Any]:
-        return {"z": moments(16), "net": self.net.start(), "formation": None}
-
-    def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
-        raw = np.zeros(16)
-        raw[:8] = np.nan_to_num(np.array([x[f] or 0.0 for f in AHEAD], np.float64))
-        if x["formation"] != s["formation"]:
-            self.net.forget(s["net"])
-            s["formation"] = x["formation"]
-        self.net.observe(s["net"], normalised(s["z"], raw))
-        return (1 - self.net.score(s["net"]), s["net"]["n"] >= self.net.calibrated)
+        self.fast, self.slow, self.ahead = Nets("fast", 42), Nets("slow", 142), Nets("ahead", 1042)
+        # parts in the order of their names, all of them arrays a slot
+        self.parts = {"fast": self.fast, "slow": self.slow, "ahead": self.ahead, "z": Normaliser(16), "ahead_z": Normaliser(16), "clusters": Clusters(), "transitions": Transitions()}
+
+    def start(self, slots: int = 1) -> dict[str, Any]:
+        return {name: part.start(slots) for name, part in self.parts.items()}
+
+    def step(self, s: dict[str, Any], x: dict[str, np.ndarray]) -> dict[str, Any]:
+        """The next packet of the first slots: arrays of what ``reads`` names; gives arrays of what ``schema`` names."""
+        n = len(x["wob"])
+        zero = np.zeros(n)
+        raw = np.nan_to_num(np.stack([x.get(f, zero) for f in FEATURES], axis=1).astype(np.float64))
+        z = self.parts["z"].observe(s["z"], raw)
+        self.fast.observe(s["fast"], z)
+        self.slow.observe(s["slow"], z)
+        scores = self.fast.score(s["fast"], n), self.slow.score(s["slow"], n)
+        calibrated = (s["fast"]["n"][:n] >= self.fast.calibrated) | (s["slow"]["n"][:n] >= self.slow.calibrated)
+        motor = s["fast"]["h3"][:n].copy()
+        regime = self.parts["clusters"].assign(s["clusters"], motor)
+        ahead = np.zeros((n, 16))
+        ahead[:, : len(AHEAD)] = np.nan_to_num(np.stack([x.get(f, zero) for f in AHEAD], axis=1).astype(np.float64))
+        self.ahead.observe(s["ahead"], self.parts["ahead_z"].observe(s["ahead_z"], ahead))
+        confidence, known = 1 - self.ahead.score(s["ahead"], n), s["ahead"]["n"][:n] >= self.ahead.calibrated
+        sigmas = self.slow.sigmas(s["slow"], n)
+        fires = self.parts["transitions"].check(s["transitions"], sigmas, x["advised"].astype(bool), calibrated)
+        if fires.any():
+            self.ahead.forget(s["ahead"], np.flatnonzero(fires))
+        score = np.maximum(*scores)
+        surprises = [(self.fast.surprises(s["fast"], i) if scores[0][i] >= scores[1][i] else self.slow.surprises(s["slow"], i)) if calibrated[i] else [] for i in range(n)]
+        return {
+            "net_score": score, "net_calibrated": calibrated, "net_ok": calibrated & (score >= 0.4), "net_surprised": (sigmas > 2).sum(1), "net_surprises": surprises,
+            "regime": regime, "motor": motor, "transition": fires, "ahead_confidence": confidence, "ahead_calibrated": known,
+        }

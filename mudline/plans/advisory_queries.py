@@ -9,8 +9,7 @@ from mudline.functions import reports
 from mudline.functions.frames import last_rows
 from mudline.operators import advisories, joins, kernels, reading
 from mudline.operators.metrics import drilling_metrics
-from mudline.operators.nets import AHEAD, FEATURES, DepthAhead
-from mudline.plans.join_queries import formations
+from mudline.operators.nets import FEATURES
 from mudline.plans.kernel_queries import NEXT, WALK
 from mudline.plans.physics_queries import MET, REC_MET, TEL, r
 from mudline.plans.reading_queries import RC, recipes
@@ -82,16 +81,6 @@ def net_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("seq", r(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), "weighted", 4))
 
 
-@query()
-def depth_ahead_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of the depth-ahead net, which no SQL expresses; tests check its nets."""
-    m = drilling_metrics(telemetry(spark, sf_dir))
-    f = joins.first_interval(m, formations(spark, sf_dir).select("formation", "hard", "top", "base"), "bit_depth", "top", "base")
-    f = f.withColumns({"depth_into": F.coalesce(F.col("bit_depth") - F.col("top"), F.lit(0.0)), "formation_hardness": F.coalesce("hard", F.lit(0.0)), "formation": F.coalesce("formation", F.lit("none"))})
-    assert set(AHEAD) <= set(f.columns)
-    return kernels.apply(f, DepthAhead()).select("seq", "well_id", r(F.col("ahead_confidence"), "ahead_confidence"), "ahead_calibrated")
-
-
 @query(MET + """SELECT '# HELP packets_total Packets processed' || chr(10) || '# TYPE packets_total counter' || chr(10) || 'packets_total ' || count(*) AS text FROM met
   UNION ALL SELECT '# HELP tickets_total Anomalies found' || chr(10) || '# TYPE tickets_total counter' || chr(10) || 'tickets_total ' || count(*) FILTER (WHERE category <> 'None') FROM met""")
 def metrics_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:

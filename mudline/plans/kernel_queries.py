@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.functions import states, tickets
-from mudline.functions.frames import last_rows, ordered
-from mudline.operators import kernels, windows
-from mudline.operators.metrics import STATE_SQL, drilling_metrics, with_state
-from mudline.operators.nets import DualNets
-from mudline.plans.join_queries import FORMATION_SQL, minutes_to, with_neighbours
+from mudline.functions import anomalies, states, tickets
+from mudline.functions.frames import last_rows
+from mudline.operators import joins, kernels, lockstep, modes, windows
+from mudline.operators.intervals import Intervals, Together
+from mudline.operators.metrics import OVERRIDES, STATE_SQL, drilling_metrics, with_state
+from mudline.operators.nets import TacticalNets
+from mudline.plans.join_queries import FORMATION_SQL, formations, minutes_to, with_neighbours
 from mudline.plans.physics_queries import MET, PARTS, REC, REC_MET, TEL, r
 from mudline.registry import query
 from mudline.telemetry import telemetry
@@ -108,45 +109,120 @@ def formation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.apply(t, kernels.TransitionDetector(("s_wob", "s_torque", "s_rop", "s_spp"), sigma=0.8, least=2, packets=2)).select("seq", "well_id", "transition")
 
 
-def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies with the ticket's severity; intervals are exact quantiles of the 50 packets before, nets are the packet's k."""
-    m = drilling_metrics(telemetry(spark, sf_dir))
-    p = {k: F.col(v) for k, v in PARTS.items()}
-    frame = ordered().rowsBetween(-50, -1)
-    band = lambda c, q: F.percentile(c, F.lit(q)).over(frame)
-    out_of: dict[str, Column] = {c: (F.col(c) < band(c, 0.1)) | (F.col(c) > band(c, 0.9)) for c in ("spp", "torque", "mse")}
-    seen = F.count("*").over(frame) >= 10
-    own = F.when(F.col("category") == "Hydraulics", out_of["spp"]).when(F.col("category") == "Mechanical", out_of["torque"]).when(F.col("category") == "DrillingEfficiency", out_of["mse"])
-    return m.withColumns({"severity": tickets.base_severity(p)[0], "outlier": F.when(seen, own), "net_ok": F.col("k") >= 40})
+def stepped(metrics: DataFrame, net_score: Column) -> DataFrame:
+    """Severities of tickets: base, then stepped by the intervals' count, then by the nets' score (null: not calibrated)."""
+    base = tickets.base_severity({k: F.col(v) for k, v in PARTS.items()})[0]
+    return metrics.withColumn("severity", anomalies.net_adjusted(anomalies.aci_adjusted(base, F.col("category"), F.when(F.col("steady"), F.col("outliers"))), F.col("category"), net_score))
+
+
+#: What the severity and the gate need of a packet beyond what intervals and nets add.
+FOR_GATE = ("k", "bit_depth", "state", "rule", "learning", *PARTS.values())
+
+
+def drilling() -> Column:
+    return F.col("state").isin("Drilling", "Reaming")
 
 
+def gated(metrics: DataFrame) -> DataFrame:
+    """The gate behind adaptive intervals of drilling packets; the nets are stood in for by the packet's k."""
+    judged = lockstep.apply(metrics, Intervals(), drilling(), keep=FOR_GATE)
+    score = F.col("k") / 100.0
+    return kernels.apply(stepped(judged, score).withColumn("net_ok", score >= 0.4), kernels.TicketGate(), keep=("outliers",))
+
+
+#: Adaptive intervals of eleven metrics in long form, walked by recursion; ``locks`` of a packet begin a new ``part`` of its well.
+INTERVAL_SQL = f"""dr AS (SELECT *, row_number() OVER (PARTITION BY well_id, part ORDER BY ts, seq) AS j FROM {{0}} WHERE state IN ('Drilling', 'Reaming')),
+  lg AS (SELECT well_id, part, j, seq, unnest({list(Intervals.METRICS)}) AS metric, unnest([{", ".join(Intervals.METRICS)}]) AS v FROM dr),
+  cs AS (SELECT well_id, part, metric, j, seq, v, [v] AS vs, [abs(v)] AS rs, least(greatest(0.1 + 0.005 * (0.1 - (abs(v) > 0)::INT), 0.001), 0.5) AS alpha FROM lg WHERE j = 1
+    UNION ALL SELECT well_id, part, metric, j, seq, v, list_append(vs[greatest(len(vs) - 198, 1):], v), list_append(rs[greatest(len(rs) - 198, 1):], res), least(greatest(alpha + 0.005 * (0.1 - (res > rad)::INT), 0.001), 0.5) FROM (
+      SELECT x.*, s.vs, s.rs, s.alpha, abs(x.v - list_median(s.vs)) AS res, list_sort(s.rs)[least(CAST(ceil(len(s.rs) * least(greatest(1 - s.alpha, 0.01), 0.999)) AS BIGINT), len(s.rs) - 1) + 1] AS rad
+      FROM cs s JOIN lg x ON x.well_id = s.well_id AND x.part = s.part AND x.metric = s.metric AND x.j = s.j + 1) a),
+  co AS (SELECT seq, j, metric, len(rs) >= 10 AND abs(v - list_median(vs)) > greatest(list_sort(rs)[least(CAST(ceil(len(rs) * least(greatest(1 - alpha, 0.01), 0.999)) AS BIGINT), len(rs) - 1) + 1],
+    CASE metric {" ".join(f"WHEN '{m}' THEN {x}" for m, x in Intervals.LEAST.items())} END) AS out FROM cs),
+  ca AS (SELECT seq, any_value(j) AS j, CAST(sum(out::INT) AS INTEGER) AS outliers, {", ".join(f"bool_or(out AND metric = '{m}') AS o_{m}" for m in ("spp", "ecd", "torque", "wob", "mse"))} FROM co GROUP BY seq),
+  gx AS (SELECT m.*, c.outliers, c.j >= 20 AS steady, CASE WHEN c.j >= 20 THEN CASE category WHEN 'Hydraulics' THEN o_spp OR o_ecd WHEN 'Mechanical' THEN o_torque OR o_wob WHEN 'DrillingEfficiency' THEN o_mse END END AS outlier,
+    CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 10 OR abs(pit_rate) > 15 THEN 4 ELSE 3 END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.1 OR abs(spp_delta) > 200 THEN 3 ELSE 2 END
+      WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 THEN 3 ELSE 2 END WHEN 'DrillingEfficiency' THEN CASE WHEN mse_efficiency < 50 THEN 2 ELSE 1 END ELSE 1 END AS lv0 FROM {{0}} m LEFT JOIN ca c ON c.seq = m.seq),
+  gy AS (SELECT *, greatest(least(lv0 + CASE WHEN NOT coalesce(steady, false) THEN 0 WHEN outliers < 2 THEN CASE WHEN category = 'WellControl' AND lv0 < 4 THEN 0 ELSE -1 END WHEN outliers >= 5 THEN 1 ELSE 0 END, 4), 1) AS lv1, CASE WHEN k < 20 THEN -2 WHEN k < 40 THEN -1 WHEN k >= 80 THEN 2 WHEN k >= 60 THEN 1 ELSE 0 END AS st FROM gx),
+  gt AS (SELECT seq, well_id, ts, bit_depth, state, rule, category, learning, outliers, k / 100.0 >= 0.4 AS net_ok, outlier, least(lv1 + CASE WHEN category = 'WellControl' THEN greatest(st, CASE WHEN lv1 < 4 THEN 0 ELSE -1 END) ELSE st END, 4) >= 4 AS critical FROM gy)"""
 GATE_CATEGORIES = "['Hydraulics', 'Mechanical', 'DrillingEfficiency', 'WellControl']"
-GATE_SQL = """, gq AS (SELECT *, count(*) OVER w AS seen, spp < quantile_cont(spp, 0.1) OVER w OR spp > quantile_cont(spp, 0.9) OVER w AS o_spp, torque < quantile_cont(torque, 0.1) OVER w OR torque > quantile_cont(torque, 0.9) OVER w AS o_torque, mse < quantile_cont(mse, 0.1) OVER w OR mse > quantile_cont(mse, 0.9) OVER w AS o_mse
-    FROM met WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
-  gt AS (SELECT seq, well_id, ts, bit_depth, state, rule, category, k >= 40 AS net_ok, CASE WHEN seen >= 10 THEN CASE category WHEN 'Hydraulics' THEN o_spp WHEN 'Mechanical' THEN o_torque WHEN 'DrillingEfficiency' THEN o_mse END END AS outlier,
-    coalesce(category = 'WellControl' AND (abs(flow_balance) > 10 OR abs(pit_rate) > 15), false) AS critical FROM gq)""" + WALK.format("gt") + f""", st AS (
+#: The gate, walked by recursion over ``gt``: lists hold cooldown places, depths and times, sustained counts and normal runs of the four categories.
+GATE_SQL = WALK.format("gt") + f""", st AS (
   SELECT well_id, 0 AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS gate, [NULL, NULL, NULL, NULL]::BIGINT[] AS cn, [0, 0, 0, 0]::DOUBLE[] AS cd, [0, 0, 0, 0]::BIGINT[] AS ct, [0, 0, 0, 0] AS sc, [0, 0, 0, 0] AS sn, 0 AS fr, 0 AS pr FROM ix WHERE i = 1
   UNION ALL SELECT well_id, i, seq, gate, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN i ELSE cn[j] END) ELSE cn END, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN bit_depth ELSE cd[j] END) ELSE cd END,
     CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN ts ELSE ct[j] END) ELSE ct END, CASE WHEN gate = 'ticket' THEN list_transform(range(1, 5), lambda j: CASE WHEN j = c THEN sc[j] + 1 ELSE sc[j] END) ELSE sc END, sn, fr, pr FROM (
-    SELECT *, CASE WHEN bit_depth <= 0 THEN 'no_depth' WHEN state NOT IN ('Drilling', 'Reaming') THEN 'state' WHEN category = 'None' THEN 'normal'
+    SELECT *, CASE WHEN learning THEN 'learning' WHEN bit_depth <= 0 THEN 'no_depth' WHEN state NOT IN ('Drilling', 'Reaming') THEN 'state' WHEN category = 'None' THEN 'normal'
       WHEN cn[c] IS NOT NULL AND i - cn[c] < packets AND abs(bit_depth - cd[c]) < feet AND ts - ct[c] < secs THEN 'cooldown' WHEN c < 4 AND sc[c] >= 3 AND abs(bit_depth - cd[c]) < least(feet * pow(2.0, sc[c] - 3), 500) THEN 'throttled'
       WHEN c < 4 AND outlier = false THEN 'no_interval' WHEN c < 4 AND NOT net_ok THEN 'no_net' WHEN rule = 'founder' AND fr < 3 THEN 'debounce' WHEN rule = 'pit_rate' AND pr < 3 THEN 'debounce' ELSE 'ticket' END AS gate FROM (
       SELECT *, list_transform(range(1, 5), lambda j: CASE WHEN cn[j] IS NULL THEN 0 WHEN sn[j] >= 500 THEN 0 ELSE sc0[j] END) AS sc FROM (
-        SELECT x.well_id, x.i, x.seq, x.ts, x.bit_depth, x.state, x.rule, x.category, x.net_ok, x.outlier, s.cn, s.cd, s.ct, s.sc AS sc0, CAST(list_position({GATE_CATEGORIES}, x.category) AS INTEGER) AS c, CASE WHEN x.critical THEN 20 ELSE 50 END AS packets, CASE WHEN x.critical THEN 10.0 ELSE 50.0 END AS feet, CASE WHEN x.critical THEN 1 ELSE 60 END AS secs,
-          list_transform(range(1, 5), lambda j: CASE WHEN s.cn[j] IS NULL OR list_position({GATE_CATEGORIES}, x.category) = j THEN 0 ELSE CASE WHEN s.gate = 'ticket' AND s.cn[j] = s.i THEN 0 ELSE s.sn[j] END + 1 END) AS sn, CASE WHEN x.rule = 'founder' THEN s.fr + 1 ELSE 0 END AS fr, CASE WHEN x.rule = 'pit_rate' THEN s.pr + 1 ELSE 0 END AS pr FROM st s {NEXT}) a) b) d)"""
+        SELECT x.well_id, x.i, x.seq, x.ts, x.bit_depth, x.state, x.rule, x.category, x.learning, x.net_ok, x.outlier, s.cn, s.cd, s.ct, s.sc AS sc0, CAST(list_position({GATE_CATEGORIES}, x.category) AS INTEGER) AS c, CASE WHEN x.critical THEN 20 ELSE 50 END AS packets, CASE WHEN x.critical THEN 10.0 ELSE 50.0 END AS feet, CASE WHEN x.critical THEN 1 ELSE 60 END AS secs,
+          list_transform(range(1, 5), lambda j: CASE WHEN s.cn[j] IS NULL THEN 0 WHEN x.state NOT IN ('Drilling', 'Reaming') THEN CASE WHEN s.gate = 'ticket' AND s.cn[j] = s.i THEN 0 ELSE s.sn[j] END WHEN list_position({GATE_CATEGORIES}, x.category) = j THEN 0 ELSE CASE WHEN s.gate = 'ticket' AND s.cn[j] = s.i THEN 0 ELSE s.sn[j] END + 1 END) AS sn,
+          CASE WHEN x.rule = 'founder' THEN s.fr + 1 ELSE 0 END AS fr, CASE WHEN x.rule = 'pit_rate' THEN s.pr + 1 ELSE 0 END AS pr FROM st s {NEXT}) a) b) d)"""
+GATED_SQL = " SELECT g.seq, g.well_id, x.category, x.outliers, g.gate FROM st g JOIN ix x ON x.well_id = g.well_id AND x.i = g.i"
 
 
-@query(REC_MET + GATE_SQL + " SELECT g.seq, g.well_id, x.category, g.gate FROM st g JOIN ix x ON x.well_id = g.well_id AND x.i = g.i")
+@query(REC_MET + ", gm AS (SELECT *, 0 AS part, false AS learning FROM met), " + INTERVAL_SQL.format("gm") + GATE_SQL + GATED_SQL)
 def ticket_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.apply(gate_rows(spark, sf_dir), kernels.TicketGate()).select("seq", "well_id", "category", "gate")
+    """Tickets under fixed thresholds: adaptive intervals and severities as they are, nets stood in for by k."""
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumns({"locks": F.lit(False), "learning": F.lit(False)})
+    return gated(m).select("seq", "well_id", "category", "outliers", "gate")
+
+
+#: Packets with their mode and what holds at each: the first block of 100 teaching packets in which a sensor is clean locks the well.
+MODES_SQL = f"""cu AS (SELECT *, state IN ('Drilling', 'Reaming') AS teaches, sum((state IN ('Drilling', 'Reaming'))::INT) OVER (PARTITION BY well_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS lessons FROM met),
+  bk AS (SELECT well_id, ts, seq, lessons, (lessons + 99) // 100 AS block, unnest({list(modes.SENSORS)}) AS sensor, unnest([{", ".join(modes.SENSORS)}]) AS v FROM cu WHERE teaches),
+  ru AS (SELECT *, count(*) OVER w AS n, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM bk WINDOW w AS (PARTITION BY well_id, block, sensor ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+  bl AS (SELECT well_id, block, sensor, avg(v) AS mean, stddev_samp(v) AS std, count(*) FILTER (WHERE n > 10 AND s > 0.001 AND abs(v - m) > 3 * s) AS bad FROM ru GROUP BY 1, 2, 3 HAVING count(*) = 100),
+  lk AS (SELECT *, min(block) OVER (PARTITION BY well_id) * 100 AS locked_after FROM bl WHERE bad <= 5 QUALIFY block * 100 = locked_after),
+  sp AS (SELECT *, greatest(std, abs(mean) * 0.001, 0.001) AS sd FROM lk),
+  ov AS (SELECT well_id, any_value(locked_after) AS locked_after, max(CASE WHEN sensor = 'flow_balance' THEN 3 * sd END) AS fw, max(CASE WHEN sensor = 'spp' THEN greatest(2 * sd, 30) END) AS sw, max(CASE WHEN sensor = 'spp' THEN greatest(3 * sd, 50) END) AS sc,
+    max(CASE WHEN sensor = 'torque' AND mean > 0 THEN greatest(2 * least(sd / mean, 10), 0.1) END) AS tw, max(CASE WHEN sensor = 'torque' AND mean > 0 THEN greatest(3 * least(sd / mean, 10), 0.2) END) AS tc FROM sp GROUP BY 1),
+  dy AS (SELECT c.*, v.* EXCLUDE (well_id, fw, sw, sc, tw, tc), coalesce(lessons >= locked_after, false) AS dynamic, CASE WHEN lessons >= locked_after THEN fw END AS fw0, CASE WHEN lessons >= locked_after THEN sw END AS sw0, CASE WHEN lessons >= locked_after THEN sc END AS sc0, CASE WHEN lessons >= locked_after THEN tw END AS tw0, CASE WHEN lessons >= locked_after THEN tc END AS tc0 FROM cu c LEFT JOIN ov v ON v.well_id = c.well_id),
+  dz AS (SELECT *, coalesce(fw0, 5) AS fw, coalesce(sw0, 100) AS sw, coalesce(sc0, 200) AS sc, coalesce(tw0, 0.15) AS tw, coalesce(tc0, 0.25) AS tc FROM dy),
+  dk AS (SELECT *, (flow_out - flow_in > fw)::INT + (pit_change > 5)::INT + (gas_units - background_gas > 50)::INT AS kn, (flow_in - flow_out > fw)::INT + (pit_change < -5)::INT + (greatest(spp_delta, 0) > sw)::INT AS ln FROM dz),
+  dj AS (SELECT * EXCLUDE (rule, category), CASE WHEN NOT active THEN 'none' WHEN (flow_out > 0 OR flow_in <= 0) AND kn >= 2 THEN 'kick' WHEN (flow_out > 0 OR flow_in <= 0) AND ln >= 2 THEN 'loss' WHEN gas_units > 100 THEN 'gas' WHEN h2s > 10 THEN 'h2s' WHEN abs(pit_rate) > 5 THEN 'pit_rate' WHEN ecd_margin < 0.3 THEN 'ecd' WHEN abs(spp_delta) > sw THEN 'spp'
+    WHEN torque_delta > tw THEN 'torque' WHEN founders AND state = 'Drilling' THEN 'founder' WHEN state = 'Drilling' AND mse_efficiency < 70 THEN 'mse' ELSE 'none' END AS rule FROM dk),
+  dm AS (SELECT *, CASE WHEN rule IN ('kick', 'loss', 'gas', 'h2s', 'pit_rate') THEN 'WellControl' WHEN rule IN ('ecd', 'spp') THEN 'Hydraulics' WHEN rule IN ('torque', 'founder') THEN 'Mechanical' WHEN rule = 'mse' THEN 'DrillingEfficiency' ELSE 'None' END AS category, NOT dynamic AS learning, dynamic::INT AS part, teaches AND coalesce(lessons = locked_after, false) AS locks FROM dj)"""
+
+
+@query(MET + ", " + MODES_SQL + " SELECT well_id, seq, CASE WHEN dynamic THEN 'dynamic' ELSE 'learning' END AS mode, locks, rule, category, round(fw0, 5) AS flow_warning, round(sw0, 5) AS spp_warning, round(sc0, 5) AS spp_critical, round(tw0, 5) AS torque_warning, round(tc0, 5) AS torque_critical FROM dm")
+def dynamic_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both phases of each well: fixed thresholds while it learns, its own from the packet that locks on."""
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    d = modes.with_modes(m, modes.learned(m))
+    return d.select("well_id", "seq", "mode", "locks", "rule", "category", *[r(F.col(x), x, 5) for x in OVERRIDES])
+
+
+@query(MET.replace("WITH ", "WITH ", 1) + ", " + MODES_SQL + " SELECT well_id, sensor, locked_after, round(mean, 5) AS mean, round(std, 5) AS std, bad AS outliers FROM lk")
+def locked_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve sensors of each well, learned from drilling and reaming packets, as they lock."""
+    d = modes.learned(drilling_metrics(telemetry(spark, sf_dir)))
+    return d.select("well_id", "sensor", "locked_after", r(F.col("mean"), "mean", 5), r(F.col("std"), "std", 5), "outliers")
+
+
+@query(REC_MET + ", " + MODES_SQL + ", " + INTERVAL_SQL.format("dm") + GATE_SQL + GATED_SQL)
+def dynamic_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets after the lock: own thresholds, intervals that begin anew at the lock, none while a well learns."""
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    return gated(modes.with_modes(m, modes.learned(m))).select("seq", "well_id", "category", "outliers", "gate")
+
+
+def with_nets(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
+    """Drilling metrics with what ``kernel`` says of each drilling packet; grave words of the cascade count as an active advisory."""
+    m = drilling_metrics(telemetry(spark, sf_dir))
+    f = joins.first_interval(m, formations(spark, sf_dir).select("formation", "hard", "top", "base"), "bit_depth", "top", "base")
+    f = f.withColumns({
+        "depth_into": F.coalesce(F.col("bit_depth") - F.col("top"), F.lit(0.0)), "formation_hardness": F.coalesce("hard", F.lit(0.0)), "advised": F.col("severity").isin("CRITICAL", "HIGH"), "locks": F.lit(False), "learning": F.lit(False),
+    })
+    return lockstep.apply(f, kernel, drilling(), keep=FOR_GATE)
 
 
 @query()
 def corroborated_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate behind adaptive intervals of eleven metrics and the nets, in one pass; tests hold it against the parts alone."""
-    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("severity", tickets.base_severity({k: F.col(v) for k, v in PARTS.items()})[0])
-    c = kernels.apply(m, kernels.Chain(kernels.Bundle(), DualNets(), kernels.TicketGate()))
-    return c.select("seq", "well_id", "category", "outliers", r(F.col("net_score"), "net_score"), "gate")
+    """The gate behind intervals and nets, both of drilling packets alone, severities stepped by both; tests hold it against the parts alone."""
+    n = with_nets(spark, sf_dir, Together(Intervals(), TacticalNets()))
+    c = kernels.apply(stepped(n, F.when(F.col("net_calibrated"), F.col("net_score"))), kernels.TicketGate(), keep=("outliers", "net_score"))
+    return c.select("seq", "well_id", "category", "outliers", r(F.col("net_score"), "net_score"), "severity", "gate")
 
 
 @query(REC + WALK.format("tel") + f""", st AS (SELECT well_id, i, seq, ts AS since, wob AS value, true AS allowed FROM ix WHERE i = 1
@@ -191,5 +267,14 @@ def look_ahead_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def liquid_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the online nets, which no SQL expresses; tests check gradients, learning and scores."""
-    return kernels.apply(drilling_metrics(telemetry(spark, sf_dir)), DualNets()).select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised")
+    """Scores and surprises of the online nets, regimes of their motor values and transitions, which no SQL expresses; tests check gradients, learning, lock step and feedback."""
+    n = with_nets(spark, sf_dir, TacticalNets()).filter("net_score IS NOT NULL")
+    names = F.array_join(F.transform("net_surprises", lambda s: s["name"]), ",")
+    return n.select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised", names.alias("surprises"), "regime", "transition")
+
+
+@query()
+def depth_ahead_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of the depth-ahead net, which transitions reset; tests check its nets."""
+    n = with_nets(spark, sf_dir, TacticalNets()).filter("ahead_confidence IS NOT NULL")
+    return n.select("seq", "well_id", r(F.col("ahead_confidence"), "ahead_confidence"), "ahead_calibrated")

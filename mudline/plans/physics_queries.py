@@ -128,8 +128,10 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = voted(drilling_metrics(telemetry(spark, sf_dir)))
     p = {k: F.col(v) for k, v in VOTE_INPUTS.items()}
     votes = {k: F.col(f"vote_{k}") for k in voting.SPECIALISTS}
-    total = voting.weighted_sum(votes, F.col("regime"))
-    final = F.when(votes["well_control"] == "Critical", "Critical").otherwise(voting.final_severity(F.round(total, 9)))
+    # in columns of their own, so that what follows does not compute them for each comparison
+    m = m.withColumn("weighed", voting.weighted_sum(votes, F.col("regime"))).withColumn("rounded", F.round("weighed", 9))
+    total = F.col("weighed")
+    final = F.when(votes["well_control"] == "Critical", "Critical").otherwise(voting.final_severity(F.col("rounded")))
     score = anomalies.efficiency_score(F.col("mse_efficiency"), F.col("category") != "None", F.col("category"), F.col("dxc_trend"))
     return m.select("seq", r(voting.stuck_pipe_score(p), "stuck"), r(total, "total"), final.alias("final"), voting.risk_level(votes, F.col("category")).alias("risk"), score.alias("efficiency_score"))
 
@@ -199,7 +201,7 @@ def ml_quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MET + """SELECT seq, CASE WHEN category = 'None' THEN 'Low' WHEN severity = 'CRITICAL' THEN 'Critical' WHEN severity = 'HIGH' THEN 'High' ELSE 'Medium' END AS base,
   list_element(['Low', 'Medium', 'High', 'Critical'], CAST(greatest(least(lv + CASE WHEN seq % 8 < 2 AND NOT (category = 'WellControl' AND lv < 4) THEN -1 WHEN seq % 8 >= 5 THEN 1 ELSE 0 END, 4), 1) AS INTEGER)) AS by_intervals,
-  list_element(['Low', 'Medium', 'High', 'Critical'], CAST(greatest(least(lv + CASE WHEN category = 'WellControl' THEN greatest(st, 0) ELSE st END, 4), 1) AS INTEGER)) AS by_nets FROM (
+  list_element(['Low', 'Medium', 'High', 'Critical'], CAST(greatest(least(lv + CASE WHEN category = 'WellControl' THEN greatest(st, CASE WHEN lv < 4 THEN 0 ELSE -1 END) ELSE st END, 4), 1) AS INTEGER)) AS by_nets FROM (
   SELECT *, CASE WHEN category = 'None' THEN 1 WHEN severity = 'CRITICAL' THEN 4 WHEN severity = 'HIGH' THEN 3 ELSE 2 END AS lv, CASE WHEN k < 20 THEN -2 WHEN k < 40 THEN -1 WHEN k >= 80 THEN 2 WHEN k >= 60 THEN 1 ELSE 0 END AS st FROM met) a""")
 def severity_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = drilling_metrics(telemetry(spark, sf_dir))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from mudline import config
 from mudline.functions import physics, reports
-from mudline.operators import joins, kernels, ml, quality, stores, windows
-from mudline.operators.nets import DepthAhead, DualNets, Net
+from mudline.operators import joins, kernels, lockstep, ml, modes, quality, stores, windows
+from mudline.operators.intervals import Intervals, Together
+from mudline.operators.nets import Clusters, Nets, TacticalNets, Transitions
 
 
 def packets(spark, rows, columns):
@@ -53,8 +54,8 @@ def test_conformal_matches_a_plain_loop(spark):
 
 
 def test_gate_scenario(spark):
-    base = {"state": "Drilling", "rule": "torque", "category": "Mechanical", "severity": "High", "outlier": True, "net_ok": True}
-    steps = [({"bit_depth": 0.0}, "no_depth"), ({"state": "Idle"}, "state"), ({"category": "None", "rule": "none"}, "normal"), ({"outlier": False}, "no_interval"), ({"net_ok": None}, "no_net"), ({"outlier": None}, "ticket"), ({}, "cooldown"), ({"bit_depth": 1100.0}, "ticket"), ({"rule": "founder", "bit_depth": 1300.0}, "debounce"), ({"category": "WellControl", "rule": "kick", "outlier": False, "net_ok": False}, "ticket")]
+    base = {"state": "Drilling", "rule": "torque", "category": "Mechanical", "severity": "High", "outlier": True, "net_ok": True, "learning": False}
+    steps = [({"learning": True}, "learning"), ({"bit_depth": 0.0}, "no_depth"), ({"state": "Idle"}, "state"), ({"category": "None", "rule": "none"}, "normal"), ({"outlier": False}, "no_interval"), ({"net_ok": None}, "no_net"), ({"outlier": None}, "ticket"), ({}, "cooldown"), ({"bit_depth": 1100.0}, "ticket"), ({"rule": "founder", "bit_depth": 1300.0}, "debounce"), ({"category": "WellControl", "rule": "kick", "outlier": False, "net_ok": False}, "ticket")]
     gate, state = kernels.TicketGate(), kernels.TicketGate().start()
     got = [gate.step(state, {"ts": i, "bit_depth": 1000.0} | base | change)[0] for i, (change, _) in enumerate(steps)]
     assert got == [w for _, w in steps]
@@ -127,64 +128,163 @@ def test_p_values_against_integration():
         assert ml.p_value(r, n) == pytest.approx(1 - 2 * area, abs=1e-8)
 
 
-def test_net_gradients_and_learning():
-    """Gradients through two steps against differences; a learnable series is learnt."""
-    net = Net("fast", 5)
+def test_gradients_against_differences_and_learning():
+    net = Nets("fast", 5)
     net.decay = 1.0
     rng = np.random.default_rng(0)
-    xs, target = rng.normal(size=(3, 16)), rng.normal(size=16)
+    xs, target = rng.normal(size=(3, 2, 16)), rng.normal(size=(2, 16))
 
-    def loss(state):
+    def loss(flat):
+        state = net.start(2)
+        state["w"] = flat.copy()
         for x in xs:
             net.forward(state, x, 0.7)
         return net.gradients(state, target)
 
-    start = net.start()
-    fresh = lambda: {**start, "w": {k: v.copy() for k, v in start["w"].items()}, "h": [h.copy() for h in start["h"]], "steps": []}
-    _, grads = loss(fresh())
-    for key in ("in", "a1", "b2", "c2", "c3", "b3_bias", "out"):
-        flat = np.flatnonzero(start["w"][key].ravel()) if "bias" not in key else np.array([1])
-        at = int(flat[len(flat) // 2])
-        moved = []
-        for step in (1e-6, -1e-6):
-            state = fresh()
-            state["w"][key].ravel()[at] += step
-            moved.append(loss(state)[0])
-        assert grads[key].ravel()[at] == pytest.approx((moved[0] - moved[1]) / 2e-6, rel=1e-4, abs=1e-8), key
+    first = net.start(2)["w"] + rng.normal(0, 0.1, (2, net.n_params)) * net.mask
+    _, grads = loss(first)
+    for name in ("in", 1, 2, 3, "out"):
+        a, z, _, _ = net.places[name]
+        for at in rng.choice(np.flatnonzero(net.mask[0, a:z]) + a, 12):
+            moved = [first.copy(), first.copy()]
+            moved[0][1, at] += 1e-6
+            moved[1][1, at] -= 1e-6
+            assert grads[1, at] == pytest.approx((loss(moved[0])[0][1] - loss(moved[1])[0][1]) / 2e-6, rel=1e-4, abs=1e-8), (name, at)
+    assert (grads[:, net.mask[0] == 0] == 0).all()
     state, losses = net.start(), []
     for i in range(1500):
-        net.observe(state, np.sin(i / 7 + np.arange(16)))
-        losses.append(state["rmse"])
+        net.observe(state, np.sin(i / 7 + np.arange(16))[None])
+        losses.append(state["rmse"][0])
     assert np.mean(losses[-100:]) < 0.6 * np.mean(losses[1:101])
-    kernel, state = DualNets(), DualNets().start()
-    packets_ = [dict.fromkeys(kernel.reads, math.sin(i / 5)) | {"ts": i} for i in range(420)]
-    got = [kernel.step(state, p) for p in packets_]
-    assert all(0 <= g[0] <= 1 for g in got) and got[100][0] == 0 and not got[100][4]
-    # state that went through JSON goes on alike
-    again = kernels.restored(json.loads(json.dumps(kernels.plain(state))))
-    odd = dict.fromkeys(kernel.reads, 9.0) | {"ts": 421}
-    assert kernel.step(again, odd) == kernel.step(state, odd) and kernel.step(state, odd | {"ts": 422})[2] >= 0
-    ahead, state = DepthAhead(), DepthAhead().start()
-    out = [ahead.step(state, dict.fromkeys(ahead.reads, 1.0) | {"formation": i // 300}) for i in range(600)]
-    assert out[0] == (1.0, False) and out[-1][1] and 0 <= out[-1][0] <= 1
+
+
+def columns_of(kernel, rng, wells):
+    return {c: (rng.random(wells) < 0.1 if c in ("advised", "locks") else rng.choice(["Mechanical", "Hydraulics", "None"], wells) if c == "category" else rng.normal(50, 5, wells)) for c in kernel.reads}
+
+
+def test_wells_in_step_are_wells_alone():
+    """Wells of other lengths, one of which forgets in between, give what each gives alone; a state that went through JSON goes on alike."""
+    kernel, rng = Together(Intervals(), TacticalNets()), np.random.default_rng(1)
+    ahead = kernel.kernels[1].ahead
+    lengths = [340, 330, 330, 20]
+    steps = [columns_of(kernel, rng, sum(n > i for n in lengths)) for i in range(max(lengths))]
+    state, together = kernel.start(len(lengths)), []
+    for i, x in enumerate(steps):
+        together.append(kernel.step(state, x))
+        if i == 100:
+            ahead.forget(state["TacticalNets"]["ahead"], np.array([1]))
+    for well, n in enumerate(lengths):
+        alone = kernel.start()
+        for i in range(n):
+            out = kernel.step(alone, {c: v[well : well + 1] for c, v in steps[i].items()})
+            if i == 100 and well == 1:
+                ahead.forget(alone["TacticalNets"]["ahead"], np.array([0]))
+            if i == 200:
+                alone = kernels.restored(json.loads(json.dumps(kernels.plain(alone))))
+            for name, values in out.items():
+                assert np.array_equal(np.asarray(values[0], object), np.asarray(together[i][name][well], object)) or np.allclose(values[0], together[i][name][well], rtol=1e-9, atol=1e-12), (well, i, name)
+    last = together[320]
+    assert last["net_calibrated"].all() and (last["net_score"] > 0).all() and not together[250]["net_calibrated"].any()
+
+
+def test_intervals_equal_one_metric_after_the_other():
+    kernel, rng = Intervals(window=40), np.random.default_rng(2)
+    state = kernel.start(3)
+    plain = [{m: (c := kernels.Conformal(m, 40, least=least)) and (c, c.start()) for m, least in kernel.LEAST.items()} for _ in range(3)]
+    for i in range(120):
+        x = {m: np.round(rng.normal(10, 3, 3)) for m in kernel.METRICS} | {"category": ["Mechanical", "None", "Hydraulics"], "locks": np.array([i == 70, False, False])}
+        got = kernel.step(state, x)
+        for w in range(3):
+            if i == 70 and w == 0:
+                plain[w] = {m: (c, c.start()) for m, (c, _) in plain[w].items()}
+            out = {m: c.step(s, {m: x[m][w]})[2] for m, (c, s) in plain[w].items()}
+            steady = len(plain[w]["mse"][1]["values"]) >= 20
+            assert got["outliers"][w] == sum(out.values()) and got["steady"][w] == steady
+            names = kernel.TRIGGERS.get(x["category"][w])
+            assert got["outlier"][w] == (any(out[m] for m in names) if steady and names else None)
+
+
+def test_regimes_need_four_distinct_points():
+    """The published cases: three points and a repeat do not suffice, the fourth gives its own place, near points join and pull."""
+    clusters = Clusters()
+    s = clusters.start()
+    for i in (0, 1, 2, 2, 0):
+        assert clusters.assign(s, np.eye(8)[i][None]).tolist() == [0]
+    assert clusters.assign(s, np.eye(8)[3][None]).tolist() == [3]
+    near = np.eye(8)[1][None] * 0.9
+    assert clusters.assign(s, near).tolist() == [1] and s["centres"][0, 1, 1] == pytest.approx(1 - 0.01 * 0.1)
+
+
+def test_transitions_fire_after_five_and_reset():
+    """The published cases: two features never fire, three for five packets do once, an advisory holds back, a calm packet begins anew."""
+    t = Transitions()
+    sigmas = lambda n: np.array([[3.0] * n + [0.5] * (16 - n)])
+    run = lambda s, n, times, advised=False: [bool(t.check(s, sigmas(n), np.array([advised]), np.array([True]))[0]) for _ in range(times)]
+    assert not any(run(t.start(), 2, 10))
+    s = t.start()
+    assert run(s, 3, 10) == [False] * 4 + [True] + [False] * 4 + [True]
+    s = t.start()
+    assert not any(run(s, 4, 10, advised=True)) and run(s, 4, 1) == [True]
+    s = t.start()
+    assert not any(run(s, 5, 4) + run(s, 0, 1) + run(s, 5, 4))
+
+
+def test_a_transition_makes_the_depth_ahead_net_forget():
+    kernel, rng = TacticalNets(), np.random.default_rng(6)
+    state, fired = kernel.start(2), []
+    for i in range(420):
+        x = {c: (np.zeros(2, bool) if c == "advised" else rng.normal(50, 1, 2)) for c in kernel.reads}
+        if 400 <= i < 412:
+            x = {c: v + np.array([0.0, 60.0 * (i - 399)]) if c != "advised" else v for c, v in x.items()}
+        before = state["ahead"]["kept"].copy()
+        out = kernel.step(state, x)
+        fired.append(out["transition"].tolist())
+        for w in (0, 1):
+            assert state["ahead"]["kept"][w] == (0 if out["transition"][w] else min(before[w] + 1, 6))
+    assert any(f[1] for f in fired[400:]) and not any(f[0] for f in fired)
 
 
 def test_one_pass_equals_the_parts(spark):
-    """A chain of kernels gives what its parts give one after the other."""
-    rng = np.random.default_rng(4)
-    names = sorted({*kernels.Bundle().reads, *DualNets().reads, *kernels.TicketGate().reads} - {"category", "state", "rule", "severity", "ts", "outlier", "net_ok"})
-    rows = [(w, i, i, "Drilling", "torque", "Mechanical", "High", *rng.normal(50, 5, len(names)).tolist()) for w in (1, 2) for i in range(340)]
-    df = packets(spark, rows, "well_id long, seq long, ts long, state string, rule string, category string, severity string, " + ", ".join(f"{n} double" for n in names))
-    chain = kernels.Chain(kernels.Bundle(), DualNets(), kernels.TicketGate())
-    got = {(r.well_id, r.seq): (r.outliers, r.outlier, r.net_score, r.gate) for r in kernels.apply(df, chain).collect()}
-    for w in (1, 2):
-        parts = [kernels.Bundle(), DualNets(), kernels.TicketGate()]
-        states = [k.start() for k in parts]
+    """Lock step over tasks and batches gives what each well gives alone, idle packets in between included."""
+    rng, kernel = np.random.default_rng(4), Together(Intervals(), TacticalNets())
+    names = sorted(set(kernel.reads) - {"category", "locks", "advised"})
+    lengths = {1: 400, 2: 400, 3: 30, 4: 1, 5: 333}
+    rows = [(w, i, i, "Drilling" if rng.random() < 0.8 else "Idle", "Mechanical", False, False, *rng.normal(50, 5, len(names)).tolist()) for w, n in lengths.items() for i in range(n)] + [(6, 0, 0, "Idle", "None", False, False, *[0.0] * len(names))]
+    df = packets(spark, rows, "well_id long, seq long, ts long, state string, category string, locks boolean, advised boolean, " + ", ".join(f"{n} double" for n in names))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = lockstep.apply(df.repartition(3), kernel, F.col("state") == "Drilling", keep=("state",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.well_id, r.seq): r for r in found}
+    assert len(found) == len(rows)
+    for w in (*lengths, 6):
+        state = kernel.start()
         for r in df.filter(F.col("well_id") == w).orderBy("seq").collect():
-            x = r.asDict()
-            for k, s in zip(parts, states, strict=True):
-                x |= dict(zip(kernels.names_of(k.schema), k.step(s, x), strict=True))
-            assert got[w, r.seq] == (x["outliers"], x["outlier"], x["net_score"], x["gate"])
+            if r.state != "Drilling":
+                assert got[w, r.seq].net_score is None and got[w, r.seq].outliers is None
+                continue
+            x = kernel.step(state, {c: np.array([r[c]]) for c in kernel.reads})
+            assert got[w, r.seq].outliers == x["outliers"][0] and got[w, r.seq].regime == x["regime"][0]
+            assert got[w, r.seq].net_score == pytest.approx(x["net_score"][0], rel=1e-9)
+
+
+def test_modes_lock_at_the_hundredth_clean_packet(spark):
+    """A first block with too many strays in every sensor locks nothing; packets that do not drill teach nothing; own thresholds hold from the lock on."""
+    rng = np.random.default_rng(7)
+    rows, n = [], 0
+    for i in range(420):
+        state = "Idle" if i % 4 == 3 else "Drilling"
+        n += state == "Drilling"
+        dirty = n <= 100 and n > 20 and n % 10 == 0
+        rows.append((1, i, i, state, *[float(rng.normal(100, 1) + (1e4 * n if dirty else 0)) for _ in modes.SENSORS], float("nan") if i == 300 else 1.0))
+    rows += [(2, i, i, "Drilling", *[100.0 + i % 3 for _ in modes.SENSORS], 1.0) for i in range(99)]
+    df = packets(spark, rows, "well_id long, ts long, seq long, state string, " + ", ".join(f"{s} double" for s in modes.SENSORS) + ", odd double")
+    got = {r.sensor: r for r in modes.learned(df).collect()}
+    assert set(got) == set(modes.SENSORS) and {r.well_id for r in got.values()} == {1} and {r.locked_after for r in got.values()} == {200}
+    want = [r[4] for r in rows if r[0] == 1 and r[3] == "Drilling"][100:200]
+    assert got["mse"].mean == pytest.approx(np.mean(want)) and got["mse"]["std"] == pytest.approx(np.std(want, ddof=1))
+
 
 
 def test_report_parsing(spark):
