@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mudline.llm.batches import gather_spans
 from mudline.llm.shared import written
 
 TREES = 96
@@ -123,24 +124,38 @@ class Forest:
                     hit[self.order[t, a:z]] = True
             yield np.flatnonzero(hit)
 
+    def members(self, entries: np.ndarray) -> np.ndarray:
+        """Places in ``ids`` of the ids of ``entries``."""
+        return gather_spans(self.first[entries], self.first[entries + 1] - self.first[entries])
+
+    def best(self, near: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, float]:
+        """Entries that hold the best k + 1 *different* ids (the query's own may be one), and the least cosine among them; -1 where there are no more.
+
+        An id with many near vectors has an entry for each, so the cut widens until
+        enough ids are there.
+        """
+        n = self.k + 1
+        while n < len(near):
+            least = float(np.partition(rough, -n)[-n])
+            there = near[rough >= least - 1e-5]
+            if len(np.unique(self.ids[self.members(there)])) > self.k:
+                return there, least
+            n *= 2
+        return near, -1.0
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         """The best ids and scores of each query, best first, ties to the smaller id; and the number of entries measured."""
         norms = np.sqrt((queries * queries).sum(1))
         depth = self.descend(codes)
         kth = np.full(len(queries), -1.0)
         for i, near in enumerate(self.under(codes, depth)):
-            rough = self.unit[near] @ (queries[i] / norms[i]).astype(np.float32)
-            # the query itself may be the nearest, so one more
-            if len(near) > self.k:
-                kth[i] = np.partition(rough, -self.k - 1)[-self.k - 1]
+            kth[i] = self.best(near, self.unit[near] @ (queries[i] / norms[i]).astype(np.float32))[1]
         out, measured = [], 0
         for i, near in enumerate(self.under(codes, np.minimum(depth, self.enough_bits(kth)))):
             measured += len(near)
-            rough = self.unit[near] @ (queries[i] / norms[i]).astype(np.float32)
-            if len(near) > self.k + 1:
-                near = near[rough >= np.partition(rough, -self.k - 1)[-self.k - 1] - 1e-5]
+            near, _ = self.best(near, self.unit[near] @ (queries[i] / norms[i]).astype(np.float32))
             exact = (self.vectors[near] * queries[i]).sum(1) / (self.norms[near] * norms[i])
-            members = np.concatenate([np.arange(self.first[n], self.first[n + 1]) for n in near]) if len(near) else np.zeros(0, np.int64)
+            members = self.members(near)
             scores = np.repeat(exact, self.first[near + 1] - self.first[near])
             ids = self.ids[members]
             other = ids != query_ids[i]
@@ -190,16 +205,17 @@ def search(index: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     dim = lengths[0].n
     rows = rows.filter(F.size("vector") == dim)
     asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    shards = written(packed(rows, shard, "index"), "shards")
+    # numbered once, in the written table: two shards that begin alike stay two
+    shards = written(packed(rows, shard, "index").select(F.monotonically_increasing_id().alias("shard"), "*"), "shards")
     several = -(-asked.count() // block)
     blocks = written(packed(asked.repartition(max(several, 1)), block, "query"), "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals, forest, of = planes(dim), None, None
         for b in batches:
-            for shard_ids, shard_vectors, query_ids, query_vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if of != (shard_ids[:64], len(shard_ids), shard_vectors[:512]):
-                    of = (shard_ids[:64], len(shard_ids), shard_vectors[:512])
+            for number, shard_ids, shard_vectors, query_ids, query_vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of != number:
+                    of = number
                     forest = Forest(np.frombuffer(shard_ids, "<i8"), np.frombuffer(shard_vectors, "<f8").reshape(-1, dim), normals, k)
                 ids, queries = np.frombuffer(query_ids, "<i8"), np.frombuffer(query_vectors, "<f8").reshape(-1, dim)
                 codes = strings((queries / np.sqrt((queries * queries).sum(1))[:, None]).astype(np.float32), normals)

@@ -30,6 +30,15 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 128 << 20) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, or more where the planner expects more than ``task_bytes`` in each.
+
+    The planner knows the size of what is read from files; of other sources it expects about 2**63 bytes, which says nothing.
+    """
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // task_bytes) if expected < 1 << 60 else 1)
+
+
 def written(df: DataFrame, kind: str = "step") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lost executors cost no recomputation."""
     return written_at(df, new_dir(df.sparkSession, kind))

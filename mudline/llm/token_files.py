@@ -15,7 +15,8 @@ under names that depend on the partition only, first under a temporary name and
 then renamed, so a repeated or speculative task leaves the same files.
 
 Defined results: null and empty texts hold the end id only; rows that repeat an id
-stand side by side, in order of their texts' hashes, and each keeps its place; a
+stand side by side, in order of their texts' hashes, and each keeps its place,
+however many are equal; a
 very long text is one row, in one file; ids that are no integers are an error;
 other columns are ignored; an empty table writes no files and reads back empty.
 ``folder`` is one that pyarrow opens, as the shared folder of a cluster is.
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from mudline.llm import bpe
 from mudline.llm.batches import by_bytes, gather_spans
+from mudline.llm.shared import tasks_for
 
 MAGIC = b"S8BTOK1\n"
 BLOCK = 256
@@ -198,10 +200,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("token files hold integer ids")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("place"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # by the text's hash too, so that an id that many texts share is dealt to many tasks
-    ordered = rows.repartitionByRange(parts, "id", "place").sortWithinPartitions("id", "place").select("id", "text")
+    # by the text's hash too, so that an id that many texts share is dealt to many tasks, and by a number, so that equal rows are
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("place"), F.monotonically_increasing_id().alias("repeat"))
+    ordered = rows.repartitionByRange(tasks_for(docs), "id", "place", "repeat").sortWithinPartitions("id", "place").select("id", "text")
     totals = ordered.mapInArrow(run, "partition long, files long, n_ids long").collect()
     return docs.sparkSession.createDataFrame([tuple(r) for r in totals], "partition long, files long, n_ids long")
 

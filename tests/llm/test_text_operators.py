@@ -365,3 +365,14 @@ def test_quality_classifier(spark):
     assert quality_classifier.learn(docs, labels.limit(0), F.lit(True)) is None
     assert {r.score for r in quality_classifier.score(docs, None).collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), model).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_files(spark, tmp_path):
+    """A third of the rows are one row, and another third have neither id nor text."""
+    rows = [(5, "one text")] * 400 + [(None, None)] * 400 + [(i, f"text {i}") for i in range(100, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    totals = token_files.write_token_files(docs, str(tmp_path))
+    assert max(r.n_ids for r in totals.collect()) < 0.5 * sum(r.n_ids for r in totals.collect())
+    got = token_files.read_token_files(spark, str(tmp_path), totals).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [sum(g.n_tokens for g in got[:k]) for k in range(len(got))]
