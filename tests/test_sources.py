@@ -82,7 +82,7 @@ def test_live_feed_connects_again(spark, tmp_path):
 
     threading.Thread(target=serve, daemon=True).start()
     feed.register(spark)
-    stream = spark.readStream.format("level0").options(host="127.0.0.1", port=server.getsockname()[1], delay=0.2, attempts=3, timeout=5).load()
+    stream = spark.readStream.format("level0").options(host="127.0.0.1", port=server.getsockname()[1], delay=0.2, attempts=3, timeout=5, spool=str(tmp_path / "spool")).load()
     q = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
     until = time.time() + 60
     while time.time() < until and spark.table("feed").count() < 2:
@@ -92,6 +92,64 @@ def test_live_feed_connects_again(spark, tmp_path):
     assert got == [(1000.0, 50.5, 0.0, 0.0), (1001.0, 0.0, 0.0, 0.0)]
 
 
+def test_live_feed_starts_again(spark, tmp_path):
+    """Frames of three runs, one of which is planned again because its commit is lost: none is lost, none is there twice."""
+    server, sent = socket.create_server(("127.0.0.1", 0)), [0]
+
+    def serve():
+        while True:
+            try:
+                link, _ = server.accept()
+            except OSError:
+                return
+            with link:
+                for _ in range(5):
+                    link.sendall(f"&&\r\n0108{1000 + sent[0]}\r\n!!\r\n".encode())
+                    sent[0] += 1
+                time.sleep(3)
+
+    threading.Thread(target=serve, daemon=True).start()
+    feed.register(spark)
+
+    def run(until):
+        stream = spark.readStream.format("level0").options(host="127.0.0.1", port=server.getsockname()[1], delay=0.2, attempts=1, stale=2, spool=str(tmp_path / "spool")).load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+        ends = time.time() + 60
+        try:
+            while time.time() < ends and sum(p.numInputRows for p in q.recentProgress) < until:
+                time.sleep(0.2)
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    run(5)
+    for n in (1, 2):
+        last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+        if n == 2:
+            last.unlink()
+            (tmp_path / "cp" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+        run(5)
+    server.close()
+    got = sorted(r.bit_depth for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert len(got) >= 15 and got == [1000.0 + i for i in range(len(got))]
+    assert len(list((tmp_path / "spool").glob("*.frames"))) <= 3
+
+
+def test_spool_numbers_go_on(tmp_path):
+    spool = feed.Spool(str(tmp_path))
+    spool.put(0, [(1, 2.0), (2, 3.0)])
+    spool.put(2, [(3, 4.0)])
+    reader = feed.FeedReader({"host": "", "port": "1", "spool": str(tmp_path)})
+    frames = lambda a, z: [r for p in reader.partitions({"frames": a}, {"frames": z}) for r in reader.read(p)]
+    assert frames(0, 3) == [(1, 2.0), (2, 3.0), (3, 4.0)] and frames(1, 2) == [(2, 3.0)] and frames(3, 3) == []
+    reader.commit({"frames": 3})
+    assert reader.initialOffset() == {"frames": 2} and frames(2, 3) == [(3, 4.0)]
+    with pytest.raises(RuntimeError, match="no longer"):
+        frames(0, 3)
+    with pytest.raises(ValueError, match="spool"):
+        feed.FeedReader({"host": "", "port": "1"})
+
+
 def test_mixed_folder_and_dispatch(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
