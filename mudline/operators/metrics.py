@@ -8,26 +8,37 @@ from pyspark.sql import functions as F
 from mudline.config import DEFAULT, Config
 from mudline.functions import anomalies, physics, states
 from mudline.functions.frames import before
+from mudline.operators.scan import Scan
 
 
 def with_state(packets: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return packets.withColumn("state", states.rig_state(*[F.col(x) for x in ("rpm", "wob", "flow_in", "hook_load", "rop", "bit_depth", "hole_depth")], c))
 
 
-def with_previous(packets: DataFrame) -> DataFrame:
-    """Columns of the last active packet before, and the change of pit volume against the last positive one."""
+def with_previous(packets: DataFrame, span: int | None = None) -> DataFrame:
+    """Columns of the last active packet before, and the change of pit volume against the last positive one.
+
+    ``span``: wells too long for one task are cut into chunks of so many seconds (``scan``).
+    """
     active = F.col("state").isin(*states.ACTIVE)
     kept = F.struct(*(F.col(x) for x in ("torque", "spp", "ts", "pit_volume", "wob", "rop")))
-    last = lambda cond, x: F.last(F.when(cond, x), ignorenulls=True).over(before())
-    out = packets.withColumns({"last_active": last(active, kept), "last_pit": last(F.col("pit_volume") > 0, F.col("pit_volume"))})
+    if span:
+        out = Scan(span=span).last("last_active", kept, where=active).last("last_pit", F.col("pit_volume"), where=F.col("pit_volume") > 0).over(packets)
+    else:
+        last = lambda cond, x: F.last(F.when(cond, x), ignorenulls=True).over(before())
+        out = packets.withColumns({"last_active": last(active, kept), "last_pit": last(F.col("pit_volume") > 0, F.col("pit_volume"))})
     out = out.withColumns({f"prev_{x}": F.col(f"last_active.{x}") for x in ("torque", "spp", "ts", "pit_volume", "wob", "rop")})
     out = out.withColumn("pit_change", F.coalesce(F.when(F.col("pit_volume") > 0, F.col("pit_volume") - F.col("last_pit")), F.lit(0.0)))
     return out.drop("last_active", "last_pit")
 
 
-def drilling_metrics(packets: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Packets with state, energy, exponents, balances, deltas and the anomaly cascade."""
-    p = with_previous(with_state(packets, c))
+def drilling_metrics(packets: DataFrame, c: Config = DEFAULT, span: int | None = None) -> DataFrame:
+    """Packets with state, energy, exponents, balances, deltas and the anomaly cascade; ``span`` as in ``with_previous``."""
+    return derived(with_previous(with_state(packets, c), span), c)
+
+
+def derived(p: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """What follows from a packet and the packet before alone: no window, so streams take it too."""
     x = {n: F.col(n) for n in p.columns}
     cutting = F.col("state").isin("Drilling", "Reaming")
     elapsed = x["ts"] - x["prev_ts"]

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from mudline.functions import anomalies, states, tickets
 from mudline.functions.frames import last_rows
-from mudline.operators import joins, kernels, lockstep, modes, windows
+from mudline.operators import joins, kernels, lockstep, modes, rig_events, windows
 from mudline.operators.intervals import Intervals, Together
-from mudline.operators.metrics import OVERRIDES, STATE_SQL, drilling_metrics, with_state
+from mudline.operators.metrics import METRICS_SQL, OVERRIDES, STATE_SQL, drilling_metrics, with_state
 from mudline.operators.nets import TacticalNets
 from mudline.plans.join_queries import FORMATION_SQL, formations, minutes_to, with_neighbours
 from mudline.plans.physics_queries import MET, PARTS, REC, REC_MET, TEL, r
 from mudline.registry import query
-from mudline.telemetry import telemetry
+from mudline.streaming import processor
+from mudline.telemetry import RUNS_SQL, runs, telemetry
 
 #: Packets of ``tel`` or ``met`` numbered in order, to walk along.
 WALK = ", ix AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM {0})"
+RUN_REC = f"WITH RECURSIVE {RUNS_SQL} "
 NEXT = "JOIN ix x ON x.well_id = s.well_id AND x.i = s.i + 1"
 
 JUMPY = f""", jm AS (SELECT seq, well_id, ts, {STATE_SQL} AS state, bit_depth + CASE k WHEN 5 THEN 400 WHEN 6 THEN -80 ELSE 0 END AS d FROM tel)""" + WALK.format("jm")
@@ -235,16 +237,49 @@ def recommendation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 CV_SQL = ", cv AS (SELECT *, CASE WHEN count(*) OVER w >= 5 AND avg(torque) OVER w > 0 THEN stddev_pop(torque) OVER w / avg(torque) OVER w ELSE 0 END AS cv FROM tel WINDOW w AS (PARTITION BY well_id ORDER BY ts, seq ROWS 59 PRECEDING))"
 
 
-@query(REC + CV_SQL + WALK.format("cv") + f""", st AS (SELECT well_id, i, seq, CASE WHEN cv > 0.15 THEN ts END AS began, CASE WHEN cv > 0.15 THEN cv END AS base, CASE WHEN cv > 0.15 THEN 'advise' END AS damping FROM ix WHERE i = 1
+@query(RUN_REC + CV_SQL + WALK.format("cv") + f""", st AS (SELECT well_id, i, seq, CASE WHEN cv > 0.15 THEN ts END AS began, CASE WHEN cv > 0.15 THEN cv END AS base, CASE WHEN cv > 0.15 THEN 'advise' END AS damping FROM ix WHERE i = 1
   UNION ALL SELECT well_id, i, seq, CASE WHEN damping = 'advise' THEN ts WHEN damping = 'watch' THEN began END, CASE WHEN damping = 'advise' THEN cv WHEN damping = 'watch' THEN base END, damping FROM (
     SELECT x.well_id, x.i, x.seq, x.ts, x.cv, s.began, s.base, CASE WHEN s.began IS NULL THEN CASE WHEN x.cv > 0.15 THEN 'advise' END WHEN (x.cv - s.base) / s.base <= -0.2 THEN 'success' WHEN (x.cv - s.base) / s.base >= 0.15 THEN 'retract' WHEN x.ts - s.began >= 120 THEN 'escalate' ELSE 'watch' END AS damping FROM st s {NEXT}) a)
   SELECT seq, well_id, damping FROM st WHERE damping IS NOT NULL""")
 def damping_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Follows the variation of torque over the last 60 packets."""
-    t = telemetry(spark, sf_dir).withColumn("cv", windows.variation(F.col("torque"), last_rows(60), 5))
+    """Follows the variation of torque over the last 60 packets of a shift."""
+    t = runs(spark, sf_dir).withColumn("cv", windows.variation(F.col("torque"), last_rows(60), 5))
     return kernels.apply(t, kernels.DampingMonitor()).filter("damping IS NOT NULL").select("seq", "well_id", "damping")
 
 
+#: Events of shifts: tickets by the gate's walk, criticals and recommendations by walks over their own rows, damping and summaries with what is due before each packet.
+EVENTS_SQL = f""", gm AS (SELECT *, severity AS word FROM met),
+  gt AS (SELECT seq, well_id, ts, bit_depth, state, rule, category, false AS learning, true AS net_ok, NULL::BOOLEAN AS outlier, sv, sv = 'Critical' AS critical FROM (SELECT *, CASE category WHEN 'WellControl' THEN CASE WHEN abs(flow_balance) > 10 OR abs(pit_rate) > 15 THEN 'Critical' ELSE 'High' END WHEN 'Hydraulics' THEN CASE WHEN ecd_margin < 0.1 OR abs(spp_delta) > 200 THEN 'High' ELSE 'Medium' END
+      WHEN 'Mechanical' THEN CASE WHEN torque_delta > 0.25 THEN 'High' ELSE 'Medium' END WHEN 'DrillingEfficiency' THEN CASE WHEN mse_efficiency < 50 THEN 'Medium' ELSE 'Low' END ELSE 'Low' END AS sv FROM gm) q)""" + GATE_SQL + CV_SQL.replace(", cv AS", ", vr AS").replace("FROM tel", "FROM met") + f""",
+  vx AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM vr),
+  cr AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS c FROM gm WHERE word = 'CRITICAL'),
+  cw AS (SELECT well_id, c, ts AS since, true AS free, category, bit_depth, rule, ts FROM cr WHERE c = 1 UNION ALL SELECT x.well_id, x.c, CASE WHEN x.ts - w.since >= 30 THEN x.ts ELSE w.since END, x.ts - w.since >= 30, x.category, x.bit_depth, x.rule, x.ts FROM cw w JOIN cr x ON x.well_id = w.well_id AND x.c = w.c + 1),
+  rp AS (SELECT well_id, i, ts, unnest(['wob', 'rpm', 'flow_in']) AS name, unnest([wob, rpm, flow_in]) AS v FROM vx),
+  rw AS (SELECT well_id, name, i, ts, v, ts AS since, v AS held, true AS free FROM rp WHERE i = 1 UNION ALL SELECT well_id, name, i, ts, v, CASE WHEN free THEN ts ELSE since END, CASE WHEN free THEN v ELSE held END, free FROM (
+    SELECT x.*, w.since, w.held, x.ts - w.since >= 300 OR abs(x.v - w.held) > 0.1 * greatest(abs(w.held), 1e-6) AS free FROM rw w JOIN rp x ON x.well_id = w.well_id AND x.name = w.name AND x.i = w.i + 1) a),
+  dw AS (SELECT well_id, i, ts, cv, CASE WHEN cv > 0.15 THEN ts END AS began, CASE WHEN cv > 0.15 THEN cv END AS base, CASE WHEN cv > 0.15 THEN 'advise' END AS said, NULL::BIGINT AS late_at, NULL::DOUBLE AS late_cv FROM vx WHERE i = 1
+    UNION ALL SELECT well_id, i, ts, cv, CASE WHEN said = 'advise' THEN ts WHEN said = 'watch' THEN b0 END, CASE WHEN said = 'advise' THEN cv WHEN said = 'watch' THEN c0 END, said, late_at, late_cv FROM (
+      SELECT *, CASE WHEN b0 IS NULL THEN CASE WHEN cv > 0.15 THEN 'advise' END WHEN (cv - c0) / c0 <= -0.2 THEN 'success' WHEN (cv - c0) / c0 >= 0.15 THEN 'retract' WHEN ts - b0 >= 120 THEN 'escalate' ELSE 'watch' END AS said FROM (
+        SELECT x.well_id, x.i, x.ts, x.cv, CASE WHEN w.began + 120 < x.ts THEN NULL ELSE w.began END AS b0, w.base AS c0, CASE WHEN w.began + 120 < x.ts THEN w.began + 120 END AS late_at, CASE WHEN w.began + 120 < x.ts THEN w.base END AS late_cv FROM dw w JOIN vx x ON x.well_id = w.well_id AND x.i = w.i + 1) a) b),
+  sw AS (SELECT well_id, i, ts AS since, 1 AS n, rop AS sr, mse AS sm, bit_depth AS top, (SELECT count(*) FROM st g WHERE g.well_id = vx.well_id AND g.i = 1 AND g.gate = 'ticket') AS tk, NULL::BIGINT AS due_at, NULL::BIGINT AS pn, NULL::DOUBLE AS pr, NULL::DOUBLE AS pm, NULL::DOUBLE AS pt, NULL::BIGINT AS pk FROM vx WHERE i = 1
+    UNION ALL SELECT well_id, i, CASE WHEN NOT over THEN since WHEN ts > since + 1200 THEN ts ELSE since + 600 END, CASE WHEN over THEN 1 ELSE n + 1 END, CASE WHEN over THEN rop ELSE sr + rop END, CASE WHEN over THEN mse ELSE sm + mse END, CASE WHEN over THEN bit_depth ELSE greatest(top, bit_depth) END, CASE WHEN over THEN hit ELSE tk + hit END,
+      CASE WHEN over THEN since + 600 END, n, sr, sm, top, tk FROM (SELECT x.well_id, x.i, x.ts, x.rop, x.mse, x.bit_depth, (g.gate = 'ticket')::INT AS hit, w.since, w.n, w.sr, w.sm, w.top, w.tk, w.since + 600 < x.ts AS over FROM sw w JOIN vx x ON x.well_id = w.well_id AND x.i = w.i + 1 JOIN st g ON g.well_id = x.well_id AND g.i = x.i) a)
+  SELECT g.well_id, x.ts AS "at", 'ticket' AS kind, x.category AS name, round(x.bit_depth, 5) AS value, x.sv AS detail FROM st g JOIN ix x ON x.well_id = g.well_id AND x.i = g.i WHERE g.gate = 'ticket'
+  UNION ALL SELECT well_id, ts, 'critical', category, round(bit_depth, 5), rule FROM cw WHERE free
+  UNION ALL SELECT well_id, ts, 'recommendation', name, round(v, 5), '' FROM rw WHERE free
+  UNION ALL SELECT well_id, ts, 'damping', said, round(cv, 5), '' FROM dw WHERE said <> 'watch'
+  UNION ALL SELECT well_id, late_at, 'damping', 'escalate', round(late_cv, 5), '' FROM dw WHERE late_at IS NOT NULL
+  UNION ALL SELECT well_id, due_at, 'summary', 'rop', round(pr / pn, 5), pn || ' packets, ' || pk || ' tickets, depth ' || printf('%.1f', pt) FROM sw WHERE due_at IS NOT NULL"""
+
+
+@query(RUN_REC.rstrip() + ", " + METRICS_SQL + EVENTS_SQL)
+def shift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets, criticals, damping, limited recommendations and summaries of shifts, as the streaming processor gives them."""
+    m = drilling_metrics(runs(spark, sf_dir)).withColumn("cv", windows.variation(F.col("torque"), last_rows(60), 5))
+    e = rig_events.events(processor.judged(m))
+    return e.select("well_id", "at", "kind", "name", r(F.col("value"), "value", 5), "detail")
+
+
 OPERATION_SQL = """CASE WHEN flow_in < 50 AND rpm < 10 THEN 'Static' WHEN flow_in >= 50 AND rpm < 10 AND wob < 5 THEN 'Circulating' WHEN rpm >= 10 OR wob >= 5 THEN 'ProductionDrilling' ELSE 'Static' END"""
 
 
