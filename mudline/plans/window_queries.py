@@ -182,7 +182,7 @@ ONE_WELL_SQL = TELEMETRY_SQL.replace("user_id // 10 AS well_id", "CAST(0 AS BIGI
 
 @query(f"WITH RECURSIVE {ONE_WELL_SQL}, {METRICS_SQL}" + """, ix AS (SELECT *, row_number() OVER w AS i, count(rop) OVER u AS n, avg(rop) OVER u AS mean, stddev_samp(rop) OVER u AS std FROM met WINDOW w AS (ORDER BY ts, seq), u AS (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
   em AS (SELECT seq, i, spp AS ema FROM ix WHERE i = 1 UNION ALL SELECT f.seq, f.i, CASE WHEN f.spp > 0 THEN e.ema + CASE WHEN f.i <= 10 THEN 0.5 ELSE 0.1 END * (f.spp - e.ema) ELSE e.ema END FROM em e JOIN ix f ON f.i = e.i + 1)
-  SELECT x.seq, prev_ts, round(torque_delta, 6) AS torque_delta, round(pit_change, 6) AS pit_change, rule, n, round(mean + 1.234e-7, 6) AS mean, round(coalesce(std, 0), 5) AS std, round(ema, 4) AS ema FROM ix x JOIN em USING (i)""")
+  SELECT x.seq, prev_ts, round(torque_delta, 6) AS torque_delta, round(pit_change, 6) AS pit_change, rule, n, round(mean + 1.234e-7, 6) AS mean, round(coalesce(std, 0), 5) AS std, round(ema + 1.234e-6, 4) AS ema FROM ix x JOIN em USING (i)""")
 def one_long_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All packets as one well, cut into chunks of six hours: cascade, running moments and the moving baseline by scans, in as many tasks as there are chunks."""
     span = 21_600
@@ -190,4 +190,4 @@ def one_long_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scan.Scan(span=span).moments("m", F.col("rop")).over(m.select("well_id", "ts", "seq", "prev_ts", "torque_delta", "pit_change", "rule", "rop", "spp"))
     e = scan.moving_mean(s, "spp", span=span)
     std = F.when(F.col("m.n") > 1, F.sqrt(F.col("m.m2") / (F.col("m.n") - 1))).otherwise(0.0)
-    return e.select("seq", "prev_ts", r(F.col("torque_delta"), "torque_delta"), r(F.col("pit_change"), "pit_change"), "rule", "m.n", r(F.col("m.mean") + 1.234e-7, "mean"), r(std, "std", 5), r(F.col("ema"), "ema", 4))  # the shift keeps halves from being rounded apart
+    return e.select("seq", "prev_ts", r(F.col("torque_delta"), "torque_delta"), r(F.col("pit_change"), "pit_change"), "rule", "m.n", r(F.col("m.mean") + 1.234e-7, "mean"), r(std, "std", 5), r(F.col("ema") + 1.234e-6, "ema", 4))  # the shift keeps halves from being rounded apart
