@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mudline.functions.frames import last_rows
 from mudline.functions.physics import clamp
-from mudline.operators import windows
+from mudline.operators import selection, windows
 
 WOB_BINS, RPM_BINS, BIN_ROWS = 8, 6, 10
 #: Weights of rate, efficiency and stability by campaign (fixed values).
@@ -51,9 +51,11 @@ def confidence(n: Column) -> Column:
     return F.when(n >= 1800, "High").when(n >= 900, "Medium").when(n >= 360, "Low").otherwise("Insufficient")
 
 
-def grid(rows: DataFrame, campaign: str = "Production") -> DataFrame:
+def grid(rows: DataFrame, campaign: str = "Production", few: int | None = None) -> DataFrame:
     """Bins of weight and speed per well with medians and scores; ``rows`` carry cv, deltas and efficiency.
 
+    ``few``: medians of groups over so many rows are selected by counting, so that no task holds a group.
+
     The range per well is a window over the partition that the medians shuffle by
     anyway; wells of under 1 klb or 5 rpm range and bins of under ``BIN_ROWS`` rows
     have none (see ``best_parameters``).
@@ -64,18 +66,26 @@ def grid(rows: DataFrame, campaign: str = "Production") -> DataFrame:
     binned = ranged.withColumn("bin", at("wob", "w0", "w1", WOB_BINS) * RPM_BINS + at("rpm", "r0", "r1", RPM_BINS))
     score = stability(*[F.col(c) for c in ("cv", "torque_delta", "mse_efficiency", "spp_delta")])
     wr, we, ws = CAMPAIGNS[campaign]
-    stats = binned.groupBy("well_id", "bin").agg(F.count("*").alias("n"), *medians(), F.avg(score).alias("stability")).filter(F.col("n") >= BIN_ROWS)
+    stats = with_medians(binned, ["well_id", "bin"], few, F.avg(score).alias("stability")).filter(F.col("n") >= BIN_ROWS)
     return stats.withColumn("score", wr * F.least(F.col("rop") / 100.0, F.lit(1.0)) + we * F.col("efficiency") / 100.0 + ws * F.col("stability"))
 
 
-def medians() -> list[Column]:
-    return [F.median("wob").alias("wob"), F.median("rpm").alias("rpm"), F.median("flow_in").alias("flow"), F.median("rop").alias("rop"), F.median("mse_efficiency").alias("efficiency")]
+#: Medians by name and the column they are of.
+MEDIANS = {"wob": "wob", "rpm": "rpm", "flow": "flow_in", "rop": "rop", "efficiency": "mse_efficiency"}
+
+
+def with_medians(rows: DataFrame, by: list[str], few: int | None, *more: Column) -> DataFrame:
+    """``n``, ``MEDIANS`` and ``more`` per group."""
+    if few is None:
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.median(c).alias(name) for name, c in MEDIANS.items()], *more)
+    middle = selection.medians(rows.select(*by, *[F.col(c).alias(name) for name, c in MEDIANS.items()]), by, list(MEDIANS), few)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *more).join(middle, by)
 
 
-def best_parameters(rows: DataFrame, campaign: str = "Production", least: int = 360) -> DataFrame:
-    """Each well's best bin; medians of all rows, score 0.5 and stability 1, where no bin is good; wells of under ``least`` rows have none."""
-    best = optimum(grid(rows, campaign)).select("well_id", F.struct("bins", "bin", "wob", "rpm", "flow", "rop", "efficiency", "stability", "score").alias("b"))
-    whole = rows.groupBy("well_id").agg(F.count("*").alias("n"), *medians()).filter(F.col("n") >= least)
+def best_parameters(rows: DataFrame, campaign: str = "Production", least: int = 360, few: int | None = None) -> DataFrame:
+    """Each well's best bin; medians of all rows, score 0.5 and stability 1, where no bin is good; wells of under ``least`` rows have none.  ``few`` as in ``grid``."""
+    best = optimum(grid(rows, campaign, few)).select("well_id", F.struct("bins", "bin", "wob", "rpm", "flow", "rop", "efficiency", "stability", "score").alias("b"))
+    whole = with_medians(rows, ["well_id"], few).filter(F.col("n") >= least)
     met = whole.join(best, "well_id", "left")
     pick = lambda c: F.coalesce(f"b.{c}", c).alias(c)
     return met.select("well_id", "n", F.coalesce("b.bins", F.lit(0)).alias("bins"), "b.bin", *[pick(c) for c in ("wob", "rpm", "flow", "rop", "efficiency")], F.coalesce("b.stability", F.lit(1.0)).alias("stability"), F.coalesce("b.score", F.lit(0.5)).alias("score"))

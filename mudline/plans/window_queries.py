@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mudline.functions.frames import last_rows, ordered
 from mudline.functions.physics import ratio
-from mudline.operators import baseline, scan, windows
+from mudline.operators import baseline, scan, selection, windows
 from mudline.operators.metrics import METRICS_SQL, drilling_metrics
 from mudline.plans.physics_queries import MET, REC, TEL, r
 from mudline.registry import query
@@ -191,3 +191,10 @@ def one_long_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scan.moving_mean(s, "spp", span=span)
     std = F.when(F.col("m.n") > 1, F.sqrt(F.col("m.m2") / (F.col("m.n") - 1))).otherwise(0.0)
     return e.select("seq", "prev_ts", r(F.col("torque_delta"), "torque_delta"), r(F.col("pit_change"), "pit_change"), "rule", "m.n", r(F.col("m.mean") + 1.234e-7, "mean"), r(std, "std", 5), r(F.col("ema") + 1.234e-6, "ema", 4))  # the shift keeps halves from being rounded apart
+
+
+@query(MET + "SELECT state, median(torque) AS torque, median(spp) AS spp, median(gas_units) AS gas_units, median(pit_change) AS pit_change, median(CASE WHEN mse > 0 THEN mse END) AS mse FROM met GROUP BY 1")
+def state_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of each rig state over all wells; states of over 500 packets by counting instead of holding their values."""
+    m = drilling_metrics(telemetry(spark, sf_dir)).withColumn("mse", F.when(F.col("mse") > 0, F.col("mse")))
+    return selection.medians(m, ["state"], ["torque", "spp", "gas_units", "pit_change", "mse"], few=500)
