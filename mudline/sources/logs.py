@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mudline.shared import checkpointed
 from mudline.sources.packets import complete, epoch, number
 
 #: Header tokens that mark the metric dialect (fixed values).
@@ -116,12 +117,36 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.count("*").alias("packets"), F.count_if((F.col("rpm") > 5) & (F.col("wob") > 1)).alias("drilling"), F.min("bit_depth").alias("depth_from"), F.max("bit_depth").alias("depth_to"), F.min("timestamp").alias("began"), F.max("timestamp").alias("ended"))
 
 
+#: Splits up to which their table is sent to every task.
+FEW_SPLITS = 100_000
+
+
 def read_xml_log(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``row``, ``mnemonic``, ``value`` of XML logs with a mnemonic list and data rows."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    names = F.split(F.regexp_extract("value", r"(?s)<mnemonicList>(.*?)</mnemonicList>", 1), ",")
-    rows = texts.select("file", names.alias("names"), F.posexplode(F.expr(r"regexp_extract_all(value, '(?s)<data>(.*?)</data>', 1)")).alias("row", "data"))
-    return rows.select("file", "row", F.explode(F.arrays_zip(F.col("names").alias("mnemonic"), F.split("data", ",").alias("value"))).alias("x")).select("file", "row", F.trim("x.mnemonic").alias("mnemonic"), "x.value").filter("mnemonic <> ''")
+    """``file``, ``row``, ``mnemonic``, ``value`` of XML logs with a mnemonic list and data rows.
+
+    The text reader ends its records at ``</data>``, so a file of any size is read in
+    byte ranges, each of which finds its next record by itself.  What the ranges of a
+    file must share comes as one small row a range: how many records it has, which
+    numbers the rows, and the mnemonic list, which stands before the first of them.
+    What follows the last ``</data>`` is no row.
+    """
+    text = spark.read.option("lineSep", "</data>").text(path)
+    records = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    listed = F.regexp_extract("value", r"(?s)<mnemonicList>(.*?)</mnemonicList>", 1)
+    has_list = F.col("value").contains("</mnemonicList>")
+    splits = records.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min_by(F.when(has_list, listed), F.when(has_list, F.col("id"))).alias("list"))
+    of_file = Window.partitionBy("file").orderBy("block")
+    upto = of_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = checkpointed(splits.select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(upto).alias("all"),
+        F.split(F.coalesce(F.first("list", ignorenulls=True).over(upto), F.lit("")), ",").alias("names"),
+    ))
+    few = numbered.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS
+    placed = records.join(F.broadcast(numbered) if few else numbered, ["file", "block"]).withColumn("place", F.col("id") - F.col("first") + F.col("before"))
+    data = F.regexp_extract("value", r"(?s)^.*?<data>(.*)$", 1)
+    rows = placed.filter((F.col("place") < F.col("all") - 1) & F.col("value").contains("<data>")).select("file", "place", "names", data.alias("data"))
+    pairs = rows.select("file", "place", F.explode(F.arrays_zip(F.col("names").alias("mnemonic"), F.split("data", ",").alias("value"))).alias("x"))
+    return pairs.select("file", F.col("place").cast("int").alias("row"), F.trim("x.mnemonic").alias("mnemonic"), "x.value").filter("mnemonic <> ''")
 
 
 def wide(xml: DataFrame, mnemonics: list[str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import socket
 import threading
 import time
@@ -67,6 +69,33 @@ def test_xml_log(spark, tmp_path):
     assert [(r.TIME, r.WOB) for r in got] == [("1", "20"), ("2", "")]
 
 
+def whole_text(path):
+    """Rows of a whole file at once, as the byte ranges must give them."""
+    text = path.read_text()
+    names = [n.strip() for n in re.search(r"(?s)<mnemonicList>(.*?)</mnemonicList>", text).group(1).split(",")]
+    return [(i, n, v) for i, row in enumerate(re.findall(r"(?s)<data>(.*?)</data>", text)) for n, v in itertools.zip_longest(names, row.split(",")) if n]
+
+
+@pytest.mark.parametrize("size", ["64", "1000", "1g"])
+def test_xml_logs_by_byte_ranges(spark, tmp_path, size):
+    """Ranges shorter than a row, than the head, and longer than a file; empty rows, line ends, a cut tail, two files."""
+    head = "<?xml version='1.0'?>\n<logs><log><logCurveInfo mnemonic='é'/>" * 9 + "<logData>\n<mnemonicList>TIME, WOB,,RPM</mnemonicList>\n"
+    for name, n in (("a", 300), ("b", 7), ("c", 0)):
+        rows = "".join(f"<data>{i},{'' if i % 5 == 0 else i * 7},x{',ü' * (i % 3)}</data>" + "\n" * (i % 4) for i in range(n))
+        (tmp_path / f"{name}.xml").write_text(head + rows + ("<data>9,9" if name == "b" else "</logData></log></logs>"))
+    keys = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = logs.read_xml_log(spark, str(tmp_path)).collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    for name in "abc":
+        mine = sorted((r.row, r.mnemonic, r.value) for r in got if r.file.endswith(f"{name}.xml"))
+        assert mine == sorted(whole_text(tmp_path / f"{name}.xml"))
+
+
 def test_live_feed_connects_again(spark, tmp_path):
     """Frames of two connections, cut across packets, with broken lines and an empty frame between."""
     server = socket.create_server(("127.0.0.1", 0))
