@@ -14,6 +14,7 @@ from mudline.functions.frames import so_far
 from mudline.functions import physics
 from mudline.functions.physics import ratio
 from mudline.operators.kernels import in_order, places
+from mudline.operators.versions import Store
 
 
 def long_form(rows: DataFrame, channels: list[str]) -> DataFrame:
@@ -84,14 +85,15 @@ def forced(base: DataFrame, least: int = 2) -> DataFrame:
 STATE_VERSION = 3
 
 
-def save(base: DataFrame, path: str) -> None:
-    """Baselines with their version, one table a save."""
-    base.withColumn("version", F.lit(STATE_VERSION)).write.mode("overwrite").parquet(path)
+def save(base: DataFrame, folder: str) -> int:
+    """Baselines as the next version of a store in ``folder``: there whole or not at all, the ones before stay readable."""
+    return Store(base.sparkSession, folder).commit({"baselines": base.withColumn("version", F.lit(STATE_VERSION))})
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Stored baselines; versions 2 and 3 are read, others are an error."""
-    rows = spark.read.parquet(path)
+def load(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """Stored baselines, the last ones by default, or those of a plain table; states of versions 2 and 3 are read, others are an error."""
+    stored = Store(spark, folder).read("baselines", version)
+    rows = spark.read.parquet(folder) if stored is None else stored
     if rows.filter(~F.col("version").isin(2, STATE_VERSION)).limit(1).count():
         raise ValueError("baselines of an unknown version")
     return (rows if "outliers" in rows.columns else rows.withColumn("outliers", F.lit(0).cast("long"))).drop("version")

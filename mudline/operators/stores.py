@@ -37,7 +37,3 @@ def tiers(rows: DataFrame, at: str, tie: str, now: Column, hot: int, max_age: in
     tier = F.when(F.col(at) < now - max_age, "delete").when(newer, "hot").otherwise("cold")
     return rows.join(edge, group).withColumn("tier", tier).drop("_edge")
 
-
-def write_table(rows: DataFrame, path: str, partition_by: list[str], mode: str = "append") -> None:
-    """Parquet with zstd, partitioned."""
-    rows.write.mode(mode).option("compression", "zstd").partitionBy(*partition_by).parquet(path)
