@@ -152,18 +152,6 @@ def recommend(current: Column, span: Column, offset_best: Column) -> Column:
     return F.when(F.abs(target - current) >= 0.05 * (span["max"] - span["min"]), target)
 
 
-def advice(category: Column, p: dict[str, Column]) -> Column:
-    """One line of advice per category."""
-    f = F.format_string
-    return (
-        F.when(category == "WellControl", f("Flow imbalance %.1f gpm, pit rate %.1f bbl/hr: stop, check flow, be ready to shut in", p["flow_balance"], p["pit_rate"]))
-        .when(category == "Hydraulics", f("ECD margin %.2f ppg, pressure change %.0f psi: reduce flow or penetration", p["ecd_margin"], p["spp_delta"]))
-        .when(category == "Mechanical", f("Torque change %.1f%%: pick up, restore rotation, reduce weight", p["torque_delta"] * 100.0))
-        .when(category == "DrillingEfficiency", f("MSE efficiency %.0f%%: adjust weight and speed towards the optimum", p["efficiency"]))
-        .otherwise("No action")
-    )
-
-
 def trace_line(steps: Column) -> Column:
     """``[stage] message`` of an array of (stage, status, message), joined by arrows."""
     return F.array_join(F.transform(steps, lambda s: F.concat(F.lit("["), s["stage"], F.lit("] "), s["message"])), " -> ")

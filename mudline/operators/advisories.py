@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mudline.functions import physics
+from mudline.functions import physics, tickets
 from mudline.functions.frames import last_rows, ordered
 from mudline.operators.kernels import Kernel
 from mudline.operators.nets import AHEAD, FEATURES
@@ -109,6 +109,16 @@ class CriticalCooldown(Kernel):
         return (free,)
 
 
+def recommendations(rows: DataFrame, ranges: Column, offset_best: dict[str, float]) -> DataFrame:
+    """Rows (seq, parameter, place, current, recommended, impact): what to change, the largest share of its range first; ``ranges`` as ``tickets.default_parameters`` gives them."""
+    current = {"wob": "wob", "rpm": "rpm", "flow": "flow_in"}
+    r = rows.withColumn("_ranges", ranges)
+    each = [F.struct(F.lit(n).alias("parameter"), F.col(c).alias("current"), tickets.recommend(F.col(c), F.col(f"_ranges.{n}"), F.lit(offset_best[n])).alias("recommended"), (F.col(f"_ranges.{n}.max") - F.col(f"_ranges.{n}.min")).alias("span")) for n, c in current.items()]
+    found = r.select("seq", F.inline(F.filter(F.array(*each), lambda x: x["recommended"].isNotNull())))
+    impact = found.withColumn("impact", F.abs(F.col("recommended") - F.col("current")) / F.col("span"))
+    return impact.withColumn("place", F.row_number().over(Window.partitionBy("seq").orderBy(F.desc(F.round("impact", 9)), "parameter")))
+
+
 def feature_vector(columns: list[str]) -> Column:
     """The sixteen features of the nets, 0 where a column is missing."""
     return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in columns else F.lit(0.0) for f in FEATURES])

@@ -67,6 +67,64 @@ def neighbours(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
 
 
 def snapshots_by_rank(snapshots: DataFrame, keep: int) -> DataFrame:
-    """The newest ``keep`` snapshots of each well."""
-    order = Window.partitionBy("field", "well").orderBy(F.desc("ts"))
+    """The newest ``keep`` snapshots of each well, ties to the larger id."""
+    order = Window.partitionBy("field", "well").orderBy(F.desc("ts"), F.desc("id"))
     return snapshots.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+
+
+#: Sentences of a debrief (fixed values).
+NARRATIVE = {
+    "summary": "Well %s reached %.0f ft TD in %.1f bit hours across %d formation(s). A total of %d advisories were generated during the well.",
+    "formation": "- **%s** (%.0f-%.0f ft): Actual avg ROP %.1f ft/hr vs %s. Delta: %s. Assessment: **%s**. %d advisory(ies), %d critical.",
+    "critical": "- **Critical advisories**: %d event(s)",
+    "at": "  - At %.0f ft (%s): %s",
+    "mechanical": "- **Mechanical events**: %d event(s) (stick-slip, vibration, torque)",
+    "rated": "- %d of %d advisories received operator feedback (%.0f%% coverage).",
+    "rate": "- Overall confirmation rate: **%.0f%%** (%d confirmed, %d false positive, %d unclear).",
+    "suggest": "- **Suggestion**: Low confirmation rate indicates thresholds may need tightening. Review the threshold suggestions for specific recommendations.",
+    "worked": "- %s exceeded planned ROP by %.0f%% (actual %.1f vs planned %.1f ft/hr). Best params: WOB %.1f klbs, RPM %.0f.",
+    "fell": "- %s fell %.0f%% below planned ROP (actual %.1f vs planned %.1f ft/hr).",
+    "blamed": " (%d mechanical event(s) may have contributed)",
+}
+#: Critical events that a debrief names (a fixed value).
+NAMED_EVENTS = 5
+
+
+def narrative(wells: DataFrame, compared: DataFrame, timeline: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``well_id`` and ``narrative``: summary, formations, highlights, feedback and lessons, each part where there is something to say.
+
+    Wells: depth and hours; ``compared``: formations with actual and planned rates
+    and counts; ``timeline``: advisories; ``ratings``: outcomes by seq.  Lines are made
+    where the rows are; only a well's formations and its first critical events meet.
+    """
+    f = lambda name, *args: F.format_string(NARRATIVE[name], *args)
+    c = F.col
+    lines = lambda column, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column.alias("_t")))), lambda x: x["_t"]), "\n")
+    near = F.lit(1.234e-6)  # keeps halves from being rounded in two ways
+    delta = F.try_divide(c("rop") - c("planned"), c("planned")) * 100
+    kind = F.when(c("planned").isNull(), "NO PLAN DATA").when(delta > 10, "EXCEEDED PLAN").when(delta < -10, "BELOW PLAN").otherwise("MET PLAN")
+    plan = F.when(c("planned").isNull(), "N/A (no plan data)").otherwise(F.format_string("%.1f ft/hr (planned)", c("planned")))
+    change = F.when(delta.isNull(), "N/A").when(delta > 0, F.format_string("+%.1f%%", delta)).otherwise(F.format_string("%.1f%%", delta))
+    told = f("formation", c("formation"), c("top"), c("base"), c("rop"), plan, change, kind, c("advisories"), c("critical"))
+    rose = F.when(kind == "EXCEEDED PLAN", f("worked", c("formation"), delta, c("rop"), c("planned"), c("wob"), c("rpm")))
+    fell = F.when(kind == "BELOW PLAN", F.concat(f("fell", c("formation"), F.abs(delta), c("rop"), c("planned")), F.when(c("mechanical") > 0, f("blamed", c("mechanical"))).otherwise("")))
+    some = lambda column: F.when(F.count(column) > 0, F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("top", column.alias("_t")))), lambda x: x["_t"].isNotNull()), lambda x: x["_t"]), "\n"))
+    formations = compared.groupBy("well_id").agg(lines(told, "top").alias("performance"), some(rose).alias("rose"), some(fell).alias("fell"), F.count("*").alias("formations"))
+    order = Window.partitionBy("well_id").orderBy("ts", "seq")
+    grave = timeline.filter("severity = 'CRITICAL'").withColumn("_n", F.row_number().over(order)).filter(c("_n") <= NAMED_EVENTS)
+    events = grave.groupBy("well_id").agg(lines(f("at", c("depth"), F.coalesce("formation", F.lit("unknown formation")), c("recommendation")), "_n").alias("grave"))
+    counts = timeline.join(ratings, ["well_id", "seq"], "left").groupBy("well_id").agg(
+        F.count("*").alias("n"), F.count_if(c("severity") == "CRITICAL").alias("critical"), F.count_if(c("category") == "Mechanical").alias("mechanical"), F.count("outcome").alias("rated"),
+        *[F.count_if(c("outcome") == o).alias(a) for o, a in (("Confirmed", "ok"), ("FalsePositive", "bad"), ("Unclear", "unclear"))],
+    )
+    x = wells.join(formations, "well_id", "left").join(counts, "well_id", "left").join(events, "well_id", "left")
+    part = lambda title, text: F.concat(F.lit(f"## {title}\n\n"), text)
+    highlights = F.concat_ws("\n", F.when(c("critical") > 0, F.concat(f("critical", c("critical")), F.lit("\n"), c("grave"))), F.when(c("mechanical") > 0, f("mechanical", c("mechanical"))))
+    low = (c("ok") < 0.5 * (c("ok") + c("bad"))) & (c("rated") >= 10)
+    feedback = F.concat_ws("\n", f("rated", c("rated"), c("n"), c("rated") * 100.0 / c("n") + near), f("rate", c("ok") * 100.0 / F.greatest(c("ok") + c("bad"), F.lit(1)) + near, c("ok"), c("bad"), c("unclear")), F.when(low, NARRATIVE["suggest"]))
+    lessons = F.concat_ws("\n", F.concat(F.lit("**What worked:**\n"), c("rose")), F.concat(F.lit("\n**Areas for improvement:**\n"), c("fell")))
+    text = F.concat_ws(
+        "\n\n", part("Summary", f("summary", c("well_id").cast("string"), c("depth"), c("hours"), F.coalesce("formations", F.lit(0)), F.coalesce("n", F.lit(0)))), part("Formation Performance", c("performance")),
+        F.when((c("critical") > 0) | (c("mechanical") > 0), part("Advisory Timeline Highlights", highlights)), F.when(c("rated") > 0, part("Feedback Summary", feedback)), F.when(c("rose").isNotNull() | c("fell").isNotNull(), part("Lessons Learned", lessons)),
+    )
+    return x.select("well_id", text.alias("narrative"))

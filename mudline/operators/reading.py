@@ -91,8 +91,10 @@ def update_outcomes(events: DataFrame, updates: DataFrame, key: str, now: int) -
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``table`` and those of ``rows`` whose key it lacks, one a key."""
-    return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
+    """``table`` and those of ``rows`` whose key it lacks, the smallest row of a key."""
+    rest = [c for c in table.columns if c != key]
+    one = rows.select(*table.columns).groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]) if rest else rows.select(key).distinct()
+    return table.unionByName(one.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
 def newest_episodes(episodes: DataFrame, at: str, tie: str, cap: int = 10_000) -> DataFrame:

@@ -158,11 +158,11 @@ def peers_with_urgent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("customer").join(u, "c_custkey", "left_semi").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def episodes_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal by id list: a left-anti join."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    return read("customer").select("c_custkey").join(read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return read("customer").select("c_custkey").join(read("orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query(TEL + FORMATION_SQL + """, ho AS (SELECT well_id, ts - ts % 3600 AS hour, t.mse0, f.formation FROM (SELECT *, 480 * torque * 1000 * rpm / (72.25 * rop) AS mse0 FROM tel WHERE rpm > 5 AND wob > 1) t LEFT JOIN fm f ON bit_depth >= top AND bit_depth < base)

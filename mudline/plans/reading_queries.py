@@ -68,31 +68,31 @@ def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.since(report_rows(spark, sf_dir), "ts", 820454400, "id", 100).select("id", "ts")
 
 
-@query(RP + "SELECT id, concat('MD5-', md5(concat_ws(':', CAST(ts AS VARCHAR), CAST(id AS VARCHAR), risk, category))) AS signature FROM rp WHERE risk = 'Critical' ORDER BY ts DESC, id DESC LIMIT 25")
+@query(RP + "SELECT id, concat('MD5-', md5(concat_ws(':', CAST(ts AS VARCHAR), CAST(CAST(round(score * 100) AS INTEGER) AS VARCHAR), category || ' ' || outcome, CAST(CAST(round(depth_from) AS BIGINT) AS VARCHAR)))) AS signature FROM rp WHERE risk = 'Critical' ORDER BY ts DESC, id DESC LIMIT 25")
 def critical_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reading.newest(report_rows(spark, sf_dir).filter("risk = 'Critical'"), "ts", "id", 25)
-    return rows.select("id", reports.signature(F.col("ts"), F.col("id"), F.col("risk"), F.col("category")).alias("signature"))
+    return rows.select("id", reports.signature(F.col("ts"), F.round(F.col("score") * 100).cast("int"), F.concat_ws(" ", "category", "outcome"), F.round("depth_from").cast("long")).alias("signature"))
 
 
-@query(RP + "SELECT risk, count(*) AS n FROM rp WHERE risk IN ('Elevated', 'High', 'Critical') GROUP BY 1")
+@query(RP + "SELECT id, risk FROM rp WHERE risk IN ('Elevated', 'High', 'Critical')")
 def uploaded_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.uploads(report_rows(spark, sf_dir)).groupBy("risk").agg(F.count("*").alias("n"))
+    return reading.uploads(report_rows(spark, sf_dir)).select("id", "risk")
 
 
-@query(RP + "SELECT outcome, last_modified, count(*) AS n FROM (SELECT CASE WHEN id % 10 = 3 THEN 'Resolved' ELSE outcome END AS outcome, CASE WHEN id % 10 = 3 THEN 2000000000 ELSE ts % 2 END AS last_modified FROM rp) a GROUP BY 1, 2")
+@query(RP + "SELECT id, CASE WHEN id % 10 = 3 THEN 'Resolved' ELSE outcome END AS outcome, CASE WHEN id % 10 = 3 THEN 2000000000 ELSE ts % 2 END AS last_modified FROM rp")
 def outcome_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of each tenth event; those to an outcome off the list change nothing."""
     e = report_rows(spark, sf_dir).withColumn("last_modified", F.col("ts") % 2)
     updates = e.filter("id % 10 IN (3, 4)").select("id", F.when(F.col("id") % 10 == 3, "Resolved").otherwise("Nonsense").alias("new_outcome"))
-    return reading.update_outcomes(e, updates, "id", 2_000_000_000).groupBy("outcome", "last_modified").agg(F.count("*").alias("n"))
+    return reading.update_outcomes(e, updates, "id", 2_000_000_000).select("id", "outcome", "last_modified")
 
 
-@query("SELECT o_orderkey % 3 AS version, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+@query("SELECT o_orderkey AS message, o_custkey AS sender FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def accepted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    messages = read("orders").select(F.col("o_custkey").alias("sender"), (F.col("o_orderkey") % 3).alias("version"))
+    messages = read("orders").select(F.col("o_orderkey").alias("message"), F.col("o_custkey").alias("sender"), (F.col("o_orderkey") % 3).alias("version"))
     peers = read("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sender"))
-    return reading.accepted(messages, peers, 1).groupBy("version").agg(F.count("*").alias("n"))
+    return reading.accepted(messages, peers, 1).select("message", "sender")
 
 
 @query(RP + "SELECT formation, id FROM (SELECT *, row_number() OVER (PARTITION BY formation ORDER BY ts DESC, id DESC) AS k FROM rp WHERE depth_from BETWEEN 2000 AND 8000 AND outcome <> 'FalsePositive') a WHERE k <= 10")
@@ -101,17 +101,17 @@ def events_by_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.by_formation(rows, 2000, 8000, 10, "ts", "id").select("formation", "id")
 
 
-@query(RP + "SELECT kind, formation, count(*) AS n FROM rp WHERE kind = 1 AND formation = 7 GROUP BY 1, 2")
+@query(RP + "SELECT id, kind, formation FROM rp WHERE kind = 1 AND formation = 7")
 def intelligence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.intelligence(report_rows(spark, sf_dir), 1, 7).groupBy("kind", "formation").agg(F.count("*").alias("n"))
+    return reading.intelligence(report_rows(spark, sf_dir), 1, 7).select("id", "kind", "formation")
 
 
-@query("SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)) a")
+@query("SELECT c_custkey AS k FROM customer UNION ALL SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def episodes_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that a table lacks are added once."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     table, rows = read("customer").select(F.col("c_custkey").alias("k")), read("orders").select(F.col("o_orderkey").alias("k"))
-    return reading.insert_new(table, rows.unionByName(rows.limit(100)), "k").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    return reading.insert_new(table, rows.unionByName(rows.filter("k % 50 = 0")), "k")
 
 
 @query(RP + "SELECT CAST(id AS VARCHAR) || '-episode' AS id, round(depth_from, 3) AS depth_from, risk, CASE outcome WHEN 'Resolved' THEN 'cleaned' WHEN 'Escalated' THEN 'Escalated: cleaned' WHEN 'FalsePositive' THEN 'False positive — no action needed' ELSE 'Pending resolution' END AS resolution FROM rp")
@@ -120,18 +120,18 @@ def episodes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.episode(e).select("id", r(F.col("depth_from"), "depth_from", 3), "risk", "resolution")
 
 
-@query(RP + "SELECT count(*) AS n, min(ts) AS oldest, CAST(sum(id) AS BIGINT) AS keys FROM (SELECT * FROM rp ORDER BY ts DESC, id DESC LIMIT 10000) a")
+@query(RP + "SELECT id, ts FROM rp ORDER BY ts DESC, id DESC LIMIT 10000")
 def episode_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 10,000 episodes stay."""
-    return reading.newest_episodes(report_rows(spark, sf_dir).select("ts", "id"), "ts", "id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.sum("id").alias("keys"))
+    return reading.newest_episodes(report_rows(spark, sf_dir).select("ts", "id"), "ts", "id").select("id", "ts")
 
 
-@query("""WITH d AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS ks, lower(p_name) AS c FROM part), t AS (SELECT unnest(['brass', 'green', 'anodized']) AS term)
+@query("""WITH d AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS ks, lower(p_name) AS c FROM part), t AS (SELECT unnest(['promo', 'red', 'economy bolt']) AS term)
   SELECT p_partkey, CAST(sum(2 * len(list_filter(ks, lambda k: contains(k, term) OR contains(term, k))) + contains(c, term)::INT) AS BIGINT) AS score FROM d JOIN t ON true GROUP BY 1 HAVING sum(2 * len(list_filter(ks, lambda k: contains(k, term) OR contains(term, k))) + contains(c, term)::INT) > 0 ORDER BY score DESC, p_partkey LIMIT 20""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best parts for three terms, by their kinds as keywords and their names as content."""
     d = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("ks", F.split(F.lower("p_type"), " "))
-    return reading.keyword_search(d, ["brass", "green", "anodized"], "ks", "p_name", "p_partkey", 20)
+    return reading.keyword_search(d, ["promo", "red", "economy bolt"], "ks", "p_name", "p_partkey", 20)
 
 
 @query("""SELECT category, count(*) AS n FROM (SELECT CASE WHEN q LIKE '%well control%' OR q LIKE '%kick%' OR q LIKE '%loss%' THEN 'WellControl' WHEN q LIKE '%MSE%' OR q LIKE '%efficiency%' OR q LIKE '%ROP%' THEN 'DrillingEfficiency' WHEN q LIKE '%pressure%' OR q LIKE '%ECD%' OR q LIKE '%hydraulic%' THEN 'Hydraulics'

@@ -113,13 +113,13 @@ def snapshot_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("category", "tier").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FEEDBACK_SQL}, mx AS (SELECT max(rated_at) AS now FROM fb), kp AS (SELECT * FROM fb, mx WHERE rated_at >= now - 86400 * 365 AND NOT (outcome = 'FalsePositive' AND rated_at < now - 86400 * 90)) SELECT outcome, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (ORDER BY rated_at DESC, o_orderkey DESC) AS k FROM kp) a WHERE k <= 50000 GROUP BY outcome")
+@query(f"WITH {FEEDBACK_SQL}, mx AS (SELECT max(rated_at) AS now FROM fb), kp AS (SELECT * FROM fb, mx WHERE rated_at >= now - 86400 * 365 AND NOT (outcome = 'FalsePositive' AND rated_at < now - 86400 * 90)) SELECT o_orderkey, outcome FROM (SELECT *, row_number() OVER (ORDER BY rated_at DESC, o_orderkey DESC) AS k FROM kp) a WHERE k <= 50000")
 def event_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age limits by outcome, then the newest 50,000: the cap is the feature, taken by a top-k."""
     f = feedback(spark, sf_dir)
     now = f.agg(F.max("rated_at").alias("now"))
     kept = f.join(F.broadcast(now), how="cross").filter("rated_at >= now - 86400 * 365 AND NOT (outcome = 'FalsePositive' AND rated_at < now - 86400 * 90)")
-    return kept.orderBy(F.desc("rated_at"), F.desc("o_orderkey")).limit(50_000).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return kept.orderBy(F.desc("rated_at"), F.desc("o_orderkey")).limit(50_000).select("o_orderkey", "outcome")
 
 
 @query(f"WITH {FEEDBACK_SQL} SELECT category, o_orderkey FROM (SELECT category, o_orderkey, row_number() OVER (PARTITION BY category ORDER BY price DESC, o_orderkey) AS k FROM fb) a WHERE k <= 20")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "hourly_well_summary"
-MODULES = ("physics_queries", "window_queries", "join_queries", "report_queries", "kernel_queries", "reading_queries", "history_queries", "hourly_queries", "advisory_queries", "store_queries")
+MODULES = ("physics_queries", "window_queries", "join_queries", "report_queries", "kernel_queries", "reading_queries", "history_queries", "hourly_queries", "advisory_queries", "store_queries", "text_queries")
 
 
 def query(sql: str | None = None) -> Callable:
