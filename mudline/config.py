@@ -197,8 +197,21 @@ def unknown_keys(table: dict) -> list[tuple[str, str | None]]:
     return out
 
 
+def allowed(section: str, name: str) -> tuple[float, float]:
+    """The range of a value: shares up to 1, percentages up to 100, counts and windows from 1, everything else from 0 (or to 0 where the default is negative)."""
+    if getattr(getattr(DEFAULT, section), name) < 0:
+        return -1e9, 0.0
+    if section == "weights" or name in ("max_outlier_percentage", "torque_increase_warning", "torque_increase_critical", "quick_wob_delta_percent"):
+        return 0.0, 1.0
+    if name.startswith("efficiency_"):
+        return 0.0, 100.0
+    if name.endswith(("_packets", "_samples", "_indicators", "_window", "_seconds")):
+        return 1.0, 1e9
+    return 0.0, 1e9
+
+
 def problems(config: Config) -> list[str]:
-    """What makes a configuration unusable: values that aren't finite, warnings beyond their critical values, weights that don't add up."""
+    """What makes a configuration unusable: values that aren't finite or out of their range, warnings beyond their critical values, weights that don't add up."""
     out = [f"{s.name}.{f.name} is not finite" for s in dataclasses.fields(config) for f in dataclasses.fields(getattr(config, s.name)) if not math.isfinite(getattr(getattr(config, s.name), f.name))]
     for section, low, high in (
         ("well_control", "flow_imbalance_warning_gpm", "flow_imbalance_critical_gpm"), ("well_control", "pit_gain_warning_bbl", "pit_gain_critical_bbl"),
@@ -208,6 +221,11 @@ def problems(config: Config) -> list[str]:
         part = getattr(config, section)
         if getattr(part, low) >= getattr(part, high):
             out.append(f"{section}.{low} must be under {section}.{high}")
+    for s in dataclasses.fields(config):
+        for f in dataclasses.fields(getattr(config, s.name)):
+            low, high = allowed(s.name, f.name)
+            if not low <= getattr(getattr(config, s.name), f.name) <= high:
+                out.append(f"{s.name}.{f.name} must be between {low:g} and {high:g}")
     total = sum(dataclasses.astuple(config.weights))
     if abs(total - 1) > 0.01:
         out.append(f"weights sum to {total:.3f}")

@@ -112,7 +112,12 @@ def keyword_search(docs: DataFrame, terms: list[str], keywords_col: str, content
     """The best documents for some terms: 2 for each keyword that holds a term or lies in it, 1 for a term in the content; first ids on ties."""
     content = F.lower(F.coalesce(F.col(content_col), F.lit("")))
     words = F.coalesce(F.col(keywords_col), F.array().cast("array<string>"))
-    each = [2 * F.size(F.filter(words, lambda k, t=t.lower(): k.contains(t) | F.lit(t).contains(k))) + content.contains(t.lower()).cast("int") for t in terms]
+
+    def score(term: str) -> Column:
+        # a lambda with a second parameter would get the place in the array there
+        return 2 * F.size(F.filter(words, lambda k: k.contains(term) | F.lit(term).contains(k))) + content.contains(term).cast("int")
+
+    each = [score(t.lower()) for t in terms]
     scored = docs.select(id_col, reduce(lambda a, b: a + b, each).cast("long").alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), id_col).limit(limit)
 

@@ -81,9 +81,20 @@ def net_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("seq", r(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), "weighted", 4))
 
 
-@query(MET + """SELECT '# HELP packets_total Packets processed' || chr(10) || '# TYPE packets_total counter' || chr(10) || 'packets_total ' || count(*) AS text FROM met
-  UNION ALL SELECT '# HELP tickets_total Anomalies found' || chr(10) || '# TYPE tickets_total counter' || chr(10) || 'tickets_total ' || count(*) FILTER (WHERE category <> 'None') FROM met""")
+#: Metrics of the exposition: name, kind, help and the value in both engines; tickets are confirmed where k is under 60 and rejected from 90 on.
+EXPOSED = (
+    ("packets_total", "counter", "Total packets processed", "count(*)"),
+    ("tickets_created_total", "counter", "Advisory tickets generated", "count_if(category <> 'None')"),
+    ("tickets_verified_total", "counter", "Tickets confirmed", "count_if(category <> 'None' AND k < 60)"),
+    ("tickets_rejected_total", "counter", "Tickets rejected as transient", "count_if(category <> 'None' AND k >= 90)"),
+    ("uptime_seconds", "gauge", "Seconds between the first packet and the last", "max(ts) - min(ts)"),
+    ("avg_mse_efficiency", "gauge", "Average MSE efficiency (0-100)", "avg(CASE WHEN mse > 0 THEN mse_efficiency END)"),
+)
+
+
+@query(MET + " UNION ALL ".join(f"SELECT '# HELP {n} {h}' || chr(10) || '# TYPE {n} {k}' || chr(10) || '{n} ' || " + (f"printf('%.2f', {e})" if n.startswith("avg") else f"({e})") + " AS text FROM met" for n, k, h, e in EXPOSED))
 def metrics_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = drilling_metrics(telemetry(spark, sf_dir)).agg(F.count("*").alias("packets"), F.count_if(F.col("category") != "None").alias("tickets"))
-    lines = F.array(reports.exposition("packets_total", "counter", "Packets processed", F.col("packets")), reports.exposition("tickets_total", "counter", "Anomalies found", F.col("tickets")))
-    return n.select(F.explode(lines).alias("text"))
+    """All six metrics in the text exposition format, from one pass."""
+    n = drilling_metrics(telemetry(spark, sf_dir)).agg(*[F.expr(e).alias(n) for n, _, _, e in EXPOSED])
+    value = lambda n: F.format_string("%.2f", n) if n.startswith("avg") else F.col(n)
+    return n.select(F.explode(F.array(*[reports.exposition(n, kind, words, value(n)) for n, kind, words, _ in EXPOSED])).alias("text"))

@@ -81,8 +81,23 @@ def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
+#: Channels of which one at least differs from 0 in a row that says something.
+MEASURED = ("wob", "rpm", "torque", "rop", "spp", "flow_in", "bit_depth")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Packets from CSV logs of either dialect (a file, a folder or a pattern); ``file`` names the source.
+    """Packets from CSV logs of either dialect (a file, a folder or a pattern); ``file`` names the source.  Rows without time or with nothing but zeros are left out; ``read_counts`` tells how many."""
+    return all_rows(spark, path).filter("skipped IS NULL").drop("skipped")
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: rows, those kept, and those left out for want of a time or of any value."""
+    n = lambda why: F.count_if(F.col("skipped") == why)
+    return all_rows(spark, path).groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("skipped").isNull()).alias("kept"), n("no time").alias("no_time"), n("all zero").alias("all_zero"))
+
+
+def all_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of logs with ``skipped``: why a row is left out, NULL where it is not.
 
     Each header is mapped on its own, so a folder may mix dialects; files whose
     header has neither time nor depth are left out, and an error where all are.
@@ -107,9 +122,8 @@ def _read_alike(spark: SparkSession, files: list[str]) -> DataFrame:
     select += [(number(at[c]) * found[c][1]).alias(c) for c in found if c != "timestamp"]
     mode = next((h for h in raw.columns if h.strip().lower() in ("rig mode", "rigactivitycode", "activity code")), None)
     rows = raw.select(F.input_file_name().alias("file"), *select, (F.col(f"`{mode}`") if mode else F.lit(None).cast("string")).alias("mode"))
-    out = complete(rows)
-    zero = sum(F.abs(F.col(c)) for c in ("wob", "rpm", "torque", "rop", "spp", "flow_in", "bit_depth")) == 0
-    return out.filter(~zero & F.col("timestamp").isNotNull()).withColumn("rig_state", mode_state(F.coalesce("mode", F.lit("")), F.col("rpm"), F.col("wob"), F.col("rop"))).drop("mode")
+    out = complete(rows).withColumn("skipped", F.when(F.col("timestamp").isNull(), "no time").when(sum(F.abs(F.col(c)) for c in MEASURED) == 0, "all zero"))
+    return out.withColumn("rig_state", mode_state(F.coalesce("mode", F.lit("")), F.col("rpm"), F.col("wob"), F.col("rop"))).drop("mode")
 
 
 def summary(rows: DataFrame) -> DataFrame:
