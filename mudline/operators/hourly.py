@@ -20,23 +20,29 @@ COMBINED = 255
 PAIRS = [("wob", "rop"), ("wob", "mse"), ("rpm", "rop"), ("rpm", "mse"), ("flow_in", "rop")]
 
 
-def nearest_regimes(centroids: list[list[float]]) -> list[list[int]]:
-    """For each regime the others, the nearest centroid first."""
-    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
-    return [sorted((k for k in range(len(centroids)) if k != i), key=lambda k: (gap(centroids[i], centroids[k]), k)) for i in range(len(centroids))]
+def nearest_regimes(centres: Column) -> Column:
+    """For each regime the others, the nearest centre first (ties: the smaller number)."""
+    away = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    others = lambda c, i: F.filter(F.transform(centres, lambda o, j: F.struct(away(c, o).alias("away"), j.alias("regime"))), lambda o: o["regime"] != i)
+    return F.transform(centres, lambda c, i: F.transform(F.array_sort(others(c, i)), lambda o: o["regime"]))
 
 
-def partitions(stable: DataFrame, centroids: list[list[float]], least: int = LEAST) -> DataFrame:
-    """``stable`` rows with ``part``: regimes under 50 rows join the nearest larger one; where no partition is large enough, all rows are one; small partitions go."""
+def last_centres(regimes: DataFrame) -> DataFrame:
+    """Each dataset's centres as they stand at its end: ``well_id`` and ``centres``, of rows that carry them."""
+    return regimes.groupBy("well_id").agg(F.max_by("centres", F.struct("ts", "seq")).alias("centres"))
+
+
+def partitions(stable: DataFrame, centres: DataFrame, least: int = LEAST) -> DataFrame:
+    """``stable`` rows with ``part``: regimes under 50 rows join the nearest larger one by the dataset's ``centres``; where no partition is large enough, all rows are one; small partitions go."""
     whole, own = Window.partitionBy("well_id"), lambda *c: Window.partitionBy("well_id", *c)
+    nearest = centres.select("well_id", nearest_regimes(F.col("centres")).alias("_nearest"))
     sized = stable.withColumn("_n", F.count("*").over(own("regime"))).withColumn("_large", F.collect_set(F.when(F.col("_n") >= SMALL_REGIME, F.col("regime"))).over(whole))  # regimes are few
-    order = F.get(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in nearest_regimes(centroids)]), F.col("regime"))
-    target = F.get(F.filter(order, lambda x: F.array_contains("_large", x)), 0)
-    named = sized.withColumn("part", F.when((F.col("_n") < SMALL_REGIME) & (F.size("_large") > 0), F.coalesce(target, F.col("regime"))).otherwise(F.col("regime")))
+    target = F.get(F.filter(F.coalesce(F.get("_nearest", F.col("regime")), F.array().cast("array<int>")), lambda x: F.array_contains("_large", x)), 0)
+    named = sized.join(nearest, "well_id", "left").withColumn("part", F.when((F.col("_n") < SMALL_REGIME) & (F.size("_large") > 0), F.coalesce(target, F.col("regime"))).otherwise(F.col("regime")))
     merged = named.withColumn("_size", F.count("*").over(own("part")))
     viable = merged.withColumns({"_viable": F.max("_size").over(whole) >= least, "_all": F.count("*").over(whole)})
     final = viable.withColumns({"part": F.when(F.col("_viable"), F.col("part")).otherwise(COMBINED), "_size": F.when(F.col("_viable"), F.col("_size")).otherwise(F.col("_all"))})
-    return final.filter(F.col("_size") >= least).drop("_n", "_large", "_size", "_viable", "_all")
+    return final.filter(F.col("_size") >= least).drop("_n", "_large", "_size", "_viable", "_all", "_nearest")
 
 
 def spaced(boundaries: Column, gap: int = 30) -> Column:
@@ -74,18 +80,22 @@ def stable_rows(metrics: DataFrame) -> DataFrame:
     return valid.unionByName(bad).withColumn("reason", F.coalesce("rejected", "dysfunction"))
 
 
-def analysis(metrics: DataFrame, transitions: DataFrame, centroids: list[list[float]], campaign: str = "Production", least: int = LEAST) -> DataFrame:
+def analysis(metrics: DataFrame, transitions: DataFrame, centres: DataFrame, campaign: str = "Production", least: int = LEAST) -> DataFrame:
     """One report per dataset: ``result``, ``reason``, and of its best partition the parameters, score, correlation, confidence and formation.
 
-    ``metrics`` carry ``regime``; ``transitions``: well_id and at (seconds).
+    ``metrics`` carry ``regime``; ``transitions``: well_id and at (seconds);
+    ``centres`` of the regimes as ``last_centres`` gives them.  ``reason`` of a
+    failure is what most rows were left out for: by the quality rules where no row
+    passes them, else as unsteady.
     """
     # six branches read the judged rows, so they are kept once: on disk, and made anew where an executor is lost
     columns = ["well_id", "ts", "seq", "regime", "bit_depth", "wob", "rpm", "rop", "flow_in", "mse", "mse_efficiency", "torque_delta", "spp_delta", "d_exponent", "cv", "rejected", "reason"]
     judged = stable_rows(metrics).select(*columns).persist(StorageLevel.DISK_ONLY)
     per_reason = judged.groupBy("well_id", "reason").agg(F.count("*").alias("count"), F.count_if(F.col("rejected").isNull()).alias("valid"))
-    bad = F.when(F.col("reason").isNotNull(), F.struct("count", "reason"))
-    counts = per_reason.groupBy("well_id").agg(F.sum("valid").alias("valid"), F.sum(F.when(F.col("reason").isNull(), F.col("count")).otherwise(0)).alias("stable"), F.max(bad)["reason"].alias("primary_reason"))
-    rows = partitions(judged.filter("reason IS NULL").drop("rejected", "reason"), centroids, least)
+    unsteady = F.when(F.col("reason").isNotNull() & (F.col("valid") > 0), F.struct("count", "reason"))
+    refused = F.when(F.col("reason").isNotNull() & (F.col("valid") == 0), F.struct("count", "reason"))
+    counts = per_reason.groupBy("well_id").agg(F.sum("valid").alias("valid"), F.sum(F.when(F.col("reason").isNull(), F.col("count")).otherwise(0)).alias("stable"), F.when(F.sum("valid") == 0, F.max(refused)["reason"]).otherwise(F.max(unsteady)["reason"]).alias("primary_reason"))
+    rows = partitions(judged.filter("reason IS NULL").drop("rejected", "reason"), centres, least)
     best_segment = segments(rows, transitions).withColumn("size", F.col("ended") - F.col("began")).groupBy("well_id", "part").agg(F.max_by(F.struct("began", "ended"), F.struct("size", "began")).alias("s"), F.count("*").alias("segments"), F.max("size").alias("largest"))
     steady = best_segment.filter(~((F.col("segments") > 1) & (F.col("largest") < least)))
     numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("well_id", "part").orderBy("ts", "seq")) - 1)

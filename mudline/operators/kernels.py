@@ -179,12 +179,11 @@ class Conformal(Kernel):
 
 
 class Regimes(Kernel):
-    """Online k-means: four centres from the first four distinct points, then a slow pull towards each point."""
+    """Online k-means: four centres from the first four distinct points, then a slow pull towards each point; ``centres``: also all of them as they stand."""
 
-    schema = "regime int"
-
-    def __init__(self, channels: tuple[str, ...], k: int = 4, rate: float = 0.01):
-        self.reads, self.k, self.rate = channels, k, rate  # type: ignore[misc]
+    def __init__(self, channels: tuple[str, ...], k: int = 4, rate: float = 0.01, centres: bool = False):
+        self.reads, self.k, self.rate, self.centres = channels, k, rate, centres  # type: ignore[misc]
+        self.schema = "regime int" + (", centres array<array<double>>" if centres else "")  # type: ignore[misc]
 
     def start(self) -> dict[str, Any]:
         return {"centres": []}
@@ -192,14 +191,16 @@ class Regimes(Kernel):
     def step(self, s: dict[str, Any], x: dict[str, Any]) -> tuple:
         p, c = [x[r] for r in self.reads], s["centres"]
         gap = [sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) for q in c]
-        if len(c) < self.k:
+        full, best = len(c) == self.k, 0
+        if not full:
             if all(g > 1e-12 for g in gap):
                 c.append(p)
                 gap.append(0.0)
-            return (gap.index(min(gap)) if len(c) == self.k else 0,)
-        best = gap.index(min(gap))
-        c[best] = [b + self.rate * (a - b) for a, b in zip(p, c[best], strict=True)]
-        return (best,)
+            best = gap.index(min(gap)) if len(c) == self.k else 0
+        else:
+            best = gap.index(min(gap))
+            c[best] = [b + self.rate * (a - b) for a, b in zip(p, c[best], strict=True)]
+        return (best, [list(q) for q in c]) if self.centres else (best,)
 
 
 class TransitionDetector(Kernel):

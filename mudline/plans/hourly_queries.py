@@ -5,38 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.operators import hourly, ml
+from mudline.operators import hourly, kernels, ml
 from mudline.operators.metrics import METRICS_SQL, drilling_metrics
 from mudline.plans.physics_queries import MET, r
 from mudline.plans.report_queries import DYS_SQL
 from mudline.registry import query
+from mudline.shared import checkpointed
 from mudline.telemetry import TELEMETRY_SQL, telemetry
 
-#: Channels of steady drilling, over the telemetry view; both engines read them alike.
+#: Channels of steady drilling, over the telemetry view; both engines read them alike.  Wells by their number modulo 15: 1, 2, 9 and 10 drill slowly, 3 has no weight, 4 next to none, 5 an erratic torque, 6 boundaries everywhere, 7 few rows in many regimes, 8 one weight and one speed.
+W = "(well_id % 15)"
 CALM = {
-    "wob": "CASE WHEN k % 10 = 0 THEN 0 ELSE 15 + 5 * (seq % 3) END", "rpm": "CASE WHEN k % 10 = 0 THEN 0 ELSE 100 + 10 * (seq % 2) END", "rop": "150 + (seq * 7) % 5 + (k % 4)", "torque": "1.5 + (seq % 7) * 0.01", "spp": "2500 + seq % 20", "flow_in": "500 + seq % 3", "flow_out": "500 + seq % 3", "pit_volume": "400 + 0 * k",
+    "wob": f"CASE WHEN k % 10 = 0 OR {W} = 3 OR ({W} = 4 AND seq % 40 <> 0) OR ({W} = 7 AND seq % 11 <> 0) THEN 0 WHEN {W} IN (6, 8) THEN 15 ELSE 15 + 5 * (seq % 3) END", "rpm": f"CASE WHEN k % 10 = 0 THEN 0 WHEN {W} IN (6, 8) THEN 100 ELSE 100 + 10 * (seq % 2) END",
+    "rop": f"CASE WHEN {W} = 6 THEN 150 ELSE CASE WHEN {W} IN (1, 9) THEN 45 WHEN {W} IN (2, 10) THEN 15 ELSE 150 END + (seq * 7) % 5 + (k % 4) END", "torque": f"CASE WHEN {W} = 5 THEN 1 + (seq % 7) * 0.5 WHEN {W} = 6 THEN 1.5 ELSE 1.5 + (seq % 7) * 0.01 END", "spp": "2500 + seq % 20", "flow_in": "500 + seq % 3", "flow_out": "500 + seq % 3", "pit_volume": "400 + 0 * k",
     "gas_units": "40 + 0 * k", "background_gas": "40 + 0 * k", "h2s": "0 * k", "fracture_gradient": "ecd + 1.5",
 }
 LEAST = 40
-#: Centroids of four regimes in eight dimensions, along one axis.
-CENTROIDS = [[float(x)] + [0.0] * 7 for x in (0, 1, 3, 9)]
-REGIME = "CASE WHEN seq % 10 = 0 THEN 1 WHEN seq % 10 = 1 THEN 2 ELSE 0 END"
-CALM_SQL = "WITH " + TELEMETRY_SQL.replace("tel AS (", "tel0 AS (") + ", tel AS (SELECT * REPLACE (" + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in CALM.items()) + f") FROM tel0), {METRICS_SQL}"
+#: Packets after which a formation begins, for all wells and for the one that has them everywhere.
+BEGINS = f"k = 77 OR ({W} = 6 AND k % 3 = 0)"
+#: What regimes are found by.
+FOUND_BY = ("wob", "rpm", "torque", "rop")
+CALM_SQL = "WITH RECURSIVE " + TELEMETRY_SQL.replace("tel AS (", "tel0 AS (") + ", tel AS (SELECT * REPLACE (" + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in CALM.items()) + f") FROM tel0), {METRICS_SQL}"
+#: Regimes by the walk of online k-means, and each well's centres at its end.
+REGIME_SQL = """, ix0 AS (SELECT well_id, seq, [wob, rpm, torque, rop] AS p, row_number() OVER (PARTITION BY well_id ORDER BY ts, seq) AS i FROM tel),
+  kw AS (SELECT well_id, i, seq, [p] AS c, 0 AS regime FROM ix0 WHERE i = 1
+    UNION ALL SELECT well_id, i, seq, CASE WHEN grows THEN list_append(c, p) WHEN len(c) < 4 THEN c ELSE list_transform(range(1, 5), lambda j: CASE WHEN j = best THEN list_transform(range(1, 5), lambda q: c[j][q] + 0.01 * (p[q] - c[j][q])) ELSE c[j] END) END, CASE WHEN len(c) + grows::INT < 4 THEN 0 WHEN grows THEN 3 WHEN len(c) < 4 THEN 0 ELSE best - 1 END FROM (
+      SELECT *, len(c) < 4 AND list_min(g) > 1e-12 AS grows, list_position(g, list_min(g)) AS best FROM (
+        SELECT x.well_id, x.i, x.seq, x.p, s.c, list_transform(s.c, lambda e: (e[1] - x.p[1]) * (e[1] - x.p[1]) + (e[2] - x.p[2]) * (e[2] - x.p[2]) + (e[3] - x.p[3]) * (e[3] - x.p[3]) + (e[4] - x.p[4]) * (e[4] - x.p[4])) AS g FROM kw s JOIN ix0 x ON x.well_id = s.well_id AND x.i = s.i + 1) a) b),
+  ce AS (SELECT well_id, arg_max(c, i) AS c FROM kw GROUP BY 1),
+  nr AS (SELECT well_id, regime, list(o ORDER BY away, o) AS nearest FROM (SELECT well_id, r AS regime, o, list_sum(list_transform(range(1, 5), lambda q: (c[r + 1][q] - c[o + 1][q]) * (c[r + 1][q] - c[o + 1][q]))) AS away FROM ce, (SELECT unnest(range(4)) AS r) a, (SELECT unnest(range(4)) AS o) b WHERE o <> r AND r < len(c) AND o < len(c)) d GROUP BY 1, 2)"""
 
 
 def calm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
-    calm = t.selectExpr(*[f"CAST({CALM[c]} AS DOUBLE) AS {c}" if c in CALM else c for c in t.columns])
-    return drilling_metrics(calm).withColumn("regime", F.expr(REGIME))
+    return drilling_metrics(t.selectExpr(*[f"CAST({CALM[c]} AS DOUBLE) AS {c}" if c in CALM else c for c in t.columns]))
+
+
+def with_regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Steady metrics with the regime of each packet, and the centres of each well's regimes."""
+    m = calm_metrics(spark, sf_dir)
+    found = checkpointed(kernels.apply(m, kernels.Regimes(FOUND_BY, centres=True), keep=tuple(c for c in m.columns if c not in FOUND_BY)))
+    return found.drop("centres"), hourly.last_centres(found.select("well_id", "ts", "seq", "centres"))
 
 
 VALID = "wob >= 5 AND rpm >= 40 AND mse BETWEEN 1000 AND 500000 AND rop BETWEEN 1 AND 500 AND state IN ('Drilling', 'Reaming')"
-STEADY_SQL = CALM_SQL + f", vm AS (SELECT *, {REGIME} AS regime FROM met WHERE {VALID})" + DYS_SQL.split("ok AS (")[0].replace("FROM met)", "FROM vm)").rstrip(" ,\n") + f""", sb AS (SELECT * FROM dy WHERE dysfunction IS NULL), rc AS (SELECT well_id, regime, count(*) AS c FROM sb GROUP BY 1, 2), lg AS (SELECT well_id, list(regime) AS large FROM rc WHERE c >= 50 GROUP BY 1),
-  rm AS (SELECT rc.well_id, regime, c, CASE WHEN c < 50 AND large IS NOT NULL THEN coalesce(list_filter(CASE regime WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [0, 2, 3] ELSE [1, 0, 3] END, lambda x: list_contains(large, x))[1], regime) ELSE regime END AS p FROM rc LEFT JOIN lg ON lg.well_id = rc.well_id),
+STEADY_SQL = CALM_SQL + REGIME_SQL + f", vm AS (SELECT m.*, r.regime FROM met m JOIN kw r ON r.seq = m.seq WHERE {VALID})" + DYS_SQL.split("ok AS (")[0].replace("FROM met)", "FROM vm)").rstrip(" ,\n") + f""", sb AS (SELECT * FROM dy WHERE dysfunction IS NULL), rc AS (SELECT well_id, regime, count(*) AS c FROM sb GROUP BY 1, 2), lg AS (SELECT well_id, list(regime) AS large FROM rc WHERE c >= 50 GROUP BY 1),
+  rm AS (SELECT rc.well_id, rc.regime, c, CASE WHEN c < 50 AND large IS NOT NULL THEN coalesce(list_filter(nearest, lambda x: list_contains(large, x))[1], rc.regime) ELSE rc.regime END AS p FROM rc LEFT JOIN lg ON lg.well_id = rc.well_id LEFT JOIN nr ON nr.well_id = rc.well_id AND nr.regime = rc.regime),
   rs AS (SELECT *, sum(c) OVER (PARTITION BY well_id, p) AS size FROM rm), rv AS (SELECT well_id, regime, CASE WHEN max(size) OVER (PARTITION BY well_id) >= {LEAST} THEN p ELSE 255 END AS part, CASE WHEN max(size) OVER (PARTITION BY well_id) >= {LEAST} THEN size ELSE sum(c) OVER (PARTITION BY well_id) END AS size FROM rs),
   pr AS (SELECT s.*, v.part FROM sb s JOIN rv v ON v.well_id = s.well_id AND v.regime = s.regime WHERE v.size >= {LEAST}),
   pn AS (SELECT *, row_number() OVER w - 1 AS rw, count(*) OVER (PARTITION BY well_id, part) AS n, avg(d_exponent) OVER (PARTITION BY well_id, part ORDER BY ts, seq ROWS BETWEEN 60 PRECEDING AND 31 PRECEDING) AS o, avg(d_exponent) OVER (PARTITION BY well_id, part ORDER BY ts, seq ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS nw FROM pr WINDOW w AS (PARTITION BY well_id, part ORDER BY ts, seq)),
-  mk AS (SELECT well_id, part, rw - 30 AS a FROM pn WHERE rw >= 60 AND n >= 120 AND o > 0.1 AND abs(nw - o) > 0.15 * o UNION SELECT p.well_id, p.part, min(p.rw) FROM pn p JOIN (SELECT DISTINCT well_id, ts FROM tel WHERE k = 77) t ON t.well_id = p.well_id AND p.ts >= t.ts AND p.n >= 120 GROUP BY p.well_id, p.part, t.ts),
+  mk AS (SELECT well_id, part, rw - 30 AS a FROM pn WHERE rw >= 60 AND n >= 120 AND o > 0.1 AND abs(nw - o) > 0.15 * o UNION SELECT p.well_id, p.part, min(p.rw) FROM pn p JOIN (SELECT DISTINCT well_id, ts FROM tel WHERE {BEGINS}) t ON t.well_id = p.well_id AND p.ts >= t.ts AND p.n >= 120 GROUP BY p.well_id, p.part, t.ts),
   ml AS (SELECT s.well_id, s.part, s.n, list_sort(list(a) FILTER (WHERE a > 0)) AS marks FROM (SELECT well_id, part, max(n) AS n FROM pn GROUP BY 1, 2) s LEFT JOIN mk ON mk.well_id = s.well_id AND mk.part = s.part GROUP BY 1, 2, 3),
   cu AS (SELECT well_id, part, n, list_concat(list_concat([0], list_filter(list_reduce(list_concat([CAST([] AS BIGINT[])], list_transform(coalesce(marks, []), lambda x: [x])), lambda kept, x: CASE WHEN len(kept) = 0 OR x[1] - kept[len(kept)] >= 30 THEN list_concat(kept, x) ELSE kept END), lambda x: x < n)), [n]) AS cuts FROM ml),
   sg AS (SELECT well_id, part, cuts[j] AS b, cuts[j + 1] AS e, cuts[j + 1] - cuts[j] AS size FROM (SELECT *, unnest(range(1, len(cuts))) AS j FROM cu) a),
@@ -51,11 +69,12 @@ def analysis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry(spark, sf_dir).filter("k = 77").select("well_id", F.col("ts").alias("at")).distinct()
+    return telemetry(spark, sf_dir).filter(BEGINS).select("well_id", F.col("ts").alias("at")).distinct()
 
 
 def hourly_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hourly.partitions(hourly.stable_rows(calm_metrics(spark, sf_dir)).filter("reason IS NULL"), CENTROIDS, LEAST)
+    m, centres = with_regimes(spark, sf_dir)
+    rows = hourly.partitions(hourly.stable_rows(m).filter("reason IS NULL"), centres, LEAST)
     return hourly.segments(rows, transitions(spark, sf_dir))
 
 
@@ -65,12 +84,15 @@ def hourly_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   bb AS (SELECT *, count(*) OVER (PARTITION BY well_id, part) AS bins FROM bt QUALIFY row_number() OVER (PARTITION BY well_id, part ORDER BY score DESC, bin DESC) = 1),
   wh AS (SELECT well_id, part, count(*) AS n, median(wob) AS wob, median(rpm) AS rpm, avg(d_exponent) AS ad FROM ut GROUP BY 1, 2 HAVING count(*) >= {LEAST}),
   be AS (SELECT w.well_id, w.part, w.n, coalesce(b.bins, 0) AS bins, coalesce(b.wob, w.wob) AS wob, coalesce(b.rpm, w.rpm) AS rpm, coalesce(b.score, 0.5) AS score, ad FROM wh w LEFT JOIN bb b ON b.well_id = w.well_id AND b.part = w.part QUALIFY row_number() OVER (PARTITION BY w.well_id ORDER BY coalesce(b.score, 0.5) DESC, w.part DESC) = 1),
+  fl AS (SELECT m.well_id, m.seq, CASE WHEN m.wob < 5 THEN 'LowWob' WHEN m.rpm < 40 THEN 'LowRpm' WHEN m.mse < 1000 OR m.mse > 500000 THEN 'InvalidMse' WHEN m.rop < 1 OR m.rop > 500 THEN 'InvalidRop' WHEN m.state NOT IN ('Drilling', 'Reaming') THEN 'WrongRigState' END AS refused, d.dysfunction FROM met m LEFT JOIN dy d ON d.seq = m.seq),
+  pq AS (SELECT well_id, coalesce(refused, dysfunction) AS reason, refused IS NOT NULL AS bad, count(*) AS n FROM fl WHERE coalesce(refused, dysfunction) IS NOT NULL GROUP BY 1, 2, 3), pz AS (SELECT well_id, bad, arg_max(reason, (n, reason)) AS reason FROM pq GROUP BY 1, 2),
   co AS (SELECT m.well_id, count(*) FILTER (WHERE {VALID.replace("state", "m.state")}) AS valid, count(d.seq) AS stable FROM met m LEFT JOIN (SELECT well_id, seq FROM dy WHERE dysfunction IS NULL) d ON d.seq = m.seq GROUP BY 1)
-  SELECT c.well_id, valid, stable, CASE WHEN valid = 0 THEN 'AllDataRejected' WHEN valid < {LEAST} THEN 'InsufficientData' WHEN stable < {LEAST} THEN 'AllDataRejected' WHEN part IS NULL THEN 'InsufficientData' ELSE 'Success' END AS result, CAST(part AS INTEGER) AS part, n, CAST(bins AS BIGINT) AS bins, round(wob, 4) AS wob, round(rpm, 4) AS rpm, round(score, 5) AS score,
-    CASE WHEN score IS NULL THEN NULL WHEN score > 0.75 THEN 'EXCELLENT (fast and stable)' WHEN score > 0.6 THEN 'GOOD efficiency' WHEN score > 0.45 THEN 'ACCEPTABLE' ELSE 'POOR - optimization needed' END AS rating, CASE WHEN ad IS NULL THEN NULL WHEN ad < 1.2 THEN 'Soft Shale' WHEN ad < 1.6 THEN 'Medium Shale/Siltstone' WHEN ad < 2.0 THEN 'Hard Sandstone' ELSE 'Very Hard Formation' END AS formation FROM co c LEFT JOIN be ON be.well_id = c.well_id""")
+  SELECT c.well_id, valid, stable, CASE WHEN valid = 0 OR (valid >= {LEAST} AND stable < {LEAST}) THEN z.reason END AS primary_reason, CASE WHEN valid = 0 THEN 'AllDataRejected' WHEN valid < {LEAST} THEN 'InsufficientData' WHEN stable < {LEAST} THEN 'AllDataRejected' WHEN part IS NULL THEN 'InsufficientData' ELSE 'Success' END AS result, CAST(part AS INTEGER) AS part, n, CAST(bins AS BIGINT) AS bins, round(wob, 4) AS wob, round(rpm, 4) AS rpm, round(score, 5) AS score,
+    CASE WHEN score IS NULL THEN NULL WHEN score > 0.75 THEN 'EXCELLENT (fast and stable)' WHEN score > 0.6 THEN 'GOOD efficiency' WHEN score > 0.45 THEN 'ACCEPTABLE' ELSE 'POOR - optimization needed' END AS rating, CASE WHEN ad IS NULL THEN NULL WHEN ad < 1.2 THEN 'Soft Shale' WHEN ad < 1.6 THEN 'Medium Shale/Siltstone' WHEN ad < 2.0 THEN 'Hard Sandstone' ELSE 'Very Hard Formation' END AS formation FROM co c LEFT JOIN be ON be.well_id = c.well_id LEFT JOIN pz z ON z.well_id = c.well_id AND z.bad = (valid = 0)""")
 def hourly_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = hourly.analysis(calm_metrics(spark, sf_dir), transitions(spark, sf_dir), CENTROIDS, least=LEAST)
-    return a.select("well_id", "valid", "stable", "result", "part", "n", "bins", r(F.col("wob"), "wob", 4), r(F.col("rpm"), "rpm", 4), r(F.col("score"), "score", 5), "rating", "formation")
+    m, centres = with_regimes(spark, sf_dir)
+    a = hourly.analysis(m, transitions(spark, sf_dir), centres, least=LEAST)
+    return a.select("well_id", "valid", "stable", "primary_reason", "result", "part", "n", "bins", r(F.col("wob"), "wob", 4), r(F.col("rpm"), "rpm", 4), r(F.col("score"), "score", 5), "rating", "formation")
 
 
 @query(MET + "SELECT well_id, n, round(avg_depth, 4) AS avg_depth, CASE WHEN ad < 1.2 THEN 'Soft Shale' WHEN ad < 1.6 THEN 'Medium Shale/Siltstone' WHEN ad < 2.0 THEN 'Hard Sandstone' ELSE 'Very Hard Formation' END AS formation, drilling FROM (SELECT well_id, count(*) AS n, avg(bit_depth) AS avg_depth, avg(d_exponent) FILTER (WHERE d_exponent > 0) AS ad, count(*) FILTER (WHERE state = 'Drilling') AS drilling FROM met GROUP BY 1) a")
