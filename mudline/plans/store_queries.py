@@ -60,14 +60,14 @@ def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Events that three replicas saw: the first one all, the others two thirds each, with later words of their own on some.
 SEEN_SQL = """ev AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type AS kind FROM events),
-  seen AS (SELECT id, t AS modified, 'a' AS origin, kind, 'Pending' AS outcome FROM ev UNION ALL SELECT id, t + id % 5, 'b', kind, 'Resolved' FROM ev WHERE id % 3 <> 0 UNION ALL SELECT id, t + id % 4, 'c', kind, CASE WHEN id % 2 = 0 THEN 'Escalated' ELSE 'FalsePositive' END FROM ev WHERE id % 3 <> 1)"""
+  seen AS (SELECT id, t + CASE WHEN id % 6 = 0 THEN 2 ELSE 0 END AS modified, 'a' AS origin, kind, 'Pending' AS outcome FROM ev UNION ALL SELECT id, t + id % 5, 'b', kind, 'Resolved' FROM ev WHERE id % 3 <> 0 UNION ALL SELECT id, t + id % 4, 'c', kind, CASE WHEN id % 2 = 0 THEN 'Escalated' ELSE 'FalsePositive' END FROM ev WHERE id % 3 <> 1)"""
 
 
 @query(f"WITH {SEEN_SQL}, last AS (SELECT id, arg_max(struct_pack(modified, origin, kind, outcome), struct_pack(modified, origin)) AS r FROM seen GROUP BY 1) SELECT replica, id, r.modified AS modified, r.origin AS origin, r.kind AS kind, r.outcome AS outcome FROM last, (SELECT unnest(['a', 'b', 'c']) AS replica) n")
 def replicas_converge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three replicas after rounds of exchange in another order each: all hold the newest word on every event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").alias("kind"))
-    words = {"a": ("true", "0", "'Pending'"), "b": ("id % 3 <> 0", "id % 5", "'Resolved'"), "c": ("id % 3 <> 1", "id % 4", "CASE WHEN id % 2 = 0 THEN 'Escalated' ELSE 'FalsePositive' END")}
+    words = {"a": ("true", "CASE WHEN id % 6 = 0 THEN 2 ELSE 0 END", "'Pending'"), "b": ("id % 3 <> 0", "id % 5", "'Resolved'"), "c": ("id % 3 <> 1", "id % 4", "CASE WHEN id % 2 = 0 THEN 'Escalated' ELSE 'FalsePositive' END")}
     made = {name: Replica(spark, f"{shared_dir(spark)}/replica-{uuid.uuid4().hex}", name) for name in words}
     for name, (which, later, outcome) in words.items():
         mine = events.filter(which).selectExpr("id", f"t + {later} AS modified", "kind", f"{outcome} AS outcome")
