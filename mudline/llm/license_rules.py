@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from mudline.llm.license_names import DENIALS, NAMES, SHORT
+
 #: Labels, words of which every variant holds one (between |), SPDX words, and the ways to name the license (fixed values).
 LICENSES = [
     ("mit", "mit|expat", "mit", r"(?:mit|expat) licen[sc]e|mit x11 licen[sc]e"),
@@ -65,6 +67,7 @@ LICENSES = [
 #: Phrasings: name, strength from 0 to 1, expression with {name} or {spdx} (fixed values); stronger ones come first.
 PHRASINGS = [
     ("spdx", 0.99, r"spdx licen[sc]e identifier {spdx}"),
+    ("spdx_expression", 0.99, r"spdx licen[sc]e identifier (?:[a-z0-9]+ ){1,12}?(?:or|and|with) {spdx}"),
     ("grant", 0.95, r"(?:licensed|released|distributed|available|published|provided|redistributed|covered) (?:\w+ )?(?:under|by) (?:the )?(?:terms of )?(?:the |a )?(?:{name})"),
     ("terms", 0.9, r"(?:subject to|according to|in accordance with|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})"),
     ("under", 0.85, r"under (?:the )?(?:terms of (?:the )?)?(?:{name})"),
@@ -205,9 +208,18 @@ class Rule:
 def build_rules() -> list[Rule]:
     """All rules in order of priority: by phrasing, then by license."""
     made = lambda label, kind, strength, words, shape: Rule(label, kind, strength, words, re.compile(f"(?<= )(?:{shape})(?= )"))
-    out = [made(label, kind, strength, tuple(word.split("|")), shape) for kind, strength, table in (("address", 0.98, ADDRESSES), ("body", 0.97, BODIES)) for label, word, shape in table]
+    table = lambda kind, strength, rows: [made(label, kind, strength, tuple(word.split("|")), shape) for label, word, shape in rows]
+    out = table("address", 0.98, ADDRESSES) + table("body", 0.97, BODIES)
     for phrasing, strength, shape in PHRASINGS:
+        if phrasing == "see":
+            out += table("short", 0.8, SHORT)
         for label, word, spdx, name in LICENSES:
-            keywords = ("spdx",) if phrasing == "spdx" else tuple(word.split("|"))
+            keywords = ("spdx",) if phrasing.startswith("spdx") else tuple(word.split("|"))
             out.append(made(label, phrasing, strength, keywords, shape.replace("{name}", name).replace("{spdx}", spdx)))
-    return out
+    # versions before families: the shorter match of a family lies in the longer one
+    return out + table("full_name", 0.6, NAMES)
+
+
+def denials() -> re.Pattern:
+    """Where a text denies a license; what lies inside says nothing of one."""
+    return re.compile(f"(?<= )(?:{'|'.join(DENIALS)})(?= )")

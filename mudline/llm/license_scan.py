@@ -3,7 +3,8 @@
 A text becomes lower-case words with one space between.  One Aho-Corasick pass
 finds the keywords of the rules; only rules of which a keyword occurs run.  Matches
 are intervals of words.  A match goes if its interval lies inside that of a
-match of higher priority (an equal interval: of an earlier rule); matches of the
+match of higher priority (an equal interval: of an earlier rule), or inside a
+sentence that denies a license, which comes before all rules; matches of the
 base phrases always stay.
 
 Defined results: null and empty texts have no words and no labels; repeated rows
@@ -23,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mudline.llm.batches import by_bytes
-from mudline.llm.license_rules import BASE, Rule, build_rules
+from mudline.llm.license_rules import BASE, Rule, build_rules, denials
 
 #: A-Z become a-z; all ASCII but digits and letters becomes a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+denied = lru_cache(maxsize=1)(denials)
+
+
 @lru_cache(maxsize=1)
 def compiled() -> tuple[ahocorasick.Automaton, list[Rule]]:
     rules = build_rules()
@@ -75,7 +79,13 @@ def scan(text: str | None) -> tuple[int, list[dict]]:
         for m in rules[i].pattern.finditer(padded):
             first = word_at(m.start()) - 1
             found.append((first, first + m.group().count(" "), i))
+    if found:
+        for m in denied().finditer(padded):
+            first = word_at(m.start()) - 1
+            found.append((first, first + m.group().count(" "), -1))
     for first, last, i in suppress(found):
+        if i < 0:
+            continue
         out.append({"label": rules[i].label, "rule": rules[i].phrasing, "first_word": first, "last_word": last, "strength": rules[i].strength})
     return len(words), out
 
