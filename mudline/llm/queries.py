@@ -134,17 +134,19 @@ WITH RECURSIVE msgs AS (
 ), first_said AS (
   SELECT conv_id, w, min(turn) AS origin FROM own_windows WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
 ), quotes AS (
-  SELECT rid, conv_id, turn, run, kind AS lvl, length(norm) AS chars, list_distinct(list_transform(range(1, greatest(len(string_split(norm, ' ')) - 3, 2)), lambda k: array_to_string(string_split(norm, ' ')[k:k+4], ' '))) AS ws
+  SELECT rid, conv_id, turn, run, kind AS lvl, norm, length(norm) AS chars, list_distinct(list_transform(range(1, greatest(len(string_split(norm, ' ')) - 3, 2)), lambda k: array_to_string(string_split(norm, ' ')[k:k+4], ' '))) AS ws
   FROM passages WHERE kind > 0 AND norm <> ''
 ), votes AS (
-  SELECT rid, run, lvl, chars, n, origin, count(*) AS votes FROM (SELECT *, len(ws) AS n, unnest(ws) AS w FROM quotes) q JOIN first_said f ON q.conv_id = f.conv_id AND q.w = f.w AND f.origin < q.turn GROUP BY ALL HAVING 2 * count(*) >= n
+  SELECT rid, q.conv_id, run, lvl, norm, chars, n, origin, count(*) AS votes FROM (SELECT *, len(ws) AS n, unnest(ws) AS w FROM quotes) q JOIN first_said f ON q.conv_id = f.conv_id AND q.w = f.w AND f.origin < q.turn GROUP BY ALL HAVING 2 * count(*) >= n
+), said AS (
+  SELECT conv_id, turn, rid, ' ' || string_agg(norm, ' ' ORDER BY run) || ' ' AS words FROM passages WHERE kind = 0 AND norm <> '' GROUP BY 1, 2, 3
 ), owners AS (
-  SELECT rid, run, lvl, chars, origin FROM (SELECT *, row_number() OVER (PARTITION BY rid, run ORDER BY votes DESC, origin DESC) AS k FROM votes) x WHERE k = 1
+  SELECT rid, run, lvl, chars, origin, EXISTS (SELECT 1 FROM said s WHERE s.conv_id = x.conv_id AND s.turn = x.origin AND contains(s.words, ' ' || x.norm || ' '))::INT AS verbatim FROM (SELECT *, row_number() OVER (PARTITION BY rid, run ORDER BY votes DESC, origin DESC) AS k FROM votes) x WHERE k = 1
 ), per_origin AS (
-  SELECT rid, origin, min(lvl) AS lvl, sum(chars) AS chars, count(*) AS n FROM owners GROUP BY 1, 2
+  SELECT rid, origin, min(lvl) AS lvl, sum(chars) AS chars, count(*) AS n, sum(verbatim) AS v FROM owners GROUP BY 1, 2
 ), links AS (
-  SELECT p.rid, m.conv_id, m.turn, origin AS reply_to, total AS n_linked FROM (
-    SELECT *, sum(n) OVER (PARTITION BY rid) AS total, row_number() OVER (PARTITION BY rid ORDER BY lvl, chars DESC, origin DESC) AS k FROM per_origin) p JOIN msgs m ON p.rid = m.rid WHERE k = 1
+  SELECT p.rid, m.conv_id, m.turn, origin AS reply_to, total AS n_linked, verbatim AS n_verbatim FROM (
+    SELECT *, sum(n) OVER (PARTITION BY rid) AS total, sum(v) OVER (PARTITION BY rid) AS verbatim, row_number() OVER (PARTITION BY rid ORDER BY lvl, chars DESC, origin DESC) AS k FROM per_origin) p JOIN msgs m ON p.rid = m.rid WHERE k = 1
 ), turns AS (
   SELECT conv_id, turn, max(reply_to) AS reply_to FROM links GROUP BY 1, 2
 ), walk AS (
@@ -153,12 +155,18 @@ WITH RECURSIVE msgs AS (
   SELECT w.rid, w.conv_id, t.reply_to, w.depth + 1 FROM walk w JOIN turns t ON w.conv_id = t.conv_id AND w.at_turn = t.turn
 ), roots AS (
   SELECT rid, max(depth) AS depth, min(at_turn) AS thread_root FROM walk GROUP BY 1
+), paths AS (
+  SELECT DISTINCT conv_id, reply_to AS turn, reply_to AS root, [reply_to] AS path FROM turns t WHERE NOT EXISTS (SELECT 1 FROM turns u WHERE u.conv_id = t.conv_id AND u.turn = t.reply_to)
+  UNION ALL
+  SELECT t.conv_id, t.turn, p.root, list_append(p.path, t.turn) FROM paths p JOIN turns t ON t.conv_id = p.conv_id AND t.reply_to = p.turn
+), placed AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS position FROM paths
 ), texts AS (
   SELECT rid, coalesce(trim(string_agg(CASE WHEN kind = 0 THEN line END, chr(10) ORDER BY i), ' '), '') AS clean_text, count(*) FILTER (WHERE kind > 0) AS n_quoted FROM runs GROUP BY rid
 )
 SELECT m.conv_id, m.turn, m.role, l.reply_to, coalesce(r.thread_root, m.turn) AS thread_root, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth,
-  CAST(t.n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(l.n_linked, 0) AS BIGINT) AS n_linked, t.clean_text, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || t.clean_text || chr(10) AS formatted
-FROM msgs m JOIN texts t ON m.rid = t.rid LEFT JOIN links l ON m.rid = l.rid LEFT JOIN roots r ON m.rid = r.rid
+  CAST(t.n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(l.n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(l.n_verbatim, 0) AS BIGINT) AS n_verbatim, CAST(coalesce(p.position, 0) AS BIGINT) AS position, t.clean_text, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || t.clean_text || chr(10) AS formatted
+FROM msgs m JOIN texts t ON m.rid = t.rid LEFT JOIN links l ON m.rid = l.rid LEFT JOIN roots r ON m.rid = r.rid LEFT JOIN placed p ON p.conv_id = m.conv_id AND p.turn = m.turn
 """
 
 #: Archives as SQL: what each record says of its page.

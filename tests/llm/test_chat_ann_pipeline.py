@@ -67,7 +67,7 @@ def as_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id VARCHAR, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(c) for c in rows])
-    names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "n_quoted", "n_linked", "clean_text", "formatted"]
+    names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "n_quoted", "n_linked", "n_verbatim", "position", "clean_text", "formatted"]
     cur = con.execute(queries.OP8_SQL)
     at = [[d[0] for d in cur.description].index(n) for n in names]
     return names, sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=str)
@@ -83,6 +83,59 @@ def test_quotes_as_sql(spark, chats):
     assert sum(r.reply_to is not None for r in got) > 1000 and max(r.depth for r in got) > 3
 
 
+def mail_threads(n=600, seed=9):
+    """Mail threads with known parents: mostly the last message is quoted, as clients do it (whole, trimmed, wrapped anew, top or bottom posted, nested), sometimes an older one; shared greetings and signatures."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(900)]
+    rows, parents, said = [], {}, {}
+    for k in range(n):
+        conv = k % 20
+        earlier = said.setdefault(conv, [])
+        own = ["Hello all,"] * (rng.random() < 0.4) + [" ".join(rng.choice(words) for _ in range(rng.randint(8, 25))) for _ in range(rng.randint(1, 3))] + ["Best regards"] * (rng.random() < 0.4)
+        turn, parent, quoted = len(earlier), None, []
+        if earlier and rng.random() < 0.9:
+            parent = len(earlier) - 1 if rng.random() < 0.6 else rng.randrange(len(earlier))
+            body = [line for line in earlier[parent] if line not in ("Hello all,", "Best regards")]
+            if rng.random() < 0.4:  # a part of it
+                body = [rng.choice(body)]
+            text = " ".join(body).split()
+            if rng.random() < 0.3 and len(text) > 14:  # trimmed at its beginning or end
+                text = text[rng.randrange(4) : len(text) - rng.randrange(4)]
+            width = rng.choice([6, 9, 14])
+            quoted = ["On Tue someone wrote:"] * (rng.random() < 0.7) + ["> " + " ".join(text[i : i + width]) for i in range(0, len(text), width)]
+            grand = parents.get((conv, parent))
+            if grand is not None and rng.random() < 0.5:
+                quoted += [">> " + line for line in earlier[grand]]
+        earlier.append(own)
+        parents[conv, turn] = parent
+        rows.append((f"m{conv}", turn, "user", "\n".join(quoted + own if rng.random() < 0.5 else [*own, "", *quoted])))
+    return rows, parents
+
+
+def test_planted_mail_threads(spark):
+    rows, parents = mail_threads()
+    got = {(int(r.conv_id[1:]), r.turn): r for r in chat_threads.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    planted = [k for k, p in parents.items() if p is not None]
+    right = sum(got[k].reply_to == parents[k] for k in planted)
+    wrong = [k for k in parents if got[k].reply_to not in (None, parents[k])]
+    assert len(planted) > 400 and right >= 0.95 * len(planted) and len(wrong) <= 0.02 * len(parents)
+    assert all(got[k].n_verbatim == got[k].n_linked or got[k].n_linked > 1 for k in planted)
+    assert not any(">" in r.clean_text or "wrote:" in r.clean_text for r in got.values())
+    for conv in range(20):
+        # reply order: each message, then its replies by turn, each with its own
+        mine = {t: got[conv, t] for c, t in got if c == conv}
+        replies = {}
+        for t, r in sorted(mine.items()):
+            replies.setdefault(r.reply_to, []).append(t)
+
+        def order(t):
+            return [t, *(x for y in replies.get(t, []) for x in order(y))]
+
+        for root in replies[None]:
+            read = sorted((t for t, r in mine.items() if r.thread_root == root), key=lambda t: mine[t].position)
+            assert read == order(root) and [mine[t].position for t in read] == list(range(len(read)))
+
+
 def test_no_python_in_chat_plans(chats):
     plan = chat_threads.link_quotes(chats)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
