@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mudline.llm.shared import written
+from mudline.llm.shared import discard, new_dir, written, written_at
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -25,18 +25,21 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours, then the label that
     this label had before, so chains shrink by half.  Rounds are written to the
-    shared folder, links and labels never reach the driver.  Sums per node combine
+    shared folder, each in place of the one before; links and labels never reach the driver.  Sums per node combine
     before the shuffle, and joins on a hub's label are plain equi-joins that Spark
     may split.
     """
     few = written(contracted(links), "contracted")
     both = few.union(few.select("b", "a")).distinct()
-    labels = written(few.select(F.col("a").alias("node"), F.col("b").alias("label")).union(few.select("b", "b")).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    spark, path = links.sparkSession, new_dir(links.sparkSession, "labels")
+    labels = written_at(few.select(F.col("a").alias("node"), F.col("b").alias("label")).union(few.select("b", "b")).groupBy("node").agg(F.min("label").alias("label")), path)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = written(lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), "labels")
+        last, path = path, new_dir(spark, "labels")
+        after = written_at(lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), path)
+        discard(spark, last)
         labels = after.select("node", "label")
         if after.filter("label <> old").isEmpty():
             return labels
