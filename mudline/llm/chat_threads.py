@@ -181,8 +181,9 @@ def link_quotes(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     above = roots.select("conv_id", F.col("turn").alias("reply_to"), F.col("thread_root").alias("root_above"), F.col("depth").alias("depth_above"))
     threads = links.join(above, ["conv_id", "reply_to"], "left").select(
         "conv_id", "turn", "mark", "reply_to", "n_linked", "n_verbatim", F.coalesce("root_above", "reply_to").alias("thread_root"), (F.coalesce("depth_above", F.lit(0)) + 1).cast("long").alias("depth")
-    )
-    told = rows.join(threads, ["conv_id", "turn", "mark"], "left").join(places, ["conv_id", "turn"], "left").select(
+    ).join(places, ["conv_id", "turn"], "left")
+    # what has no link is a root or alone: position 0
+    told = rows.join(threads, ["conv_id", "turn", "mark"], "left").select(
         "conv_id", "turn", "role", "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("position", F.lit(0)).cast("long").alias("position"), "clean_text",
     )
