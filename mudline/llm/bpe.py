@@ -16,8 +16,10 @@ with the strings of special tokens are normalised and cut into words by the
 tokenizers library, per text; their words are encoded like all others.
 
 Defined results: null and empty texts have no ids and decode to an empty text;
-repeated rows give repeated results; extra columns are ignored; an empty table
-gives an empty table.
+repeated rows give repeated results; of merges of equal rank the leftmost comes
+first, as in the library; very long texts are encoded whole, one text at a time
+where it is longer than a batch; extra columns are ignored, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -55,9 +55,9 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def windows(norm: Column) -> Column:
-    """Hashes of each run of ``WINDOW`` words, or of the whole of fewer words."""
-    words = F.split(norm, " ")
+def windows(words: str) -> Column:
+    """Hashes of each run of ``WINDOW`` words, or of the whole of fewer words; ``words`` is a column of its own, as a split in here would be done for each run."""
+    words = F.col(words)
     long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))
     return F.array_distinct(long)
 
@@ -90,7 +90,7 @@ def first_said(messages: DataFrame) -> DataFrame:
     """``conv_id``, ``window`` and ``origin``: the first turn that says a window itself."""
     short = F.filter(F.transform("own", normal), lambda x: (x != "") & (F.size(F.split(x, " ")) < WINDOW))
     parts = F.concat(F.transform(F.filter("passages", lambda p: p["kind"] == 0), lambda p: p["norm"]), short)
-    said = messages.select("conv_id", "turn", F.explode(parts).alias("norm")).select("conv_id", "turn", F.explode(windows(F.col("norm"))).alias("window"))
+    said = messages.select("conv_id", "turn", F.explode(parts).alias("norm")).withColumn("words", F.split("norm", " ")).select("conv_id", "turn", F.explode(windows("words")).alias("window"))
     return said.groupBy("conv_id", "window").agg(F.min("turn").alias("origin"))
 
 
@@ -99,7 +99,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     placed = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     first = first_said(placed)
     quotes = placed.filter("n_quoted > 0").distinct().select("conv_id", "turn", "mark", F.explode(F.filter("passages", lambda p: p["kind"] > 0)).alias("p"))
-    cut = quotes.select("conv_id", "turn", "mark", "p.place", F.col("p.kind").alias("level"), F.length("p.norm").alias("chars"), windows(F.col("p.norm")).alias("all"), "p.norm")
+    cut = quotes.select("conv_id", "turn", "mark", "p.place", F.col("p.kind").alias("level"), F.length("p.norm").alias("chars"), "p.norm").withColumn("words", F.split("norm", " ")).withColumn("all", windows("words")).drop("words")
     keyed = cut.withColumn("n", F.size("all")).withColumn("window", F.explode("all")).drop("all", "norm")
     met = keyed.join(first, ["conv_id", "window"]).filter("origin < turn")
     passage = ["conv_id", "turn", "mark", "place"]

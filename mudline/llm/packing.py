@@ -11,7 +11,10 @@ window count starts at the least possible and rises whenever a window exceeds
 the capacity.
 
 Defined results: null and empty texts are one piece that holds the end id;
-repeated rows each get pieces of their own; an empty table gives an empty one.
+repeated rows each get pieces of their own; partitions that differ by the same are
+merged in order of their pieces, so a group packs alike each time; a very long text
+is cut into pieces of one window at most; other columns are ignored, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -22,8 +22,10 @@ A bucket yields links that span its linked groups, not all its pairs.
 
 Defined results: texts without a word (null, empty, white space) have
 fingerprint zero and are linked with each other; repeated rows share a
-component; rows without id get the component of their fingerprint; an empty
-table gives an empty one.
+component; rows without id get the component of their fingerprint; a bit that half
+of the hashes set, a tie, is 0; very long texts are hashed whole, one at a time
+where they are longer than a batch; other columns are ignored, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
