@@ -285,13 +285,16 @@ def predict(docs: DataFrame, models: Models | None, text_col: str = "text", keep
     if models is None:
         results = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)}
         return docs.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(prefix + c) for c, v in results.items()])
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text to name"))
+    # a text that is kept goes to the task once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    text = f"in{at}"
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], *([F.col(f"`{text_col}`").alias(text)] if at == len(keep) else []))
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for b in by_bytes(batches, "text to name"):
-            column = b.column(len(keep))
+        for b in by_bytes(batches, text):
+            column = b.column(at)
             letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, score, entropy, rejected = decide(shared.value, *text_scores(shared.value, cache, column), letters)
             names = pa.array(shared.value.languages, pa.string()).take(pa.array(best))

@@ -180,11 +180,14 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     made = [*measures, "covered_fraction", "base_failed", "kept"]
     named = {(prefix + m).lower() for m in made}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text for rules"))
+    # a text that is kept goes to the task once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    text = f"in{at}"
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(keep)], *([F.col(f"`{text_col}`").alias(text)] if at == len(keep) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text for rules"):
-            got = measure(b.column(len(keep)))
+        for b in by_bytes(batches, text):
+            got = measure(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(got[m].astype(np.int64)) for m in measures)], [*(f"in{i}" for i in range(len(keep))), *measures])
 
     schema = ", ".join([*(f"in{i} {rows.schema[f'in{i}'].dataType.simpleString()}" for i in range(len(keep))), *(f"{m} long" for m in measures)])
