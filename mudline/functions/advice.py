@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mudline.functions import digits
+
 #: Sentences of advisories (fixed values).
 WORDINGS: dict[str, tuple[str, tuple[str, ...]]] = {
     "well_control": (
@@ -48,7 +50,7 @@ CAMPAIGN_NOTE, NORMAL_WHY, CONFIDENCE = " (P&A mode: tighter flow tolerance)", "
 
 def said(name: str, p: dict[str, Column]) -> Column:
     text, names = WORDINGS[name]
-    return F.format_string(text, *[p[n] for n in names])
+    return digits.printf(text, *[p[n] for n in names])
 
 
 def said_sql(name: str) -> str:

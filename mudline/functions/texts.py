@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mudline.functions import digits
 from mudline.functions.voting import REGIME_LABELS
 
 
@@ -14,7 +15,7 @@ def describe(p: dict[str, Column]) -> Column:
     ``p``: rule, severity, flow_balance, pit_rate, gas, background, h2s, ecd_margin,
     spp_delta, torque_delta, wob_change, rop_change, efficiency.
     """
-    f, grave = F.format_string, p["severity"]
+    f, grave = digits.printf, p["severity"]
     return (
         F.when(p["rule"] == "kick", f("%s: Potential kick detected - flow imbalance %.1f gpm, gas %.0f units", grave, p["flow_balance"], p["gas"]))
         .when(p["rule"] == "loss", f("%s: Potential lost circulation - flow imbalance %.1f gpm, pit rate %.1f bbl/hr", grave, p["flow_balance"], p["pit_rate"]))
@@ -32,13 +33,13 @@ def describe(p: dict[str, Column]) -> Column:
 def voting_reasoning(final: Column, regime: Column, votes: Column) -> Column:
     """Why the ensemble decided: ``votes`` is an array of (specialist, vote, weight)."""
     label = F.coalesce(F.get(F.array(*[F.lit(x) for x in REGIME_LABELS]), regime.cast("int")), F.lit(REGIME_LABELS[-1]))
-    each = F.transform(votes, lambda v: F.format_string("%s=%s (%.0f%%)", v["specialist"], v["vote"], v["weight"] * 100.0))
-    return F.format_string("Final severity %s from ensemble [regime %d:%s]: %s", final, regime.cast("int"), label, F.array_join(each, ", "))
+    each = F.transform(votes, lambda v: digits.printf("%s=%s (%.0f%%)", v["specialist"], v["vote"], v["weight"] * 100.0))
+    return digits.printf("Final severity %s from ensemble [regime %d:%s]: %s", final, regime.cast("int"), label, F.array_join(each, ", "))
 
 
 def causal_block(leads: Column) -> Column:
     """Leads, an array of (parameter, lag, r), in one sentence; empty without any."""
-    each = F.transform(leads, lambda x: F.format_string("%s %s precedes MSE rise by %ds (r=%+.2f)", x["parameter"], F.when(x["r"] > 0, "rising").otherwise("falling"), x["lag"], x["r"]))
+    each = F.transform(leads, lambda x: digits.printf("%s %s precedes MSE rise by %ds (r=%+.2f)", x["parameter"], F.when(x["r"] > 0, "rising").otherwise("falling"), x["lag"], x["r"]))
     return F.when(F.size(leads) > 0, F.concat(F.lit(" Causal leads: "), F.array_join(each, "; "), F.lit("."))).otherwise("")
 
 
@@ -60,20 +61,20 @@ def trigger_of_votes(votes: Column, flow_balance: Column, efficiency: Column) ->
 
 def parameter_steps(wob: Column, rpm: Column, flow: Column) -> Column:
     """What to change ahead of a formation: steps over 1 klb, 5 rpm or 10 gpm."""
-    part = lambda x, limit, text: F.when(F.abs(x) > limit, F.format_string(text, x))
+    part = lambda x, limit, text: F.when(F.abs(x) > limit, digits.printf(text, x))
     steps = F.filter(F.array(part(wob, 1, "WOB %+.0f klbs"), part(rpm, 5, "RPM %+.0f"), part(flow, 10, "Flow %+.0f gpm")), lambda s: s.isNotNull())
     return F.when(F.size(steps) > 0, F.array_join(steps, ", ")).otherwise("no parameter change")
 
 
 def look_ahead_text(formation: Column, minutes: Column, feet: Column, steps: Column) -> Column:
-    return F.format_string("%s in %.0f min (%.0f ft): %s", formation, minutes, feet, steps)
+    return digits.printf("%s in %.0f min (%.0f ft): %s", formation, minutes, feet, steps)
 
 
 def optimization_text(formation: Column, recommendations: Column, confidence: Column) -> Column:
     """Recommendations, an array of (parameter, current, recommended, impact), the largest impact first."""
     ordered = F.array_sort(recommendations, lambda a, b: F.when(a["impact"] > b["impact"], -1).when(a["impact"] < b["impact"], 1).otherwise(0))
-    each = F.transform(ordered, lambda x: F.format_string("%s %.1f -> %.1f", x["parameter"], x["current"], x["recommended"]))
-    return F.format_string("%s: %s (confidence %.0f%%)", formation, F.array_join(each, "; "), confidence * 100.0)
+    each = F.transform(ordered, lambda x: digits.printf("%s %.1f -> %.1f", x["parameter"], x["current"], x["recommended"]))
+    return digits.printf("%s: %s (confidence %.0f%%)", formation, F.array_join(each, "; "), confidence * 100.0)
 
 
 def composite_rating(score: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mudline.config import DEFAULT, Config
-from mudline.functions import physics
+from mudline.functions import digits, physics
 from mudline.functions.frames import last_rows, ordered
 from mudline.functions.physics import ratio
 from mudline.operators import windows
@@ -79,7 +79,7 @@ def periodic_summary(metrics: DataFrame, seconds: int = 600, poor_percent: float
         "kind": ladder(lit("RiskWarning"), lit("Intervention"), lit("Optimization"), lit("Optimization")), "severity": ladder(lit("High"), lit("Medium"), lit("Low"), lit("Low")),
         "category": ladder(lit("WellControl"), F.col("worst"), lit("DrillingEfficiency"), lit("None")), "trigger": ladder(lit("well_control_events"), lit("anomaly_rate"), lit("avg_mse"), lit("periodic_summary")),
         "trigger_value": ladder(F.col("anomalies").cast("double"), rate, energy, lit(0.0)),
-        "description": F.format_string("Periodic 10-minute summary: %.1f%% anomaly rate, avg ROP %.1f ft/hr", rate, F.col("avg_rop")),
+        "description": digits.printf("Periodic 10-minute summary: %.1f%% anomaly rate, avg ROP %.1f ft/hr", rate, F.col("avg_rop")),
     }).drop("anomalies", "well_control", "worst")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mudline.functions import digits
 from mudline.functions.tickets import default_parameters
 from mudline.sources.plans import safe_name
 
@@ -97,14 +98,14 @@ def narrative(wells: DataFrame, compared: DataFrame, timeline: DataFrame, rating
     and counts; ``timeline``: advisories; ``ratings``: outcomes by seq.  Lines are made
     where the rows are; only a well's formations and its first critical events meet.
     """
-    f = lambda name, *args: F.format_string(NARRATIVE[name], *args)
+    f = lambda name, *args: digits.printf(NARRATIVE[name], *args)
     c = F.col
     lines = lambda column, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column.alias("_t")))), lambda x: x["_t"]), "\n")
     near = F.lit(1.234e-6)  # keeps halves from being rounded in two ways
     delta = F.try_divide(c("rop") - c("planned"), c("planned")) * 100
     kind = F.when(c("planned").isNull(), "NO PLAN DATA").when(delta > 10, "EXCEEDED PLAN").when(delta < -10, "BELOW PLAN").otherwise("MET PLAN")
-    plan = F.when(c("planned").isNull(), "N/A (no plan data)").otherwise(F.format_string("%.1f ft/hr (planned)", c("planned")))
-    change = F.when(delta.isNull(), "N/A").when(delta > 0, F.format_string("+%.1f%%", delta)).otherwise(F.format_string("%.1f%%", delta))
+    plan = F.when(c("planned").isNull(), "N/A (no plan data)").otherwise(digits.printf("%.1f ft/hr (planned)", c("planned")))
+    change = F.when(delta.isNull(), "N/A").when(delta > 0, digits.printf("+%.1f%%", delta)).otherwise(digits.printf("%.1f%%", delta))
     told = f("formation", c("formation"), c("top"), c("base"), c("rop"), plan, change, kind, c("advisories"), c("critical"))
     rose = F.when(kind == "EXCEEDED PLAN", f("worked", c("formation"), delta, c("rop"), c("planned"), c("wob"), c("rpm")))
     fell = F.when(kind == "BELOW PLAN", F.concat(f("fell", c("formation"), F.abs(delta), c("rop"), c("planned")), F.when(c("mechanical") > 0, f("blamed", c("mechanical"))).otherwise("")))

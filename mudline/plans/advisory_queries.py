@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudline.functions import reports
+from mudline.functions import digits, reports
 from mudline.functions.frames import last_rows
 from mudline.operators import advisories, joins, kernels, reading
 from mudline.operators.metrics import drilling_metrics
@@ -96,5 +96,5 @@ EXPOSED = (
 def metrics_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six metrics in the text exposition format, from one pass."""
     n = drilling_metrics(telemetry(spark, sf_dir)).agg(*[F.expr(e).alias(n) for n, _, _, e in EXPOSED])
-    value = lambda n: F.format_string("%.2f", n) if n.startswith("avg") else F.col(n)
+    value = lambda n: digits.printf("%.2f", n) if n.startswith("avg") else F.col(n)
     return n.select(F.explode(F.array(*[reports.exposition(n, kind, words, value(n)) for n, kind, words, _ in EXPOSED])).alias("text"))

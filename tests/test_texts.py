@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from mudline.functions import texts
+from mudline.functions import digits, texts
 from mudline.operators import advisories, baseline, joins, reading
 
 VOTE = "array<struct<specialist: string, vote: string, weight: double, reasoning: string>>"
@@ -77,3 +78,14 @@ def test_oscillation_drops_unsound_values(spark):
     got = [r[0] for r in df.select(advisories.oscillation(F.col("v"))).collect()]
     assert got[0].cv == pytest.approx(1 / 3) and got[0].hz == pytest.approx(29 / 58) and got[0].amplitude == pytest.approx(2 / 3) and got[0].kind == "StickSlip"
     assert got[1:] == [None, None, None]
+
+
+def test_digits_of_halves(spark):
+    """6.55 is a little less than its decimal, 45.75 and 28.5 are exact halves, and 1.005 times 100 rounds to a half on the way or not as doubles have it."""
+    values = [6.55, 6.45, 45.75, 45.25, 28.5, 27.5, 0.05, 1.005, -6.55, -0.04, 17.571875, 1e15, 0.0, 999.95, 2.675, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    v = F.col("v")
+    got = df.select(digits.printf("%.0f|%.1f|%+.2f %d%% %s %.3f", v, v, "v", F.lit(7), F.lit("x"), v).alias("t"), digits.rounded(v, 5).alias("five"), digits.rounded(v, 2).alias("two")).collect()
+    assert [r.t for r in got[:-1]] == ["%.0f|%.1f|%+.2f %d%% %s %.3f" % (x, x, x, 7, "x", x) for x in values[:-1]]
+    con = duckdb.connect()
+    assert [(r.five, r.two) for r in got] == [con.execute("SELECT round(?::DOUBLE, 5), round(?::DOUBLE, 2)", [x, x]).fetchone() for x in values]
