@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mudline.functions import anomalies, physics, states, tickets, voting
+from mudline.functions.digits import rounded
 from mudline.functions.frames import last_rows, ordered, so_far
 from mudline.operators import quality
 from mudline.operators.metrics import METRICS_SQL, STATE_SQL, drilling_metrics, with_state
@@ -17,7 +18,7 @@ REC, REC_MET = f"WITH RECURSIVE {TELEMETRY_SQL} ", f"WITH RECURSIVE {TELEMETRY_S
 
 
 def r(x: Column, name: str, digits: int = 6) -> Column:
-    return F.round(x, digits).alias(name)
+    return rounded(x, digits).alias(name)
 
 
 def cols(*names: str) -> list[Column]:
