@@ -102,11 +102,13 @@ class ConnectionGas(Kernel):
 
 
 def slope(values: list[float]) -> float:
-    n = len(values)
-    if n < 2:
-        return 0.0
-    mx, my = (n - 1) / 2, sum(values) / n
-    return sum((i - mx) * (v - my) for i, v in enumerate(values)) / sum((i - mx) ** 2 for i in range(n))
+    """Least-squares slope against the place, by running means and a fused co-moment as DuckDB has it, so that slopes at a limit fall to the same side."""
+    mean = moment = spread = 0.0
+    for n, v in enumerate(values, 1):
+        mean += (v - mean) / n
+        moment = math.fma(n / 2, v - mean, moment)
+        spread += n * (n - 1) / 4
+    return (moment / n) / (spread / n) if len(values) > 1 else 0.0
 
 
 class BitWear(Kernel):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mudline.functions import digits, texts
-from mudline.operators import advisories, baseline, joins, reading
+from mudline.operators import advisories, baseline, joins, kernels, reading
 
 VOTE = "array<struct<specialist: string, vote: string, weight: double, reasoning: string>>"
 
@@ -89,3 +89,13 @@ def test_digits_of_halves(spark):
     assert [r.t for r in got[:-1]] == ["%.0f|%.1f|%+.2f %d%% %s %.3f" % (x, x, x, 7, "x", x) for x in values[:-1]]
     con = duckdb.connect()
     assert [(r.five, r.two) for r in got] == [con.execute("SELECT round(?::DOUBLE, 5), round(?::DOUBLE, 2)", [x, x]).fetchone() for x in values]
+
+
+def test_slopes_equal_those_of_the_sql():
+    """To the last bit, as a slope of 0.1 is asked for."""
+    values = [((i * 7919) % 12000 - (i * 104729) % 12000) / 100 for i in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (e DOUBLE, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    want = [r[0] for r in con.execute("SELECT regr_slope(v, e) OVER (ORDER BY e ROWS 9 PRECEDING) FROM t ORDER BY e").fetchall()]
+    assert [kernels.slope(values[max(i - 9, 0) : i + 1]) for i in range(1, 400)] == want[1:] and kernels.slope([3.0]) == 0.0
