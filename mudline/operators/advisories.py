@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mudline.functions import physics, tickets
 from mudline.functions.frames import last_rows, ordered
-from mudline.operators.kernels import Kernel
+from mudline.operators.kernels import Kernel, in_order, places
 from mudline.operators.nets import AHEAD, FEATURES
 from mudline.operators.reading import blended
 
@@ -37,6 +40,54 @@ def oscillation(torques: Column, least: int = 20, threshold: float = 0.05) -> Co
     return F.when(n >= F.greatest(F.lit(least), F.lit(2)), F.when(made["cv"] >= threshold, out))
 
 
+def swings(values: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Sound values, cv, hz and amplitude of the last ``n`` values of each row's key, where ``place`` counts the rows of a key from 1 and the first n - 1 rows may lie in another key; a step for each place in the window, over all rows at once."""
+    sound = (values > 0) & np.isfinite(values)
+    x = np.where(sound, values, 0.0)
+    steps = [(back, max(len(x) - back, 0)) for back in range(min(n, len(x)) - 1, -1, -1)]  # the oldest value first, as sums run
+    there = [np.concatenate([np.zeros(back, bool), sound[:m] & (place[back:] > back)]) for back, m in steps]
+    shifted = [np.concatenate([np.zeros(back), x[:m]]) for back, m in steps]
+    count, total = np.zeros(len(x), np.int64), np.zeros(len(x))
+    low, high = np.full(len(x), np.inf), np.full(len(x), -np.inf)
+    for ok, v in zip(there, shifted, strict=True):
+        count += ok
+        total += np.where(ok, v, 0.0)
+        low, high = np.where(ok, np.minimum(low, v), low), np.where(ok, np.maximum(high, v), high)
+    mean = total / np.maximum(count, 1)
+    squares, crossings = np.zeros(len(x)), np.zeros(len(x), np.int64)
+    side, begun = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for ok, v in zip(there, shifted, strict=True):
+        squares += np.where(ok, (v - mean) * (v - mean), 0.0)
+        above = v >= mean
+        crossings += ok & begun & (above != side)
+        side, begun = np.where(ok, above, side), begun | ok
+    some = np.where(count > 0, mean, 1.0)
+    return count, np.sqrt(squares / np.maximum(count, 1)) / some, crossings / (2.0 * np.maximum(count - 1, 1)), np.where(count > 0, high - low, 0.0) / some
+
+
+def oscillations(rows: DataFrame, value: str, keep: tuple[str, ...] = ("seq",), n: int = 60, least: int = 20, threshold: float = 0.05, key: str = "well_id", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """``keep`` and cv, hz, amplitude and kind of each row whose last ``n`` values swing, as ``oscillation`` has them of a list; rows stream in order, a task holds a batch and the n - 1 rows before it."""
+    picked = in_order(rows.select(*dict.fromkeys([key, *order, *keep, value])), key, order).select(*keep, F.col(value).alias("_value"), "_place")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.select(*keep).schema), "cv double, hz double, amplitude double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, values, place = 0, np.zeros(0), np.zeros(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = b.column("_place").to_numpy()
+            places(new, last)
+            last, held = int(new[-1]), len(values)
+            # nulls become NaN, which is not sound
+            values, place = np.concatenate([values, b.column("_value").to_numpy(zero_copy_only=False).astype(float)]), np.concatenate([place, new])
+            count, cv, hz, amplitude = (a[held:] for a in swings(values, place, n))
+            values, place = values[-(n - 1) :], place[-(n - 1) :]
+            found = np.flatnonzero((count >= max(least, 2)) & (cv >= threshold))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(found)) for c in keep), *(pa.array(a[found]) for a in (cv, hz, amplitude))], [*keep, "cv", "hz", "amplitude"])
+
+    return picked.mapInArrow(run, schema).withColumn("kind", F.when(F.col("hz") < 1.0, "StickSlip").otherwise("Torsional"))
+
+
 def with_damping(rows: DataFrame, recipes: DataFrame, n: int = 60, least_cv: float = 0.15, max_wob_pct: float = 20.0, max_rpm_pct: float = 20.0) -> DataFrame:
     """Recommended weight and speed for stick-slip tickets, refined by the formation's best recipe (formation, best) where it has one.
 

@@ -369,9 +369,9 @@ def in_order(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def places(column: pd.Series, before: int) -> list[int]:
+def places(column: pd.Series | np.ndarray, before: int) -> list[int]:
     """Row places that begin a key; fails where a row does not follow the one before."""
-    at = column.to_numpy()
+    at = np.asarray(column)
     follows = np.append(before, at[:-1]) + 1 == at
     if not (follows | (at == 1)).all():
         raise RuntimeError("rows of a key are not in order")

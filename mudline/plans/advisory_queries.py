@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mudline.functions import digits, reports
-from mudline.functions.frames import last_rows
 from mudline.operators import advisories, joins, kernels, reading
 from mudline.operators.metrics import drilling_metrics
 from mudline.operators.nets import FEATURES
@@ -23,8 +22,8 @@ OSC_SQL = f""", ol AS (SELECT *, list(torque) OVER w60 AS v FROM {{0}} WINDOW w6
 
 @query(TEL + OSC_SQL.format("tel") + "SELECT seq, round(ocv, 6) AS cv, round(hz, 6) AS hz, round(amp, 6) AS amplitude, CASE WHEN hz < 1 THEN 'StickSlip' ELSE 'Torsional' END AS kind FROM oc WHERE len(v) >= 20 AND ocv >= 0.05")
 def torque_oscillations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = telemetry(spark, sf_dir).select("seq", F.collect_list("torque").over(last_rows(60)).alias("v")).select("seq", advisories.oscillation(F.col("v")).alias("o")).filter("o IS NOT NULL")
-    return t.select("seq", r(F.col("o.cv"), "cv"), r(F.col("o.hz"), "hz"), r(F.col("o.amplitude"), "amplitude"), "o.kind")
+    o = advisories.oscillations(telemetry(spark, sf_dir), "torque")
+    return o.select("seq", r(F.col("cv"), "cv"), r(F.col("hz"), "hz"), r(F.col("amplitude"), "amplitude"), "kind")
 
 
 @query(RC.replace("WITH rc", f"{MET.strip()}, rc") + OSC_SQL.format("met") + """, bp AS (SELECT formation, arg_min(wob_change_pct, achieved_cv * 1e12 + recipe) AS w, arg_min(rpm_change_pct, achieved_cv * 1e12 + recipe) AS p FROM rc GROUP BY 1),

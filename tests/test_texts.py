@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mudline.functions import digits, texts
@@ -99,3 +100,22 @@ def test_slopes_equal_those_of_the_sql():
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
     want = [r[0] for r in con.execute("SELECT regr_slope(v, e) OVER (ORDER BY e ROWS 9 PRECEDING) FROM t ORDER BY e").fetchall()]
     assert [kernels.slope(values[max(i - 9, 0) : i + 1]) for i in range(1, 400)] == want[1:] and kernels.slope([3.0]) == 0.0
+
+
+def test_oscillations_of_streams_equal_those_of_lists(spark):
+    """Unsound values, short wells and wells that end in a batch; a batch is smaller than a window."""
+    odd = {5: None, 9: float("nan"), 40: -3.0, 41: 0.0, 77: float("inf")}
+    rows = [(w, 0, i, odd.get(i, 10.0 + (i * 7 + w) % 13 * (i % 50 > 20))) for w, n in ((1, 150), (2, 15), (3, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "well_id long, ts long, seq long, torque double")
+    last = Window.partitionBy("well_id").orderBy("ts", "seq").rowsBetween(-59, 0)
+    listed = df.select("well_id", "seq", advisories.oscillation(F.collect_list("torque").over(last)).alias("o")).filter("o IS NOT NULL")
+    want = sorted((r.well_id, r.seq, *r.o) for r in listed.collect())
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", held):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = advisories.oscillations(df, "torque", keep=("well_id", "seq"))
+            assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+            assert "_value" in got._jdf.queryExecution().toString() and "collect_list" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
