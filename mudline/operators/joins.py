@@ -10,8 +10,8 @@ CELL = 100.0
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """``rows``, to be broadcast where they are few (checked); larger ones are left to shuffle joins."""
-    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+    """``rows``, to be broadcast where they are few (checked); larger ones go to shuffle joins, whatever Spark makes of the size of their files."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows.hint("merge")
 
 
 def in_cells(intervals: DataFrame, top: str, base: str, cell: float = CELL) -> DataFrame:
@@ -49,20 +49,28 @@ def first_interval(points: DataFrame, intervals: DataFrame, at: str, top: str, b
     return placed.join(cells, inside, "left").select(*points.columns, *intervals.columns)
 
 
-def neighbours_on_axis(points: DataFrame, marks: DataFrame, at: str, mark: str, name: str, cell: float = CELL) -> DataFrame:
-    """Each point with the last mark at or before it and the next one after it: ``last_mark``, ``last_name``, ``next_mark``, ``next_name``.
+def spans_on_axis(marks: DataFrame, mark: str, name: str, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """Marks of distinct places (``m``, ``n``), and each with the next one: ``last_mark``, ``last_name``, ``next_mark``, ``next_name``.
 
-    Marks of equal place keep the smallest name.  Neighbouring marks make spans,
-    which are joined by cell; only cells, as many as the axis is long, are ever
-    sorted in one task.
+    Only cells, as many as the axis is long, are ever sorted in one task.
     """
     one = marks.groupBy(F.col(mark).alias("m")).agg(F.min(name).alias("n")).filter("m IS NOT NULL").withColumn("c", F.floor(F.col("m") / cell))
     first = one.groupBy("c").agg(F.min(F.struct("m", "n")).alias("first"))
     following = first.select("c", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("c")).alias("beyond"))
     inside = F.lead(F.struct("m", "n")).over(Window.partitionBy("c").orderBy("m"))
-    spans = one.withColumn("inside", inside).join(following, "c").select("m", "n", F.coalesce("inside", "beyond").alias("after"))
-    ends = one.agg(F.min(F.struct("m", "n")).alias("lowest"), F.max(F.struct("m", "n")).alias("highest"))
+    spans = one.withColumn("inside", inside).join(following.hint("merge"), "c").select("m", "n", F.coalesce("inside", "beyond").alias("after"))
     closed = spans.filter("after IS NOT NULL").select(F.col("m").alias("last_mark"), F.col("n").alias("last_name"), F.col("after.m").alias("next_mark"), F.col("after.n").alias("next_name"))
+    return one, closed
+
+
+def neighbours_on_axis(points: DataFrame, marks: DataFrame, at: str, mark: str, name: str, cell: float = CELL) -> DataFrame:
+    """Each point with the last mark at or before it and the next one after it: ``last_mark``, ``last_name``, ``next_mark``, ``next_name``.
+
+    Marks of equal place keep the smallest name.  Neighbouring marks make spans,
+    which are joined by cell.
+    """
+    one, closed = spans_on_axis(marks, mark, name, cell)
+    ends = one.agg(F.min(F.struct("m", "n")).alias("lowest"), F.max(F.struct("m", "n")).alias("highest"))
     met = range_join(points, closed, at, "last_mark", "next_mark", cell).join(F.broadcast(ends), how="cross")
     below, above = F.col(at) < F.col("lowest.m"), F.col(at) >= F.col("highest.m")
     return met.withColumns({

@@ -66,15 +66,15 @@ def nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TEL + FORMATION_SQL + "SELECT well_id, formation, CAST(k - 1 AS INTEGER) AS place FROM (SELECT w.well_id, f.formation, row_number() OVER (PARTITION BY w.well_id ORDER BY f.top) AS k FROM (SELECT well_id, min(bit_depth) + 700 AS d FROM tel GROUP BY 1) w JOIN fm f ON f.top > w.d) a WHERE k BETWEEN 2 AND 4")
 def upcoming_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three formations after the next one: four steps along the axis, each an as-of join."""
+    """The three formations after the next one: an as-of join, then three steps from top to top."""
     at = telemetry(spark, sf_dir).groupBy("well_id").agg((F.min("bit_depth") + 700).alias("d"))
-    steps = None
-    for k in range(4):
-        at = with_neighbours(spark, sf_dir, at.select("well_id", "d"), "d").select("well_id", F.col("next_mark").alias("d"), "next_name").filter("d IS NOT NULL")
-        if k:
-            step = at.select("well_id", F.col("next_name").alias("formation"), F.lit(k).alias("place"))
-            steps = step if steps is None else steps.unionByName(step)
-    return steps
+    met = with_neighbours(spark, sf_dir, at, "d").filter("next_mark IS NOT NULL").select("well_id", F.col("next_mark").alias("top"))
+    _, spans = joins.spans_on_axis(formations(spark, sf_dir).select("formation", "top"), "top", "formation")
+    for k in range(1, 4):
+        onward = spans.select(F.col("last_mark").alias("top"), F.col("next_mark").alias("_next"), F.col("next_name").alias(f"formation{k}"))
+        met = met.join(onward.hint("merge"), "top", "left").drop("top").withColumnRenamed("_next", "top")
+    steps = F.array(*[F.struct(F.col(f"formation{k}").alias("formation"), F.lit(k).alias("place")) for k in range(1, 4)])
+    return met.select("well_id", F.explode(steps).alias("s")).select("well_id", "s.*").filter("formation IS NOT NULL")
 
 
 @query(TEL + FORMATION_SQL + """, fd AS (SELECT t.seq, t.well_id, t.ts, f.formation FROM tel t LEFT JOIN fm f ON bit_depth >= top AND bit_depth < base)

@@ -119,3 +119,15 @@ def test_oscillations_of_streams_equal_those_of_lists(spark):
             assert "_value" in got._jdf.queryExecution().toString() and "collect_list" not in got._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_many_marks_are_not_broadcast(spark, monkeypatch):
+    """Marks beyond the limit reach no driver, and neighbours stay the same."""
+    points = spark.range(40).select((F.col("id") * 37.0).alias("d"))
+    marks = spark.range(30).select((F.col("id") * 50.0).alias("m"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("n"))
+    few = joins.neighbours_on_axis(points, marks, "d", "m", "n")
+    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
+    many = joins.neighbours_on_axis(points, marks, "d", "m", "n")
+    plan = many._jdf.queryExecution().executedPlan().toString()  # before it runs
+    assert plan.count("BroadcastExchange") == 1 and "SortMergeJoin" in plan  # the axis' two ends alone
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
