@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Rows with equal sets collapse to one node.
-2. A node has ``BANDS`` independent fingerprints, each of ``ROWS`` minima of its
+1. Rows with equal sets collapse to one node, with the SimHash fingerprint of its
+   set: nodes of equal fingerprints, and of fingerprints that the pigeonhole probes
+   of ``simhash`` link, are candidates and are verified by exact Jaccard.
+2. For copies whose fingerprints lie further apart (about ten bits at 0.8) a node has ``BANDS`` independent fingerprints, each of ``ROWS`` minima of its
    hashed shingles.  Nodes that share one are candidates: a pair at similarity J
    shares none with probability (1 - J ** ROWS) ** BANDS, 0.23 % at 0.8, wherever
    the edits lie.  A bucket is never cut.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from mudline.llm.batches import by_bytes
 from mudline.llm.components import connected_components
 from mudline.llm.shared import written
-from mudline.llm.simhash import SEED, STAGE_SHINGLE, shingles
+from mudline.llm.simhash import SEED, STAGE_SHINGLE, majority, near_links, shingles
 
 BANDS = 20
 ROWS = 6
@@ -82,24 +84,25 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id``, ``mark`` (of the text), ``c1`` and ``c2`` (of the whole set), ``keys`` and ``sketch`` of each row; no shuffle."""
+    """``id``, ``mark`` (of the text), ``c1`` and ``c2`` (of the whole set), ``keys``, ``sketch`` and ``fp`` (the set's SimHash fingerprint) of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt, factor = salts()
         for b in by_bytes(batches, "text"):
-            digests, keys, sketches = [], [], []
+            digests, keys, sketches, prints = [], [], [], []
             for t in b.column(2).to_pylist():
                 hashes = shingle_set(t, shingle)
                 digests.append(set_digest(hashes))
                 least = minima(hashes, salt, factor) if len(hashes) else np.zeros(0, np.uint64)
                 keys.append(np.array(band_keys(least) if len(least) else [], np.uint64).view(np.int64))
                 sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+                prints.append(majority(hashes.astype(">u8").tobytes(), 8) if len(hashes) else bytes(8))
             raw = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(raw[:, k])) for k in range(2)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "mark", "c1", "c2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(raw[:, k])) for k in range(2)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))], ["id", "mark", "c1", "c2", "keys", "sketch", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), mark_of(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, mark string, c1 long, c2 long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, mark string, c1 long, c2 long, keys array<long>, sketch binary, fp long")
 
 
 def mark_of(text: Column) -> Column:
@@ -226,6 +229,16 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def fingerprint_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ``nodes`` (node, fp): each node with the first of its SimHash fingerprint, and the firsts of fingerprints that lie near."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = near_links(firsts.select(F.col("fp").alias("node"), "fp"))
+    end = lambda name: firsts.select(F.col("fp").alias(name), F.col("node").alias(f"{name}_node"))
+    linked = near.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("x"), F.col("b_node").alias("y"))
+    equal = nodes.select("fp", F.col("node").alias("x")).join(firsts.select("fp", F.col("node").alias("y")), "fp").select("x", "y")
+    return linked.unionByName(equal).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def around_candidates(members: DataFrame) -> DataFrame:
     """Pairs around pivots of each bucket; buckets over ``BLOCK`` rows in blocks, each with one pivot of the whole bucket."""
     lead = F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit("lead"))).alias("lead")
@@ -273,19 +286,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     prints = written(set_prints(docs, id_col, text_col, shingle), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark")).alias("first")
-    nodes = prints.groupBy("c1", "c2").agg(first, F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = prints.groupBy("c1", "c2").agg(first, F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     nodes = written(nodes.withColumn("node", F.xxhash64("c1", "c2")), "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
     members = written(keyed.join(shared, "key").join(nodes.select("node", "sketch"), "node"), "members")
-    wanted = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "c1", "c2", "first.id", "first.mark"), "wanted")
+    alike = written(fingerprint_candidates(nodes.select("node", "fp")), "alike")
+    ends = members.select("node").unionByName(alike.select(F.col("a").alias("node"))).unionByName(alike.select(F.col("b").alias("node")))
+    wanted = written(nodes.join(ends.distinct(), "node", "left_semi").select("node", "c1", "c2", "first.id", "first.mark"), "wanted")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", mark_of(F.col("text")))
     same = rows["id"].eqNullSafe(wanted["id"]) & (rows["mark"] == wanted["mark"])
     texts = rows.join(wanted.select("id", "mark").hint("merge"), same, "left_semi").select("text")
     sets = written(shingle_sets(texts, shingle).join(wanted.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "hashes").dropDuplicates(["node"]), "sets")
 
     one = F.col("node").alias("label")
-    around = written(around_candidates(members.select("key", "node", "sketch", one)), "pairs")
+    around = written(around_candidates(members.select("key", "node", "sketch", one)).unionByName(alike).distinct(), "pairs")
     links = written(verified(around, sets), "links")
     labels = connected_components(links)
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "sketch")

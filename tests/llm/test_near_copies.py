@@ -56,3 +56,14 @@ def test_chain_through_one_bucket(spark):
         text = text[:at] + [f"w{rng.randrange(10**6)}" for _ in range(20)] + text[at + 20 :]
     got = near_copies.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_simhash_fingerprints_are_probed(spark, monkeypatch):
+    """Copies of one changed word are found by their SimHash fingerprints alone; without bands nothing else links them, and unlike texts of near fingerprints stay apart."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(f"v{i}" for i in range(400)), "", " "]
+    monkeypatch.setattr(near_copies, "band_keys", lambda least: [])
+    got = {r.id: r.component_id for r in near_copies.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 255)], "node long, fp long")
+    assert sorted(map(tuple, near_copies.fingerprint_candidates(nodes).collect())) == [(1, 2), (1, 3)]
