@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: Powers of two that add up to a power of ten, the largest first, so that their products with a double are exact.
 BINARY = {0: (1.0,), 1: (8.0, 2.0), 2: (64.0, 32.0, 4.0), 3: (512.0, 256.0, 128.0, 64.0, 32.0, 8.0)}
+#: Splits a double in two halves whose products are exact.
+SPLIT = 2.0**27 + 1
+#: From here on halves may overflow.
+HUGE = 1e290
 #: Doubles from here on have no digits to round.
 WHOLE = 1e13
 
@@ -18,6 +22,19 @@ def rounded(x: Column, digits: int) -> Column:
     return F.round(x * 10.0**digits, 0) / 10.0**digits
 
 
+def fused(x: Column, y: Column, z: Column) -> Column:
+    """``x * y + z`` rounded once, as a fused multiply-add gives it: the errors of product and sum are found exactly and added last."""
+    split = lambda v: v * SPLIT - (v * SPLIT - v)
+    product = x * y
+    x1, y1 = split(x), split(y)
+    x2, y2 = x - x1, y - y1
+    lost = ((x1 * y1 - product) + x1 * y2 + x2 * y1) + x2 * y2
+    total = product + z
+    held = total - product
+    exact = total + (((product - (total - held)) + (z - held)) + lost)
+    return F.when((F.abs(x) < HUGE) & (F.abs(y) < HUGE) & (F.abs(total) < HUGE), exact).otherwise(total)
+
+
 def printed(x: Column, digits: int) -> Column:
     """``x`` with so many digits (three at most) as printf has them: from the exact value of the double, halves to the even digit."""
     size, scale = F.abs(x), 10.0**digits

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from mudline.functions import digits
 from mudline.functions.frames import last_rows, ordered
 from mudline.functions.physics import ratio
 
@@ -36,6 +37,25 @@ def stick_slip(cv: Column, warning: float = 0.15, critical: float = 0.25) -> tup
     return sound & (cv > warning), F.when(sound & (cv > critical), 1.0).when(sound & (cv > warning), (cv - warning) / (critical - warning)).otherwise(0.0)
 
 
+def quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]], frame: WindowSpec) -> DataFrame:
+    """``rows`` with a column for each (column, share) of ``wanted``: the interpolated quantile over the frame, NULL for none.
+
+    A column's values are sorted once for all its shares; between two of them
+    ``low * (1 - part) + high * part`` is rounded as DuckDB's fused product is, so
+    that values equal to a quantile fall to the same side of it.
+    """
+    held = {c: f"_held_{c}" for c, _ in wanted.values()}
+    rows = rows.withColumns({h: F.collect_list(c).over(frame) for c, h in held.items()}).withColumns({h: F.sort_array(h) for h in held.values()})
+    places = {name: (F.size(held[c]) - 1) * F.lit(p) for name, (c, p) in wanted.items()}
+    rows = rows.withColumns({f"_{part}_{name}": F.get(held[wanted[name][0]], end(place).cast("int")) for name, place in places.items() for part, end in (("low", F.floor), ("high", F.ceil))} | {f"_part_{name}": place - F.floor(place) for name, place in places.items()})
+
+    def between(name: str) -> Column:
+        low, high, part = (F.col(f"_{x}_{name}") for x in ("low", "high", "part"))
+        return F.when(part == 0, low).otherwise(digits.fused(low, 1 - part, high * part))
+
+    return rows.withColumns({name: between(name) for name in wanted}).drop(*held.values(), *(f"_{x}_{name}" for x in ("low", "high", "part") for name in wanted))
+
+
 def founder_flags(rows: DataFrame, window: int = 10) -> DataFrame:
     """``founder``: weight trends up over 2 % of its mean while the rate of penetration trends under 1 %."""
     frame = last_rows(window)

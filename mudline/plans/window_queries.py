@@ -113,9 +113,9 @@ ZONE_SQL = " + ".join(f"coalesce({c} < quantile_cont({c}, 0.1) OVER w OR {c} > q
 def alert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of packets with three or more of five channels outside their interval over the 50 packets before."""
     frame = ordered().rowsBetween(-50, -1)
-    out = lambda c: F.coalesce((F.col(c) < F.percentile(c, F.lit(0.1)).over(frame)) | (F.col(c) > F.percentile(c, F.lit(0.9)).over(frame)), F.lit(False)).cast("int")
-    t = telemetry(spark, sf_dir).withColumns({f"out_{c}": out(c) for c in ZONE_CHANNELS})
-    z = windows.runs(t.withColumn("outliers", sum((F.col(f"out_{c}") for c in ZONE_CHANNELS), F.lit(0))), F.col("outliers") >= 3)
+    t = windows.quantiles(telemetry(spark, sf_dir).select("well_id", "ts", "seq", "bit_depth", *ZONE_CHANNELS), {f"{side}_{c}": (c, p) for c in ZONE_CHANNELS for side, p in (("low", 0.1), ("high", 0.9))}, frame)
+    out = lambda c: F.coalesce((F.col(c) < F.col(f"low_{c}")) | (F.col(c) > F.col(f"high_{c}")), F.lit(False)).cast("int")
+    z = windows.runs(t.withColumn("outliers", sum((out(c) for c in ZONE_CHANNELS), F.lit(0))), F.col("outliers") >= 3)
     return z.groupBy("well_id", "run").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.max("outliers").alias("peak"), r(F.min("bit_depth"), "top", 4), r(F.max("bit_depth"), "base", 4))
 
 
