@@ -84,8 +84,7 @@ def conformal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval without feedback: exact quantiles over a row frame, no Python."""
     frame = last_rows(1).rowsBetween(-50, -1)
-    q = lambda p: F.percentile("spp", F.lit(p)).over(frame)
-    t = windows.with_index(telemetry(spark, sf_dir)).withColumns({"mid": q(0.5), "lower": q(0.05), "upper": q(0.95)}).filter("idx > 10")
+    t = windows.quantiles(windows.with_index(telemetry(spark, sf_dir).select("seq", "well_id", "ts", "spp")), {"mid": ("spp", 0.5), "lower": ("spp", 0.05), "upper": ("spp", 0.95)}, frame).filter("idx > 10")
     return t.select("seq", r(F.col("mid"), "mid", 4), r(F.col("lower"), "lower", 4), r(F.col("upper"), "upper", 4), ((F.col("spp") < F.col("lower")) | (F.col("spp") > F.col("upper"))).alias("is_outlier"))
 
 
