@@ -64,7 +64,7 @@ def segments(rows: DataFrame, transitions: DataFrame, half: int = 30, shift: flo
     fires = placed.filter((F.col("row") >= 2 * half) & (F.col("n") >= least_rows) & (F.col("old") > 0.1) & (F.abs(F.col("new") - F.col("old")) > shift * F.col("old"))).select(*by, (F.col("row") - half).alias("at"))
     sizes = placed.groupBy(*by).agg(F.max("n").cast("int").alias("n"))
     asked = transitions.join(sizes.filter(F.col("n") >= least_rows), "well_id").select(*by, F.col("at").alias("moment"))
-    told = joins.asof(asked, placed.select(*by, "ts", "row"), by, "moment", "ts", ["row"], forward=True).filter("row IS NOT NULL").select(*by, F.col("row").alias("at"))
+    told = joins.asof(asked, placed.select(*by, "ts", "row"), by, "moment", "ts", ["row"], forward=True, ties="row").filter("row IS NOT NULL").select(*by, F.col("row").alias("at"))
     marks = fires.unionByName(told).filter("at > 0").distinct().groupBy(*by).agg(F.array_sort(F.collect_list("at")).cast("array<int>").alias("marks"))
     cuts = sizes.join(marks, by, "left").withColumn("cuts", F.concat(F.array(F.lit(0)), F.filter(spaced(F.coalesce("marks", F.array().cast("array<int>")), half), lambda x: x < F.col("n")), F.array("n")))
     spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda k: F.struct(F.get("cuts", k).alias("began"), F.get("cuts", k + 1).alias("ended")))

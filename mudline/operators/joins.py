@@ -79,18 +79,21 @@ def neighbours_on_axis(points: DataFrame, marks: DataFrame, at: str, mark: str,
     }).drop("lowest", "highest")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, carry: list[str], forward: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, carry: list[str], forward: bool = False, ties: str | None = None) -> DataFrame:
     """Each left row with ``carry`` of the nearest right row at or before it (``forward``: at or after), within ``by``.
 
+    Of right rows at one place that with the largest ``ties`` counts (``forward``:
+    the smallest); without ``ties`` any of them.
+
     Both sides are laid on one axis and the last right row is carried along: one
     shuffle and one sort, whatever the number of matches.
     """
     sign = -1 if forward else 1
-    a = left.select("*", (F.col(left_at) * sign).alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_carry"))
-    b = right.select(*[F.col(c) for c in by], (F.col(right_at) * sign).alias("_at"), F.lit(0).alias("_side"), F.struct(*carry).alias("_carry"))
+    a = left.select("*", (F.col(left_at) * sign).alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_carry"), F.lit(None).alias("_tie"))
+    b = right.select(*[F.col(c) for c in by], (F.col(right_at) * sign).alias("_at"), F.lit(0).alias("_side"), F.struct(*carry).alias("_carry"), (F.col(ties) * sign if ties else F.lit(None)).alias("_tie"))
     kind = b.schema["_carry"].dataType
     both = a.withColumn("_carry", F.col("_carry").cast(kind)).unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_carry", ignorenulls=True).over(order)).filter("_side = 1")
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c if c not in left.columns else f"right_{c}") for c in carry])
 
