@@ -142,7 +142,7 @@ def stacked(fresh: Any, states: list[Any]) -> Any:
 
 
 #: Version of stored states.
-STATE_VERSION = 1
+STATE_VERSION = 2
 
 
 def to_bytes(state: Any) -> bytes:

@@ -75,6 +75,16 @@ class Nets:
             at += rows * columns
         self.n_params = at
         self.first, self.mask = self.drawn()
+        # Adam keeps moments of what the wiring has, about a third of all places
+        self.live = np.flatnonzero(self.mask[0])
+        self.held: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write into that is used again at the next step; its values are whatever was left there."""
+        held = self.held.get(name)
+        if held is None or held.shape[0] < shape[0] or held.shape[1:] != shape[1:]:
+            held = self.held[name] = np.zeros(shape)
+        return held[: shape[0]]
 
     def part(self, flat: np.ndarray, name: Any) -> np.ndarray:
         """A part of all parameters as a matrix a slot; a view."""
@@ -108,7 +118,7 @@ class Nets:
         return first, mask
 
     def start(self, slots: int = 1) -> dict[str, Any]:
-        s: dict[str, Any] = {"w": np.repeat(self.first, slots, axis=0), "m": np.zeros((slots, self.n_params)), "v": np.zeros((slots, self.n_params)), "rate": np.full(slots, self.rate)}
+        s: dict[str, Any] = {"w": np.repeat(self.first, slots, axis=0), "m": np.zeros((slots, len(self.live))), "v": np.zeros((slots, len(self.live))), "rate": np.full(slots, self.rate)}
         s |= {k: np.zeros((slots, self.n_in)) for k in self.PER_FEATURE} | {k: np.zeros(slots) for k in self.PER_NET} | {k: np.zeros(slots, np.int64) for k in ("n", "t", "kept")}
         return s | {f"h{g}": np.zeros((slots, self.groups[g])) for g in (1, 2, 3)} | {"steps": []}
 
@@ -125,7 +135,9 @@ class Nets:
             tau = softplus(a)
             f, top, old = sigmoid(-dt * tau * b), np.tanh(c), s[f"h{g}"][:n]
             source = f * top + (1 - f) * old
-            step[f"g{g}"] = (seen, a, b, tau, f, top, old)
+            # how the value moves with a, b and c and with its last value: all that later steps ask of this one
+            turn = (top - old) * f * (1 - f) * -dt
+            step[f"g{g}"] = (seen, np.concatenate([turn * b * sigmoid(a), turn * tau, f * (1 - top * top)], axis=1), 1 - f)
             hidden.append(source)
         for g, h in enumerate(hidden, 1):
             s[f"h{g}"] = np.concatenate([h, s[f"h{g}"][n:]])
@@ -137,16 +149,20 @@ class Nets:
 
     def gradients(self, s: dict[str, Any], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each slot's weighted mean squared error of its last prediction, and its gradients through the steps kept."""
+        grads = np.zeros((len(target), self.n_params))
+        loss = self.backward(s, target, grads)
+        return loss, grads * self.mask
+
+    def backward(self, s: dict[str, Any], target: np.ndarray, grads: np.ndarray) -> np.ndarray:
+        """Fills ``grads``, also where the wiring has nothing; returns the losses."""
         n = len(target)
-        w, first = s["w"][:n], s["steps"][0]
-        grads = np.zeros((n, self.n_params))
+        w, first, kept = s["w"][:n], s["steps"][0], len(s["steps"])
         e = first["y"][:n] - target
         dy = 2 * self.weight * e
-        self.part(grads, "out")[:] = dy[:, :, None] * first["motor"][:n, None, :]
+        np.multiply(dy[:, :, None], first["motor"][:n, None, :], out=self.part(grads, "out"))
         owed_later = [np.zeros((n, k)) for k in self.groups[1:]]  # what each group's values owe to the steps after
         owed_later[2] = np.matmul(dy[:, None, :], self.part(w, "out"))[:, 0, :-1]
-        sources: dict[int, list] = {1: [], 2: [], 3: []}
-        into: dict[int, list] = {1: [], 2: [], 3: []}
+        sources, into = ({g: self.room(f"{name}{g}", n, kept, self.places[g][at]) for g in (1, 2, 3)} for name, at in (("sources", 3), ("into", 2)))
         tapped = np.zeros((n, len(self.taps)))
         for back, step in enumerate(s["steps"]):
             # a slot that forgot has fewer steps
@@ -154,27 +170,27 @@ class Nets:
             down: Any = 0.0
             before = []
             for g in (3, 2, 1):
-                seen, a, b, tau, f, top, old = (part[:n] for part in step[f"g{g}"])
+                seen, slope, stays = (part[:n] for part in step[f"g{g}"])
                 dh = owed_later[g - 1] + (down if g < 3 else 0)
-                dz = dh * (top - old) * f * (1 - f)
-                gates = np.concatenate([dz * (-step["dt"] * b) * sigmoid(a), dz * (-step["dt"] * tau), dh * f * (1 - top * top)], axis=1)
-                sources[g].append(seen)
-                into[g].append(gates * scale)
+                gates = (slope.reshape(n, 3, -1) * dh[:, None, :]).reshape(n, -1)
+                sources[g][:, back] = seen
+                np.multiply(gates, scale, out=into[g][:, back])
                 owed = np.matmul(gates[:, None, :], self.part(w, g))[:, 0]
                 down = owed[:, : self.groups[g - 1]]
-                before.append(dh * (1 - f) + (owed[:, self.groups[1] : -1] if g == 2 else 0))
+                before.append(dh * stays + (owed[:, self.groups[1] : -1] if g == 2 else 0))
             tapped += scale * down * step["x"][:n, self.taps]
             owed_later = before[::-1]
         for g in (1, 2, 3):
-            self.part(grads, g)[:] = np.matmul(np.stack(into[g], axis=2), np.stack(sources[g], axis=1))
+            np.matmul(into[g].transpose(0, 2, 1), sources[g], out=self.part(grads, g))
         self.part(grads, "in")[:, 0] = tapped
-        grads *= self.mask
-        return (self.weight * e * e).sum(1), grads
+        return (self.weight * e * e).sum(1)
 
     def train(self, s: dict[str, Any], target: np.ndarray) -> np.ndarray:
         """One step of Adam for the slots that predicted something; returns the losses."""
         n = len(target)
-        loss, grads = self.gradients(s, target)
+        every = self.room("grads", n, self.n_params)
+        loss = self.backward(s, target, every)
+        grads = np.take(every, self.live, axis=1, out=self.room("live", n, len(self.live)), mode="clip")
         norm = np.sqrt(np.einsum("ij,ij->i", grads, grads))
         grads *= np.where(norm > 5.0, 5.0 / np.maximum(norm, 1e-300), 1.0)[:, None]
         live = s["kept"][:n] > 0
@@ -184,8 +200,9 @@ class Nets:
         t = s["t"][which]
         rate = s["rate"][which] * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         m, v = s["m"][which], s["v"][which]
+        part = self.room("part", *grads.shape)
         m *= 0.9
-        m += 0.1 * grads
+        m += np.multiply(grads, 0.1, out=part)
         v *= 0.999
         grads *= grads
         grads *= 0.001
@@ -194,8 +211,10 @@ class Nets:
         grads += 1e-8
         np.divide(m, grads, out=grads)
         grads *= rate[:, None]
-        s["w"][which] -= grads
-        if not isinstance(which, slice):
+        if isinstance(which, slice):
+            s["w"][:n][:, self.live] -= grads
+        else:
+            s["w"][which[:, None], self.live] -= grads
             s["m"][which], s["v"][which] = m, v
         s["rate"][which] = np.maximum(s["rate"][which] * self.fall, self.floor)
         return loss
