@@ -247,13 +247,14 @@ class Nets:
         spread = np.sqrt(np.maximum(s["squares"][:n] - usual * usual, 1e-12))
         return np.where((s["t"][:n, None] < 10) | (usual <= 1e-10), 0.0, (np.abs(s["last"][:n]) - usual) / spread)
 
-    def surprises(self, s: dict[str, Any], slot: int, names: tuple[str, ...] = FEATURES) -> list[dict[str, Any]]:
-        """Features whose last error is over 1.5 times the usual one, the largest first; none in the first ten steps."""
+    def surprises(self, s: dict[str, Any], slot: int, names: tuple[str, ...] = FEATURES, sigmas: np.ndarray | None = None) -> list[dict[str, Any]]:
+        """Features whose last error is over 1.5 times the usual one, the largest first; none in the first ten steps.  ``sigmas``: as the method gives them, for many slots at once."""
         if s["t"][slot] < 10:
             return []
-        last, usual, sigma = s["last"][slot], s["errors"][slot], self.sigmas(s, slot + 1)[slot]
-        found = [(abs(float(last[i])), i) for i in range(len(names)) if usual[i] > 1e-10 and abs(last[i]) > 1.5 * usual[i]]
-        return [{"name": names[i], "error": float(last[i]), "magnitude": size, "sigma": float(sigma[i])} for size, i in sorted(found, key=lambda f: (-f[0], f[1]))]
+        last, usual = s["last"][slot].tolist(), s["errors"][slot].tolist()
+        sigma = (self.sigmas(s, slot + 1) if sigmas is None else sigmas)[slot].tolist()
+        found = [(abs(last[i]), i) for i in range(len(names)) if usual[i] > 1e-10 and abs(last[i]) > 1.5 * usual[i]]
+        return [{"name": names[i], "error": last[i], "magnitude": size, "sigma": sigma[i]} for size, i in sorted(found, key=lambda f: (-f[0], f[1]))]
 
     def forget(self, s: dict[str, Any], slots: np.ndarray) -> None:
         """Clears what these slots remember in time; what is learnt stays."""
@@ -371,7 +372,8 @@ class TacticalNets:
         if fires.any():
             self.ahead.forget(s["ahead"], np.flatnonzero(fires))
         score = np.maximum(*scores)
-        surprises = [(self.fast.surprises(s["fast"], i) if scores[0][i] >= scores[1][i] else self.slow.surprises(s["slow"], i)) if calibrated[i] else [] for i in range(n)]
+        fast_sigmas = self.fast.sigmas(s["fast"], n)
+        surprises = [(self.fast.surprises(s["fast"], i, sigmas=fast_sigmas) if scores[0][i] >= scores[1][i] else self.slow.surprises(s["slow"], i, sigmas=sigmas)) if calibrated[i] else [] for i in range(n)]
         return {
             "net_score": score, "net_calibrated": calibrated, "net_ok": calibrated & (score >= 0.4), "net_surprised": (sigmas > 2).sum(1), "net_surprises": surprises,
             "regime": regime, "motor": motor, "transition": fires, "ahead_confidence": confidence, "ahead_calibrated": known,
