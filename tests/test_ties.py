@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
+from mudline import registry
 from mudline.operators import hourly, joins
+from mudline.plans import hourly_queries
 
 
 def test_asof_breaks_ties(spark):
@@ -22,3 +26,13 @@ def test_segments_begin_at_the_first_packet_of_a_second(spark):
     df = spark.createDataFrame(rows, "well_id long, part int, ts long, seq long, d_exponent double")
     asked = spark.createDataFrame([(1, 20), (1, 51)], "well_id long, at long")
     assert sorted((r.began, r.ended) for r in hourly.segments(df, asked).collect()) == [(0, 120), (120, 306), (306, 600)]
+
+
+def test_hourly_analysis_where_packets_share_seconds(spark, tmp_path):
+    """Six copies of each packet of three wells, in the same second; the best segments are those of the SQL."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT event_id + i * 100000 AS event_id, ts, user_id, event_type, value, props FROM '/root/testdata/sf0.1/events.parquet', (SELECT unnest(range(6)) AS i) WHERE user_id // 10 IN (1, 2, 8)) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = hourly_queries.hourly_analysis(spark, str(tmp_path))
+    names = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {names} FROM ({registry.ORACLES['hourly_analysis']}) a").fetchall())
