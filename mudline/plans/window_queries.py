@@ -151,7 +151,9 @@ def ten_minute_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(kurtosis_pop(torque), 5) AS kurt, round(avg(torque - 2 * before + before2), 6) AS acceleration FROM m GROUP BY well_id""")
 def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
-    m = t.select("well_id", "torque", F.avg("torque").over(Window.partitionBy("well_id")).alias("mean"), F.lag("torque").over(ordered()).alias("before"), F.lag("torque", 2).over(ordered()).alias("before2"))
+    # added up in the packets' order, as the SQL adds, so that values equal to the mean fall to the same side however rows arrive
+    whole = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = t.select("well_id", "torque", F.avg("torque").over(whole).alias("mean"), F.lag("torque").over(ordered()).alias("before"), F.lag("torque", 2).over(ordered()).alias("before2"))
     cross = F.sum(F.coalesce(((F.col("torque") >= F.col("mean")) != (F.col("before") >= F.col("mean"))).cast("int"), F.lit(0)))
     return m.groupBy("well_id").agg(
         F.count("*").alias("n"), r(ratio(F.stddev_pop("torque"), F.avg("torque")), "cv"), cross.alias("crossings"), r(ratio(cross, 2.0 * (F.count("*") - 1)), "hz"), r(ratio(F.max("torque") - F.min("torque"), F.avg("torque")), "amplitude"),

@@ -6,7 +6,7 @@ import duckdb
 
 from mudline import registry
 from mudline.operators import hourly, joins
-from mudline.plans import hourly_queries
+from mudline.plans import hourly_queries, window_queries
 
 
 def test_asof_breaks_ties(spark):
@@ -36,3 +36,23 @@ def test_hourly_analysis_where_packets_share_seconds(spark, tmp_path):
     df = hourly_queries.hourly_analysis(spark, str(tmp_path))
     names = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {names} FROM ({registry.ORACLES['hourly_analysis']}) a").fetchall())
+
+
+def test_oscillation_where_a_value_is_the_mean(spark, tmp_path):
+    """Wells whose mean is their first value in decimals, rows in no order: which side it falls to follows from the packets' order, as in the SQL."""
+    r, rows = random.Random(7), []
+    for well in range(400):
+        n = r.randint(20, 60)
+        cents = [r.randint(0, 600) for _ in range(n - 1)]
+        cents.append(cents[0] * n - sum(cents))
+        if 0 <= cents[-1] <= 660:
+            rows += [(well * 100 + i, well * 10, i * 60, v / 100) for i, v in enumerate(cents)]
+    r.shuffle(rows)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE e (event_id BIGINT, user_id BIGINT, s BIGINT, value DOUBLE)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", rows)
+    c.execute(f"""COPY (SELECT event_id, TIMESTAMP '2024-01-01' + to_seconds(s) AS ts, user_id, 'x' AS event_type, value, '{{"k": 5}}' AS props FROM e) TO '{tmp_path}/events.parquet'""")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = window_queries.oscillation(spark, str(tmp_path))
+    names = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {names} FROM ({registry.ORACLES['oscillation']}) a").fetchall())
