@@ -71,26 +71,26 @@ def segments(rows: DataFrame, transitions: DataFrame, half: int = 30, shift: flo
     return cuts.select(*by, F.explode(spans).alias("s")).select(*by, "s.*")
 
 
-def stable_rows(metrics: DataFrame) -> DataFrame:
-    """Rows for analysis with their ``reason``: why one was rejected or is not steady; NULL for those that stay."""
+def stable_rows(metrics: DataFrame, enough: int = 10) -> DataFrame:
+    """Rows for analysis with their ``reason``: why one was rejected or is not steady; NULL for those that stay.  ``enough``: valid rows from which a dataset is judged at all."""
     rejected = quality.rejection(*[F.col(c) for c in ("wob", "rpm", "mse", "rop", "state")])
     marked = metrics.withColumn("rejected", rejected)
-    valid = ml.with_dysfunction(marked.filter("rejected IS NULL"))
+    valid = ml.with_dysfunction(marked.filter("rejected IS NULL"), enough)
     bad = marked.filter("rejected IS NOT NULL").withColumns({c: F.lit(None).cast(t) for c, t in valid.dtypes if c not in marked.columns})
     return valid.unionByName(bad).withColumn("reason", F.coalesce("rejected", "dysfunction"))
 
 
-def analysis(metrics: DataFrame, transitions: DataFrame, centres: DataFrame, campaign: str = "Production", least: int = LEAST) -> DataFrame:
+def analysis(metrics: DataFrame, transitions: DataFrame, centres: DataFrame, campaign: str = "Production", least: int = LEAST, enough: int = 10) -> DataFrame:
     """One report per dataset: ``result``, ``reason``, and of its best partition the parameters, score, correlation, confidence and formation.
 
     ``metrics`` carry ``regime``; ``transitions``: well_id and at (seconds);
     ``centres`` of the regimes as ``last_centres`` gives them.  ``reason`` of a
     failure is what most rows were left out for: by the quality rules where no row
-    passes them, else as unsteady.
+    passes them, else as unsteady.  ``enough`` as in ``stable_rows``.
     """
     # six branches read the judged rows, so they are kept once: on disk, and made anew where an executor is lost
     columns = ["well_id", "ts", "seq", "regime", "bit_depth", "wob", "rpm", "rop", "flow_in", "mse", "mse_efficiency", "torque_delta", "spp_delta", "d_exponent", "cv", "rejected", "reason"]
-    judged = stable_rows(metrics).select(*columns).persist(StorageLevel.DISK_ONLY)
+    judged = stable_rows(metrics, enough).select(*columns).persist(StorageLevel.DISK_ONLY)
     per_reason = judged.groupBy("well_id", "reason").agg(F.count("*").alias("count"), F.count_if(F.col("rejected").isNull()).alias("valid"))
     unsteady = F.when(F.col("reason").isNotNull() & (F.col("valid") > 0), F.struct("count", "reason"))
     refused = F.when(F.col("reason").isNotNull() & (F.col("valid") == 0), F.struct("count", "reason"))

@@ -33,11 +33,11 @@ def dysfunction(cv: Column, torque_delta: Column, spp_delta: Column, founder: Co
     )
 
 
-def with_dysfunction(metrics: DataFrame) -> DataFrame:
-    """``cv`` and ``dysfunction`` per packet; wells with fewer than ten rows pass whole."""
+def with_dysfunction(metrics: DataFrame, enough: int = 10) -> DataFrame:
+    """``cv`` and ``dysfunction`` per packet; wells with fewer than ``enough`` rows pass whole (0: none does)."""
     m = windows.founder_flags(metrics).withColumn("cv", windows.variation(F.col("torque"), last_rows(10), 10))
     reason = dysfunction(*[F.col(c) for c in ("cv", "torque_delta", "spp_delta", "founder", "mse_efficiency", "category")])
-    return m.withColumn("dysfunction", F.when(F.count("*").over(Window.partitionBy("well_id")) >= 10, reason))
+    return m.withColumn("dysfunction", F.when(F.count("*").over(Window.partitionBy("well_id")) >= enough, reason) if enough else reason)
 
 
 def stability(cv: Column, torque_delta: Column, efficiency: Column, spp_delta: Column) -> Column:

@@ -35,7 +35,7 @@ def usable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MET + DYS_SQL + "SELECT well_id, coalesce(dysfunction, 'stable') AS reason, count(*) AS n FROM dy GROUP BY 1, 2")
 def dysfunction_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ml.with_dysfunction(drilling_metrics(telemetry(spark, sf_dir)))
+    m = ml.with_dysfunction(drilling_metrics(telemetry(spark, sf_dir)), 0)
     return m.groupBy("well_id", F.coalesce("dysfunction", F.lit("stable")).alias("reason")).agg(F.count("*").alias("n"))
 
 

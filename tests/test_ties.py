@@ -6,7 +6,7 @@ import duckdb
 
 from mudline import registry
 from mudline.operators import hourly, joins
-from mudline.plans import hourly_queries, window_queries
+from mudline.plans import hourly_queries, report_queries, window_queries
 
 
 def test_asof_breaks_ties(spark):
@@ -56,3 +56,16 @@ def test_oscillation_where_a_value_is_the_mean(spark, tmp_path):
     df = window_queries.oscillation(spark, str(tmp_path))
     names = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {names} FROM ({registry.ORACLES['oscillation']}) a").fetchall())
+
+
+def test_hourly_analysis_of_wells_with_few_valid_rows(spark, tmp_path):
+    """Nine packets whose weight rises while the rate stands: each is judged, as in the SQL; by its own default the operator lets so few pass."""
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT i * 40 AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, CAST(40 AS BIGINT) AS user_id, 'x' AS event_type, 5.0::DOUBLE AS value, '{{"k": 5}}' AS props FROM range(9) t(i)) TO '{tmp_path}/events.parquet'""")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for f in (hourly_queries.hourly_analysis, report_queries.dysfunction_breakdown):
+        df = f(spark, str(tmp_path))
+        names = ", ".join(df.columns)
+        assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {names} FROM ({registry.ORACLES[f.__name__]}) a").fetchall())
+    metrics = hourly_queries.calm_metrics(spark, str(tmp_path))
+    assert hourly.stable_rows(metrics).filter("reason IS NULL").count() == 9 > hourly.stable_rows(metrics, 0).filter("reason IS NULL").count() > 0
