@@ -23,6 +23,7 @@ alone against many in step), not by other engines' values.
 
 from __future__ import annotations
 
+import re
 from typing import Any, ClassVar
 
 import numpy as np
@@ -59,6 +60,8 @@ class Nets:
         "slow": (8, 0.85, 1e-4, 0.9999, 1e-5, 0.005, 500),
         "ahead": (6, 0.75, 5e-4, 0.9999, 5e-5, 0.008, 500),
     }
+    #: Slots that Adam moves at a time.
+    BLOCK = 32
     PER_FEATURE: ClassVar[tuple[str, ...]] = ("errors", "squares", "last")
     PER_NET: ClassVar[tuple[str, ...]] = ("mean", "square", "rmse")
 
@@ -160,28 +163,31 @@ class Nets:
         e = first["y"][:n] - target
         dy = 2 * self.weight * e
         np.multiply(dy[:, :, None], first["motor"][:n, None, :], out=self.part(grads, "out"))
-        owed_later = [np.zeros((n, k)) for k in self.groups[1:]]  # what each group's values owe to the steps after
-        owed_later[2] = np.matmul(dy[:, None, :], self.part(w, "out"))[:, 0, :-1]
-        sources, into = ({g: self.room(f"{name}{g}", n, kept, self.places[g][at]) for g in (1, 2, 3)} for name, at in (("sources", 3), ("into", 2)))
+        # a slot that forgot has fewer steps
+        scale = self.decay ** np.arange(kept) * (s["kept"][:n, None] > np.arange(kept))
+        # group after group, each back through all steps: only command neurons, which see their own last values, need a product a step on the way
+        down: np.ndarray | None = None
+        for g in (3, 2, 1):
+            sources, into, size = self.room(f"sources{g}", n, kept, self.places[g][3]), self.room(f"into{g}", n, kept, self.places[g][2]), self.groups[g]
+            below = self.room("below", n, kept, self.groups[1]) if g == 2 else None
+            # what the group's values owe to the steps after
+            owed = np.matmul(dy[:, None, :], self.part(w, "out"))[:, 0, :-1] if g == 3 else 0.0
+            for back, step in enumerate(s["steps"]):
+                seen, slope, stays = (part[:n] for part in step[f"g{g}"])
+                dh = owed if down is None else owed + down[:, back]
+                np.multiply(slope.reshape(n, 3, size), dh[:, None, :], out=into[:, back].reshape(n, 3, size))
+                sources[:, back] = seen
+                owed = dh * stays
+                if below is not None:
+                    through = np.matmul(into[:, back, None, :], self.part(w, g))[:, 0]
+                    below[:, back] = through[:, : self.groups[1]]
+                    owed += through[:, self.groups[1] : -1]
+            down = below if below is not None else np.matmul(into, self.part(w, g))[:, :, : self.groups[g - 1]]
+            into *= scale[:, :, None]
+            np.matmul(into.transpose(0, 2, 1), sources, out=self.part(grads, g))
         tapped = np.zeros((n, len(self.taps)))
         for back, step in enumerate(s["steps"]):
-            # a slot that forgot has fewer steps
-            scale = self.decay**back * (s["kept"][:n, None] > back)
-            down: Any = 0.0
-            before = []
-            for g in (3, 2, 1):
-                seen, slope, stays = (part[:n] for part in step[f"g{g}"])
-                dh = owed_later[g - 1] + (down if g < 3 else 0)
-                gates = (slope.reshape(n, 3, -1) * dh[:, None, :]).reshape(n, -1)
-                sources[g][:, back] = seen
-                np.multiply(gates, scale, out=into[g][:, back])
-                owed = np.matmul(gates[:, None, :], self.part(w, g))[:, 0]
-                down = owed[:, : self.groups[g - 1]]
-                before.append(dh * stays + (owed[:, self.groups[1] : -1] if g == 2 else 0))
-            tapped += scale * down * step["x"][:n, self.taps]
-            owed_later = before[::-1]
-        for g in (1, 2, 3):
-            np.matmul(into[g].transpose(0, 2, 1), sources[g], out=self.part(grads, g))
+            tapped += scale[:, back, None] * down[:, back] * step["x"][:n, self.taps]
         self.part(grads, "in")[:, 0] = tapped
         return (self.weight * e * e).sum(1)
 
@@ -190,19 +196,28 @@ class Nets:
         n = len(target)
         every = self.room("grads", n, self.n_params)
         loss = self.backward(s, target, every)
-        grads = np.take(every, self.live, axis=1, out=self.room("live", n, len(self.live)), mode="clip")
-        norm = np.sqrt(np.einsum("ij,ij->i", grads, grads))
-        grads *= np.where(norm > 5.0, 5.0 / np.maximum(norm, 1e-300), 1.0)[:, None]
         live = s["kept"][:n] > 0
         which: Any = slice(0, n) if live.all() else np.flatnonzero(live)
-        grads = grads[which]
         s["t"][which] += 1
-        t = s["t"][which]
-        rate = s["rate"][which] * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        m, v = s["m"][which], s["v"][which]
-        part = self.room("part", *grads.shape)
+        t = s["t"][:n]
+        rate = s["rate"][:n] * np.sqrt(1 - 0.999**t) / np.maximum(1 - 0.9**t, 1e-300)
+        # a few slots at a time, so that what they hold stays near the processor
+        for at in range(0, n, self.BLOCK):
+            block = slice(at, min(at + self.BLOCK, n))
+            self.moved(s, block if live[block].all() else at + np.flatnonzero(live[block]), every, rate)
+        s["rate"][which] = np.maximum(s["rate"][which] * self.fall, self.floor)
+        return loss
+
+    def moved(self, s: dict[str, Any], slots: Any, every: np.ndarray, rate: np.ndarray) -> None:
+        """Adam's step for these slots (a slice or numbers), by all slots' gradients."""
+        whole = isinstance(slots, slice)
+        taken = lambda rows, name: np.take(rows, self.live, axis=1, out=self.room(name, len(rows), len(self.live)), mode="clip")
+        grads = taken(every[slots], "live")
+        norm = np.sqrt(np.einsum("ij,ij->i", grads, grads))
+        grads *= np.where(norm > 5.0, 5.0 / np.maximum(norm, 1e-300), 1.0)[:, None]
+        m, v = s["m"][slots], s["v"][slots]
         m *= 0.9
-        m += np.multiply(grads, 0.1, out=part)
+        m += np.multiply(grads, 0.1, out=self.room("part", *grads.shape))
         v *= 0.999
         grads *= grads
         grads *= 0.001
@@ -210,14 +225,14 @@ class Nets:
         np.sqrt(v, out=grads)
         grads += 1e-8
         np.divide(m, grads, out=grads)
-        grads *= rate[:, None]
-        if isinstance(which, slice):
-            s["w"][:n][:, self.live] -= grads
+        grads *= rate[slots][:, None]
+        w = taken(s["w"][slots], "wired")
+        w -= grads
+        if whole:
+            s["w"][slots][:, self.live] = w
         else:
-            s["w"][which[:, None], self.live] -= grads
-            s["m"][which], s["v"][which] = m, v
-        s["rate"][which] = np.maximum(s["rate"][which] * self.fall, self.floor)
-        return loss
+            s["w"][slots[:, None], self.live] = w
+            s["m"][slots], s["v"][slots] = m, v
 
     def observe(self, s: dict[str, Any], x: np.ndarray, dt: float = 1.0) -> None:
         """Learn from ``x``, then predict what follows it."""
@@ -333,7 +348,9 @@ class TacticalNets:
     """Both nets, regimes of the fast one's motor values, transitions of the slow one's surprises, and the depth-ahead net that they reset.
 
     Runs in lock step (``lockstep.apply``) or for one well (``step`` with one row).
-    ``net_ok`` says whether calibrated nets corroborate an anomaly (0.4 or more).
+    ``asked``: the columns to give, all of ``schema`` without it; a part that none of
+    them follows from is left out, as the parts hear of each other in one direction
+    only: fast and slow net, regimes, transitions, depth-ahead net.  ``net_ok`` says whether calibrated nets corroborate an anomaly (0.4 or more).
     """
 
     schema = (
@@ -343,10 +360,22 @@ class TacticalNets:
     #: What is missing counts as 0 (``pump_spm`` has no channel here).
     reads = (*(f for f in FEATURES if f != "pump_spm"), "depth_into", "formation_hardness", "advised")
 
-    def __init__(self) -> None:
+    #: What each part is needed for; the normaliser counts packets for all.
+    FOR: ClassVar[dict[str, frozenset[str]]] = {
+        "fast": frozenset({"net_score", "net_ok", "net_surprises", "regime", "motor"}), "slow": frozenset({"net_score", "net_ok", "net_surprised", "net_surprises", "transition", "ahead_confidence"}),
+        "ahead": frozenset({"ahead_confidence"}), "ahead_z": frozenset({"ahead_confidence"}), "clusters": frozenset({"regime"}), "transitions": frozenset({"transition", "ahead_confidence"}),
+    }
+
+    def __init__(self, asked: tuple[str, ...] | None = None) -> None:
         self.fast, self.slow, self.ahead = Nets("fast", 42), Nets("slow", 142), Nets("ahead", 1042)
         # parts in the order of their names, all of them arrays a slot
         self.parts = {"fast": self.fast, "slow": self.slow, "ahead": self.ahead, "z": Normaliser(16), "ahead_z": Normaliser(16), "clusters": Clusters(), "transitions": Transitions()}
+        kinds = {f.split()[0]: f for f in re.split(r", (?=\w+ )", self.schema)}
+        self.asked = tuple(kinds) if asked is None else asked
+        if asked is not None:
+            self.schema = ", ".join(kinds[c] for c in asked)
+            self.parts = {name: part for name, part in self.parts.items() if name not in self.FOR or self.FOR[name] & set(asked)}
+            self.reads = tuple(c for c in self.reads if c in FEATURES or ("ahead" if c in AHEAD else "transitions") in self.parts)
 
     def start(self, slots: int = 1) -> dict[str, Any]:
         return {name: part.start(slots) for name, part in self.parts.items()}
@@ -357,24 +386,37 @@ class TacticalNets:
         zero = np.zeros(n)
         raw = np.nan_to_num(np.stack([x.get(f, zero) for f in FEATURES], axis=1).astype(np.float64))
         z = self.parts["z"].observe(s["z"], raw)
-        self.fast.observe(s["fast"], z)
-        self.slow.observe(s["slow"], z)
-        scores = self.fast.score(s["fast"], n), self.slow.score(s["slow"], n)
-        calibrated = (s["fast"]["n"][:n] >= self.fast.calibrated) | (s["slow"]["n"][:n] >= self.slow.calibrated)
-        motor = s["fast"]["h3"][:n].copy()
-        regime = self.parts["clusters"].assign(s["clusters"], motor)
-        ahead = np.zeros((n, 16))
-        ahead[:, : len(AHEAD)] = np.nan_to_num(np.stack([x.get(f, zero) for f in AHEAD], axis=1).astype(np.float64))
-        self.ahead.observe(s["ahead"], self.parts["ahead_z"].observe(s["ahead_z"], ahead))
-        confidence, known = 1 - self.ahead.score(s["ahead"], n), s["ahead"]["n"][:n] >= self.ahead.calibrated
-        sigmas = self.slow.sigmas(s["slow"], n)
-        fires = self.parts["transitions"].check(s["transitions"], sigmas, x["advised"].astype(bool), calibrated)
-        if fires.any():
-            self.ahead.forget(s["ahead"], np.flatnonzero(fires))
-        score = np.maximum(*scores)
-        fast_sigmas = self.fast.sigmas(s["fast"], n)
-        surprises = [(self.fast.surprises(s["fast"], i, sigmas=fast_sigmas) if scores[0][i] >= scores[1][i] else self.slow.surprises(s["slow"], i, sigmas=sigmas)) if calibrated[i] else [] for i in range(n)]
-        return {
-            "net_score": score, "net_calibrated": calibrated, "net_ok": calibrated & (score >= 0.4), "net_surprised": (sigmas > 2).sum(1), "net_surprises": surprises,
-            "regime": regime, "motor": motor, "transition": fires, "ahead_confidence": confidence, "ahead_calibrated": known,
-        }
+        seen = s["z"]["n"][:n]
+        out: dict[str, Any] = {"net_calibrated": (seen >= self.fast.calibrated) | (seen >= self.slow.calibrated), "ahead_calibrated": seen >= self.ahead.calibrated}
+        calibrated = out["net_calibrated"]
+        # deviations and scores of the nets there are
+        sigmas, scores = {}, {}
+        for name in ("fast", "slow"):
+            if name in self.parts:
+                net = self.parts[name]
+                net.observe(s[name], z)
+                scores[name] = net.score(s[name], n)
+                if name == "slow" or "net_surprises" in self.asked:
+                    sigmas[name] = net.sigmas(s[name], n)
+        if "fast" in self.parts:
+            out["motor"] = s["fast"]["h3"][:n].copy()
+        if "clusters" in self.parts:
+            out["regime"] = self.parts["clusters"].assign(s["clusters"], out["motor"])
+        if "ahead" in self.parts:
+            ahead = np.zeros((n, 16))
+            ahead[:, : len(AHEAD)] = np.nan_to_num(np.stack([x.get(f, zero) for f in AHEAD], axis=1).astype(np.float64))
+            self.ahead.observe(s["ahead"], self.parts["ahead_z"].observe(s["ahead_z"], ahead))
+            out["ahead_confidence"] = 1 - self.ahead.score(s["ahead"], n)
+        if "transitions" in self.parts:
+            fires = out["transition"] = self.parts["transitions"].check(s["transitions"], sigmas["slow"], x["advised"].astype(bool), calibrated)
+            if "ahead" in self.parts and fires.any():
+                self.ahead.forget(s["ahead"], np.flatnonzero(fires))
+        if len(scores) == 2:
+            out["net_score"] = np.maximum(scores["fast"], scores["slow"])
+            out["net_ok"] = calibrated & (out["net_score"] >= 0.4)
+        if "slow" in self.parts:
+            out["net_surprised"] = (sigmas["slow"] > 2).sum(1)
+        if "net_surprises" in self.asked:
+            louder = ["fast" if f >= w else "slow" for f, w in zip(scores["fast"].tolist(), scores["slow"].tolist(), strict=True)]
+            out["net_surprises"] = [self.parts[name].surprises(s[name], i, sigmas=sigmas[name]) if known else [] for i, (name, known) in enumerate(zip(louder, calibrated.tolist(), strict=True))]
+        return {c: out[c] for c in self.asked}

@@ -210,18 +210,17 @@ def dynamic_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_nets(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
     """Drilling metrics with what ``kernel`` says of each drilling packet; grave words of the cascade count as an active advisory."""
-    m = drilling_metrics(telemetry(spark, sf_dir))
-    f = joins.first_interval(m, formations(spark, sf_dir).select("formation", "hard", "top", "base"), "bit_depth", "top", "base")
-    f = f.withColumns({
-        "depth_into": F.coalesce(F.col("bit_depth") - F.col("top"), F.lit(0.0)), "formation_hardness": F.coalesce("hard", F.lit(0.0)), "advised": F.col("severity").isin("CRITICAL", "HIGH"), "locks": F.lit(False), "learning": F.lit(False),
-    })
+    f = drilling_metrics(telemetry(spark, sf_dir)).withColumns({"advised": F.col("severity").isin("CRITICAL", "HIGH"), "locks": F.lit(False), "learning": F.lit(False)})
+    if "depth_into" in kernel.reads:
+        f = joins.first_interval(f, formations(spark, sf_dir).select("formation", "hard", "top", "base"), "bit_depth", "top", "base")
+        f = f.withColumns({"depth_into": F.coalesce(F.col("bit_depth") - F.col("top"), F.lit(0.0)), "formation_hardness": F.coalesce("hard", F.lit(0.0))})
     return lockstep.apply(f, kernel, drilling(), keep=FOR_GATE)
 
 
 @query()
 def corroborated_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate behind intervals and nets, both of drilling packets alone, severities stepped by both; tests hold it against the parts alone."""
-    n = with_nets(spark, sf_dir, Together(Intervals(), TacticalNets()))
+    n = with_nets(spark, sf_dir, Together(Intervals(), TacticalNets(("net_score", "net_calibrated", "net_ok"))))
     c = kernels.apply(stepped(n, F.when(F.col("net_calibrated"), F.col("net_score"))), kernels.TicketGate(), keep=("outliers", "net_score"))
     return c.select("seq", "well_id", "category", "outliers", r(F.col("net_score"), "net_score"), "severity", "gate")
 
@@ -302,7 +301,7 @@ def look_ahead_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def liquid_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and surprises of the online nets, regimes of their motor values and transitions, which no SQL expresses; tests check gradients, learning, lock step and feedback."""
-    n = with_nets(spark, sf_dir, TacticalNets()).filter("net_score IS NOT NULL")
+    n = with_nets(spark, sf_dir, TacticalNets(("net_score", "net_calibrated", "net_surprised", "net_surprises", "regime", "transition"))).filter("net_score IS NOT NULL")
     names = F.array_join(F.transform("net_surprises", lambda s: s["name"]), ",")
     return n.select("seq", "well_id", r(F.col("net_score"), "net_score"), "net_calibrated", "net_surprised", names.alias("surprises"), "regime", "transition")
 
