@@ -309,5 +309,5 @@ def liquid_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def depth_ahead_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of the depth-ahead net, which transitions reset; tests check its nets."""
-    n = with_nets(spark, sf_dir, TacticalNets()).filter("ahead_confidence IS NOT NULL")
+    n = with_nets(spark, sf_dir, TacticalNets(("ahead_confidence", "ahead_calibrated"))).filter("ahead_confidence IS NOT NULL")
     return n.select("seq", "well_id", r(F.col("ahead_confidence"), "ahead_confidence"), "ahead_calibrated")
