@@ -17,12 +17,13 @@ HISTORY = 60
 def founder(rows: DataFrame, n: int = HISTORY, least: int = 5) -> DataFrame:
     """``founder60``, ``founder_severity`` and ``optimal_wob`` (at the first highest rate) over the last ``n`` packets; ``rows`` carry ``idx``."""
     frame, i = last_rows(n), F.col("idx")
-    wob, rop = F.avg("wob").over(frame), F.avg("rop").over(frame)
-    w, p = ratio(windows.trend(F.col("wob"), i, frame), wob), ratio(windows.trend(F.col("rop"), i, frame), rop)
-    fires = F.coalesce((F.count("*").over(frame) >= least) & (wob > 0) & (rop > 0) & (w > 0.02) & (p < 0.01), F.lit(False))
+    # each aggregate of the frame is a column first: one that an expression names twice is computed twice
+    parts = {"_n": F.count("*"), "_wob": F.avg("wob"), "_rop": F.avg("rop"), "_best": F.max_by("wob", F.struct("rop", -F.col("idx")))}
+    rows = rows.withColumns({c: x.over(frame) for c, x in parts.items()} | {f"_{c}_trend": windows.trend(F.col(c), i, frame) for c in ("wob", "rop")})
+    w, p = ratio(F.col("_wob_trend"), F.col("_wob")), ratio(F.col("_rop_trend"), F.col("_rop"))
+    fires = F.coalesce((F.col("_n") >= least) & (F.col("_wob") > 0) & (F.col("_rop") > 0) & (w > 0.02) & (p < 0.01), F.lit(False))
     severity = F.when(p < -0.05, 1.0).when(p < -0.02, 0.7).when(p < 0, 0.5).otherwise(0.3)
-    best = F.max_by("wob", F.struct("rop", -F.col("idx"))).over(frame)
-    return rows.withColumns({"founder60": fires, "founder_severity": F.when(fires, severity).otherwise(0.0), "optimal_wob": F.when(fires, best).otherwise(0.0)})
+    return rows.withColumns({"founder60": fires, "founder_severity": F.when(fires, severity).otherwise(0.0), "optimal_wob": F.when(fires, F.col("_best")).otherwise(0.0)}).drop(*parts, "_wob_trend", "_rop_trend")
 
 
 def strategic_report(metrics: DataFrame, n: int = HISTORY, c: Config = DEFAULT) -> DataFrame:
@@ -33,10 +34,13 @@ def strategic_report(metrics: DataFrame, n: int = HISTORY, c: Config = DEFAULT)
     mean, trend = lambda x: F.avg(x).over(frame), lambda x: windows.trend(F.col(x), i, frame)
     rows = rows.withColumns({
         "n": count, "avg_mse": mean("mse"), "mse_trend": trend("mse"), "dxc_trend": trend("dxc"), "flow_balance_trend": trend("flow_balance"), "wob_trend": trend("wob"), "rop_trend": trend("rop"), "avg_pit_rate": mean("pit_rate"),
-        "torque_cv": windows.variation(F.col("torque"), frame, c.mechanical.stick_slip_min_samples), "torque_first": F.first("torque").over(frame), "spp_first": F.first("spp").over(frame),
-        "consistency": windows.r_squared(F.col("mse"), i, frame), "hours": (F.col("ts") - F.first("ts").over(frame)) / 3600.0,
+        "_torque_n": F.count("torque").over(frame), "_torque": mean("torque"), "_torque_std": F.stddev_pop("torque").over(frame), "torque_first": F.first("torque").over(frame), "spp_first": F.first("spp").over(frame),
+        "_mse_n": F.count("mse").over(frame), "_idx_var": F.var_pop(i).over(frame), "_mse_var": F.var_pop("mse").over(frame), "_mse_idx": F.covar_pop(i, F.col("mse")).over(frame), "hours": (F.col("ts") - F.first("ts").over(frame)) / 3600.0,
         "operating": F.avg(F.col("state").isin("Drilling", "Reaming").cast("int")).over(frame), "recent_anomalies": F.sum((F.col("category") != "None").cast("int")).over(last_rows(10)),
     })
+    parts = {"torque_cv": ("_torque_n", "_torque", "_torque_std"), "consistency": ("_mse_n", "_idx_var", "_mse_var", "_mse_idx")}
+    of = {name: [F.col(x) for x in columns] for name, columns in parts.items()}
+    rows = rows.withColumns({"torque_cv": windows.variation_of(*of["torque_cv"], c.mechanical.stick_slip_min_samples), "consistency": windows.r_squared_of(*of["consistency"])}).drop(*(x for columns in parts.values() for x in columns))
     hardness = physics.clamp((F.col("avg_mse") - c.physics.formation_hardness_base_psi) / c.physics.formation_hardness_multiplier, 0, 10)
     rise = lambda x, first: F.coalesce(F.when(F.col(first) > 0, ratio(F.col(x) - F.col(first), F.col(first))), F.lit(0.0))
     slipping, _ = windows.stick_slip(F.col("torque_cv"))

@@ -12,8 +12,12 @@ from mudline.functions.physics import ratio
 
 def variation(x: Column, frame: WindowSpec, at_least: int) -> Column:
     """Population standard deviation over mean; 0 before the frame is full or without a positive mean."""
-    mean = F.avg(x).over(frame)
-    return F.when((F.count(x).over(frame) >= at_least) & (mean > 0), ratio(F.stddev_pop(x).over(frame), mean)).otherwise(0.0)
+    return variation_of(F.count(x).over(frame), F.avg(x).over(frame), F.stddev_pop(x).over(frame), at_least)
+
+
+def variation_of(n: Column, mean: Column, deviation: Column, at_least: int) -> Column:
+    """``variation`` by its parts."""
+    return F.when((n >= at_least) & (mean > 0), ratio(deviation, mean)).otherwise(0.0)
 
 
 def trend(y: Column, index: Column, frame: WindowSpec) -> Column:
@@ -23,9 +27,12 @@ def trend(y: Column, index: Column, frame: WindowSpec) -> Column:
 
 def r_squared(y: Column, index: Column, frame: WindowSpec) -> Column:
     """Share of variance that the line explains; 0 for fewer than three rows or flat values."""
-    vx, vy = F.var_pop(index).over(frame), F.var_pop(y).over(frame)
-    n = F.count(y).over(frame)
-    return F.when((n >= 3) & (n * vy >= 1e-10), F.least(F.greatest(ratio(F.pow(F.covar_pop(index, y).over(frame), 2), vx * vy), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return r_squared_of(F.count(y).over(frame), F.var_pop(index).over(frame), F.var_pop(y).over(frame), F.covar_pop(index, y).over(frame))
+
+
+def r_squared_of(n: Column, vx: Column, vy: Column, cxy: Column) -> Column:
+    """``r_squared`` by its parts."""
+    return F.when((n >= 3) & (n * vy >= 1e-10), F.least(F.greatest(ratio(F.pow(cxy, 2), vx * vy), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
 def with_index(rows: DataFrame) -> DataFrame:
